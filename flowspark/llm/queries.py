@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_warc": "warc",
+    "op10_quality": "quality",
     "op4_sentencepiece": "pieces",
     "op5_media_columns": "media",
     "op6_mixing": "mixing",
