@@ -10,6 +10,7 @@ _QUERIES = {
     "op4_sentencepiece": "pieces",
     "op5_media_columns": "media",
     "op6_mixing": "mixing",
+    "op7_minhash": "minhash",
     "op9_token_counts": "tokencount",
 }
 
