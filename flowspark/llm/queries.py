@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_media_columns": "media",
     "op6_mixing": "mixing",
     "op7_minhash": "minhash",
+    "op8_language_id": "langid",
     "op9_token_counts": "tokencount",
 }
 
