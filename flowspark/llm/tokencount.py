@@ -13,6 +13,7 @@ A null text counts as empty: 0 tokens. Texts are never cut. Repeated rows give r
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
@@ -26,7 +27,7 @@ from ._common import table
 
 LIMIT = 2048
 #: Words a worker keeps counts of at a time; beyond it the table starts anew (the counts stay the same).
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def _byte_names() -> list[str]:
@@ -45,6 +46,11 @@ class PrefixCounter:
         self.vocab = spec["model"]["vocab"]
         self.ranks = {(a, b): i for i, (a, b) in enumerate(spec["model"]["merges"])}
         self.mark = spec["model"]["end_of_word_suffix"]
+        self.made: dict[str, tuple[str, str, int]] = {}
+        for (a, b), i in self.ranks.items():
+            self.made.setdefault(a + b, (a, b, i))
+        #: Whether each token has one way to be merged, later than its parts: then stable() need not encode.
+        self.single = len(self.made) == len(self.ranks) and all(i > self.made.get(x, ("", "", -1))[2] for a, b, i in self.made.values() for x in (a, b))
         self.longest = max(len(t.removesuffix(self.mark)) for t in self.vocab)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split, regex.V1)
@@ -73,9 +79,27 @@ class PrefixCounter:
         if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.bpe(self._symbols(a) + self._symbols(b)) == ([a, b] if a else [b])
+            known = self.pairs[a, b] = self._no_merge_across(a, b) if self.single and a else self.bpe(self._symbols(a) + self._symbols(b)) == ([a, b] if a else [b])
         return known
 
+    def _no_merge_across(self, a: str, b: str) -> bool:
+        """Goes back through the merges that made a and b, latest first. At each moment the parts that touch where
+        they meet would merge if the rank of that comes before the merges that take either part up; of equal ranks
+        the left one comes first."""
+        none, never = ("", "", -1), 1 << 40
+        takes_a = takes_b = never
+        while True:
+            rank = self.ranks.get((a, b), never)
+            if rank < takes_a and rank <= takes_b and rank < never:
+                return False
+            made_a, made_b = self.made.get(a, none), self.made.get(b, none)
+            if made_a[2] < 0 and made_b[2] < 0:
+                return True
+            if made_a[2] > made_b[2]:
+                a, takes_a = made_a[1], made_a[2]
+            else:
+                b, takes_b = made_b[0], made_b[2]
+
     def table(self, word: str) -> tuple[list[int], list[int]]:
         """Token counts of each non-empty prefix of a word given in byte names: open, closed."""
         n, vocab, mark, longest = len(word), self.vocab, self.mark, self.longest
@@ -121,22 +145,19 @@ class PrefixCounter:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """(tokens, characters with the gap before them) along a text without special strings."""
-        text, out, at = self.normal(text), [], 0
-        for m in self.gap.finditer(text):
-            if m.start() > at:
-                out.append(text[at : m.start()])
-            at = m.end()
-        return out + ([text[at:]] if at < len(text) else [])
-
-    def run(self, run: str) -> int:
-        """Tokens of a run without white space; known runs are looked up."""
-        if (n := self.counts.get(run)) is None:
-            if len(self.counts) >= self.kept:
-                self.counts.clear()
-            n = self.counts[run] = sum(map(self.word, self.words.findall(run)))
-        return n
+    def look_up(self, runs: list[str]) -> list[int]:
+        """Tokens of runs without white space; each distinct run is counted once and kept."""
+        known = self.counts
+        try:
+            return [known[r] for r in runs]
+        except KeyError:
+            new = {r for r in runs if r not in known}
+            if len(known) + len(new) > self.kept:
+                known.clear()
+                new = set(runs)
+            for r in new:
+                known[r] = sum(map(self.word, self.words.findall(r)))
+            return [known[r] for r in runs]
 
     def word(self, word: str) -> int:
         if (n := self.known.get(word)) is None:
@@ -156,8 +177,7 @@ class PrefixCounter:
             if k:
                 out.append(1)
             part = self.normal(part)
-            split = part.split() if part.isascii() and not _ODD.search(part) else [x for x in self.gap.split(part) if x]
-            out += map(self.run, split)
+            out += self.look_up(part.split() if _PLAIN.search(part) is None else [x for x in self.gap.split(part) if x])
         return out
 
     def count(self, text: str) -> int:
@@ -177,7 +197,8 @@ class PrefixCounter:
         return bisect_right(list(accumulate(counts)), budget)
 
 
-_ODD = regex.compile(r"[\x1c-\x1f]")
+#: Where str.split() does not see the gaps that the tokenizer sees.
+_PLAIN = re.compile(r"[\x1c-\x1f]")
 
 
 @lru_cache(maxsize=2)
