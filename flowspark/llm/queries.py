@@ -7,6 +7,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_warc": "warc",
     "op10_quality": "quality",
+    "op2_substring_dedup": "substring",
     "op4_sentencepiece": "pieces",
     "op5_media_columns": "media",
     "op6_mixing": "mixing",
