@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_warc": "warc",
     "op10_quality": "quality",
     "op2_substring_dedup": "substring",
+    "op3_embedding_dedup": "embedding",
     "op4_sentencepiece": "pieces",
     "op5_media_columns": "media",
     "op6_mixing": "mixing",
