@@ -174,7 +174,8 @@ def train(known: DataFrame, sample: int = SAMPLE, drawn: int = DRAWN, steps: int
 
 
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
-    """docs with lang_pred and score; only the text is looked at."""
+    """docs with lang_pred and score, which take the place of columns of these names; only the text is looked at."""
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

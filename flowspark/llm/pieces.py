@@ -15,6 +15,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -24,47 +25,64 @@ from ._common import table
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Words a worker keeps at a time, and the longest that it keeps; beyond it the table starts anew (the ids stay the same).
-KEPT_WORDS, KEPT_LENGTH = 150_000, 200
+KEPT_WORDS, KEPT_LENGTH = 600_000, 200
 
 
 class ChunkTable:
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.kept, self.known = kept, {}
-        pieces = map(self.sp.id_to_piece, range(self.sp.get_piece_size()))
+        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        self.digits = [b"%d " % i for i in range(len(pieces))]
+        self.starts = np.array([p.startswith(MARK) for p in pieces])
+        self.stops = np.array([not p.endswith(MARK) for p in pieces])
         probe = self.sp.encode_as_pieces(" a  b ")
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", x) for x in pieces) and "".join(probe) == f"{MARK * 2}a{MARK * 2}b{MARK}"
-        self.end = self.sp.eos_id()
-
-    def _segment(self, chunk: str) -> list[int]:
-        if chunk == MARK:  # the library gives no ids for the empty text that a lone marker stands for
-            return [self.sp.piece_to_id(MARK)]
-        return self.sp.encode(chunk[1:])
-
-    def _text(self, ids: list[int]) -> str:
-        # a leading word keeps the space that decode() takes from the start of a text
-        return self.sp.decode([self._letter, *ids])[1:]
+        self.last = b"%d" % self.sp.eos_id()
+        self.end, self.lone, self.letter = self.sp.eos_id(), self.sp.piece_to_id(MARK), self.sp.piece_to_id("a")
+
+    def _segment(self, chunks: list[str]) -> dict[str, bytes | tuple[bytes, str]]:
+        """The words' ids in decimal, a space after each; with the decoded word where that is not the word itself.
+
+        The words are encoded and decoded in one go: an id begins a word where its piece starts with a marker and
+        the piece before it ends without one. Words of markers only stand alone, as they have no such end."""
+        alone = [c for c in chunks if not c.strip(MARK)]
+        found: dict = {}
+        for c in alone:  # the library gives no ids for the empty text that a lone marker stands for
+            ids = self.sp.encode(c[1:]) or [self.lone]
+            found[c] = self._decimal(ids), self.sp.decode([self.letter, *ids])[1:]
+        chunks = [c for c in chunks if c.strip(MARK)]
+        if chunks:
+            text = "".join(chunks).replace(MARK, " ")[1:]
+            ids = self.sp.encode(text)
+            pieces = np.array(ids)
+            heads = np.flatnonzero(self.starts[pieces] & np.concatenate([[True], self.stops[pieces[:-1]]])).tolist()
+            if len(heads) != len(chunks):  # not one by one after all
+                return found | {c: (self._decimal(x), self.sp.decode([self.letter, *x])[1:]) for c in chunks for x in [self.sp.encode(c[1:])]}
+            ends = [*heads[1:], len(ids)]
+            if self.sp.decode(ids) == text:
+                found.update((c, self._decimal(ids[i:j])) for c, i, j in zip(chunks, heads, ends, strict=True))
+            else:
+                for c, i, j in zip(chunks, heads, ends, strict=True):
+                    found[c] = self._decimal(ids[i:j]), self.sp.decode([self.letter, *ids[i:j]])[1:]
+        return found
 
-    @property
-    def _letter(self) -> int:
-        return self.sp.piece_to_id("a")
+    def _decimal(self, ids: list[int]) -> bytes:
+        return b"".join([self.digits[i] for i in ids])
 
     def chunks(self, text: str) -> list[str]:
         return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def look_up(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
-        """ids in decimal, each with a space after it, and the decoded word, for each chunk."""
+    def look_up(self, chunks: list[str]) -> list[bytes | tuple[bytes, str]]:
+        """What the table has for each chunk, after the new ones were added."""
         known = self.known
-        new = {c for c in chunks if c not in known}
+        new = list({c for c in chunks if c not in known})
         if len(known) + len(new) > self.kept:
             known.clear()
-            new = set(chunks)
-        found = {}
-        for c in new:
-            ids = self._segment(c)
-            found[c] = "".join(f"{i} " for i in ids).encode(), self._text(ids)
+            new = list(set(chunks))
+        found = self._segment(new)
         known.update((c, x) for c, x in found.items() if len(c) <= KEPT_LENGTH)
-        return found
+        return [known.get(c) or found[c] for c in chunks]
 
     def encode(self, text: str) -> list[int]:
         return list(map(int, self.both(text)[0].split()))
@@ -74,10 +92,17 @@ class ChunkTable:
         if not self.splits:
             ids = self.sp.encode(text)
             return "".join(f"{i} " for i in [*ids, self.end]).encode()[:-1], self.sp.decode([*ids, self.end])
-        chunks = self.chunks(text)
-        found, known = self.look_up(chunks), self.known
-        at = [known.get(c) or found[c] for c in chunks]
-        return b"".join([x[0] for x in at]) + b"%d" % self.end, "".join([x[1] for x in at])[1:]
+        chunks, known = self.chunks(text), self.known
+        try:
+            at = [known[c] for c in chunks]
+        except KeyError:
+            at = self.look_up(chunks)
+        try:
+            return b"".join(at) + self.last, text.replace(MARK, " ")
+        except TypeError:  # some word is decoded to another
+            ids = [x if isinstance(x, bytes) else x[0] for x in at]
+            texts = [c.replace(MARK, " ") if isinstance(x, bytes) else x[1] for c, x in zip(chunks, at, strict=True)]
+            return b"".join(ids) + self.last, "".join(texts)[1:]
 
 
 @lru_cache(maxsize=2)

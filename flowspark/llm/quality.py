@@ -137,9 +137,11 @@ def fit_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordi
 
 
 def grade(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
-    """docs with expected_grade, tail_probability (of the best grade) and kept."""
-    at = docs.columns.index("text")
+    """docs with expected_grade, tail_probability (of the best grade) and kept, which take the place of columns
+    of these names."""
     names = ["expected_grade", "tail_probability", "kept"]
+    docs = docs.drop(*names)
+    at = docs.columns.index("text")
 
     def graded(batches):
         for batch in batches:
