@@ -104,41 +104,62 @@ def imbalance(query: str, first: str, second: str, with_balance: bool = False) -
 _OUT = "i long, id string, best int, ref long, ref_id string, best_chimera int, p1 long, p2 long, d_best double, c_index double, excess double, loon double, best_trimera int, split int, class string"
 
 
+#: Queries that a task aligns together.
+GROUP = 32
+
+
+def _judged(own: dict, refs: pd.DataFrame, als: list[dict], with_balance: bool) -> tuple[dict, str, str]:
+    """A query's row without distances, its best reference and the sequence that its parents make up."""
+    query, texts, freq, at = own["seq"], refs["_seq"].tolist(), refs["_freq"].to_numpy(float), refs["_ord"].tolist()
+    diffs = np.array([a["n_diff"] for a in als])
+    d, r, n = np.array([a["d"] for a in als]), np.array([a["r"] for a in als]), len(query)
+    hit, chi, tri, kind = int(diffs.argmin()), best_chimera(d, r, freq), None, "Chimera"
+    model = _joined([(als[chi["p1"]], 0, chi["split"] + 1), (als[chi["p2"]], chi["split"] + 1, n)])
+    if chi["best"] >= TRIMERA and len(refs) >= 3:
+        tri = best_trimera(d, r, freq)
+        if chi["best"] - tri["best"] >= TRIMERA:
+            kind = "Trimera"
+            model = _joined([(als[tri["t1"]], 0, tri["split1"] + 1), (als[tri["t2"]], tri["split1"] + 1, tri["split2"] + 1), (als[tri["t3"]], tri["split2"] + 1, n)])
+    loon, split = imbalance(query, _projected(als[chi["p1"]]), _projected(als[chi["p2"]]), with_balance)
+    row = {"best": int(diffs[hit]), "ref": at[hit], "ref_id": refs["_id"].iat[hit], "best_chimera": chi["best"], "p1": at[chi["p1"]], "p2": at[chi["p2"]], "loon": loon, "best_trimera": tri["best"] if tri else None, "split": split, "class": kind}
+    return row, texts[hit], model
+
+
 def perseus(seqs: DataFrame, block: str, table: np.ndarray | None = None, with_balance: bool = False, references: DataFrame | None = None) -> DataFrame:
     """A row for each sequence (block, ord, seq_id, freq, seq), with class Null for fewer than two candidates, Chimera
-    or Trimera. Each query is a group of its own with its candidates; references are the sequences unless given."""
+    or Trimera. Some queries and their candidates are a task's work, so a block spreads over many tasks. References are
+    the sequences unless given."""
     refs = seqs if references is None else references
     other = refs.select(block, F.col("ord").alias("_ord"), F.col("seq_id").alias("_id"), F.col("freq").alias("_freq"), F.col("seq").alias("_seq"))
-    pairs = seqs.join(other, block, "left").where("ord = _ord OR _freq >= freq")
+    pairs = seqs.join(other, block, "left").where("ord = _ord OR _freq >= freq").withColumn("_group", F.floor(F.col("ord") / GROUP))
     kind = dict(seqs.dtypes)[block]
+    columns = [block, *(c.split()[0] for c in _OUT.split(", "))]
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.iloc[0]
-        refs = group[group["_id"] != own["seq_id"]].dropna(subset=["_seq"]).sort_values("_ord")
-        refs = refs[refs["_freq"] >= own["freq"]]
-        row = {block: own[block], "i": own["ord"], "id": own["seq_id"], "class": "Null"}
-        if len(refs) >= 2 and len(own["seq"]) > 1:
-            query, seqs_, freq = own["seq"], refs["_seq"].tolist(), refs["_freq"].to_numpy(float)
-            als = K.nw_diff([query] * len(seqs_), seqs_)
-            diffs = np.array([a["n_diff"] for a in als])
-            d, r = np.array([a["d"] for a in als]), np.array([a["r"] for a in als])
-            hit, chi = int(diffs.argmin()), best_chimera(d, r, freq)
-            n = len(query)
-            kind, tri = "Chimera", None
-            model = _joined([(als[chi["p1"]], 0, chi["split"] + 1), (als[chi["p2"]], chi["split"] + 1, n)])
-            if chi["best"] >= TRIMERA and len(refs) >= 3:
-                tri = best_trimera(d, r, freq)
-                if chi["best"] - tri["best"] >= TRIMERA:
-                    kind = "Trimera"
-                    model = _joined([(als[tri["t1"]], 0, tri["split1"] + 1), (als[tri["t2"]], tri["split1"] + 1, tri["split2"] + 1), (als[tri["t3"]], tri["split2"] + 1, n)])
-            near, index = K.nw_homopolymer([query, query], [seqs_[hit], model], table)
-            loon, split = imbalance(query, _projected(als[chi["p1"]]), _projected(als[chi["p2"]]), with_balance)
-            at = refs["_ord"].tolist()
-            row |= {"best": int(diffs[hit]), "ref": at[hit], "ref_id": refs["_id"].iat[hit], "best_chimera": chi["best"], "p1": at[chi["p1"]], "p2": at[chi["p2"]], "d_best": near, "c_index": index, "excess": index - near, "loon": loon, "best_trimera": tri["best"] if tri else None, "split": split, "class": kind}
-        columns = [block, *(c.split()[0] for c in _OUT.split(", "))]
-        return pd.DataFrame([row], columns=columns)
-
-    return pairs.groupBy(block, "ord").applyInPandas(lambda key, g: judge(g), f"`{block}` {kind}, {_OUT}")
+        rows, todo = [], []
+        for _, one in group.groupby("ord", sort=True):
+            own = one.iloc[0]
+            refs = one[one["_id"] != own["seq_id"]].dropna(subset=["_seq"]).sort_values("_ord")
+            refs = refs[refs["_freq"] >= own["freq"]]
+            rows.append({block: own[block], "i": own["ord"], "id": own["seq_id"], "class": "Null"})
+            if len(refs) >= 2 and len(own["seq"]) > 1:
+                todo.append((len(rows) - 1, own.to_dict(), refs))
+        first = [own["seq"] for _, own, refs in todo for _ in range(len(refs))]
+        second = [s for _, _, refs in todo for s in refs["_seq"]]
+        als = [a for lo in range(0, len(first), 2048) for a in K.nw_diff(first[lo : lo + 2048], second[lo : lo + 2048])]
+        at, ends = 0, []
+        for k, own, refs in todo:
+            row, near, model = _judged(own, refs, als[at : at + len(refs)], with_balance)
+            at += len(refs)
+            rows[k] |= row
+            ends.append((own["seq"], near, model))
+        if ends:
+            found = K.nw_homopolymer([e[0] for e in ends] * 2, [e[1] for e in ends] + [e[2] for e in ends], table, unknown=None)
+            for (k, _, _), near, index in zip(todo, found[: len(ends)], found[len(ends) :], strict=True):
+                rows[k] |= {"d_best": near, "c_index": index, "excess": index - near}
+        return pd.DataFrame(rows, columns=columns)
+
+    return pairs.groupBy(block, "_group").applyInPandas(lambda key, g: judge(g), f"`{block}` {kind}, {_OUT}")
 
 
 def classify(rows: DataFrame, alpha: float = -7.5, beta: float = 0.5) -> DataFrame:

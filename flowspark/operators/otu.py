@@ -21,5 +21,5 @@ def sample_order(samples: list[str]) -> list[str]:
 
 
 def otu_typical(members: DataFrame) -> DataFrame:
-    """otu, seq of the largest weight (the first of equals) and total weight. members: otu, pos, weight, seq."""
-    return members.groupBy("otu").agg(F.max_by("seq", F.struct("weight", (-F.col("pos")).alias("_n"))).alias("seq"), F.sum("weight").alias("weight"))
+    """otu, seq of the largest weight (the first of equals, the last by text on one place) and total weight. members: otu, pos, weight, seq."""
+    return members.groupBy("otu").agg(F.max_by("seq", F.struct("weight", (-F.col("pos")).alias("_n"), "seq")).alias("seq"), F.sum("weight").alias("weight"))

@@ -30,7 +30,7 @@ def split_by_barcode(reads: DataFrame, barcodes: DataFrame, default: str = "unma
     Of several primers that match, the last of the table wins. barcodes: name, barcode, primer_re, ord."""
     length = F.length("barcode")
     rest = F.col("bases").substr(F.lit(len(KEY) + 1), F.length("bases"))
-    hits = reads.join(_small(barcodes.withColumnRenamed("ord", "_place")), rest.startswith(F.col("barcode")) & rest.substr(length + 1, F.length("bases")).rlike(F.concat(F.lit("(?i)^"), F.col("primer_re"))))
+    hits = reads.join(_small(barcodes.withColumnRenamed("ord", "_place")), rest.startswith(F.col("barcode")) & F.rlike(rest.substr(length + 1, F.length("bases")), F.concat(F.lit("(?i)^"), F.col("primer_re"))))
     won = hits.groupBy("ord").agg(F.max_by("name", "_place").alias("sample"))
     return reads.join(won, "ord", "left").withColumn("sample", F.coalesce("sample", F.lit(default)))
 
@@ -41,7 +41,7 @@ def split_equal_barcodes(reads: DataFrame, barcodes: DataFrame, length: int, def
     rest = F.col("bases").substr(F.lit(len(KEY) + length + 1), F.length("bases"))
     table = barcodes.groupBy("barcode").agg(F.sort_array(F.collect_list(F.struct("ord", "name", "primer_re"))).alias("_primers"))
     joined = reads.withColumn("barcode", barcode).join(_small(table), "barcode", "left")
-    hits = F.filter("_primers", lambda p: rest.rlike(F.concat(F.lit("(?i)^"), p["primer_re"])))
+    hits = F.filter("_primers", lambda p: F.rlike(rest, F.concat(F.lit("(?i)^"), p["primer_re"])))
     return joined.withColumn("sample", F.coalesce(F.try_element_at(hits, F.lit(-1))["name"], F.lit(default))).drop("barcode", "_primers")
 
 

@@ -1 +1 @@
-
+"""Whole workflows composed of operators."""
