@@ -55,7 +55,7 @@ def flows_to_string(flows: str | Column) -> Column:
 
 def quads(flows: str | Column) -> Column:
     """Flows in fours; the last may be shorter."""
-    flows = F.col(flows) if isinstance(flows, str) else flows
+    flows = (F.col(flows) if isinstance(flows, str) else flows).cast("array<int>")
     count = F.ceil(F.size(flows) / 4).cast("int")
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(flows, k * 4 + 1, F.lit(4)))).otherwise(F.array().cast("array<array<int>>"))
 

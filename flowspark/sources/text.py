@@ -83,8 +83,9 @@ def scan_flower(spark: SparkSession, path: str) -> DataFrame:
 def triangle_place(position: F.Column) -> tuple[F.Column, F.Column]:
     """(i, j) of a place in a lower triangle read row by row. The root is put right by whole numbers."""
     guess = F.floor((1 + F.sqrt(1 + 8 * position.cast("double"))) / 2).cast("bigint")
-    i = F.when(guess * (guess - 1) / 2 > position, guess - 1).when(guess * (guess + 1) / 2 <= position, guess + 1).otherwise(guess)
-    return i, position - (i * (i - 1) / 2).cast("bigint")
+    before = lambda k: F.shiftright(k * (k - 1), 1)
+    i = F.when(before(guess) > position, guess - 1).when(before(guess + 1) <= position, guess + 1).otherwise(guess)
+    return i, position - before(i)
 
 
 def scan_dist(spark: SparkSession, path: str, ids: bool = False, full: bool = False) -> DataFrame:
