@@ -296,18 +296,49 @@ def _distinct_runs(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(listed, "key long, r1 long, r2 long, words binary, n long")
 
 
-def _occurrences(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, mark, start (number of the first word in its text), r1, r2 of each run of rows."""
+#: Keys that carry rows whose windows are known already through the join with the masks.
+CARRIERS = 4096
+
+
+def _occurrences(rows: DataFrame, window: int, known: list[tuple[int, int, int]]) -> DataFrame:
+    """doc_id, mark, start (number of the first word in its text), r1, r2, own of each run of rows. Runs in known
+    (r1, r2, mask; fewer than 1000) come together, with their repeated windows in own and a carrier for r1."""
+    table = np.array(sorted(known), np.int64).reshape(-1, 3)
+    table = table[np.argsort(table[:, 0].view(np.uint64) if len(table) else table[:, 0])]
 
     def listed(batches):
         for batch in batches:
             for part, w, at, n, _ in _runs(batch, window):
                 r1, r2 = _names(w, at, n + window - 1)
                 doc = w.doc[at]
-                mark = _row_keys(part.column(1)).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), mark, pa.array((at - w.first[doc]).astype(np.int32)), pa.array(long_of(r1)), pa.array(long_of(r2))], names=["doc_id", "mark", "start", "r1", "r2"])
+                start = at - w.first[doc]
+                own = np.zeros(len(at), np.int64)
+                if len(table) and len(at):
+                    keys = np.ascontiguousarray(table[:, 0]).view(np.uint64)
+                    place = np.minimum(np.searchsorted(keys, r1), len(keys) - 1)
+                    hit = (keys[place] == r1) & (table[place, 1] == long_of(r2))
+                    own = np.where(hit, table[place, 2], 0)
+                open_ = own == 0
+                # the known runs' windows, by their place in the text
+                d, p = [], []
+                for offset in range(RUN):
+                    on = np.flatnonzero(own >> offset & 1)
+                    d.append(doc[on])
+                    p.append(start[on] + offset)
+                d, p = np.concatenate(d), np.concatenate(p)
+                order = np.lexsort((p, d))
+                d, p = d[order], p[order]
+                new = np.ones(len(d), bool)
+                new[1:] = (d[1:] != d[:-1]) | (p[1:] // RUN != p[:-1] // RUN)
+                head = np.flatnonzero(new)
+                masks = np.bitwise_or.reduceat(np.int64(1) << (p % RUN), head) if len(head) else np.zeros(0, np.int64)
+                all_doc = np.concatenate([doc[open_], d[head]])
+                mark = _row_keys(part.column(1)).take(pa.array(all_doc))
+                carrier = (d[head] * 7919 + p[head] // RUN + len(w.data)) % CARRIERS
+                columns = [np.concatenate([start[open_], p[head] // RUN * RUN]).astype(np.int32), np.concatenate([long_of(r1[open_]), carrier]), np.concatenate([long_of(r2[open_]), np.zeros(len(head), np.int64)]), np.concatenate([own[open_], masks])]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(all_doc)), mark, *map(pa.array, columns)], names=["doc_id", "mark", "start", "r1", "r2", "own"])
 
-    return rows.mapInArrow(listed, "doc_id long, mark long, start int, r1 long, r2 long")
+    return rows.mapInArrow(listed, "doc_id long, mark long, start int, r1 long, r2 long, own long")
 
 
 #: Symbols of one index: a shard of more runs is indexed in several parts, cut between keys.
@@ -391,9 +422,14 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = _distinct_runs(rows, window)
     dealt = runs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     masks = cut(_search(dealt, window), "masks")
-    seen = _occurrences(rows, window)
-    joined = heavy_join(seen.withColumn("run", F.struct("r1", "r2")).drop("r1", "r2"), masks.withColumn("run", F.struct("r1", "r2")).drop("r1", "r2"), "run", "n", "inner")
-    return joined.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    # runs with over a thousandth of all repeats, so fewer than 1000, are known where the texts are read; no other run
+    # has enough rows to be a hot key of the join
+    named = masks.withColumn("run", F.struct("r1", "r2"))
+    known = [(r["r1"], r["r2"], r["mask"]) for r in hot_keys(named, "run").limit(1000).collect()]
+    carriers = spark.range(CARRIERS).select(F.col("id").alias("r1"), F.lit(0).cast("long").alias("r2"), F.lit(0).cast("long").alias("mask"))
+    joined = _occurrences(rows, window, known).join(masks.select("r1", "r2", "mask").unionByName(carriers), ["r1", "r2"])
+    found = joined.withColumn("mask", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("mask"))).where("mask <> 0")
+    return found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
