@@ -112,7 +112,14 @@ class Words:
         pw, inverse = _power(len(data) + 1)
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[_LOWER[data] if lower else data] * pw[: len(data)], out=prefix[1:])
-        self.h = mix64((prefix[self.end] - prefix[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self._sums = prefix, inverse
+        self.h = self.head(None)
+
+    def head(self, k: int | None) -> np.ndarray:
+        """Hash of the first k bytes of each word; of the whole word with None."""
+        prefix, inverse = self._sums
+        end = self.end if k is None else np.minimum(self.start + k, self.end)
+        return mix64((prefix[end] - prefix[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64))
 
     def grams(self, k: int, salt: int = 0) -> np.ndarray:
         """Hash of the k words from each position; positions too near the end of all words are absent,

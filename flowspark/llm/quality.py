@@ -5,7 +5,7 @@ hashed text features is shared by all grades, with ordered thresholds t: P(grade
 The expected grade is the sum of the tail probabilities P(grade > k); a document is kept where its tail
 probability of the best grade reaches KEEP.
 
-Features: presence of each lower-cased word (hashed), and shares of the words' shapes (classes of the first and the
+Features: presence of each lower-cased word and of its first bytes (hashed), and shares of the words' shapes (classes of the first and the
 last three bytes), of words that repeat the one before, and of distinct words. All come from the whole text.
 
 The model is fitted on the driver from at most SAMPLE labelled rows, chosen by a hash of doc_id; that bound is a
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ._common import Words, pieces_of, table
 
-WIDTH, SHAPES, EXTRA = 1 << 18, 6**4, 4
-SAMPLE, KEEP, GRADES = 6000, 0.5, 3
+WIDTH, SHAPES, EXTRA, HEADS = 1 << 20, 6**4, 4, (4, 5)
+SAMPLE, KEEP, GRADES = 8000, 0.5, 3
 _CLASS = np.full(256, 4, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 3
 
@@ -34,7 +34,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = Words(texts, lower=True)
     n = len(texts)
     size = np.maximum(np.diff(w.first), 1)
-    pairs = np.unique(w.doc * np.int64(WIDTH) + (w.h % np.uint64(WIDTH)).astype(np.int64))
+    names = [w.h] + [w.head(k) ^ np.uint64(0x5851F42D4C957F2D * k % 2**64) for k in HEADS]
+    pairs = np.unique(np.concatenate([w.doc * np.int64(WIDTH) + (h % np.uint64(WIDTH)).astype(np.int64) for h in names]))
     row, word = pairs // WIDTH, pairs % WIDTH
     shape, length = np.zeros(len(w.h), np.int64), w.end - w.start
     for k in (None, 1, 2, 3):
@@ -46,7 +47,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = np.zeros(len(w.h))
     again[1:] = (w.h[1:] == w.h[:-1]) & (w.doc[1:] == w.doc[:-1])
     dense[:, SHAPES] = np.sqrt(np.bincount(w.doc, again, n) / size)
-    dense[:, SHAPES + 1] = np.bincount(row, minlength=n) / size
+    dense[:, SHAPES + 1] = np.bincount(row, minlength=n) / size / (1 + len(HEADS))
     dense[:, SHAPES + 2] = np.log1p(np.diff(w.first)) / 10
     dense[:, SHAPES + 3] = np.minimum(np.bincount(w.doc, length, n) / size / 20, 2)
     return row, word, dense
@@ -71,7 +72,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: np.ndarray, words: np.ndarray, dense: np.ndarray, grade: np.ndarray, steps: int = 400, least: int = 5, penalty: float = 3e-4) -> Ordinal:
+def fit(rows: np.ndarray, words: np.ndarray, dense: np.ndarray, grade: np.ndarray, steps: int = 200, least: int = 12, penalty: float = 3e-4) -> Ordinal:
     """Maximum likelihood with an L2 penalty by Adam. Words in fewer than least rows keep weight 0. Thresholds are
     a first one and positive gaps."""
     n, top = len(grade), GRADES - 1
