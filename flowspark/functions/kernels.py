@@ -33,37 +33,45 @@ def _codes(sequences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def align(first: list[str], second: list[str], cost: np.ndarray, gap: float, homopolymer: float | None = None, free_left: bool = True) -> Alignment:
-    """Global alignments of pairs, all pairs one cell at a time. cost is 256 x 256 by character. Gaps behind the end
-    of a sequence are free (for the second one only with free_left). A diagonal step must be better than both others,
-    a step left no worse than the diagonal and better than up. With homopolymer, a gap costs that where the second
-    sequence's next base repeats the base that the step before it ended on."""
+def align(first: list[str], second: list[str], cost: np.ndarray | None, gap: float, homopolymer: float | None = None, free_left: bool = True) -> Alignment:
+    """Global alignments of pairs, all pairs at once, one antidiagonal after another. cost is 256 x 256 by character,
+    or None for 1 where characters differ. Gaps behind the end of a sequence are free (for the second one only with
+    free_left). A diagonal step must be better than both others, a step left no worse than the diagonal and better than
+    up. With homopolymer, a gap costs that where the second sequence's next base repeats the base that the step before
+    it ended on."""
     (a, la), (b, lb) = _codes(first), _codes(second)
     pairs, n, m = len(first), a.shape[1], b.shape[1]
+    at, bt = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     moves = np.full((n + 1, m + 1, pairs), UP, np.uint8)
     moves[0] = LEFT
-    above = np.repeat(np.arange(m + 1, dtype=np.float64)[:, None] * gap, pairs, axis=1)
     score = np.where(la == 0, lb * gap, np.where(lb == 0, la * gap, 0.0))
-    at_end = lb[None, :] == np.arange(m + 1)[:, None]
-    for i in range(1, n + 1):
-        row = np.empty_like(above)
-        row[0] = i * gap
-        x = a[:, i - 1]
-        step, last, bottom = cost[x], x.copy(), (la == i) & free_left
-        for j in range(1, m + 1):
-            y = b[:, j - 1]
-            fee = gap if homopolymer is None else np.where(y == last, homopolymer, gap)
-            diag = above[j - 1] + step[np.arange(pairs), y]
-            left = row[j - 1] + np.where(bottom, 0.0, fee)
-            up = above[j] + np.where(at_end[j], 0.0, fee)
-            move = np.where((diag < left) & (diag < up), DIAG, np.where((left <= diag) & (left < up), LEFT, UP)).astype(np.uint8)
-            row[j] = np.minimum(np.minimum(diag, left), up)
-            moves[i, j] = move
+    # scores, and the base that each cell's step ended on (0 for none), by row, on the last two antidiagonals
+    older, old = np.zeros((n + 1, pairs)), np.zeros((n + 1, pairs))
+    last = np.zeros((n + 1, pairs), np.uint8)
+    ends = la + lb
+    for k in range(1, n + m + 1):
+        new, came = np.empty((n + 1, pairs)), np.zeros((n + 1, pairs), np.uint8)
+        if k <= m:
+            new[0] = k * gap
+        if k <= n:
+            new[k], came[k] = k * gap, at[k - 1]
+        lo, hi = max(1, k - m), min(n, k - 1)
+        if lo <= hi:
+            rows = np.arange(lo, hi + 1)
+            x, y = at[lo - 1 : hi], bt[k - hi - 1 : k - lo][::-1]
+            fee = gap if homopolymer is None else np.where(y == last[lo : hi + 1], homopolymer, gap)
+            diag = older[lo - 1 : hi] + ((x != y) if cost is None else cost[x, y])
+            left = old[lo : hi + 1] + (np.where(rows[:, None] == la, 0.0, fee) if free_left else fee)
+            up = old[lo - 1 : hi] + np.where((k - rows)[:, None] == lb, 0.0, fee)
+            best = np.minimum(left, up)
+            move = np.where(diag < best, DIAG, np.where((left <= diag) & (left < up), LEFT, UP)).astype(np.uint8)
+            moves[rows, k - rows] = move
+            new[lo : hi + 1] = np.minimum(best, diag)
             if homopolymer is not None:
-                last = np.where(move == DIAG, np.where(x == y, x, 0), np.where(move == LEFT, y, x)).astype(np.uint8)
-        done = (la == i) & (lb > 0)
-        score[done] = row[lb[done], np.flatnonzero(done)]
-        above = row
+                came[lo : hi + 1] = np.where(move == DIAG, np.where(x == y, x, 0), np.where(move == LEFT, y, x))
+        done = np.flatnonzero((ends == k) & (la > 0) & (lb > 0))
+        score[done] = new[la[done], done]
+        older, old, last = old, new, came
     width, p = n + m, np.arange(pairs)
     out_a, out_b = np.zeros((pairs, width), np.uint8), np.zeros((pairs, width), np.uint8)
     i, j, length = la.copy(), lb.copy(), np.zeros(pairs, np.int64)
@@ -82,15 +90,10 @@ def align(first: list[str], second: list[str], cost: np.ndarray, gap: float, hom
     return Alignment(score, out_a, out_b, length)
 
 
-@lru_cache(maxsize=1)
-def identity_cost() -> np.ndarray:
-    return 1.0 - np.eye(256)
-
-
 def nw_identity(first: list[str], second: list[str]) -> np.ndarray:
     """Share of differences between aligned ends: a run of gaps is one difference, N agrees with anything, and pairs
     that do not overlap are 1 apart."""
-    al = align(first, second, identity_cost(), GAP)
+    al = align(first, second, None, GAP)
     gap_a, gap_b = al.a < 2, al.b < 2
     column = np.arange(al.a.shape[1])[None, :]
     inside = column < al.length[:, None]
@@ -147,7 +150,7 @@ def nw_diff(first: list[str], second: list[str]) -> list[dict]:
     """Of each pair: n_diff, and at each base of the first sequence the differences up to it (d, from the left) and
     from it on (r, from the right), with the columns they lie in (map_d, map_r). Columns past the end of the second
     sequence are free from the left and count from the right."""
-    al, out = align(first, second, identity_cost(), GAP), []
+    al, out = align(first, second, None, GAP), []
     for k, n in enumerate(al.length.tolist()):
         a, b = al.a[k, :n][::-1], al.b[k, :n][::-1]
         base = a > 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.sequences import logistic
+from .stage import dealt
 
 #: Fixed value: by how much three parents must be better than two, and how bad two must be before three are tried.
 TRIMERA = 3
@@ -159,7 +160,7 @@ def perseus(seqs: DataFrame, block: str, table: np.ndarray | None = None, with_b
                 rows[k] |= {"d_best": near, "c_index": index, "excess": index - near}
         return pd.DataFrame(rows, columns=columns)
 
-    return pairs.groupBy(block, "_group").applyInPandas(lambda key, g: judge(g), f"`{block}` {kind}, {_OUT}")
+    return dealt(pairs, block, "_group").groupBy(block, "_group").applyInPandas(lambda key, g: judge(g), f"`{block}` {kind}, {_OUT}")
 
 
 def classify(rows: DataFrame, alpha: float = -7.5, beta: float = 0.5) -> DataFrame:

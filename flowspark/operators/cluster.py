@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .stage import dealt
 
 _MERGES = "step int, `left` int, `right` int, dist float"
 
@@ -31,7 +32,7 @@ def linkage(distances: DataFrame, block: str, method: str = "complete", scale: b
         merges, heights = K.linkage(_matrix(group, n, scale), method)
         return pd.DataFrame({block: group[block].iat[0], "step": np.arange(n - 1), "left": merges[:, 0], "right": merges[:, 1], "dist": heights})
 
-    return distances.groupBy(block).applyInPandas(merge, f"`{block}` {kind}, {_MERGES}")
+    return dealt(distances, block).groupBy(block).applyInPandas(merge, f"`{block}` {kind}, {_MERGES}")
 
 
 def cut_at(merges: DataFrame, block: str, below: float) -> DataFrame:

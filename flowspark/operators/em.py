@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .stage import dealt
 
 #: When to stop, and what counts as gone.
 DELTA, MOST_STEPS, FLOW_STEPS, SEQUENCE_STEPS = 1e-6, 1000, 10, 20
@@ -159,7 +160,7 @@ def pyronoise(reads: DataFrame, clusters: DataFrame, block: str, sigma: float =
         return pd.DataFrame(rows, columns=[block, "cluster", "sequence", "weight", "representative", "members", "member_ords", "quality"])
 
     joined = reads.select(block, "ord", "read_id", "len", "flows").join(clusters.select(block, F.col("member").alias("ord"), "cluster"), [block, "ord"])
-    return joined.groupBy(block).applyInPandas(run, f"`{block}` {kind}, {_FLOW_OUT}")
+    return dealt(joined, block).groupBy(block).applyInPandas(run, f"`{block}` {kind}, {_FLOW_OUT}")
 
 
 # ---------------------------------------------------------------- sequences
@@ -190,7 +191,7 @@ def seqnoise(seqs: DataFrame, distances: DataFrame, clusters: DataFrame, block:
         return pd.DataFrame(rows, columns=names)
 
     joined = seqs.select(block, "ord", "seq_id", "weight", "seq").join(clusters.select(block, F.col("member").alias("ord"), "cluster"), [block, "ord"])
-    return joined.groupBy(block).cogroup(distances.groupBy(block)).applyInPandas(run, f"`{block}` {kind}, cluster int, sequence string, weight long, representative string, members array<string>, member_ords array<long>")
+    return dealt(joined, block).groupBy(block).cogroup(dealt(distances, block).groupBy(block)).applyInPandas(run, f"`{block}` {kind}, cluster int, sequence string, weight long, representative string, members array<string>, member_ords array<long>")
 
 
 # ---------------------------------------------------------------- over DataFrames

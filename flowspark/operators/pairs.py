@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .stage import dealt
 
 TILE = 256
 
@@ -45,7 +46,7 @@ def all_pairs(items: DataFrame, value: str, kernel: Callable[[list, list], np.nd
         return pd.concat(out) if out else pd.DataFrame({by: pd.Series(dtype=group[by].dtype), "i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
 
     kind = dict(spread.dtypes)[by]
-    out = spread.groupBy(by, "_row", "_col").applyInPandas(compare, f"`{by}` {kind}, i long, j long, d double")
+    out = dealt(spread, by, "_row", "_col").groupBy(by, "_row", "_col").applyInPandas(compare, f"`{by}` {kind}, i long, j long, d double")
     return out if block else out.drop("_block")
 
 

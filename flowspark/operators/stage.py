@@ -13,3 +13,9 @@ def staged(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="flowspark-"))
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in as many partitions as shuffles have. Where the work on a row is large against its bytes, Spark must
+    not put small partitions together, as it would by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -39,7 +39,7 @@ def plain_score(a, b, cost, gap, homopolymer=None):
 @given(st.lists(st.tuples(dna, dna), min_size=1, max_size=6))
 def test_scores_equal_the_plain_programme(pairs):
     a, b = map(list, zip(*pairs, strict=True))
-    got = K.align(a, b, K.identity_cost(), K.GAP).score
+    got = K.align(a, b, None, K.GAP).score
     assert np.allclose(got, [plain_score(x, y, lambda p, q: float(p != q), K.GAP) for x, y in pairs])
     table = K.default_costs()
     cost = lambda p, q: table[K.BASES.index(p), K.BASES.index(q)]
