@@ -306,9 +306,17 @@ def best_hit(spark, d) -> DataFrame:
     return chimera.best_hits(rows)
 
 
-@query()
+_LOOKUP = """raw AS (SELECT s, b, CASE WHEN s = 0 THEN exp(-0.5 * ((ln((b + 0.5) / 100) + 2.2) / 0.7) ** 2) / ((b + 0.5) / 100) ELSE exp(-0.5 * (((b + 0.5) / 100 - s) / (0.04 + 0.03 * s)) ** 2) END AS p
+  FROM (SELECT s::DOUBLE AS s FROM range(10) t(s)), (SELECT b::DOUBLE AS b FROM range(1000) t(b))),
+look AS (SELECT s::INT AS s, b::INT AS b, -ln(greatest(p / sum(p) OVER (PARTITION BY s), 1e-12)) AS l FROM raw), single AS (SELECT b, min(l) AS l FROM look GROUP BY b),
+lists AS (SELECT b, list(l ORDER BY s) AS l, min(l) AS m FROM look GROUP BY b)"""
+
+
+@query(f"""WITH {ad.READS}, {_LOOKUP}, cells AS (SELECT r.block, r.ord, k, lists.l, lists.m FROM (SELECT block, ord, unnest(range(1, (len // 4) * 4 + 1)) AS k, flows FROM reads) r JOIN lists ON lists.b = least(r.flows[k], 999)),
+pairs AS (SELECT a.block, a.ord AS i, b.ord AS j, list_min(list_transform(a.l, lambda x, n: x + b.l[n])) - a.m - b.m AS d FROM cells a JOIN cells b ON a.block = b.block AND b.ord < a.ord AND a.k = b.k)
+SELECT block, i, j, round(avg(d), 6) AS d FROM pairs GROUP BY 1, 2, 3""")
 def flow_dist(spark, d) -> DataFrame:
-    return pairs.flow_distances(ad.reads(spark, d), None, "block")
+    return pairs.flow_distances(ad.reads(spark, d), None, "block").select("block", "i", "j", F.round("d", 6).alias("d"))
 
 
 @query()
@@ -628,6 +636,66 @@ def scan_sffinfo(spark, d) -> DataFrame:
     return text.scan_sffinfo(spark, path).select("ord", "read_id", "clip", _text("flows").alias("flows"))
 
 
+@query(_one("read_id, 64::INT AS clip, array_to_string(flows, ',') AS flows"))
+def scan_flower(spark, d) -> DataFrame:
+    line = F.concat_ws("\n", F.concat(F.lit(">"), "read_id"), F.lit("  Info:\t2024\n  Clip:\t1\t64"), F.concat(F.lit("  Flows:\t"), fl.flows_to_string("flows")), F.lit("  Index:\t" + " ".join(map(str, range(1, 65)))), F.lit("  Bases:\t" + "acgt" * 16))
+    rows = ad.reads(spark, d)
+    path = _folder(spark, "flower")
+    sinks._ordered(rows.select(F.col("ord").alias("_n"), line.alias("value")), path)
+    found = text.scan_flower(spark, path)
+    return found.select("ord", "read_id", F.get("flow_indexes", F.get("clips", F.lit(1)) - 1).alias("clip"), _text("flows").alias("flows"))
+
+
+@query("SELECT 'c' || c_custkey AS name, 'AC' AS barcode, c_mktsegment AS primer, row_number() OVER (ORDER BY c_custkey) - 1 AS ord FROM customer")
+def scan_barcodes(spark, d) -> DataFrame:
+    line = F.concat_ws(",", F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.lit("AC"), "c_mktsegment", F.lit("ignored"))
+    path = _folder(spark, "barcodes")
+    sinks._ordered(ad.table(spark, d, "customer").select(F.col("c_custkey").alias("_n"), line.alias("value")), path)
+    return text.scan_barcodes(spark, path)
+
+
+@query("SELECT s_name AS name, 's' || s_suppkey AS tag FROM supplier")
+def scan_keyfile(spark, d) -> DataFrame:
+    path = _folder(spark, "keys")
+    ad.table(spark, d, "supplier").select(F.concat_ws(",", "s_name", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))).write.text(path)
+    return text.scan_keyfile(spark, path)
+
+
+@query("SELECT 'o' || o_custkey AS cluster_id, string_agg('r' || o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY o_custkey")
+def scan_noise_dir(spark, d) -> DataFrame:
+    """Clusters as FASTA texts of their members, each read as a whole."""
+    rows = ad.table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("m"))
+    record = lambda name: F.concat(F.lit(">"), name, F.lit(" x\nACGT\n"))
+    body = F.concat(F.lit(">"), record(F.concat(F.lit("o"), F.col("o_custkey").cast("string"))), F.array_join(F.transform("m", lambda x: record(F.concat(F.lit("r"), x.cast("string")))), ""))
+    return text.noise_clusters(rows.select(body.alias("value"))).select("cluster_id", _text("members").alias("members"))
+
+
+@query("SELECT s_suppkey AS otu, 'k;' || s_name AS lineage FROM supplier")
+def scan_taxonomy(spark, d) -> DataFrame:
+    path = _folder(spark, "taxonomy")
+    ad.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string"), F.concat(F.lit("k;"), "s_name")).write.csv(path, sep="\t")
+    return text.scan_taxonomy(spark, path).select(F.col("otu").cast("long").alias("otu"), "lineage")
+
+
+_VARIANT = f"""cleaned AS (SELECT ord, regexp_extract({_SEQ.format(f="kept")}, '^TCAG.*([CT][AG].*)', 1) AS seq, (len(kept) >= 12 AND regexp_matches({_SEQ.format(f="kept")}, '^TCAG.*([CT][AG].*)')) AS passed FROM kept)"""
+
+
+@query(f"WITH {ad.KEYED}, {_KEPT.replace('949', '649')}, {_VARIANT} SELECT ord, seq FROM cleaned WHERE passed")
+def clean_min_max(spark, d) -> DataFrame:
+    """The variant with a lower ceiling and the last primer."""
+    return clean.clean_reads(ad.keyed_reads(spark, d), "YR", 12, 40, high=649, greedy=True).where("passed").select("ord", "seq")
+
+
+@query(f"WITH {ad.KEYED}, b AS (SELECT ord, regexp_extract({_SEQ.format(f='flows[1:clip]')}, '^TCAG([ACGT][ACGT].*)', 1) AS seq FROM keyed) SELECT ord, seq FROM b WHERE length(seq) >= 30")
+def base_length_filter(spark, d) -> DataFrame:
+    return clean.base_length_filter(ad.keyed_reads(spark, d), "NN", 30).select("ord", "seq")
+
+
+@query(_WEIGHTS + " SELECT count(*) FILTER (w > 0.1) AS k_eff FROM w")
+def effective_clusters(spark, d) -> DataFrame:
+    return em.effective_clusters(em.cluster_weights(ad.responsibilities(spark, d)))
+
+
 @query("SELECT o_custkey AS cluster, count(*) AS members FROM orders GROUP BY 1")
 def sink_clusters(spark, d) -> DataFrame:
     """Members of each cluster, in a folder of its own."""

@@ -128,7 +128,11 @@ def scan_mapping(spark: SparkSession, path: str, stem: str | None = None) -> Dat
 
 def scan_noise_dir(spark: SparkSession, pattern: str) -> DataFrame:
     """cluster_id, members from one FASTA file a cluster: the first record names it."""
-    files = spark.read.text(pattern, wholetext=True)
+    return noise_clusters(spark.read.text(pattern, wholetext=True))
+
+
+def noise_clusters(files: DataFrame) -> DataFrame:
+    """The same of whole texts (value). The first header may begin with two marks."""
     names = F.transform(F.filter(F.split("value", r"\n"), lambda l: l.startswith(">")), lambda l: F.get(F.split(F.regexp_replace(l, "^>+", ""), r"\s+"), F.lit(0)))
     return files.select(F.get(names, F.lit(0)).alias("cluster_id"), F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))).alias("members"))
 
