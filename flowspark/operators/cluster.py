@@ -22,17 +22,29 @@ def _matrix(pairs: pd.DataFrame, n: int, scale: bool = False) -> np.ndarray:
     return d
 
 
-def linkage(distances: DataFrame, block: str, method: str = "complete", scale: bool = False) -> DataFrame:
-    """block, step, left, right, dist from distances (block, i, j, d with j < i, ordinals from 0). One block is one
-    task's matrix: n * n / 2 distances, which is why samples are split into blocks first (split_even)."""
+def linkage(distances: DataFrame, block: str, method: str = "complete", scale: bool = False, weights: DataFrame | None = None) -> DataFrame:
+    """block, step, left, right, dist from distances (block, i, j, d with j < i, ordinals from 0). method: complete or
+    average, by number or by weights (block, ord, weight). scale brings distances to 0 ... 1. One block is one task's
+    matrix: n * n / 2 distances, which is why samples are split into blocks first (split_even)."""
     kind = dict(distances.dtypes)[block]
+    names = [block, "step", "left", "right", "dist"]
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
+    def rows(group: pd.DataFrame, sizes: np.ndarray | None) -> pd.DataFrame:
         n = int(group["i"].max()) + 1
-        merges, heights = K.linkage(_matrix(group, n, scale), method)
+        merges, heights = K.linkage(_matrix(group, n, scale), method, sizes)
         return pd.DataFrame({block: group[block].iat[0], "step": np.arange(n - 1), "left": merges[:, 0], "right": merges[:, 1], "dist": heights})
 
-    return dealt(distances, block).groupBy(block).applyInPandas(merge, f"`{block}` {kind}, {_MERGES}")
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        return rows(group, None)
+
+    def merge_weighted(group: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
+        return rows(group, sizes.sort_values("ord")["weight"].to_numpy()) if len(group) else pd.DataFrame(columns=names)
+
+    schema = f"`{block}` {kind}, {_MERGES}"
+    grouped = dealt(distances, block).groupBy(block)
+    if weights is None:
+        return grouped.applyInPandas(merge, schema)
+    return grouped.cogroup(dealt(weights.select(block, "ord", "weight"), block).groupBy(block)).applyInPandas(merge_weighted, schema)
 
 
 def cut_at(merges: DataFrame, block: str, below: float) -> DataFrame:

@@ -728,6 +728,18 @@ def linkage_average(spark, d) -> DataFrame:
     return _merges(spark, d, "average")
 
 
+@query()
+def linkage_average_weighted(spark, d) -> DataFrame:
+    rows = pipelines._numbered(ad.seqs(spark, d, 40), "block")
+    return cluster.linkage(pairs.identity_distances(rows, "block"), "block", "average", weights=rows)
+
+
+@query()
+def linkage_rescaled(spark, d) -> DataFrame:
+    rows = pipelines._numbered(ad.seqs(spark, d, 40), "block")
+    return cluster.linkage(pairs.identity_distances(rows, "block"), "block", scale=True)
+
+
 @query()
 def cut_levels(spark, d) -> DataFrame:
     return cluster.cut_levels(_merges(spark, d), "block", 0.05)
@@ -781,6 +793,32 @@ def full_pipeline(spark, d) -> DataFrame:
     return pipelines.full_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, most=10, least=3, cutoff=0.5)
 
 
+def _clusters(spark, d):
+    """Keyed reads, numbered by block, and their clusters by flow distance."""
+    rows = pipelines._numbered(ad.keyed_reads(spark, d), "block")
+    merges = cluster.linkage(pairs.flow_distances(rows, None, "block"), "block")
+    return rows, cluster.cut_at(merges, "block", 0.5)
+
+
+@query()
+def pyronoise(spark, d) -> DataFrame:
+    return em.pyronoise(*_clusters(spark, d), "block")
+
+
+@query()
+def pyronoise_unseen(spark, d) -> DataFrame:
+    """With a cost of 10 for flows behind the end of a pattern, and at most 50 steps."""
+    return em.pyronoise(*_clusters(spark, d), "block", unseen=10.0, most_steps=50)
+
+
+@query()
+def seqnoise(spark, d) -> DataFrame:
+    rows = pipelines._numbered(ad.seqs(spark, d, 40), "block")
+    distances = pairs.sequence_distances(rows, None, "block", asymmetric=True)
+    merges = cluster.linkage(distances.groupBy("block", F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).agg(F.avg("d").alias("d")), "block")
+    return em.seqnoise(rows, distances, cluster.cut_at(merges, "block", 0.08), "block")
+
+
 @query()
 def phred_quality(spark, d) -> DataFrame:
     rows = pipelines.pyronoise_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, cutoff=0.5)
@@ -801,3 +839,8 @@ def perseus_script(spark, d) -> DataFrame:
 @query()
 def otu_pipeline(spark, d) -> DataFrame:
     return pipelines.otu_plan(ad.seqs(spark, d, 40), "block")
+
+
+#: Writers are held against their readers: what is written is read back.
+for _writer, _reader in {"sink_raw": "scan_raw", "sink_dat": "scan_dat", "sink_fasta": "scan_fasta", "sink_dist": "scan_dist", "sink_mapping": "scan_mapping", "sink_unique_map": "scan_unique_map"}.items():
+    query(SQL[_reader], _writer)(QUERIES[_reader])

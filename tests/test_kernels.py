@@ -63,9 +63,9 @@ def test_differences_from_both_sides():
     assert got["d"] == [0, 0, 0, 0, 1, 1, 1, 1] and got["r"] == [0, 0, 0, 1, 1, 1, 1, 1] and got["n_diff"] == 1
 
 
-def plain_linkage(d, method):
+def plain_linkage(d, method, weights=None):
     n = len(d)
-    d, name, size, out = d.astype(np.float32).copy(), list(range(n)), [np.float32(1)] * n, []
+    d, name, size, out = d.astype(np.float32).copy(), list(range(n)), [np.float32(1)] * n if weights is None else list(weights), []
     for k in range(n - 1):
         m = n - k
         _, i, j = min((d[i, j], i, j) for i in range(m) for j in range(i))
@@ -92,6 +92,15 @@ def test_linkage_equals_the_plain_one(method, digits):
             assert (np.diff(heights) >= 0).all()
 
 
+def test_weighted_linkage_equals_the_plain_one():
+    r = np.random.default_rng(5)
+    for n in range(2, 10):
+        d, w = r.random((n, n)), r.integers(1, 9, n).astype(np.float32)
+        d = np.maximum(d, d.T)
+        merges, heights = K.linkage(d, "average", w)
+        assert [(a, b, float(h)) for (a, b), h in zip(merges.tolist(), heights, strict=True)] == plain_linkage(d, "average", w)
+
+
 def test_cuts_and_trees():
     d = np.array([[0, 0.1, 0.5, 0.6], [0.1, 0, 0.5, 0.6], [0.5, 0.5, 0, 0.2], [0.6, 0.6, 0.2, 0]])
     merges, heights = K.linkage(d)
