@@ -23,6 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracles
     from .mixing import OP6_SQL
 
-    return {"op6_mixing": OP6_SQL}
+    return {"op1_warc": oracles.OP1_SQL, "op2_substring_dedup": oracles.OP2_SQL, "op3_embedding_dedup": oracles.OP3_SQL, "op6_mixing": OP6_SQL, "op7_minhash": oracles.OP7_SQL}
