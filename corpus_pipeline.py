@@ -25,13 +25,13 @@ from flowspark.llm._common import cut, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_labels(docs, table(spark, sf_dir, "labels"))
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    row = docs.select(F.struct("*").alias("_row"), "text")
     return quality.grade(row, model).where("kept").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     once = row.join(kept, F.col("_id") == F.col("doc_id"), "left_semi")
     once = once.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.octet_length("_row.text")))).where("_n = 1")
     return once.select("_row.*").union(row.where("_id IS NULL").select("_row.*"))
@@ -43,7 +43,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", mixing.n_words("text").alias("size"))
+    row = docs.select(F.struct("*").alias("_row"), "doc_id", "source", mixing.n_words("text").alias("size"))
     copies = mixing.mix(row).where("copies > 0")
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 

@@ -9,8 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,10 +59,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def schema_with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
+    """The schema of df and further columns, whatever its names are."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more)])
+
+
 # ---------------------------------------------------------------- words
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64, for i < n."""
     if len(_powers[0]) < n:
         m = max(n, 1 << 16)
@@ -109,7 +115,7 @@ class Words:
         self.start, self.end = np.flatnonzero(head), np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
-        pw, inverse = _power(len(data) + 1)
+        pw, inverse = powers(len(data) + 1)
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[_LOWER[data] if lower else data] * pw[: len(data)], out=prefix[1:])
         self._sums = prefix, inverse
@@ -132,7 +138,7 @@ class Words:
 
 def grams(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     m = max(0, len(h) - k + 1)
-    pw, inverse = _power(len(h) + 1)
+    pw, inverse = powers(len(h) + 1)
     prefix = np.zeros(len(h) + 1, np.uint64)
     np.cumsum((mix64(h + np.uint64(salt)) if salt else h) * pw[: len(h)], out=prefix[1:])
     return mix64((prefix[k : k + m] - prefix[:m]) * inverse[:m])
@@ -208,7 +214,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def long_of(x: np.ndarray) -> np.ndarray:
     """uint64 as the int64 of the same bits, as Spark has no unsigned type."""
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
-
-
-def missing(column: str) -> Column:
-    return F.col(column).isNull()

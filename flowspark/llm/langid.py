@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import pieces_of, table
+from ._common import pieces_of, schema_with, table
 
 BLOCK, SIZE, SAMPLE, DRAWN = 64, 8, 3000, 6
 LANES = 2048
@@ -177,7 +178,6 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """docs with lang_pred and score, which take the place of columns of these names; only the text is looked at."""
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def identified(batches):
         for batch in batches:
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
                     score = np.where(letters, np.clip(prob[np.arange(len(best)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(identified, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(identified, schema_with(docs, ("lang_pred", T.StringType()), ("score", T.DoubleType())))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from ._common import cut, table
+from ._common import cut, schema_with, table
 
 WIDTH = 64
 _HEAD = re.compile(rb"(?:\s+|#[^\n]*\n)*([^\s#]+)")
@@ -167,8 +168,8 @@ def media_row(data: bytes | None) -> tuple:
 def media_features(df: DataFrame, id: str = "doc_id", media: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns to keep, and of the decoded samples: payload_bytes, payload_sha256, tail_crc32 (last 64
     bytes), feature (difference hash), height, width, tile (NPY); of the stored bytes: media_bytes, media_sha256."""
-    kinds = {"int64": "long", "string": "string", "int32": "int", "binary": "binary"}
-    fields = dict(df.select(id, *keep).dtypes)
+    kinds = {"int64": T.LongType(), "string": T.StringType(), "int32": T.IntegerType(), "binary": T.BinaryType()}
+    schema = schema_with(df.select(id, *keep), *((n, kinds[str(t)]) for n, t in _FEATURES))
 
     def features(batches):
         for batch in batches:
@@ -177,7 +178,7 @@ def media_features(df: DataFrame, id: str = "doc_id", media: str = "media", keep
                 rows = [media_row(x.as_py()) for x in part.column(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(_FEATURES))], names=[*part.schema.names[:-1], *(n for n, _ in _FEATURES)])
 
-    return df.select(id, *keep, media).mapInArrow(features, ", ".join([f"`{n}` {t}" for n, t in fields.items()] + [f"{n} {kinds[str(t)]}" for n, t in _FEATURES]))
+    return df.select(id, *keep, media).mapInArrow(features, schema)
 
 
 def op5_media_columns(spark, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import Words, pieces_of, table
+from ._common import Words, pieces_of, schema_with, table
 
 WIDTH, SHAPES, EXTRA, HEADS = 1 << 20, 6**4, 4, (4, 5)
 SAMPLE, KEEP, GRADES = 8000, 0.5, 3
@@ -151,8 +152,8 @@ def grade(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
                 best = tails[:, -1]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(axis=1)), pa.array(best), pa.array(best >= keep)], names=[*part.schema.names, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(graded, f"{schema}, expected_grade double, tail_probability double, kept boolean")
+    kinds = (T.DoubleType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(graded, schema_with(docs, *zip(names, kinds, strict=True)))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

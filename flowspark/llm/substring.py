@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, cut, grams, heavy_join, hot_keys, long_of, mix64, pieces_of, shuffle_partitions, table
+from ._common import Words, cut, grams, heavy_join, hot_keys, long_of, mix64, pieces_of, powers, shuffle_partitions, table
 
 WINDOW, GRAM, RUN = 35, 8, 28
 
@@ -269,9 +269,7 @@ def _find(row: np.ndarray, key: np.ndarray, at: np.ndarray, wanted: np.ndarray)
 
 def _names(w: Words, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each run's words."""
-    from ._common import _power
-
-    pw, inverse = _power(len(w.h) + 1)
+    pw, inverse = powers(len(w.h) + 1)
     out = []
     for salt in (0x2545F491, 0x4F6CDD1D):
         prefix = np.zeros(len(w.h) + 1, np.uint64)
@@ -479,7 +477,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     without any stay as they are."""
     columns = docs.columns
     at = columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def trimmed(batches):
         for batch in batches:
@@ -497,7 +494,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return _with_spans(docs, window).select(*columns, "_found").mapInArrow(trimmed, fields)
+    return _with_spans(docs, window).mapInArrow(trimmed, docs.schema)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def as_rows(df):
 
 
 def test_stages_against_plain_versions(spark, docs, sf):
-    now = docs.withColumn("kept", F.lit("x")).withColumn("size", F.lit(1)).withColumn("_copy", F.lit(2))
+    now = docs.withColumn("kept", F.lit("x")).withColumn("size", F.lit(1)).withColumn("_copy", F.lit(2)).withColumn("odd name: x", F.lit("y"))
     columns = now.columns
     stages = dict(corpus_pipeline.STAGES)
     graded = stages["quality classifier"](spark, now, sf)
