@@ -121,15 +121,17 @@ class PrefixCounter:
         return counts[1:], closed
 
     def closed_count(self, word: str) -> int:
-        """Tokens of a whole word. The closed table is only needed at its end."""
-        n, vocab, longest = len(word), self.vocab, self.longest
+        """Tokens of a whole word: the table's last entry, for which the closed prefixes before it are not needed."""
+        n, vocab, longest, pairs = len(word), self.vocab, self.longest, self.pairs
         counts, last = [0], [""]
         for i in range(1, n + 1):
-            ends = self.mark if i == n else ""
-            for j in range(max(0, i - longest), i):
-                t = word[j:i] + ends
-                if t in vocab and self.stable(last[j], t):
-                    break
+            for j in range(i - longest if i > longest else 0, i):
+                t = word[j:i] if i < n else word[j:] + self.mark
+                if t in vocab:
+                    before = last[j]
+                    known = pairs.get((before, t))
+                    if known or (known is None and self.stable(before, t)):
+                        break
             else:
                 raise ValueError(f"no token ends {word[:i]!r}")
             counts.append(counts[j] + 1)
