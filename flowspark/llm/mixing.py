@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, table
+from ._common import WORD, cut, table
 
 SUBS = 64
 
@@ -65,8 +65,8 @@ def mix(docs: DataFrame, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3), mos
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
-    out = mix(docs)
+    # sizes are read twice, by the bucket counts and by the ranks; the texts only once
+    out = mix(cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size")), "sizes"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
