@@ -126,7 +126,7 @@ def _judged(own: dict, refs: pd.DataFrame, als: list[dict], with_balance: bool)
     return row, texts[hit], model
 
 
-def perseus(seqs: DataFrame, block: str, table: np.ndarray | None = None, with_balance: bool = False, references: DataFrame | None = None) -> DataFrame:
+def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None, with_balance: bool = False, references: DataFrame | None = None) -> DataFrame:
     """A row for each sequence (block, ord, seq_id, freq, seq), with class Null for fewer than two candidates, Chimera
     or Trimera. Some queries and their candidates are a task's work, so a block spreads over many tasks. References are
     the sequences unless given."""

@@ -139,7 +139,7 @@ def _sequence(shape: np.ndarray, first: int = 8) -> str:
 _FLOW_OUT = "cluster int, sequence string, weight long, representative string, members array<string>, member_ords array<long>, quality array<int>"
 
 
-def pyronoise(reads: DataFrame, clusters: DataFrame, block: str, sigma: float = 60.0, lookup: np.ndarray | None = None, unseen: float | None = None, first: int = 8, most_steps: int = MOST_STEPS) -> DataFrame:
+def flow_denoise(reads: DataFrame, clusters: DataFrame, block: str, sigma: float = 60.0, lookup: np.ndarray | None = None, unseen: float | None = None, first: int = 8, most_steps: int = MOST_STEPS) -> DataFrame:
     """Denoised flows of each block. reads: block, ord (from 0), read_id, len, flows; clusters: block, cluster, member.
     A row a cluster: its sequence from flow `first` on, weight, representative (first read with its pattern), members."""
     table = K.default_lookup() if lookup is None else lookup
@@ -166,7 +166,7 @@ def pyronoise(reads: DataFrame, clusters: DataFrame, block: str, sigma: float =
 # ---------------------------------------------------------------- sequences
 
 
-def seqnoise(seqs: DataFrame, distances: DataFrame, clusters: DataFrame, block: str, sigma: float = 30.0, most_steps: int = MOST_STEPS) -> DataFrame:
+def sequence_denoise(seqs: DataFrame, distances: DataFrame, clusters: DataFrame, block: str, sigma: float = 30.0, most_steps: int = MOST_STEPS) -> DataFrame:
     """Denoised sequences of each block. seqs: block, ord (from 0), seq_id, weight, seq; distances: block, i, j, d (one
     or both directions). A row a cluster: sequence of the medoid, weight, representative, members."""
     kind = dict(seqs.dtypes)[block]

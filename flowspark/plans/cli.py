@@ -27,15 +27,15 @@ def _split(spark, a):
     split.split_counts(done, 30).show(30, False)
 
 
-def _pyronoise(spark, a):
+def _flow_denoise(spark, a):
     reads = text.scan_raw(spark, a.input).withColumn("block", F.lit(a.stub))
-    out = pipelines.pyronoise_plan(reads, "block", a.primer, a.min_flows, a.max_flows, a.max_empty, a.sigma, a.cutoff).drop("block")
+    out = pipelines.flow_denoise_plan(reads, "block", a.primer, a.min_flows, a.max_flows, a.max_empty, a.sigma, a.cutoff).drop("block")
     sinks.sink_clusters(out, a.stub, a.output)
 
 
-def _seqnoise(spark, a):
+def _sequence_denoise(spark, a):
     seqs = text.scan_fasta(spark, a.input, "ACGT").withColumn("block", F.lit(a.stub))
-    sinks.sink_clusters(pipelines.seqnoise_plan(seqs, "block", a.sigma, a.cutoff).drop("block"), a.stub, a.output)
+    sinks.sink_clusters(pipelines.sequence_denoise_plan(seqs, "block", a.sigma, a.cutoff).drop("block"), a.stub, a.output)
 
 
 def _truncate(spark, a):
@@ -68,7 +68,7 @@ def _sff2raw(spark, a):
 
 
 COMMANDS = {
-    "clean": (_clean, ["primer", "input", "output"]), "split": (_split, ["barcodes", "input", "output"]), "pyronoise": (_pyronoise, ["input", "output"]), "seqnoise": (_seqnoise, ["input", "output"]),
+    "clean": (_clean, ["primer", "input", "output"]), "split": (_split, ["barcodes", "input", "output"]), "flow_denoise": (_flow_denoise, ["input", "output"]), "sequence_denoise": (_sequence_denoise, ["input", "output"]),
     "truncate": (_truncate, ["tag", "length", "input", "output"]), "wfasta": (_wfasta, ["input", "output"]), "redup": (_redup, ["input", "mapping", "output"]), "sff2raw": (_sff2raw, ["input", "output"]),
 }
 
@@ -80,16 +80,16 @@ def parser() -> argparse.ArgumentParser:
         p = commands.add_parser(name)
         for place in places:
             p.add_argument(place, type=int if place == "length" else str)
-        if name in ("clean", "pyronoise"):
+        if name in ("clean", "flow_denoise"):
             p.add_argument("--min-flows", type=int, default=360 if name == "clean" else 320)
             p.add_argument("--max-flows", type=int, default=720)
             p.add_argument("--max-empty", type=int, default=0)
-        if name == "pyronoise":
+        if name == "flow_denoise":
             p.add_argument("--primer", default=".")
-        if name in ("pyronoise", "seqnoise"):
+        if name in ("flow_denoise", "sequence_denoise"):
             p.add_argument("--stub", default=name)
-            p.add_argument("--sigma", type=float, default=60.0 if name == "pyronoise" else 30.0)
-            p.add_argument("--cutoff", type=float, default=0.01 if name == "pyronoise" else 0.08)
+            p.add_argument("--sigma", type=float, default=60.0 if name == "flow_denoise" else 30.0)
+            p.add_argument("--cutoff", type=float, default=0.01 if name == "flow_denoise" else 0.08)
         if name == "wfasta":
             p.add_argument("--repeat", action="store_true")
             p.add_argument("--min-frequency", type=int)

@@ -22,22 +22,22 @@ def _lone(rows: DataFrame, clusters: DataFrame, block: str) -> DataFrame:
     return clusters.select(block, "cluster", "pos", "member").unionByName(lone.select(block, F.lit(0).alias("cluster"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("member")))
 
 
-def pyronoise_plan(reads: DataFrame, block: str, primer: str = ".", min_flows: int = 320, max_flows: int = 720, max_empty: int = 0, sigma: float = 60.0, cutoff: float = 0.01, lookup: np.ndarray | None = None) -> DataFrame:
+def flow_denoise_plan(reads: DataFrame, block: str, primer: str = ".", min_flows: int = 320, max_flows: int = 720, max_empty: int = 0, sigma: float = 60.0, cutoff: float = 0.01, lookup: np.ndarray | None = None) -> DataFrame:
     """Clean, compare, cluster and denoise the reads (block, ord, read_id, clip, flows)."""
     cleaned = clean.clean_reads(reads, primer, min_flows, max_flows, max_empty).where("passed").drop("passed", "seq")
     rows = staged(_numbered(cleaned.join(reads.select("ord", block), "ord"), block))
     distances = pairs.flow_distances(rows, lookup, block)
     clusters = _lone(rows, cluster.cut_at(cluster.linkage(distances, block), block, cutoff), block)
-    return em.pyronoise(rows, clusters, block, sigma, lookup)
+    return em.flow_denoise(rows, clusters, block, sigma, lookup)
 
 
-def seqnoise_plan(seqs: DataFrame, block: str, sigma: float = 30.0, cutoff: float = 0.08, table: np.ndarray | None = None, length: int | None = None) -> DataFrame:
+def sequence_denoise_plan(seqs: DataFrame, block: str, sigma: float = 30.0, cutoff: float = 0.08, table: np.ndarray | None = None, length: int | None = None) -> DataFrame:
     """Compare, cluster and denoise weighted sequences (block, ord, seq_id, weight, seq), cut to length first."""
     rows = _numbered(seqs.withColumn("seq", F.substring("seq", 1, length)) if length else seqs, block)
     rows = staged(rows)
     distances = staged(pairs.sequence_distances(rows, table, block))
     clusters = _lone(rows, cluster.cut_at(cluster.linkage(distances, block), block, cutoff), block)
-    return em.seqnoise(rows, distances, clusters, block, sigma)
+    return em.sequence_denoise(rows, distances, clusters, block, sigma)
 
 
 def split_plan(seqs: DataFrame, block: str, most: int = 5000, least: int = 1000) -> DataFrame:
@@ -60,18 +60,18 @@ def full_plan(reads: DataFrame, block: str, primer: str = ".", min_flows: int =
     seqs = staged(cleaned.join(reads.select("ord", block), "ord").select(block, "ord", F.col("read_id").alias("seq_id"), "seq"))
     parts = staged(split_plan(seqs, block, most, least).select("ord", "split"))
     split = reads.join(parts, "ord").withColumn("_part", F.concat_ws("|", F.col(block).cast("string"), "split"))
-    denoised = pyronoise_plan(split, "_part", primer, min_flows, max_flows, **options)
+    denoised = flow_denoise_plan(split, "_part", primer, min_flows, max_flows, **options)
     back = denoised.withColumn(block, F.substring_index("_part", "|", 1)).where(F.length("sequence") > 0)
     weighted = back.select(block, F.xxhash64("_part", "cluster").alias("ord"), F.concat_ws("_", "_part", F.col("cluster").cast("string"), F.col("weight").cast("string")).alias("seq_id"), "weight", F.col("sequence").alias("seq"))
-    return seqnoise_plan(weighted, block)
+    return sequence_denoise_plan(weighted, block)
 
 
-def perseus_plan(seqs: DataFrame, block: str, primer: str | None = None, alpha: float = -7.5, beta: float = 0.5, below: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def chimera_plan(seqs: DataFrame, block: str, primer: str | None = None, alpha: float = -7.5, beta: float = 0.5, below: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(good, chimeras) of weighted sequences (block, ord, seq_id, freq, seq)."""
     from ..functions.sequences import strip_primer
 
     rows = seqs.withColumn("seq", strip_primer("seq", primer)) if primer else seqs
-    judged = chimera.classify(chimera.perseus(rows, block), alpha, beta).withColumnRenamed("i", "ord")
+    judged = chimera.classify(chimera.chimera_check(rows, block), alpha, beta).withColumnRenamed("i", "ord")
     return chimera.good_class_filter(seqs, judged, "ord", below)
 
 

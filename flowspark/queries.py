@@ -779,13 +779,13 @@ def split_read_total(spark, d) -> DataFrame:
 
 
 @query()
-def pyronoise_pipeline(spark, d) -> DataFrame:
-    return pipelines.pyronoise_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, cutoff=0.5)
+def flow_denoise_pipeline(spark, d) -> DataFrame:
+    return pipelines.flow_denoise_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, cutoff=0.5)
 
 
 @query()
-def seqnoise_pipeline(spark, d) -> DataFrame:
-    return pipelines.seqnoise_plan(ad.seqs(spark, d, 40), "block")
+def sequence_denoise_pipeline(spark, d) -> DataFrame:
+    return pipelines.sequence_denoise_plan(ad.seqs(spark, d, 40), "block")
 
 
 @query()
@@ -801,38 +801,38 @@ def _clusters(spark, d):
 
 
 @query()
-def pyronoise(spark, d) -> DataFrame:
-    return em.pyronoise(*_clusters(spark, d), "block")
+def flow_denoise(spark, d) -> DataFrame:
+    return em.flow_denoise(*_clusters(spark, d), "block")
 
 
 @query()
-def pyronoise_unseen(spark, d) -> DataFrame:
+def flow_denoise_unseen(spark, d) -> DataFrame:
     """With a cost of 10 for flows behind the end of a pattern, and at most 50 steps."""
-    return em.pyronoise(*_clusters(spark, d), "block", unseen=10.0, most_steps=50)
+    return em.flow_denoise(*_clusters(spark, d), "block", unseen=10.0, most_steps=50)
 
 
 @query()
-def seqnoise(spark, d) -> DataFrame:
+def sequence_denoise(spark, d) -> DataFrame:
     rows = pipelines._numbered(ad.seqs(spark, d, 40), "block")
     distances = pairs.sequence_distances(rows, None, "block", asymmetric=True)
     merges = cluster.linkage(distances.groupBy("block", F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).agg(F.avg("d").alias("d")), "block")
-    return em.seqnoise(rows, distances, cluster.cut_at(merges, "block", 0.08), "block")
+    return em.sequence_denoise(rows, distances, cluster.cut_at(merges, "block", 0.08), "block")
 
 
 @query()
 def phred_quality(spark, d) -> DataFrame:
-    rows = pipelines.pyronoise_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, cutoff=0.5)
+    rows = pipelines.flow_denoise_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, cutoff=0.5)
     return rows.select("block", "cluster", F.size("quality").alias("bases"), F.array_min("quality").alias("least"))
 
 
 @query()
-def perseus(spark, d) -> DataFrame:
-    return chimera.perseus(ad.seqs(spark, d, 40), "block")
+def chimera_check(spark, d) -> DataFrame:
+    return chimera.chimera_check(ad.seqs(spark, d, 40), "block")
 
 
 @query()
-def perseus_script(spark, d) -> DataFrame:
-    good, bad = pipelines.perseus_plan(ad.seqs(spark, d, 40), "block")
+def chimera_script(spark, d) -> DataFrame:
+    good, bad = pipelines.chimera_plan(ad.seqs(spark, d, 40), "block")
     return good.select("ord", "p", F.lit(True).alias("good")).unionByName(bad.select("ord", "p", F.lit(False).alias("good")))
 
 

@@ -129,7 +129,7 @@ def test_denoising_finds_the_true_sequences(spark):
         flows = np.maximum(0, np.array(encode(true[k % 2])) + r.normal(0, 6, len(encode(true[k % 2]))).round()).astype(int)
         rows.append(("b", k, f"r{k}", len(flows), flows.tolist()))
     reads = spark.createDataFrame(rows, "block string, ord long, read_id string, clip int, flows array<int>")
-    out = pipelines.pyronoise_plan(reads, "block", ".", 4, 40).collect()
+    out = pipelines.flow_denoise_plan(reads, "block", ".", 4, 40).collect()
     assert {(x["sequence"], x["weight"]) for x in out} == {(s[4:], 12) for s in true}
     assert sorted(m for x in out for m in x["members"]) == sorted(f"r{k}" for k in range(24))
     assert all(len(x["quality"]) >= len(x["sequence"]) for x in out)
@@ -139,7 +139,7 @@ def test_sequence_denoising_keeps_every_member(spark):
     base = "ACGTTGCAACGTTAGCCATG"
     seqs = [base] + [base[:k] + "A" + base[k + 1 :] for k in (3, 9)] + ["TTTTGGGGCCCCAAAATTTT"]
     rows = [("b", k, f"x_{k}_{w}", float(w), s) for k, (s, w) in enumerate(zip(seqs, (50, 1, 1, 30), strict=True))]
-    out = pipelines.seqnoise_plan(spark.createDataFrame(rows, "block string, ord long, seq_id string, weight double, seq string"), "block", cutoff=1.5).collect()
+    out = pipelines.sequence_denoise_plan(spark.createDataFrame(rows, "block string, ord long, seq_id string, weight double, seq string"), "block", cutoff=1.5).collect()
     assert {(x["sequence"], x["weight"]) for x in out} == {(base, 52), (seqs[3], 30)}
     assert sorted(m for x in out for m in x["members"]) == sorted(r[2] for r in rows)
 
@@ -149,10 +149,10 @@ def test_a_made_up_chimera_is_found(spark):
     a, b = ("".join(r.choice(list("ACGT"), 60)) for _ in range(2))
     rows = [("b", 0, "a_0_9", 9.0, a), ("b", 1, "b_1_9", 9.0, b), ("b", 2, "c_2_1", 1.0, a[:30] + b[30:])]
     seqs = spark.createDataFrame(rows, "block string, ord long, seq_id string, freq double, seq string")
-    got = {x["i"]: x for x in chimera.perseus(seqs, "block").collect()}
+    got = {x["i"]: x for x in chimera.chimera_check(seqs, "block").collect()}
     assert got[2]["class"] == "Chimera" and got[2]["best_chimera"] == 0 and {got[2]["p1"], got[2]["p2"]} == {0, 1} and got[2]["c_index"] == 0
     assert got[0]["class"] == "Null"
-    good, bad = pipelines.perseus_plan(seqs, "block")
+    good, bad = pipelines.chimera_plan(seqs, "block")
     assert {x["ord"] for x in good.collect()} | {x["ord"] for x in bad.collect()} == {0, 1, 2}
 
 
