@@ -291,9 +291,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     found = cut(components(links), "components")
 
     # buckets of three and more that hold several components: the pairs across them
-    labelled = members.where("n > 2").join(found, F.col("doc") == F.col("node"), "left").select("band", "doc", "center", "n", F.coalesce("component", "doc").alias("part"))
-    mixed = labelled.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    across = cut(_across(labelled.join(mixed, "band", "left_semi"), cut(_fine(texts, k, lower), "fine"), percent / 100).distinct(), "pairs")
+    labelled = members.where("n > 2").join(found, F.col("doc") == F.col("node"), "left").select("band", "doc", "center", F.coalesce("component", "doc").alias("part"))
+    mixed = labelled.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("band", "n")
+    rest = heavy_join(labelled, mixed, "band", "n", "inner")
+    across = cut(_across(rest, cut(_fine(texts, k, lower), "fine"), percent / 100).distinct(), "pairs")
     more = cut(_verified(across, texts, k, percent, lower), "more")
     if more.limit(1).count():
         found = cut(components(links.union(more)), "components")
