@@ -12,6 +12,7 @@ from .functions import flows as fl
 from .functions import kernels as K
 from .functions import sequences as sq
 from .operators import chimera, clean, cluster, em, mapping, ordinals, otu, pairs, split, unique
+from .operators.stage import staged
 from .plans import pipelines
 from .sources import sff, sinks, text
 
@@ -589,6 +590,17 @@ def scan_dist(spark, d) -> DataFrame:
     return text.scan_dist(spark, path).select("i", "j", F.round(F.col("d").cast("double"), 6).alias("d"))
 
 
+@query("WITH a AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, round(abs(embedding[1]::DOUBLE), 4) AS x FROM embeddings) SELECT a.i, b.i AS j, round(abs(a.x - b.x)::FLOAT::DOUBLE, 6) AS d FROM a JOIN a b ON b.i < a.i")
+def scan_dist_whole(spark, d) -> DataFrame:
+    """The triangle of all rows, by their ordinals in order of vec_id. scan_dist is held to its SQL's first 60."""
+    x = ad.table(spark, d, "embeddings").select("vec_id", F.round(F.abs(F.get("embedding", F.lit(0)).cast("double")), 4).alias("x"))
+    x = staged(ordinals.with_ordinal(staged(x.orderBy("vec_id"))))
+    rows = x.alias("a").join(x.alias("b"), F.col("b.ord") < F.col("a.ord")).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.abs(F.col("a.x") - F.col("b.x")).alias("d"))
+    path = _folder(spark, "dist")
+    sinks.sink_dist(rows, x.count(), path)
+    return text.scan_dist(spark, path).select("i", "j", F.round(F.col("d").cast("double"), 6).alias("d"))
+
+
 @query("WITH r AS (SELECT o_custkey, string_agg('x_noise_' || o_orderkey || '_' || (1 + o_orderkey % 3), ',' ORDER BY o_orderkey) AS members, sum(1 + o_orderkey % 3)::BIGINT AS w, row_number() OVER (ORDER BY o_custkey) - 1 AS ord FROM orders GROUP BY 1) SELECT ord, 'c' || o_custkey AS rep, 'm_' || ord || '_' || w AS name, members FROM r")
 def scan_mapping(spark, d) -> DataFrame:
     rows = ad.table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("m"))
@@ -842,5 +854,5 @@ def otu_pipeline(spark, d) -> DataFrame:
 
 
 #: Writers are held against their readers: what is written is read back.
-for _writer, _reader in {"sink_raw": "scan_raw", "sink_dat": "scan_dat", "sink_fasta": "scan_fasta", "sink_dist": "scan_dist", "sink_mapping": "scan_mapping", "sink_unique_map": "scan_unique_map"}.items():
+for _writer, _reader in {"sink_raw": "scan_raw", "sink_dat": "scan_dat", "sink_fasta": "scan_fasta", "sink_dist": "scan_dist", "sink_dist_whole": "scan_dist_whole", "sink_mapping": "scan_mapping", "sink_unique_map": "scan_unique_map"}.items():
     query(SQL[_reader], _writer)(QUERIES[_reader])
