@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.ordinals import with_ordinal
+from .operators.stage import staged
+
 LETTERS, DNA = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
 #: Flows of the key in front of each read.
 KEY_FLOWS = [100, 0, 100, 0, 0, 100, 0, 100]
@@ -35,9 +38,14 @@ def keyed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYED = READS + f""", keyed AS (SELECT * REPLACE (list_concat({KEY_FLOWS}, flows) AS flows) FROM reads)"""
 
 
-def seqs(spark: SparkSession, sf_dir: str, length: int = 60) -> DataFrame:
-    """ord, block, seq_id (<source>_<ord>_<weight>), weight, freq, seq from documents."""
-    dna = F.substring(F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, DNA), 1, length)
+def _dna() -> F.Column:
+    return F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, DNA)
+
+
+def seqs(spark: SparkSession, sf_dir: str, length: int | None = 60) -> DataFrame:
+    """ord, block, seq_id (<source>_<ord>_<weight>), weight, freq, seq from documents: the first length bases of each, or
+    all with None."""
+    dna = F.substring(_dna(), 1, length) if length else _dna()
     weight = 1 + F.col("doc_id") % 5
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"), F.concat(F.lit("s"), F.floor(F.col("doc_id") / 40).cast("string")).alias("block"), F.concat_ws("_", "source", F.col("doc_id").cast("string"), weight.cast("string")).alias("seq_id"),
@@ -49,6 +57,22 @@ SEQS = f"""seqs AS (SELECT doc_id AS ord, 's' || (doc_id // 40) AS block, concat
   substr(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{DNA}'), 1, 60) AS seq FROM documents)"""
 
 
+#: The same with all bases.
+WHOLE_SEQS = SEQS.replace("substr(translate(", "translate(").replace(", 1, 60) AS seq", " AS seq")
+
+
+def parts(spark: SparkSession, sf_dir: str, length: int = 60) -> DataFrame:
+    """seqs of all bases of the documents, as reads of length bases (the last of a text has the rest; a text without
+    letters is one empty read). seq_id is <source>_<doc_id>_<read>_<weight>. Reads are numbered by block, document and
+    place, so a block's ordinals stand together."""
+    weight = 1 + F.col("doc_id") % 5
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("s"), F.floor(F.col("doc_id") / 40).cast("string")).alias("block"), F.coalesce(_dna(), F.lit("")).alias("_dna"))
+    last = F.greatest(F.ceil(F.length("_dna") / length) - 1, F.lit(0)).cast("int")
+    rows = rows.withColumn("_read", F.explode(F.sequence(F.lit(0), last))).withColumn("seq", F.col("_dna").substr(F.col("_read") * length + 1, F.lit(length))).drop("_dna")
+    rows = with_ordinal(staged(rows.orderBy("block", "doc_id", "_read", "seq", "source")))
+    return rows.select("ord", "block", F.concat_ws("_", "source", F.col("doc_id").cast("string"), F.col("_read").cast("string"), weight.cast("string")).alias("seq_id"), weight.cast("double").alias("weight"), weight.cast("double").alias("freq"), "seq")
+
+
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, header (<brand>_<part>_<size>), seq from part."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat_ws("_", "p_brand", F.col("p_partkey").cast("string"), F.col("p_size").cast("string")).alias("header"), F.col("p_name").alias("seq"))

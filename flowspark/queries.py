@@ -176,6 +176,19 @@ def strip_primer(spark, d) -> DataFrame:
     return ad.seqs(spark, d).select("ord", sq.strip_primer("seq", "RY").alias("seq"))
 
 
+_SW = f"WITH {ad.WHOLE_SEQS} SELECT ord, "
+
+
+@query(_SW + "substr(regexp_extract(seq, 'CA(.*)', 1), 1, 15) AS seq FROM seqs")
+def parse_tag_whole(spark, d) -> DataFrame:
+    return ad.seqs(spark, d, None).select("ord", sq.parse_tag("seq", "GCA", 15).alias("seq"))
+
+
+@query(_SW + "regexp_replace(seq, '^[AG][CT]', '') AS seq FROM seqs")
+def strip_primer_whole(spark, d) -> DataFrame:
+    return ad.seqs(spark, d, None).select("ord", sq.strip_primer("seq", "RY").alias("seq"))
+
+
 @query("""SELECT p_partkey AS ord, array_to_string(list_transform(string_split(upper(substr(p_name, 1, 12)), ''), lambda c: CASE c WHEN 'R' THEN '[AG]' WHEN 'Y' THEN '[CT]' WHEN 'K' THEN '[GT]' WHEN 'M' THEN '[AC]'
   WHEN 'S' THEN '[CG]' WHEN 'W' THEN '[AT]' WHEN 'B' THEN '[CGT]' WHEN 'D' THEN '[AGT]' WHEN 'H' THEN '[ACT]' WHEN 'V' THEN '[ACG]' WHEN 'N' THEN '[ACGT]' ELSE c END), '') AS pattern FROM part""")
 def iupac_pattern(spark, d) -> DataFrame:
@@ -285,15 +298,22 @@ def mean_flow_dist(spark, d) -> DataFrame:
     return pairs.mean_abs_distances(ad.reads(spark, d), "block")
 
 
+def _mismatches(a, b):
+    import numpy as np
+
+    x, y = (np.array([list(s.ljust(60, ".").encode()) for s in t], np.uint8) for t in (a, b))
+    return ((x != y).sum(axis=1) / 60).round(9)
+
+
 @query(f"WITH {ad.SEQS} SELECT a.block, a.ord AS i, b.ord AS j, round(1.0::DOUBLE * hamming(rpad(a.seq, 60, '.'), rpad(b.seq, 60, '.')) / 60, 9) AS d FROM seqs a JOIN seqs b ON a.block = b.block AND b.ord < a.ord")
 def all_pairs(spark, d) -> DataFrame:
-    import numpy as np
+    return pairs.all_pairs(ad.seqs(spark, d), "seq", _mismatches, "block")
 
-    def mismatches(a, b):
-        x, y = (np.array([list(s.ljust(60, ".").encode()) for s in t], np.uint8) for t in (a, b))
-        return ((x != y).sum(axis=1) / 60).round(9)
 
-    return pairs.all_pairs(ad.seqs(spark, d), "seq", mismatches, "block")
+@query()
+def all_pairs_whole(spark, d) -> DataFrame:
+    """Of all reads of the texts. all_pairs is held to its SQL's first 60 bases."""
+    return pairs.all_pairs(ad.parts(spark, d), "seq", _mismatches, "block")
 
 
 @query(f"WITH {ad.SEQS} SELECT a.block, a.ord AS i, b.ord AS j FROM seqs a JOIN seqs b ON a.block = b.block AND b.freq >= a.freq AND a.ord <> b.ord")
@@ -322,24 +342,24 @@ def flow_dist(spark, d) -> DataFrame:
 
 @query()
 def nw_identity(spark, d) -> DataFrame:
-    return pairs.identity_distances(ad.seqs(spark, d), "block")
+    return pairs.identity_distances(ad.parts(spark, d), "block")
 
 
 @query()
 def nw_homopolymer(spark, d) -> DataFrame:
-    return pairs.sequence_distances(ad.seqs(spark, d), None, "block")
+    return pairs.sequence_distances(ad.parts(spark, d), None, "block")
 
 
 @query()
 def nw_homopolymer_asym(spark, d) -> DataFrame:
-    return pairs.sequence_distances(ad.seqs(spark, d, 40), None, "block", asymmetric=True)
+    return pairs.sequence_distances(ad.parts(spark, d, 40), None, "block", asymmetric=True)
 
 
 @query()
 def nw_diff(spark, d) -> DataFrame:
     import numpy as np
 
-    return pairs.all_pairs(ad.seqs(spark, d), "seq", lambda a, b: np.array([float(x["n_diff"]) for x in K.nw_diff(a, b)]), "block")
+    return pairs.all_pairs(ad.parts(spark, d), "seq", lambda a, b: np.array([float(x["n_diff"]) for x in K.nw_diff(a, b)]), "block")
 
 
 @query("SELECT greatest(l_partkey, l_suppkey) AS i, least(l_partkey, l_suppkey) AS j, round(avg(l_discount), 9) AS d FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
@@ -361,11 +381,6 @@ def calc_unique(spark, d) -> DataFrame:
     return rows.select(F.col("u_id").cast("long").alias("u_id"), _text("pattern").alias("pattern"), "first_ord", "len_u", "weight")
 
 
-def _short(spark, d) -> DataFrame:
-    n = (20 + F.col("ord") % 30).cast("int")
-    return ad.seqs(spark, d).withColumn("seq", F.col("seq").substr(F.lit(1), n))
-
-
 _EXACT = f"""WITH {ad.SEQS}, s AS (SELECT seq, max(ord) AS ord, arg_max(seq_id, ord) AS seq_id FROM seqs GROUP BY seq),
 r AS (SELECT s.seq, s.ord, s.seq_id FROM s) SELECT a.ord, a.seq_id, r.ord AS rep_ord, r.seq_id AS rep_id FROM seqs a JOIN r USING (seq)
 WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.seq <> a.seq AND (starts_with(t.seq, a.seq) OR starts_with(a.seq, t.seq)))"""
@@ -373,7 +388,7 @@ WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.seq <> a.seq AND (starts_with(t.seq,
 
 @query()
 def fasta_unique(spark, d) -> DataFrame:
-    return unique.fasta_unique(_short(spark, d))
+    return unique.fasta_unique(ad.seqs(spark, d, None))
 
 
 @query(_EXACT)
@@ -580,6 +595,14 @@ def scan_fasta(spark, d) -> DataFrame:
     return text.scan_fasta(spark, path, "ACGT")
 
 
+@query(_SW + "seq_id, weight, seq FROM seqs")
+def scan_fasta_whole(spark, d) -> DataFrame:
+    """Of whole texts. scan_fasta is held to its SQL's first 60 bases."""
+    path = _folder(spark, "fasta")
+    sinks.sink_fasta(ad.seqs(spark, d, None), path, 25)
+    return text.scan_fasta(spark, path, "ACGT")
+
+
 @query("WITH a AS (SELECT vec_id AS i, round(abs(embedding[1]::DOUBLE), 4) AS x FROM embeddings WHERE vec_id < 60) SELECT a.i, b.i AS j, round(abs(a.x - b.x)::FLOAT::DOUBLE, 6) AS d FROM a JOIN a b ON b.i < a.i")
 def scan_dist(spark, d) -> DataFrame:
     """A triangle of the first 60, as the format holds one number a pair."""
@@ -726,7 +749,7 @@ def sink_control(spark, d) -> DataFrame:
 
 
 def _merges(spark, d, method: str = "complete") -> DataFrame:
-    rows = pipelines._numbered(ad.seqs(spark, d, 40), "block")
+    rows = pipelines._numbered(ad.parts(spark, d, 40), "block")
     return cluster.linkage(pairs.identity_distances(rows, "block"), "block", method)
 
 
@@ -742,13 +765,13 @@ def linkage_average(spark, d) -> DataFrame:
 
 @query()
 def linkage_average_weighted(spark, d) -> DataFrame:
-    rows = pipelines._numbered(ad.seqs(spark, d, 40), "block")
+    rows = pipelines._numbered(ad.parts(spark, d, 40), "block")
     return cluster.linkage(pairs.identity_distances(rows, "block"), "block", "average", weights=rows)
 
 
 @query()
 def linkage_rescaled(spark, d) -> DataFrame:
-    rows = pipelines._numbered(ad.seqs(spark, d, 40), "block")
+    rows = pipelines._numbered(ad.parts(spark, d, 40), "block")
     return cluster.linkage(pairs.identity_distances(rows, "block"), "block", scale=True)
 
 
@@ -786,7 +809,7 @@ def split_cluster_even(spark, d) -> DataFrame:
 
 @query()
 def split_read_total(spark, d) -> DataFrame:
-    weights = pipelines._numbered(ad.seqs(spark, d), "block").select("block", F.col("ord").cast("long").alias("member"), F.col("weight").cast("long").alias("n"))
+    weights = pipelines._numbered(ad.parts(spark, d, 40), "block").select("block", F.col("ord").cast("long").alias("member"), F.col("weight").cast("long").alias("n"))
     return cluster.split_totals(cluster.split_even(_merges(spark, d, "average"), "block", 12, 4), weights, "block")
 
 
@@ -797,7 +820,7 @@ def flow_denoise_pipeline(spark, d) -> DataFrame:
 
 @query()
 def sequence_denoise_pipeline(spark, d) -> DataFrame:
-    return pipelines.sequence_denoise_plan(ad.seqs(spark, d, 40), "block")
+    return pipelines.sequence_denoise_plan(ad.parts(spark, d, 40), "block")
 
 
 @query()
@@ -825,7 +848,7 @@ def flow_denoise_unseen(spark, d) -> DataFrame:
 
 @query()
 def sequence_denoise(spark, d) -> DataFrame:
-    rows = pipelines._numbered(ad.seqs(spark, d, 40), "block")
+    rows = pipelines._numbered(ad.parts(spark, d, 40), "block")
     distances = pairs.sequence_distances(rows, None, "block", asymmetric=True)
     merges = cluster.linkage(distances.groupBy("block", F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).agg(F.avg("d").alias("d")), "block")
     return em.sequence_denoise(rows, distances, cluster.cut_at(merges, "block", 0.08), "block")
@@ -839,20 +862,20 @@ def phred_quality(spark, d) -> DataFrame:
 
 @query()
 def chimera_check(spark, d) -> DataFrame:
-    return chimera.chimera_check(ad.seqs(spark, d, 40), "block")
+    return chimera.chimera_check(ad.parts(spark, d, 40), "block")
 
 
 @query()
 def chimera_script(spark, d) -> DataFrame:
-    good, bad = pipelines.chimera_plan(ad.seqs(spark, d, 40), "block")
+    good, bad = pipelines.chimera_plan(ad.parts(spark, d, 40), "block")
     return good.select("ord", "p", F.lit(True).alias("good")).unionByName(bad.select("ord", "p", F.lit(False).alias("good")))
 
 
 @query()
 def otu_pipeline(spark, d) -> DataFrame:
-    return pipelines.otu_plan(ad.seqs(spark, d, 40), "block")
+    return pipelines.otu_plan(ad.parts(spark, d, 40), "block")
 
 
 #: Writers are held against their readers: what is written is read back.
-for _writer, _reader in {"sink_raw": "scan_raw", "sink_dat": "scan_dat", "sink_fasta": "scan_fasta", "sink_dist": "scan_dist", "sink_dist_whole": "scan_dist_whole", "sink_mapping": "scan_mapping", "sink_unique_map": "scan_unique_map"}.items():
+for _writer, _reader in {"sink_raw": "scan_raw", "sink_dat": "scan_dat", "sink_fasta": "scan_fasta", "sink_fasta_whole": "scan_fasta_whole", "sink_dist": "scan_dist", "sink_dist_whole": "scan_dist_whole", "sink_mapping": "scan_mapping", "sink_unique_map": "scan_unique_map"}.items():
     query(SQL[_reader], _writer)(QUERIES[_reader])

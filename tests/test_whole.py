@@ -21,3 +21,40 @@ def test_triangle_of_all_rows(spark):
     got = {(r["i"], r["j"]): r["d"] for r in Q.QUERIES["sink_dist_whole"](spark, DATA).collect()}
     assert len(got) == len(x) * (len(x) - 1) // 2 > 60 * 59 // 2
     assert all(abs(d - abs(x[i] - x[j])) < 1e-6 for (i, j), d in got.items())
+
+
+def dna(text):
+    return "".join("ACGT"[(ord(c.upper()) - 65) % 4] for c in text if c.isascii() and c.isalpha())
+
+
+def test_reads_have_all_bases_of_the_texts(spark):
+    from flowspark import adapters as ad
+
+    found = {}
+    for r in ad.parts(spark, DATA).collect():
+        found.setdefault(int(r["seq_id"].split("_")[1]), {})[int(r["seq_id"].split("_")[2])] = r["seq"]
+    docs = rows_of("documents")
+    assert max(len(dna(r["text"])) for r in docs) > 60
+    assert {k: "".join(v[i] for i in range(len(v))) for k, v in found.items()} == {r["doc_id"]: dna(r["text"]) for r in docs}
+
+
+def test_pairs_of_all_reads(spark):
+    from flowspark import adapters as ad
+
+    reads = {r["ord"]: r for r in ad.parts(spark, DATA).collect()}
+    sizes = {}
+    for r in reads.values():
+        sizes[r["block"]] = sizes.get(r["block"], 0) + 1
+    got = Q.QUERIES["all_pairs_whole"](spark, DATA)
+    assert {r["block"]: r["count"] for r in got.groupBy("block").count().collect()} == {b: n * (n - 1) // 2 for b, n in sizes.items() if n > 1}
+    for r in got.sample(0.0005, 1).collect():
+        a, b = (reads[r[x]]["seq"].ljust(60, ".") for x in "ij")
+        assert reads[r["i"]]["block"] == reads[r["j"]]["block"] == r["block"] and abs(r["d"] - sum(x != y for x, y in zip(a, b)) / 60) < 1e-8
+
+
+def test_whole_texts_collapse(spark):
+    docs = {r["doc_id"]: dna(r["text"]) for r in rows_of("documents")}
+    got = {r["ord"]: r["rep_ord"] for r in Q.QUERIES["fasta_unique"](spark, DATA).collect()}
+    assert set(got) == set(docs) and all(docs[r].startswith(docs[k]) for k, r in got.items())
+    reps = {docs[r] for r in got.values()}
+    assert len(reps) == len(set(got.values())) == sum(not any(t != s and t.startswith(s) for t in set(docs.values())) for s in set(docs.values()))
