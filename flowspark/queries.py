@@ -298,6 +298,12 @@ def mean_flow_dist(spark, d) -> DataFrame:
     return pairs.mean_abs_distances(ad.reads(spark, d), "block")
 
 
+@query(SQL["mean_flow_dist"].replace(ad.READS, ad.LABEL_READS))
+def mean_flow_dist_whole(spark, d) -> DataFrame:
+    """By label. mean_flow_dist is held to its SQL's blocks of 50 ids."""
+    return pairs.mean_abs_distances(ad.reads(spark, d, True), "block")
+
+
 def _mismatches(a, b):
     import numpy as np
 
@@ -321,6 +327,12 @@ def parent_candidates(spark, d) -> DataFrame:
     return chimera.parent_candidates(ad.seqs(spark, d), "block")
 
 
+@query(SQL["parent_candidates"].replace(ad.SEQS, ad.SAMPLE_SEQS))
+def parent_candidates_whole(spark, d) -> DataFrame:
+    """By source and language. parent_candidates is held to its SQL's blocks of 40 ids."""
+    return chimera.parent_candidates(ad.seqs(spark, d, None, True), "block")
+
+
 @query("SELECT l_orderkey AS i, arg_min(l_linenumber, (l_quantity, l_linenumber)) AS j, min(l_quantity) AS n_diff FROM lineitem GROUP BY 1")
 def best_hit(spark, d) -> DataFrame:
     rows = ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("n_diff"))
@@ -340,6 +352,11 @@ def flow_dist(spark, d) -> DataFrame:
     return pairs.flow_distances(ad.reads(spark, d), None, "block").select("block", "i", "j", F.round("d", 6).alias("d"))
 
 
+@query(SQL["flow_dist"].replace(ad.READS, ad.LABEL_READS))
+def flow_dist_whole(spark, d) -> DataFrame:
+    return pairs.flow_distances(ad.reads(spark, d, True), None, "block").select("block", "i", "j", F.round("d", 6).alias("d"))
+
+
 @query()
 def nw_identity(spark, d) -> DataFrame:
     return pairs.identity_distances(ad.parts(spark, d), "block")
@@ -815,7 +832,7 @@ def split_read_total(spark, d) -> DataFrame:
 
 @query()
 def flow_denoise_pipeline(spark, d) -> DataFrame:
-    return pipelines.flow_denoise_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, cutoff=0.5)
+    return pipelines.flow_denoise_plan(ad.keyed_reads(spark, d, True), "block", ".", 12, 72, cutoff=0.5)
 
 
 @query()
@@ -825,12 +842,12 @@ def sequence_denoise_pipeline(spark, d) -> DataFrame:
 
 @query()
 def full_pipeline(spark, d) -> DataFrame:
-    return pipelines.full_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, most=10, least=3, cutoff=0.5)
+    return pipelines.full_plan(ad.keyed_reads(spark, d, True), "block", ".", 12, 72, most=10, least=3, cutoff=0.5)
 
 
 def _clusters(spark, d):
     """Keyed reads, numbered by block, and their clusters by flow distance."""
-    rows = pipelines._numbered(ad.keyed_reads(spark, d), "block")
+    rows = pipelines._numbered(ad.keyed_reads(spark, d, True), "block")
     merges = cluster.linkage(pairs.flow_distances(rows, None, "block"), "block")
     return rows, cluster.cut_at(merges, "block", 0.5)
 
@@ -856,7 +873,7 @@ def sequence_denoise(spark, d) -> DataFrame:
 
 @query()
 def phred_quality(spark, d) -> DataFrame:
-    rows = pipelines.flow_denoise_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, cutoff=0.5)
+    rows = pipelines.flow_denoise_plan(ad.keyed_reads(spark, d, True), "block", ".", 12, 72, cutoff=0.5)
     return rows.select("block", "cluster", F.size("quality").alias("bases"), F.array_min("quality").alias("least"))
 
 

@@ -58,3 +58,14 @@ def test_whole_texts_collapse(spark):
     assert set(got) == set(docs) and all(docs[r].startswith(docs[k]) for k, r in got.items())
     reps = {docs[r] for r in got.values()}
     assert len(reps) == len(set(got.values())) == sum(not any(t != s and t.startswith(s) for t in set(docs.values())) for s in set(docs.values()))
+
+
+def test_blocks_come_from_the_data(spark):
+    """Pairs of a label, and of a source and language, however far their ids are apart."""
+    labels = {r["vec_id"]: r["label"] for r in rows_of("embeddings")}
+    want = {(i, j) for i in labels for j in labels if j < i and labels[i] == labels[j]}
+    assert {(r["i"], r["j"]) for r in Q.QUERIES["flow_dist_whole"](spark, DATA).select("i", "j").collect()} == want
+    from flowspark import adapters as ad
+
+    place = {r["doc_id"]: f"{r['source']}/{r['lang']}" for r in rows_of("documents")}
+    assert {(int(r["seq_id"].split("_")[1]), r["block"]) for r in ad.parts(spark, DATA).collect()} == set(place.items())
