@@ -419,6 +419,12 @@ def prefix_collapse(spark, d) -> DataFrame:
     return alone.join(near, "seq", "left_anti").select("ord", "seq_id", "rep_ord", "rep_id")
 
 
+@query()
+def prefix_collapse_whole(spark, d) -> DataFrame:
+    """The whole collapse of whole texts; the greedy order has no SQL."""
+    return unique.fasta_unique(ad.seqs(spark, d, None)).select("ord", "seq_id", "rep_ord", "rep_id")
+
+
 # ---------------------------------------------------------------- mappings
 
 _MEMBERS = "m AS (SELECT l_suppkey AS c, l_orderkey AS o, l_linenumber AS n FROM lineitem)"

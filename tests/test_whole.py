@@ -69,3 +69,27 @@ def test_blocks_come_from_the_data(spark):
 
     place = {r["doc_id"]: f"{r['source']}/{r['lang']}" for r in rows_of("documents")}
     assert {(int(r["seq_id"].split("_")[1]), r["block"]) for r in ad.parts(spark, DATA).collect()} == set(place.items())
+
+
+def test_prefixes_are_in_the_collapse(spark, tmp_path):
+    """Against the greedy order on small texts, most of them prefixes of others."""
+    import random
+
+    r = random.Random(2)
+    long = ["".join(r.choice("abcd") for _ in range(40)) for _ in range(6)]
+    texts = [t[: r.randint(14, 40)] for t in long for _ in range(6)]
+    spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seqs, into = [dna(t) for t in texts], list(range(len(texts)))
+    for i in range(len(seqs)):
+        for j in range(i + 1, len(seqs)):
+            if into[i] == i and into[j] == j:
+                short, whole = (i, j) if len(seqs[i]) <= len(seqs[j]) else (j, i)
+                if seqs[whole].startswith(seqs[short]):
+                    into[short] = whole
+
+    def root(k):
+        return k if into[k] == k else root(into[k])
+
+    got = {r["ord"]: r["rep_ord"] for r in Q.QUERIES["prefix_collapse_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: root(k) for k in range(len(seqs))}
+    assert len(got) > Q.QUERIES["prefix_collapse"](spark, str(tmp_path)).count() and any(seqs[k] != seqs[v] for k, v in got.items())
