@@ -195,6 +195,11 @@ def iupac_pattern(spark, d) -> DataFrame:
     return ad.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), sq.iupac_column(F.substring("p_name", 1, 12)).alias("pattern"))
 
 
+@query(SQL["iupac_pattern"].replace("substr(p_name, 1, 12)", "p_name"))
+def iupac_pattern_whole(spark, d) -> DataFrame:
+    return ad.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), sq.iupac_column("p_name").alias("pattern"))
+
+
 _W = f"WITH {ad.WEIGHTED} "
 _H = r"regexp_extract(header, '^(.*?)_(\d+)_(\d+)$', {k})"
 
@@ -289,6 +294,25 @@ def split_by_key_rejects(spark, d) -> DataFrame:
     return _by_key(spark, d)[1].select("ord", "tag")
 
 
+def _by_key_whole(spark, d):
+    keys = spark.createDataFrame([("k1", ""), ("k2", "A"), ("k3", "AC"), ("k4", "GC")], "name string, tag string")
+    return split.split_by_key(ad.seqs(spark, d, None).select("ord", F.concat(F.lit(fl.KEY), "seq").alias("bases")), keys, "CA")
+
+
+_whole_bases = lambda name: SQL[name].replace(ad.SEQS, ad.WHOLE_SEQS).replace("substr(bases, 1, 12)", "bases")
+
+
+@query(_whole_bases("split_by_key"))
+def split_by_key_whole(spark, d) -> DataFrame:
+    """By the last primer of all bases. split_by_key is held to its SQL's first 12."""
+    return _by_key_whole(spark, d)[0].select("ord", "tag", "sample")
+
+
+@query(_whole_bases("split_by_key_rejects"))
+def split_by_key_rejects_whole(spark, d) -> DataFrame:
+    return _by_key_whole(spark, d)[1].select("ord", "tag")
+
+
 # ---------------------------------------------------------------- pairs
 
 
@@ -403,6 +427,12 @@ r AS (SELECT s.seq, s.ord, s.seq_id FROM s) SELECT a.ord, a.seq_id, r.ord AS rep
 WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.seq <> a.seq AND (starts_with(t.seq, a.seq) OR starts_with(a.seq, t.seq)))"""
 
 
+@query(SQL["calc_unique"].replace("flows[1:4]", "flows"))
+def calc_unique_whole(spark, d) -> DataFrame:
+    """By all flows. calc_unique is held to its SQL's first 4."""
+    return unique.calc_unique(ad.reads(spark, d)).select(F.col("u_id").cast("long").alias("u_id"), _text("pattern").alias("pattern"), "first_ord", "len_u", "weight")
+
+
 @query()
 def fasta_unique(spark, d) -> DataFrame:
     return unique.fasta_unique(ad.seqs(spark, d, None))

@@ -93,3 +93,20 @@ def test_prefixes_are_in_the_collapse(spark, tmp_path):
     got = {r["ord"]: r["rep_ord"] for r in Q.QUERIES["prefix_collapse_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: root(k) for k in range(len(seqs))}
     assert len(got) > Q.QUERIES["prefix_collapse"](spark, str(tmp_path)).count() and any(seqs[k] != seqs[v] for k, v in got.items())
+
+
+def test_distinct_patterns_of_all_flows(spark, tmp_path):
+    """Copies are one pattern; reads that differ from the fifth flow on are not."""
+    base = [0.1] * 64
+    vectors = [base, base[:4] + [0.3] + base[5:], base, base[:63] + [0.4]]
+    spark.createDataFrame([(k, v, 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted((r["first_ord"], r["weight"]) for r in Q.QUERIES["calc_unique_whole"](spark, str(tmp_path)).collect()) == [(0, 2), (1, 1), (3, 1)]
+    assert Q.QUERIES["calc_unique"](spark, str(tmp_path)).count() == 1
+
+
+def test_a_late_primer_is_found(spark, tmp_path):
+    text = "C" * 16 + "BADD"
+    assert dna(text) == "G" * 16 + "CATT"
+    spark.createDataFrame([(0, text, "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["tag"] for r in Q.QUERIES["split_by_key_rejects_whole"](spark, str(tmp_path)).collect()] == ["G" * 16]
+    assert Q.QUERIES["split_by_key_rejects"](spark, str(tmp_path)).count() == 0
