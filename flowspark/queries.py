@@ -511,6 +511,25 @@ def scan_list(spark, d) -> DataFrame:
     return mapping.scan_list(_levels(spark, d), 0.03)
 
 
+def _levels_whole(spark, d) -> DataFrame:
+    """Five cuts of all customers: at level k, k + 1 neighbours are one cluster."""
+    levels = spark.range(5).select(F.col("id").cast("int").alias("level"))
+    rows = _outer(spark, d).select(F.col("ord"), "member_ords").crossJoin(F.broadcast(levels)).groupBy("level", F.expr("ord div (level + 1)").alias("cluster"))
+    return rows.agg(F.array_sort(F.flatten(F.collect_list("member_ords"))).alias("members"))
+
+
+@query("SELECT o_custkey // 3 AS otu, string_agg('r' || o_orderkey, ',' ORDER BY o_orderkey) AS reads FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
+def list_to_reads_whole(spark, d) -> DataFrame:
+    """A level of cuts that each have all customers. list_to_reads is held to its SQL's fifth of them."""
+    names = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("member"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("read"))
+    return mapping.list_to_reads(_levels_whole(spark, d), names, 2).select("otu", _text("reads").alias("reads"))
+
+
+@query("SELECT o_custkey // 4 AS cluster, o_orderkey AS member FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def scan_list_whole(spark, d) -> DataFrame:
+    return mapping.scan_list(_levels_whole(spark, d), 0.03)
+
+
 # ---------------------------------------------------------------- aggregates, ranks, samples
 
 

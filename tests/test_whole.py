@@ -110,3 +110,11 @@ def test_a_late_primer_is_found(spark, tmp_path):
     spark.createDataFrame([(0, text, "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r["tag"] for r in Q.QUERIES["split_by_key_rejects_whole"](spark, str(tmp_path)).collect()] == ["G" * 16]
     assert Q.QUERIES["split_by_key_rejects"](spark, str(tmp_path)).count() == 0
+
+
+def test_a_level_has_all_orders(spark):
+    lines = {r["l_orderkey"] for r in rows_of("lineitem")}
+    want = {(r["o_custkey"] // 4, r["o_orderkey"]) for r in rows_of("orders") if r["o_orderkey"] in lines}
+    got = [tuple(r) for r in Q.QUERIES["scan_list_whole"](spark, DATA).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sum(len(r["reads"].split(",")) for r in Q.QUERIES["list_to_reads_whole"](spark, DATA).collect()) == len(want)
