@@ -6,7 +6,7 @@ extra ones included. No stage fails on nulls, empty texts, repeated rows or an e
 
 - quality: a null text is graded as an empty one. Documents below the tail probability go.
 - near-duplicates: five-word shingles, Jaccard 0.8 and more; the smallest doc_id of a group stays, once where its row
-  is repeated. Rows without doc_id or words stay.
+  is repeated. Rows of one doc_id and other texts are documents of their own. Rows without doc_id or words stay.
 - repeated passages: words under a 35-word sequence that also starts elsewhere go; other texts stay as they are, and
   so does the row of a text that loses all words, with what is left.
 - mixture: rows are repeated or left out so that the sources' words come near the targets.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from flowspark.llm import minhash, mixing, pieces, quality, substring
 from flowspark.llm._common import cut, table
+from flowspark.operators import ordinals
+from flowspark.operators.stage import staged
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +32,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    once = row.join(kept, F.col("_id") == F.col("doc_id"), "left_semi")
-    once = once.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.octet_length("_row.text")))).where("_n = 1")
-    return once.select("_row.*").union(row.where("_id IS NULL").select("_row.*"))
+    text = ["_doc", "_bytes", "_hash"]
+    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("_bytes"), F.xxhash64("text").alias("_hash"), "text")
+    # one number for each doc_id and text, in the order of doc_id: rows of one id and other texts are other documents
+    numbers = ordinals.with_ordinal(staged(row.where("_doc IS NOT NULL").select(*text).distinct().orderBy(*text)), "_number")
+    once = cut(row.join(numbers, text).select("_row", "text", "_number").withColumn("_n", F.row_number().over(Window.partitionBy("_number").orderBy(F.lit(1)))).where("_n = 1"), "numbered")
+    kept = minhash.near_duplicates(once.select(F.col("_number").alias("doc_id"), "text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("_number"))
+    return once.join(kept, "_number", "left_semi").select("_row.*").union(row.where("_doc IS NULL").select("_row.*"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
