@@ -118,3 +118,15 @@ def test_a_level_has_all_orders(spark):
     got = [tuple(r) for r in Q.QUERIES["scan_list_whole"](spark, DATA).collect()]
     assert set(got) == want and len(got) == len(want)
     assert sum(len(r["reads"].split(",")) for r in Q.QUERIES["list_to_reads_whole"](spark, DATA).collect()) == len(want)
+
+
+def test_clusters_come_from_all_files_of_the_writer(spark, monkeypatch):
+    """What the writer leaves out is missed."""
+    from pyspark.sql import functions as F
+
+    from flowspark.sources import sinks
+
+    assert {r["cluster"] for r in Q.QUERIES["sink_clusters"](spark, DATA).where("members IS NOT NULL").collect()} == {r["o_custkey"] for r in rows_of("orders")}
+    write = sinks.sink_clusters
+    monkeypatch.setattr(sinks, "sink_clusters", lambda rows, stub, path: write(rows.withColumn("quality", F.slice("quality", 1, 1)), stub, path))
+    assert Q.QUERIES["sink_clusters"](spark, DATA).where("members IS NOT NULL").count() == 0
