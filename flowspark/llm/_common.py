@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, and only where that
-    is unset (tests on one machine) a temporary folder."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where that is unset and
+    everything runs on one machine (tests), a temporary folder; on a cluster that is an error."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("flowspark.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="flowspark-")
         spark.conf.set("flowspark.shared.dir", where)
     return where.rstrip("/")
@@ -47,12 +49,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files behind a table that cut() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Deletes the files behind tables that cut() wrote, once nothing reads them any more. Spark has no public call
+    for that, and only its own file systems reach every shared folder."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -183,31 +187,34 @@ def heavy_join(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str =
     return by_broadcast.unionByName(by_shuffle)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _least(pairs: DataFrame) -> DataFrame:
+    """x, y with m, the smallest y of each x; an x may hold any share of the rows."""
+    least = pairs.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("_n"))
+    return heavy_join(pairs, least, "x", "_n", "inner").drop("_n")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that edges reach from it) for each node of edges(a, b).
 
     Alternating large-star and small-star steps, which keep the number of edges and end after a number of
-    rounds that grows with the logarithm of the longest path. Each round is cut in the shared folder.
+    rounds that grows with the logarithm of the longest path; they go on until nothing changes. Each round is cut
+    in the shared folder. The centre of a giant component meets its rows by a broadcast of fewer than 1000 rows.
     Only the count of changes comes to the driver."""
     both = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
     now = cut(both, "links")
-    for _ in range(rounds):
+    while True:
         # large star: each node's larger neighbours go to its smallest neighbour (itself included)
         near = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select("u", "v"))
-        least = near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = near.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+        large = _least(near).where("y > x").select(F.col("y").alias("x"), F.least("m", "x").alias("y")).distinct()
         # small star: each node and its smaller neighbours go to the smallest of these
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u <> v").distinct()
+        step = F.array(F.struct(F.col("y").alias("v"), F.col("m").alias("u")), F.struct(F.col("x").alias("v"), F.col("m").alias("u")))
+        small = _least(large).select(F.explode(step).alias("e")).select("e.v", "e.u").where("u <> v").distinct()
         after = cut(small, "links")
         moved = after.join(now, ["v", "u"], "left_anti").limit(1).count() + now.join(after, ["v", "u"], "left_anti").limit(1).count()
+        drop_cut(now)
         if not moved:
-            drop_cut(now)
             break
-        drop_cut(now)
         now = after
-    else:
-        raise RuntimeError("components did not settle")
     return after.select(F.col("v").alias("node"), F.col("u").alias("component")).union(after.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
