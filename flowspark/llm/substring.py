@@ -7,9 +7,10 @@ that also starts anywhere else. Steps:
    window's words alone, so equal windows have equal anchors. Only anchors that stand in runs of windows more
    than once can hold a repeat; all others are dropped after one count over the corpus.
 2. Runs: neighbouring windows with the same anchor form a run (at most RUN windows). Every window of the corpus is in
-   one run. Runs of frequent anchors (over a thousandth of all, so under 1000 of them) are split into single windows
+   one run. Runs of frequent anchors (over a thousandth of all, and any over KEY_ROWS) are split into single windows
    keyed by their own hash, so no key gathers what it only shares a few words with. Equal runs are counted before
-   they move.
+   they move, and again where they meet: a key never holds more than KEY_ROWS different runs but for collisions of
+   hashes, whatever the size of the corpus.
 3. Shards: the distinct runs of a shard, with their counts, are one text over the shard's word numbers. Its
    Burrows-Wheeler transform is kept as a wavelet matrix of packed bit vectors with rank counts. All runs are then
    streamed against it: backward search extends each match to the left while its interval holds more than one
@@ -20,9 +21,11 @@ that also starts anywhere else. Steps:
 A repeat's two occurrences have equal anchors, so they meet in one shard: nothing is lost by sharding, and no shard
 sees more than its own runs.
 
-Nulls: a null text has no words (kept_sha256 is that of the empty text). Equal rows are counted as repeats of each
-other; doc_id is taken to name one text, rows with the same id and another text are told apart by the text's hash.
-An empty table gives an empty result. Texts are never cut.
+Nulls: a null text has no words (kept_sha256 is that of the empty text); a null doc_id is an id like others. Equal
+rows are counted as repeats of each other; rows are named by doc_id and a hash of the text, so rows of one id and
+other texts are told apart. Other columns are passed on whatever they are called. An empty table gives an empty
+result. Texts are never cut: a text is worked on in one piece, with some tens of bytes of memory for each of its
+bytes, so texts of some hundred MB need larger executors.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, cut, grams, heavy_join, hot_keys, long_of, mix64, pieces_of, powers, shuffle_partitions, table
+from ._common import HOT_SHARE, Words, cut, grams, heavy_join, hot_keys, long_of, mix64, pieces_of, powers, shuffle_partitions, table
 
 WINDOW, GRAM, RUN = 35, 8, 28
 
@@ -199,20 +202,18 @@ def runs_of(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[head], np.diff(np.append(head, len(at))), anchor[head]
 
 
-def _row_keys(texts: pa.Array) -> pa.Array:
-    """A hash of each whole text: with doc_id it tells rows apart."""
-    w = Words(texts)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(w.h + (w.start - w.off[w.doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))])
-    return pa.array(long_of(total[w.first[1:]] - total[w.first[:-1]]))
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the whole text, which tells rows of one id apart), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, anchor, n: each document's anchors, and how often they stand in its runs."""
+    """doc_id, mark, anchor, n: each document's anchors, and how often they stand in its runs."""
 
     def anchored(batches):
         for batch in batches:
-            for part in pieces_of(batch, 1):
-                w = Words(part.column(1))
+            for part in pieces_of(batch, 2):
+                w = Words(part.column(2))
                 at, windows, anchor = runs_of(w, window)
                 times = np.zeros(len(at), np.int64)
                 h = w.grams(GRAM, 0x51ED27)
@@ -225,20 +226,21 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
                 head = np.flatnonzero(new)
                 n = np.add.reduceat(times, head) if len(head) else times
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[head])), pa.array(long_of(anchor[head])), pa.array(n)], names=["doc_id", "anchor", "n"])
+                rows = pa.array(doc[head])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(long_of(anchor[head])), pa.array(n)], names=["doc_id", "mark", "anchor", "n"])
 
-    return docs.mapInArrow(anchored, "doc_id long, anchor long, n long")
+    return docs.mapInArrow(anchored, "doc_id long, mark long, anchor long, n long")
 
 
 def _runs(batch: pa.RecordBatch, window: int) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of batch (doc_id, text, anchors, hot): for its slices the words and the runs of listed anchors: first word,
+    """Of batch (doc_id, mark, text, anchors, hot): for its slices the words and the runs of listed anchors: first word,
     windows, key. Runs of hot anchors come as single windows, keyed by the window."""
-    for part in pieces_of(batch, 1):
-        w = Words(part.column(1))
+    for part in pieces_of(batch, 2):
+        w = Words(part.column(2))
         at, n, anchor = runs_of(w, window)
-        lists = part.column(2).combine_chunks() if isinstance(part.column(2), pa.ChunkedArray) else part.column(2)
+        lists = part.column(3).combine_chunks() if isinstance(part.column(3), pa.ChunkedArray) else part.column(3)
         listed = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        hot = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(bool)
+        hot = part.column(4).flatten().to_numpy(zero_copy_only=False).astype(bool)
         row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
         order = np.lexsort((listed, row))
         listed, hot, row = listed[order], hot[order], row[order]
@@ -279,7 +281,7 @@ def _names(w: Words, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _distinct_runs(rows: DataFrame, window: int) -> DataFrame:
-    """key, r1, r2, words (32-bit hashes), n of the runs of rows (doc_id, text, anchors, hot): equal runs counted."""
+    """key, r1, r2, words (32-bit hashes), n of the runs of rows (doc_id, mark, text, anchors, hot): equal runs counted."""
 
     def listed(batches):
         for batch in batches:
@@ -331,7 +333,7 @@ def _occurrences(rows: DataFrame, window: int, known: list[tuple[int, int, int]]
                 head = np.flatnonzero(new)
                 masks = np.bitwise_or.reduceat(np.int64(1) << (p % RUN), head) if len(head) else np.zeros(0, np.int64)
                 all_doc = np.concatenate([doc[open_], d[head]])
-                mark = _row_keys(part.column(1)).take(pa.array(all_doc))
+                mark = part.column(1).take(pa.array(all_doc))
                 carrier = (d[head] * 7919 + p[head] // RUN + len(w.data)) % CARRIERS
                 columns = [np.concatenate([start[open_], p[head] // RUN * RUN]).astype(np.int32), np.concatenate([long_of(r1[open_]), carrier]), np.concatenate([long_of(r2[open_]), np.zeros(len(head), np.int64)]), np.concatenate([own[open_], masks])]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(all_doc)), mark, *map(pa.array, columns)], names=["doc_id", "mark", "start", "r1", "r2", "own"])
@@ -339,57 +341,70 @@ def _occurrences(rows: DataFrame, window: int, known: list[tuple[int, int, int]]
     return rows.mapInArrow(listed, "doc_id long, mark long, start int, r1 long, r2 long, own long")
 
 
-#: Symbols of one index: a shard of more runs is indexed in several parts, cut between keys.
-SHARD = 1 << 21
+#: Symbols of one index: a shard of more runs is indexed in several parts, cut between keys. Runs of a key beyond
+#: which its windows are dealt by their own hash, so that the runs of one key stay within one index.
+SHARD, KEY_ROWS = 1 << 21, 1 << 14
+
+
+def _combined(table: pa.Table) -> pa.Table:
+    """key, r1, r2, words, n in order, with equal runs, which several tasks counted, in one row."""
+    key, r1, r2 = (table.column(c).to_numpy() for c in ("key", "r1", "r2"))
+    order = np.lexsort((r2, r1, key))
+    key, r1, r2 = key[order], r1[order], r2[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]) | (key[1:] != key[:-1])
+    total = np.bincount(np.cumsum(new) - 1, table.column("n").to_numpy()[order]).astype(np.int64)
+    one = table.take(pa.array(order[new]))
+    return one.set_column(one.schema.get_field_index("n"), "n", pa.array(total))
+
+
+def _symbols(table: pa.Table) -> int:
+    return table.column("words").nbytes // 4
 
 
 def _search(runs: DataFrame, window: int) -> DataFrame:
     """r1, r2, n, mask of the distinct runs with repeated windows. runs: key, r1, r2, words, n, all rows of a key in
-    one task and next to each other."""
+    one task and next to each other. What is held of a key is its different runs, however often they come."""
+
+    def index(table: pa.Table):
+        table = _combined(table)
+        key, total = table.column("key").to_numpy(), table.column("n").to_numpy()
+        blobs = table.column("words").to_pylist()
+        # a window that is its key's only run and occurs once has nothing to be found
+        alone = np.array([len(b) == 4 * window for b in blobs], bool)
+        alone[1:] &= key[1:] != key[:-1]
+        alone[:-1] &= key[:-1] != key[1:]
+        use = np.flatnonzero(~(alone & (total == 1)))
+        if not len(use):
+            return
+        blobs = [blobs[k] for k in use]
+        lengths = np.array([len(b) // 4 for b in blobs])
+        symbols = np.frombuffer(b"".join(blobs), np.uint32)
+        masks = repeated_windows(FMIndex(symbols, lengths, total[use]), lengths, window)
+        hit = masks != 0
+        found = table.take(pa.array(use[hit]))
+        yield pa.RecordBatch.from_arrays([found.column(c).combine_chunks() for c in ("r1", "r2", "n")] + [pa.array(masks[hit])], names=["r1", "r2", "n", "mask"])
 
     def searched(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def index(table: pa.Table):
-            key = table.column("key").to_numpy()
-            # equal runs that several tasks counted
-            order = np.lexsort((table.column("r2").to_numpy(), table.column("r1").to_numpy(), key))
-            key, r1, r2, n = (table.column(c).to_numpy()[order] for c in ("key", "r1", "r2", "n"))
-            new = np.ones(len(key), bool)
-            new[1:] = (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]) | (key[1:] != key[:-1])
-            group = np.cumsum(new) - 1
-            total, head = np.bincount(group, n).astype(np.int64), np.flatnonzero(new)
-            key, r1, r2 = key[head], r1[head], r2[head]
-            # a window that is its key's only run and occurs once has nothing to be found
-            alone = np.array([len(b) == 4 * window for b in table.column("words").take(pa.array(order[head])).to_pylist()], bool)
-            alone[1:] &= key[1:] != key[:-1]
-            alone[:-1] &= key[:-1] != key[1:]
-            use = np.flatnonzero(~(alone & (total == 1)))
-            if not len(use):
-                return
-            blobs = table.column("words").take(pa.array(order[head[use]])).to_pylist()
-            lengths = np.array([len(b) // 4 for b in blobs])
-            symbols = np.frombuffer(b"".join(blobs), np.uint32)
-            masks = repeated_windows(FMIndex(symbols, lengths, total[use]), lengths, window)
-            hit = masks != 0
-            use = use[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(r1[use]), pa.array(r2[use]), pa.array(total[use]), pa.array(masks[hit])], names=["r1", "r2", "n", "mask"])
-
+        held: list[pa.Table] = []
+        size, most = 0, SHARD
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
-                size += batch.column(batch.schema.get_field_index("words")).nbytes // 4
-            if size > SHARD:
-                whole = pa.Table.from_batches(held)
+                held.append(pa.Table.from_batches([batch]))
+                size += _symbols(held[-1])
+            if size > most:
+                whole = pa.concat_tables(held)
                 key = whole.column("key").to_numpy()
-                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-                if last:
+                other = np.flatnonzero(key != key[-1])
+                if len(other):
+                    last = int(other[-1]) + 1
                     yield from index(whole.slice(0, last))
-                    held = whole.slice(last).combine_chunks().to_batches()
-                    size = sum(b.column(b.schema.get_field_index("words")).nbytes // 4 for b in held)
+                    whole = whole.slice(last)
+                whole = _combined(whole)
+                held, size = [whole], _symbols(whole)
+                most = max(SHARD, 2 * size)
         if held:
-            yield from index(pa.Table.from_batches(held))
+            yield from index(pa.concat_tables(held))
 
     return runs.mapInArrow(searched, "r1 long, r2 long, n long, mask long")
 
@@ -405,17 +420,17 @@ def removed_words(n: int, starts: np.ndarray, masks: np.ndarray, window: int) ->
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, mark, spans (array of start, mask): the repeated windows of each document that has some."""
+    """doc_id, mark, spans (array of start, mask): the repeated windows of each document that has some. docs: doc_id,
+    mark, text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
     anchors = cut(_anchors(docs, window), "anchors")
-    counts = anchors.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1")
-    counts = cut(counts, "anchor-counts")
-    hot = hot_keys(counts, "anchor").select("anchor", F.lit(True).alias("hot"))
-    shared = heavy_join(anchors.select("doc_id", "anchor"), counts.select("anchor", "rows"), "anchor", "rows", "inner")
-    marked = shared.join(F.broadcast(hot), "anchor", "left").select("doc_id", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
-    lists = marked.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("anchor", "hot"))).alias("a")).select("doc_id", F.col("a.anchor").alias("anchors"), F.col("a.hot").alias("hot"))
-    rows = docs.join(lists.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "anchors", "hot")
+    counts = cut(anchors.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1"), "anchor-counts")
+    total = counts.agg(F.sum("n").alias("_all"))  # one row
+    hot = F.col("n") > F.least(F.lit(float(KEY_ROWS)), F.greatest(F.lit(64.0), F.col("_all") * HOT_SHARE))
+    counts = counts.crossJoin(F.broadcast(total)).select("anchor", "rows", hot.alias("hot"))
+    marked = heavy_join(anchors.select("doc_id", "mark", "anchor"), counts, "anchor", "rows", "inner")
+    lists = marked.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("anchor", "hot"))).alias("a")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("a.anchor").alias("anchors"), F.col("a.hot").alias("hot"))
+    rows = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("doc_id", "mark", "text", "anchors", "hot")
 
     runs = _distinct_runs(rows, window)
     dealt = runs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
@@ -425,30 +440,37 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     named = masks.withColumn("run", F.struct("r1", "r2"))
     known = [(r["r1"], r["r2"], r["mask"]) for r in hot_keys(named, "run").limit(1000).collect()]
     carriers = spark.range(CARRIERS).select(F.col("id").alias("r1"), F.lit(0).cast("long").alias("r2"), F.lit(0).cast("long").alias("mask"))
-    joined = _occurrences(rows, window, known).join(masks.select("r1", "r2", "mask").unionByName(carriers), ["r1", "r2"])
-    found = joined.withColumn("mask", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("mask"))).where("mask <> 0")
-    return found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    joined = _occurrences(rows, window, known).join(masks.select("r1", "r2", F.col("mask").alias("found")).unionByName(carriers.withColumnRenamed("mask", "found")), ["r1", "r2"])
+    found = joined.withColumn("found", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("found"))).where("found <> 0")
+    # equal rows give equal spans, which are held once
+    return found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", F.col("found").alias("mask"))).alias("spans"))
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    spans = cut(find_repeats(docs, window), "spans").select(F.col("doc_id").alias("_id"), "mark", "spans")
-    # a doc_id with several texts has several marks; each row picks its own
-    found = spans.groupBy("_id").agg(F.collect_list(F.struct("mark", "spans")).alias("_found"))
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    """_row (a row of docs, whole) and spans (null for none)."""
+    spans = cut(find_repeats(_named(docs), window), "spans").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "spans")
+    rows = docs.select(F.struct("*").alias("_row"))
+    here = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_mark"))
+    return rows.join(spans, here, "left").select("_row", "spans")
 
 
-def _removals(part: pa.RecordBatch, text: int, found: int, window: int) -> tuple[Words, np.ndarray]:
+def _flat(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the rows themselves, and their spans."""
+    for batch in batches:
+        columns = batch.column(0).flatten()
+        flat = pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=[str(k) for k in range(len(columns) + 1)])
+        for part in pieces_of(flat, text):
+            yield part, part.column(len(columns))
+
+
+def _removals(texts: pa.Array, spans: pa.Array, window: int) -> tuple[Words, np.ndarray]:
     """The words of a slice and which of them go."""
-    w = Words(part.column(text))
+    w = Words(texts)
     gone = np.zeros(len(w.h), bool)
-    marks = None
-    for i, options in enumerate(part.column(found).to_pylist()):
-        if options:
-            marks = marks if marks is not None else _row_keys(part.column(text)).to_pylist()
-            for option in options:
-                if option["mark"] == marks[i]:
-                    at = np.array([(s["start"], s["mask"]) for s in option["spans"]], np.int64)
-                    gone[w.first[i] : w.first[i + 1]] |= removed_words(int(w.first[i + 1] - w.first[i]), at[:, 0], at[:, 1], window)
+    for i, found in enumerate(spans.to_pylist()):
+        if found:
+            at = np.array([(s["start"], s["mask"]) for s in found], np.int64)
+            gone[w.first[i] : w.first[i + 1]] = removed_words(int(w.first[i + 1] - w.first[i]), at[:, 0], at[:, 1], window)
     return w, gone
 
 
@@ -456,17 +478,16 @@ def word_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
 
     def told(batches):
-        for batch in batches:
-            for part in pieces_of(batch, 1):
-                w, gone = _removals(part, 1, 2, window)
-                data = w.data.tobytes()
-                lost = np.bincount(w.doc[gone], minlength=part.num_rows)
-                digests = []
-                starts, ends, keep = w.start.tolist(), w.end.tolist(), (~gone).tolist()
-                for i in range(part.num_rows):
-                    words = [data[starts[j] : ends[j]] for j in range(w.first[i], w.first[i + 1]) if keep[j]]
-                    digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.first).astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for part, spans in _flat(batches, 1):
+            w, gone = _removals(part.column(1), spans, window)
+            data = w.data.tobytes()
+            lost = np.bincount(w.doc[gone], minlength=part.num_rows)
+            digests = []
+            starts, ends, keep = w.start.tolist(), w.end.tolist(), (~gone).tolist()
+            for i in range(part.num_rows):
+                words = [data[starts[j] : ends[j]] for j in range(w.first[i], w.first[i + 1]) if keep[j]]
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.first).astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
     return rows.mapInArrow(told, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -479,20 +500,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     at = columns.index("text")
 
     def trimmed(batches):
-        for batch in batches:
-            for part in pieces_of(batch, at):
-                w, gone = _removals(part, at, len(columns), window)
-                texts = part.column(at).to_pylist()
-                for i in np.unique(w.doc[gone]).tolist():
-                    lo, hi = int(w.first[i]), int(w.first[i + 1])
-                    raw, base = texts[i].encode(), int(w.off[i])
-                    keep = np.ones(len(raw), bool)
-                    for j in np.flatnonzero(gone[lo:hi]) + lo:
-                        keep[w.start[j] - base : (w.start[j + 1] - base) if j + 1 < hi else len(raw)] = False
-                    texts[i] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
-                out = list(part.columns[: len(columns)])
-                out[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(out, names=columns)
+        for part, spans in _flat(batches, at):
+            w, gone = _removals(part.column(at), spans, window)
+            texts = part.column(at).to_pylist()
+            for i in np.unique(w.doc[gone]).tolist():
+                lo, hi = int(w.first[i]), int(w.first[i + 1])
+                raw, base = texts[i].encode(), int(w.off[i])
+                keep = np.ones(len(raw), bool)
+                for j in np.flatnonzero(gone[lo:hi]) + lo:
+                    keep[w.start[j] - base : (w.start[j + 1] - base) if j + 1 < hi else len(raw)] = False
+                texts[i] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
+            out = list(part.columns[: len(columns)])
+            out[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(out, names=columns)
 
     return _with_spans(docs, window).mapInArrow(trimmed, docs.schema)
 
