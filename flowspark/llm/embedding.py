@@ -16,8 +16,9 @@ In high dimensions a range join prunes little: the work is about that of compari
 block in matrix products, and grows with the square of their number. No pair is missed for that.
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do rows with a
-null vec_id, whose component is null. Vectors of another length are only compared among themselves. Equal rows link
-with each other. An empty table gives an empty result.
+null vec_id, whose component is null. Vectors of another length are only compared among themselves. Very large and very
+small vectors are scaled first. Equal rows link with each other. An empty table gives an empty result. Only the id and
+the vector are read, so other columns may be called anything.
 """
 
 from __future__ import annotations
@@ -48,7 +49,10 @@ def blocks_of(dim: int, cosine: float) -> list[tuple[slice, float]]:
 
 
 def _unit(blobs: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float32 if len(blobs[0]) == 4 * dim else np.float64).reshape(-1, dim).astype(np.float64)
+    if all(len(b) == 4 * dim for b in blobs):
+        x = np.frombuffer(b"".join(blobs), np.float32).reshape(-1, dim).astype(np.float64)
+    else:  # some need double precision
+        x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in blobs])
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -61,9 +65,10 @@ def _keyed(vectors: DataFrame, id: str, column: str) -> DataFrame:
             for vec_id, value in zip(batch.column(0), batch.column(1), strict=True):
                 value = value.as_py()
                 x = np.array(value, np.float64) if vec_id.is_valid and value and None not in value else np.zeros(1)
-                with np.errstate(over="ignore"):
-                    ok = bool(np.isfinite(x).all() and x.any() and np.isfinite(square := float(x @ x)) and square > 0)
-                if ok:
+                if np.isfinite(x).all() and x.any():
+                    # by a power of two, which leaves the direction as it is: squares neither over- nor underflow
+                    e = int(np.frexp(np.abs(x).max())[1])
+                    x = np.ldexp(x, -e) if abs(e) > 60 else x
                     short = x.astype(np.float32)
                     blob = (short if (short == x).all() else x).tobytes()
                     keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest())
