@@ -3,10 +3,14 @@
 The text is marked as the library does it: spaces become U+2581 and one more stands in front. Where no piece of
 the vocabulary has a marker after another character (checked when the model is loaded), no merge crosses from a
 word to the marker of the next, so a text's ids are those of its marked words one after another. Each distinct
-marked word is segmented once and kept in a table; a text's ids are joined back from the table by position.
-Decoding joins the table's decoded words the same way. Models that break the condition are encoded text by text.
-
-A null text counts as empty: only the end id, decoded to an empty text. Texts are never cut.
+marked word is segmented once and kept in a table with its ids and the text that its pieces decode to; a text's ids
+and its decoded text are joined back from the table by position. Models that break the condition are encoded text by
+text. The table is one of each Python worker, filled as words come: one table for the whole corpus would need a
+shuffle of every occurrence of every word, which is many times the corpus, to save some seconds of a worker.
+
+A null text counts as empty: only the end id, decoded to an empty text. Texts are never cut. Repeated rows give
+repeated rows; an empty table gives an empty result. Only doc_id and text are read, so other columns may be called
+anything.
 """
 
 from __future__ import annotations
@@ -39,41 +43,40 @@ class ChunkTable:
         probe = self.sp.encode_as_pieces(" a  b ")
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", x) for x in pieces) and "".join(probe) == f"{MARK * 2}a{MARK * 2}b{MARK}"
         self.last = b"%d" % self.sp.eos_id()
+        #: What each piece decodes to by itself; None where the library must be asked (bytes, unknown, control).
+        odd = lambda i: self.sp.is_byte(i) or self.sp.is_unknown(i) or self.sp.is_control(i) or self.sp.is_unused(i)
+        self.plain = [None if odd(i) else p.replace(MARK, " ") for i, p in enumerate(pieces)]
         self.end, self.lone, self.letter = self.sp.eos_id(), self.sp.piece_to_id(MARK), self.sp.piece_to_id("a")
 
-    def _segment(self, chunks: list[str]) -> dict[str, bytes | tuple[bytes, str]]:
-        """The words' ids in decimal, a space after each; with the decoded word where that is not the word itself.
+    def _segment(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
+        """The words' ids in decimal, a space after each, and the text that their pieces decode to.
 
-        The words are encoded and decoded in one go: an id begins a word where its piece starts with a marker and
-        the piece before it ends without one. Words of markers only stand alone, as they have no such end."""
-        alone = [c for c in chunks if not c.strip(MARK)]
-        found: dict = {}
-        for c in alone:  # the library gives no ids for the empty text that a lone marker stands for
-            ids = self.sp.encode(c[1:]) or [self.lone]
-            found[c] = self._decimal(ids), self.sp.decode([self.letter, *ids])[1:]
+        The words are encoded in one go: an id begins a word where its piece starts with a marker and the piece before
+        it ends without one. Words of markers only stand alone, as they have no such end."""
+        # the library gives no ids for the empty text that a lone marker stands for
+        found = {c: self._row(self.sp.encode(c[1:]) or [self.lone]) for c in chunks if not c.strip(MARK)}
         chunks = [c for c in chunks if c.strip(MARK)]
         if chunks:
-            text = "".join(chunks).replace(MARK, " ")[1:]
-            ids = self.sp.encode(text)
+            ids = self.sp.encode("".join(chunks).replace(MARK, " ")[1:])
             pieces = np.array(ids)
             heads = np.flatnonzero(self.starts[pieces] & np.concatenate([[True], self.stops[pieces[:-1]]])).tolist()
             if len(heads) != len(chunks):  # not one by one after all
-                return found | {c: (self._decimal(x), self.sp.decode([self.letter, *x])[1:]) for c in chunks for x in [self.sp.encode(c[1:])]}
-            ends = [*heads[1:], len(ids)]
-            if self.sp.decode(ids) == text:
-                found.update((c, self._decimal(ids[i:j])) for c, i, j in zip(chunks, heads, ends, strict=True))
-            else:
-                for c, i, j in zip(chunks, heads, ends, strict=True):
-                    found[c] = self._decimal(ids[i:j]), self.sp.decode([self.letter, *ids[i:j]])[1:]
+                return found | {c: self._row(self.sp.encode(c[1:])) for c in chunks}
+            for c, i, j in zip(chunks, heads, [*heads[1:], len(ids)], strict=True):
+                found[c] = self._row(ids[i:j])
         return found
 
+    def _row(self, ids: list[int]) -> tuple[bytes, str]:
+        texts = [self.plain[i] for i in ids]
+        return self._decimal(ids), self.sp.decode([self.letter, *ids])[1:] if None in texts else "".join(texts)
+
     def _decimal(self, ids: list[int]) -> bytes:
         return b"".join([self.digits[i] for i in ids])
 
     def chunks(self, text: str) -> list[str]:
         return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def look_up(self, chunks: list[str]) -> list[bytes | tuple[bytes, str]]:
+    def look_up(self, chunks: list[str]) -> list[tuple[bytes, str]]:
         """What the table has for each chunk, after the new ones were added."""
         known = self.known
         new = list({c for c in chunks if c not in known})
@@ -97,12 +100,8 @@ class ChunkTable:
             at = [known[c] for c in chunks]
         except KeyError:
             at = self.look_up(chunks)
-        try:
-            return b"".join(at) + self.last, text.replace(MARK, " ")
-        except TypeError:  # some word is decoded to another
-            ids = [x if isinstance(x, bytes) else x[0] for x in at]
-            texts = [c.replace(MARK, " ") if isinstance(x, bytes) else x[1] for c, x in zip(chunks, at, strict=True)]
-            return b"".join(ids) + self.last, "".join(texts)[1:]
+        # the library leaves out the marker that it put in front
+        return b"".join([x[0] for x in at]) + self.last, "".join([x[1] for x in at])[1:]
 
 
 @lru_cache(maxsize=2)
