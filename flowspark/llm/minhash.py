@@ -19,7 +19,8 @@ rows; texts that many pairs need are salted.
 
 Nulls and empty texts have no shingles: they link with nothing and are kept. A null doc_id links with nothing, has a
 null component and is kept. Equal rows are in one class; doc_id is taken to name one text. An empty table gives an
-empty result.
+empty result. Only doc_id and text are read, so other columns may be called anything. Whole texts are compared; a text
+is worked on in one piece, with some tens of bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, components, cut, grams, heavy_join, hot_keys, long_of, mix64, pieces_of, table
+from ._common import Words, components, cut, drop_cut, grams, heavy_join, hot_keys, long_of, mix64, pieces_of, table
 
 BUCKET_BITS, MANTISSA, ROWS = 7, 10, 4
 REGISTERS = 1 << BUCKET_BITS
 BANDS = REGISTERS // ROWS
-#: Standard deviations below the expected number of equal registers at which a pair is ruled out, and rows of a tile.
+#: Standard deviations below the expected number of equal registers at which a pair is ruled out (a parameter of
+#: near_duplicates, where None rules out none), and rows of a tile.
 SLACK, TILE = 4.5, 1024
 #: The second sketch, for buckets of several components: number of registers, and how often two that differ look alike.
 FINE_BITS, FINE_CHANCE = 9, 0.0104
@@ -116,13 +118,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return used, equal - chance
 
 
-def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
-    """Whether sizes and registers leave the share possible. Registers in use are a sample without replacement of the
-    union, so the slack shrinks as they come near its size."""
+def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, share: float, slack: float | None = SLACK) -> np.ndarray:
+    """Whether sizes and registers leave the share possible; sizes alone with slack None. Registers in use are a sample
+    without replacement of the union, so the slack shrinks as they come near its size."""
+    sized = np.minimum(n, m) >= share * np.maximum(n, m) - 1e-6
+    if slack is None:
+        return sized
     used, equal = estimate(a, b, n, m)
     union = np.maximum((n + m) / (1 + share), used + 1.0)
     spread = np.sqrt(used * share * (1 - share) * (union - used) / np.maximum(union - 1, 1))
-    return (np.minimum(n, m) >= share * np.maximum(n, m) - 1e-6) & (equal >= share * used - SLACK * spread - 1)
+    return sized & (equal >= share * used - slack * spread - 1)
 
 
 def sketch(docs: DataFrame, k: int, lower: bool = True) -> DataFrame:
@@ -165,7 +170,7 @@ def with_both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFram
     return left.join(side("a"), "a").join(right, ["b", "_salt"]).drop("_salt")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, share: float, slack: float | None) -> DataFrame:
     """The pairs whose registers do not rule the share out."""
 
     def likely(batches):
@@ -173,7 +178,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
             if batch.num_rows:
                 col = lambda name: batch.column(batch.schema.get_field_index(name))
                 a, b = (np.stack([np.frombuffer(x.as_py(), np.uint16) for x in col(c)]) for c in ("regs_a", "regs_b"))
-                keep = _possible(a, b, col("n_a").to_numpy().astype(float), col("n_b").to_numpy().astype(float), share)
+                keep = _possible(a, b, col("n_a").to_numpy().astype(float), col("n_b").to_numpy().astype(float), share, slack)
                 yield pa.RecordBatch.from_arrays([col("a").filter(pa.array(keep)), col("b").filter(pa.array(keep))], names=["a", "b"])
 
     sized = with_both(pairs, reps, ["n", "regs"]).where(F.least("n_a", "n_b") >= F.lit(share) * F.greatest("n_a", "n_b") - 1e-6)
@@ -191,7 +196,7 @@ def _fine(texts: DataFrame, k: int, lower: bool) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(refined, "doc long, size long, prints binary, fine binary")
 
 
-def _across(rows: DataFrame, fine: DataFrame, share: float) -> DataFrame:
+def _across(rows: DataFrame, fine: DataFrame, share: float, slack: float | None) -> DataFrame:
     """Of buckets (band, doc, center, n, part): the likely pairs a, b of different parts, without the center, each in
     the first band alone that both share. Buckets of over TILE rows are compared in tiles, so no task holds one."""
     rows = rows.join(fine, "doc")
@@ -214,7 +219,7 @@ def _across(rows: DataFrame, fine: DataFrame, share: float) -> DataFrame:
                 i, j = i[new], j[new]
             for at in range(0, len(i), 8192):
                 x, y = i[at : at + 8192], j[at : at + 8192]
-                likely = _possible(regs[x], regs[y], size[x], size[y], share)
+                likely = _possible(regs[x], regs[y], size[x], size[y], share, slack)
                 x, y = doc[x[likely]], doc[y[likely]]
                 yield np.maximum(x, y), np.minimum(x, y)
 
@@ -271,8 +276,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, lower: b
     return with_both(pairs, texts, ["text"]).mapInArrow(verified, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
-    """docs (doc_id, text): doc_id, n_shingles, component_id, kept, a row for each of its rows."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True, slack: float | None = SLACK) -> DataFrame:
+    """docs (doc_id, text): doc_id, n_shingles, component_id, kept, a row for each of its rows. With slack None every
+    pair of a bucket whose sizes allow it is compared exactly: no estimate rules pairs out."""
     sketches = cut(sketch(docs, k, lower), "sketch")
     keyed = sketches.select("doc_id", F.struct("n", "s1", "s2").alias("key"))
     classes = cut(keyed.where("key.n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
@@ -283,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     buckets = bands.groupBy("band").agg(F.min("doc").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(heavy_join(bands, buckets, "band", "n", "inner").select("band", "doc", "center", "n"), "buckets")
     pairs = members.where("doc <> center").select(F.col("doc").alias("a"), F.col("center").alias("b")).distinct()
-    pairs = cut(_likely(pairs, reps, percent / 100), "pairs")
+    pairs = cut(_likely(pairs, reps, percent / 100, slack), "pairs")
 
     in_buckets = members.select(F.col("doc").alias("doc_id")).distinct()
     texts = cut(docs.select(F.col("doc_id").cast("long"), "text").join(in_buckets, "doc_id", "left_semi"), "texts")
@@ -294,10 +300,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     labelled = members.where("n > 2").join(found, F.col("doc") == F.col("node"), "left").select("band", "doc", "center", F.coalesce("component", "doc").alias("part"))
     mixed = labelled.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("band", "n")
     rest = heavy_join(labelled, mixed, "band", "n", "inner")
-    across = cut(_across(rest, cut(_fine(texts, k, lower), "fine"), percent / 100).distinct(), "pairs")
+    fine = cut(_fine(texts, k, lower), "fine")
+    across = cut(_across(rest, fine, percent / 100, slack).distinct(), "across")
     more = cut(_verified(across, texts, k, percent, lower), "more")
     if more.limit(1).count():
         found = cut(components(links.union(more)), "components")
+    drop_cut(reps, members, pairs, texts, links, fine, across, more)
 
     parts = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("component", "rep").alias("part"))
     out = heavy_join(keyed, parts, "key", "n", "left")
