@@ -3,11 +3,15 @@
 A text's UTF-8 bytes are cut into blocks of BLOCK bytes, all of them, each with a fresh state. A forward and a
 backward GRU of SIZE units read each block; from both states every position gets a probability of each language.
 The document's probabilities are the means over all its positions. The network is trained in numpy, on the driver,
-by backpropagation through time with Adam, on at most SAMPLE documents with a known language (chosen by a hash of
-doc_id) and at most DRAWN blocks of each; both bounds are parameters. All documents are labelled.
+by backpropagation through time with Adam, on about SAMPLE documents with a known language (a parameter): those of
+each language with the smallest hashes of doc_id, up to an equal share of SAMPLE, and of what is left over by rarer
+languages. All blocks of their whole texts are learned from, each at least once: the number of steps is STEPS, or
+what one pass over all blocks takes. The driver holds the texts of the sample. All documents are labelled.
 
 `und` with score 0 is the label of null texts, of texts without a letter, and of all texts where no document has a
-known language. Repeated rows are labelled alike. An empty table gives an empty result.
+known language. Repeated rows are labelled alike; of several rows with one doc_id training sees one. Other columns are
+passed on, but for lang_pred and score, whose place the operator's columns take. An empty table gives an empty result.
+Texts are worked on a block at a time after they are laid out, with some bytes of memory for each of their bytes.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import types as T
 
 from ._common import pieces_of, schema_with, table
 
-BLOCK, SIZE, SAMPLE, DRAWN = 64, 8, 3000, 6
-LANES = 2048
+BLOCK, SIZE, SAMPLE = 64, 8, 3000
+STEPS, BATCH, LANES = 300, 384, 2048
 #: Stands behind a block's last byte.
 PAD = 256
 
@@ -113,14 +117,21 @@ class Network:
             g[f"table{way}"] = np.stack([np.bincount(codes, flat[:, j], 257) for j in range(3 * s)], axis=1)
         return float(loss), g
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 300, lanes: int = 192, rate: float = 0.02, seed: int = 9) -> "Network":
-        r = np.random.default_rng(seed)
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS, lanes: int = BATCH, rate: float = 0.02, seed: int = 9) -> "Network":
+        """Adam over mini-batches of lanes blocks. Blocks (columns of x, of the documents' languages y) come in shuffled
+        passes, every block in each; with weight, further batches up to steps are drawn by it."""
+        r, n = np.random.default_rng(seed), x.shape[1]
+        passes = -(-n // lanes)
+        order = r.permutation(n)
+        batches = [order[k * lanes : (k + 1) * lanes] for k in range(passes)]
+        while len(batches) < steps:
+            batches.append(r.choice(n, lanes, p=weight))
+        batches = [batches[k] for k in r.permutation(len(batches))]
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            at = r.integers(0, x.shape[1], lanes)
-            _, g = self.gradient(x[:, at], y[at])
+        for step, at in enumerate(batches, 1):
+            _, g = self.gradient(x[:, at].astype(np.int16), y[at])
             norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
+            now = rate * min(1.0, 2 * (1 - step / (len(batches) + 1)))
             for k, p in self.p.items():
                 q = g[k].astype(np.float32) * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
                 m[k] = 0.9 * m[k] + 0.1 * q
@@ -148,30 +159,35 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def train(known: DataFrame, sample: int = SAMPLE, drawn: int = DRAWN, steps: int = 300) -> Network | None:
-    """A network from known (doc_id, text, lang), or None where nothing is known."""
-    known = known.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    order = F.md5(F.col("doc_id").cast("string"))
-    chosen = known.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
+def chosen(known: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, lang, text of about sample documents: of each doc_id one row, of each language those with the smallest
+    hashes. Nothing is sorted as a whole: a language's share of its rows bounds the hash."""
+    known = known.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text", F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long").alias("_hash"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}  # a row a language
+    left, quota = sample, {}
+    for k, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        quota[lang] = min(sizes[lang], -(-left // (len(sizes) - k)))
+        left -= quota[lang]
+    if not quota:
+        return known.limit(0).drop("_hash")
+    share = known.sparkSession.createDataFrame([(lang, int((1 << 32) * min(1.0, q / sizes[lang]))) for lang, q in quota.items()], "lang string, _most long")
+    near = known.join(F.broadcast(share), "lang").where("_hash <= _most")
+    return near.groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.struct("lang", F.xxhash64("text"))).alias("_one")).select("doc_id", "_one.lang", "_one.text")
 
-    def drawn_blocks(batches):
-        for batch in batches:
-            for part in pieces_of(batch, 1):
-                x, row = blocks_of(part.column(1))
-                first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                for i in range(part.num_rows):
-                    lo, hi = int(first[i]), int(first[i + 1])
-                    at = np.random.default_rng(abs(part.column(0)[i].as_py())).choice(np.arange(lo, hi), min(drawn, hi - lo), replace=False)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[i].as_py()] * len(at), pa.int64()), pa.array([part.column(2)[i].as_py()] * len(at)), pa.array([np.ascontiguousarray(x[:, j]).tobytes() for j in at], pa.binary())], names=["doc_id", "lang", "block"])
-
-    got = known.join(F.broadcast(chosen), "doc_id").mapInArrow(drawn_blocks, "doc_id long, lang string, block binary").toPandas()
-    if got.empty:
+
+def train(known: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Network | None:
+    """A network from known (doc_id, text, lang), or None where nothing is known."""
+    got = chosen(known, sample).toArrow()
+    if not got.num_rows:
+        return None
+    got = got.sort_by("doc_id").combine_chunks()
+    x, row = blocks_of(got.column("text").combine_chunks())
+    if not x.shape[1]:
         return None
-    got = got.sort_values(["doc_id", "block"])
-    languages = sorted(got["lang"].unique())
-    x = np.stack([np.frombuffer(b, np.int16) for b in got["block"]], axis=1)
-    return Network(languages).train(x, np.searchsorted(languages, got["lang"].to_numpy(str)), steps)
+    lang = got.column("lang").to_numpy()[row].astype(str)
+    languages, y = np.unique(lang, return_inverse=True)
+    weight = 1.0 / np.bincount(row, minlength=got.num_rows)[row]  # further batches hold the documents alike
+    return Network(languages.tolist()).train(x, y, weight / weight.sum(), steps)
 
 
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
