@@ -2,12 +2,15 @@
 
 A byte-pair encoding without its last token is the encoding of the text without that token's characters. So the
 encoding of every prefix follows from shorter ones: that of length i is that of length i - |t| followed by t, for
-the one token t that ends at i and forms a stable pair with the last token there. The table holds, at each
-prefix of a word, the number of tokens and the last token, both for a word that goes on (open) and one that ends
-there (closed, with the end-of-word mark). Counts of a text's prefixes are running sums over its words, so
-truncation and budget questions are answered from the table without encoding again.
-
-A null text counts as empty: 0 tokens. Texts are never cut. Repeated rows give repeated rows.
+the one token t that ends at i and forms a stable pair with the last token there. The dynamic programme keeps, at
+each prefix of a word, the number of tokens and the last token of a word that goes on (open), and the number of one
+that ends there (closed, with the end-of-word mark). The closed counts of all prefixes are stored for each distinct
+word; a text's count is the sum of its words' last entries, and the count of any prefix of a text the sum of the words
+before plus one entry. So truncation at any character and budgets are answered from the table without encoding again.
+Positions are those of the normalised text (NFC and lower case, as the tokenizer makes it).
+
+A null text counts as empty: 0 tokens. Texts are never cut. Repeated rows give repeated rows; an empty table gives an
+empty result. Only doc_id and text are read, so other columns may be called anything.
 """
 
 from __future__ import annotations
@@ -51,11 +54,12 @@ class PrefixCounter:
             self.made.setdefault(a + b, (a, b, i))
         #: Whether each token has one way to be merged, later than its parts: then stable() need not encode.
         self.single = len(self.made) == len(self.ranks) and all(i > self.made.get(x, ("", "", -1))[2] for a, b, i in self.made.values() for x in (a, b))
+        self.closes = {t.removesuffix(self.mark): t for t in self.vocab if t.endswith(self.mark) and t != self.mark}
         self.longest = max(len(t.removesuffix(self.mark)) for t in self.vocab)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split, regex.V1)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
-        self.gap = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
+        self.gap, self.run = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1), regex.compile(r"[\S\x1c-\x1f]+", regex.V1)
         self.name = _byte_names()
         self.kept, self.counts, self.pairs, self.known = kept, {}, {}, {}
 
@@ -102,41 +106,31 @@ class PrefixCounter:
 
     def table(self, word: str) -> tuple[list[int], list[int]]:
         """Token counts of each non-empty prefix of a word given in byte names: open, closed."""
-        n, vocab, mark, longest = len(word), self.vocab, self.mark, self.longest
+        n, vocab, closes, longest, pairs, stable = len(word), self.vocab, self.closes, self.longest, self.pairs, self.stable
         counts, last, closed = [0], [""], []
         for i in range(1, n + 1):
-            for ends in (False, True):
-                for j in range(max(0, i - longest), i):
-                    t = word[j:i] + mark if ends else word[j:i]
-                    if t in vocab and self.stable(last[j], t):
-                        break
-                else:
-                    raise ValueError(f"no token ends {word[:i]!r}")
-                if ends:
-                    closed.append(counts[j] + 1)
-                else:
-                    now = counts[j] + 1, t
-            counts.append(now[0])
-            last.append(now[1])
-        return counts[1:], closed
-
-    def closed_count(self, word: str) -> int:
-        """Tokens of a whole word: the table's last entry, for which the closed prefixes before it are not needed."""
-        n, vocab, longest, pairs = len(word), self.vocab, self.longest, self.pairs
-        counts, last = [0], [""]
-        for i in range(1, n + 1):
+            goes = ends = 0
             for j in range(i - longest if i > longest else 0, i):
-                t = word[j:i] if i < n else word[j:] + self.mark
-                if t in vocab:
-                    before = last[j]
-                    known = pairs.get((before, t))
-                    if known or (known is None and self.stable(before, t)):
-                        break
-            else:
+                t = word[j:i]
+                if not goes and t in vocab:
+                    known = pairs.get((last[j], t))
+                    if known or (known is None and stable(last[j], t)):
+                        goes, token = counts[j] + 1, t
+                        if ends:
+                            break
+                if not ends and t in closes:
+                    full = closes[t]
+                    known = pairs.get((last[j], full))
+                    if known or (known is None and stable(last[j], full)):
+                        ends = counts[j] + 1
+                        if goes:
+                            break
+            if not goes or not ends:
                 raise ValueError(f"no token ends {word[:i]!r}")
-            counts.append(counts[j] + 1)
-            last.append(t)
-        return counts[n]
+            counts.append(goes)
+            last.append(token)
+            closed.append(ends)
+        return counts[1:], closed
 
     def names(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else "".join(self.name[b] for b in word.encode())
@@ -158,45 +152,107 @@ class PrefixCounter:
                 known.clear()
                 new = set(runs)
             for r in new:
-                known[r] = sum(map(self.word, self.words.findall(r)))
+                known[r] = sum([self.word(w)[-1] for w in self.words.findall(r)])
             return [known[r] for r in runs]
 
-    def word(self, word: str) -> int:
-        if (n := self.known.get(word)) is None:
+    def word(self, word: str) -> "bytes | list[int]":
+        """The stored table: counts of word[:p] for p = 1..len(word), each as a word that ends there."""
+        if (found := self.known.get(word)) is None:
             if len(self.known) >= self.kept:
                 self.known.clear()
-            n = self.known[word] = self.closed_count(self.names(word))
-        return n
+            counts = self.table(self.names(word))[1]
+            if not word.isascii():  # an entry a character, not a byte
+                counts = [counts[at - 1] for at in accumulate(len(c.encode()) for c in word)]
+            found = self.known[word] = bytes(counts) if counts[-1] < 200 and max(counts) < 256 else counts
+        return found
+
+    def prefix_counts(self, word: str) -> list[int]:
+        """Exact counts of encode(word[:p]) for p = 1..len(word), word being lower-case letters only."""
+        return list(self.word(word))
+
+    def parts(self, text: str) -> list[tuple[str, bool]]:
+        """The normalised text in pieces, special strings (True) by themselves."""
+        if "<|" not in text or not self.special.search(text):
+            return [(self.normal(text), False)]
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [(self.normal(text[at : m.start()]), False), (m.group(), True)]
+            at = m.end()
+        return [*out, (self.normal(text[at:]), False)]
 
     def runs(self, text: str) -> list[int]:
         """Token counts of a text's white-space-free runs and special strings, in order."""
         out: list[int] = []
-        if "<|" not in text or not self.special.search(text):
-            parts = [text]
-        else:
-            parts = self.special.split(text)
-        for k, part in enumerate(parts):
-            if k:
-                out.append(1)
-            part = self.normal(part)
-            out += self.look_up(part.split() if _PLAIN.search(part) is None else [x for x in self.gap.split(part) if x])
+        for part, special in self.parts(text):
+            out += [1] if special else self.look_up(part.split() if _PLAIN.search(part) is None else [x for x in self.gap.split(part) if x])
         return out
 
     def count(self, text: str) -> int:
         return sum(self.runs(text))
 
-    def prefix_counts(self, word: str) -> list[int]:
-        """Exact counts of encode(word[:p]) for p = 1..len(word), word being lower-case letters only."""
-        named, at, out = self.names(word), 0, []
-        closed = self.table(named)[1]
-        for c in word:
-            at += len(c.encode())
-            out.append(closed[at - 1])
-        return out
-
-    def fitting_runs(self, counts: list[int], budget: int) -> int:
-        """How many leading runs fit into a budget of tokens."""
-        return bisect_right(list(accumulate(counts)), budget)
+    def places(self, text: str):
+        """(start, end, words or None for a special string) of each run, by the normalised text."""
+        at = 0
+        for part, special in self.parts(text):
+            if special:
+                yield at, at + len(part), None
+            else:
+                for m in self.run.finditer(part):
+                    yield at + m.start(), at + m.end(), self.words.findall(m.group())
+            at += len(part)
+
+    def within(self, word: str, p: int) -> int:
+        """Tokens of word[:p]. A contraction cut short is split anew: its quote mark is a word of its own."""
+        return self.word(word)[p - 1] if word[0] != "'" or p == len(word) else sum(self.word(w)[-1] for w in self.words.findall(word[:p]))
+
+    def prefix_count(self, text: str, p: int) -> int:
+        """Tokens of the first p characters of the normalised text. A special string counts once it is whole; up to
+        there it is text like other."""
+        total, near = 0, []
+        for start, end, words in self.places(text):
+            if start >= p:
+                break
+            if end > p and words is None:  # what stands right before the broken string belongs to its first word
+                whole = "".join(x for x, _ in self.parts(text))
+                joined = [n for n in near if n[1] is not None]
+                head = joined[-1] if joined and joined[-1][2] == start else None
+                return (total - head[3] if head else total) + self.count(whole[head[0] if head else start : p])
+            if words is None:
+                here = 1
+            else:
+                here, at = 0, start
+                for w in words:
+                    if at + len(w) > p:
+                        here += self.within(w, p - at) if p > at else 0
+                        break
+                    here += self.word(w)[-1]
+                    at += len(w)
+            total += here
+            near = [(start, words, end, here)]
+        return total
+
+    def fitting(self, text: str, counts: list[int], budget: int) -> tuple[int, int]:
+        """How many leading runs, and how many leading characters of the normalised text, fit into a budget of tokens,
+        given the runs' counts. Special strings are not cut."""
+        sums = list(accumulate(counts))
+        whole = bisect_right(sums, budget)
+        places = self.places(text)
+        end = 0
+        for _ in range(whole):
+            end = next(places)[1]
+        left = budget - (sums[whole - 1] if whole else 0)
+        start, stop, words = next(places, (0, 0, None))
+        if words is None:
+            return whole, max(end, start)
+        at = start
+        for w in words:
+            n = self.word(w)[-1]
+            if n > left:
+                fits = [p for p in range(1, len(w)) if self.within(w, p) <= left]
+                return whole, at + (fits[-1] if fits else 0)
+            left -= n
+            at += len(w)
+        return whole, at
 
 
 #: Where str.split() does not see the gaps that the tokenizer sees.
@@ -209,22 +265,24 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, and fit_runs: how many leading white-space-free runs stay within
-    the limit, read from the running sums."""
+    """doc_id, n_bytes, n_tokens, over_limit, and from the stored tables how much stays within the limit: fit_runs
+    leading white-space-free runs, and fit_chars leading characters of the normalised text (null: all)."""
 
     def counted(batches):
         c = counter(path)
         for batch in batches:
-            size, n, fit = [], [], []
+            size, n, runs, chars = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 counts = c.runs(text)
                 size.append(len(text.encode()))
                 n.append(sum(counts))
-                fit.append(len(counts) if n[-1] <= limit else c.fitting_runs(counts, limit))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_runs"])
+                fits = (len(counts), None) if n[-1] <= limit else c.fitting(text, counts, limit)
+                runs.append(fits[0])
+                chars.append(fits[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(runs, pa.int64()), pa.array(chars, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_runs", "fit_chars"])
 
-    return docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_runs long")
+    return docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_runs long, fit_chars long")
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
