@@ -7,7 +7,10 @@ empty values give nulls in every feature, never an error.
 
 The query stores each text's bytes, padded with zero bytes to a positive multiple of 64, as the samples of a
 binary PGM 64 wide, writes these media to a table in the shared folder, reads them back and takes the features of
-what it has read. A null text counts as empty: one row of 64 zero samples.
+what it has read. A null text counts as empty: one row of 64 zero samples. Texts are never cut; a text is held as its
+bytes, its image and its tile at once. Equal texts have equal features; repeated rows give repeated rows, and an empty
+table an empty result. text_media reads doc_id and text only, media_features the id, the image and the columns asked
+for, so others may be called anything; a column to keep must not have the name of a feature.
 """
 
 from __future__ import annotations

@@ -9,9 +9,11 @@ Features: presence of each lower-cased word and of its first bytes (hashed), and
 last three bytes), of words that repeat the one before, and of distinct words. All come from the whole text.
 
 The model is fitted on the driver from at most SAMPLE labelled rows, chosen by a hash of doc_id; that bound is a
-parameter. All documents are scored. Null labels are not used; without labelled rows of two grades the scores are
-those of the prior, and all documents are kept. A null text counts as empty; an empty text is kept like any other
-by its score. Repeated rows score alike; other columns are kept.
+parameter. All documents are scored. Null labels are not used; of several rows with one doc_id fitting sees one, and
+of several labels the worst. Without labelled rows of two grades the scores are those of the prior, and all documents
+are kept. A null text counts as empty; an empty text is kept like any other by its score. Repeated rows score alike.
+Other columns are kept, but for expected_grade, tail_probability and kept, whose place the operator's columns take. An
+empty table gives an empty result. Texts are read whole, with some tens of bytes of memory for each of their bytes.
 """
 
 from __future__ import annotations
@@ -125,7 +127,8 @@ def fit_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordi
                 at = np.searchsorted(where, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(ends, pa.array(word.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(what.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(dense[where, what]))], names=["grade", "words", "at", "share"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("text", "grade")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
+    found = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("grade").alias("grade")).select("text", "grade")
     got = found.mapInArrow(hashed, "grade int, words array<int>, at array<int>, share array<float>").toArrow()
     n = got.num_rows
     flat = lambda name: got.column(name).combine_chunks() if n else None

@@ -13,7 +13,9 @@ share meets its group by a broadcast of hot groups, of which there are under 100
 
 Nulls: a null html has an empty payload, a null url leaves the target URI out, a null page_id sorts last (it is a
 response only where no other page has the payload). Rows with the same page_id and payload as the response are
-responses too. An empty table gives no bundles and no rows. Payloads are never cut.
+responses too; only such copies share a record identifier, which is made of page_id and payload. Repeated rows are
+records of their own. An empty table gives no bundles and no rows. Payloads are never cut. Only page_id, url and html
+are read, so other columns may be called anything.
 """
 
 from __future__ import annotations
@@ -108,14 +110,20 @@ def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """Names a record by its page and payload, so pages with one id and other payloads have other names."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}>"
+
+
 def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response with the payload in an HTTP message, or a revisit with the message's head only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    digest = payload_digest(payload)
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}"]
     head += [f"WARC-Target-URI: {_clean(url)}"] if url is not None else []
-    head += [f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
-    head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"] if refers_to is not None else []
+    head += [f"WARC-Payload-Digest: sha1:{digest}"]
+    head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Profile: {_PROFILE}"] if refers_to is not None else []
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -129,7 +137,7 @@ def parse_record(record: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in lines[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda s: int(s) if (s := s.removeprefix("<urn:page:").removesuffix(">")) else None
+    number = lambda s: None if (s := s.removeprefix("<urn:page:").split(":")[0]) == "none" else int(s)
     size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
@@ -203,15 +211,17 @@ def export_bundles(bundles: DataFrame, folder: str) -> DataFrame:
 
     def written(batches):
         from pyarrow import fs
+        from pyspark import TaskContext
 
+        attempt = TaskContext.get().taskAttemptId()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         for batch in batches:
             for bundle, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 path = f"{base}/{bundle}.warc.zst"
-                with store.open_output_stream(f"{path}.part-{id(content)}") as out:
+                with store.open_output_stream(f"{path}.part-{attempt}") as out:
                     out.write(content)
-                store.move(f"{path}.part-{id(content)}", path)
+                store.move(f"{path}.part-{attempt}", path)
                 yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([path]), pa.array([len(content)], pa.int64())], names=["bundle", "path", "bytes"])
 
     return bundles.select("bundle", "content").mapInArrow(written, "bundle string, path string, bytes long")
