@@ -6,7 +6,8 @@ extra ones included. No stage fails on nulls, empty texts, repeated rows or an e
 
 - quality: a null text is graded as an empty one. Documents below the tail probability go.
 - near-duplicates: five-word shingles, Jaccard 0.8 and more; the smallest doc_id of a group stays, once where its row
-  is repeated. Rows of one doc_id and other texts are documents of their own. Rows without doc_id or words stay.
+  is repeated (the row whose other columns have the smallest hash). Rows of one doc_id and other texts are documents of
+  their own. Rows without doc_id or words stay.
 - repeated passages: words under a 35-word sequence that also starts elsewhere go; other texts stay as they are, and
   so does the row of a text that loses all words, with what is left.
 - mixture: rows are repeated or left out so that the sources' words come near the targets.
@@ -15,12 +16,11 @@ extra ones included. No stage fails on nulls, empty texts, repeated rows or an e
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm import minhash, mixing, pieces, quality, substring
-from flowspark.llm._common import cut, table
+from flowspark.llm._common import cut, drop_cut, table
 from flowspark.operators import ordinals
 from flowspark.operators.stage import staged
 
@@ -35,8 +35,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text = ["_doc", "_bytes", "_hash"]
     row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("_bytes"), F.xxhash64("text").alias("_hash"), "text")
     # one number for each doc_id and text, in the order of doc_id: rows of one id and other texts are other documents
-    numbers = ordinals.with_ordinal(staged(row.where("_doc IS NOT NULL").select(*text).distinct().orderBy(*text)), "_number")
-    once = cut(row.join(numbers, text).select("_row", "text", "_number").withColumn("_n", F.row_number().over(Window.partitionBy("_number").orderBy(F.lit(1)))).where("_n = 1"), "numbered")
+    texts = staged(row.where("_doc IS NOT NULL").select(*text).distinct().orderBy(*text))
+    numbers = ordinals.with_ordinal(texts, "_number")
+    # of rows with one doc_id and text, the one whose other columns have the smallest hash
+    whole = F.to_json("_row") if "map<" in docs.schema.simpleString() else F.col("_row")
+    first = Window.partitionBy("_number").orderBy(F.xxhash64(whole), whole)
+    once = cut(row.join(numbers, text).select("_row", "text", "_number").withColumn("_n", F.row_number().over(first)).where("_n = 1"), "numbered")
     kept = minhash.near_duplicates(once.select(F.col("_number").alias("doc_id"), "text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("_number"))
     return once.join(kept, "_number", "left_semi").select("_row.*").union(row.where("_doc IS NULL").select("_row.*"))
 
@@ -48,11 +52,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = docs.select(F.struct("*").alias("_row"), "doc_id", "source", mixing.n_words("text").alias("size"))
-    copies = mixing.mix(row).where("copies > 0")
+    copies = mixing.mix(row).where("copies > 0").select("_row", "copies")
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -71,5 +77,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = cut(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            drop_cut(before)  # the next stage has read all of it
     return docs
