@@ -10,16 +10,17 @@ from ..functions.sequences import iupac_pattern
 
 
 def clean_reads(reads: DataFrame, primer: str = ".", min_flows: int = 360, max_flows: int = 720, max_empty: int = 0, high: int = fl.HIGH, greedy: bool = False, anchored: bool = False) -> DataFrame:
-    """reads (read_id, ord, clip, flows in hundredths) with kept (flows up to the first bad four), seq (from the
-    primer on, of the kept flows), len (kept flows up to max_flows, rounded up to a multiple of four), flows (the
-    read's own, up to max_flows) and passed: min_flows kept and a primer behind the key."""
+    """reads (read_id, ord, clip, flows in hundredths; others are kept) with seq (from the primer on, of the flows up to
+    the first bad four), len (those flows up to max_flows, rounded up to a multiple of four), flows (the read's own, up
+    to max_flows) and passed: min_flows good ones and a primer behind the key."""
     between = "" if anchored else ".*" if greedy else ".*?"
     pattern = f"^{fl.KEY}{between}((?i:{iupac_pattern(primer) if primer != '.' else '.'}).*)"
     kept = fl.clean_prefix(F.slice("flows", 1, F.greatest("clip", F.lit(0))), max_empty, high)
+    own = [c for c in reads.columns if c not in ("clip", "flows", "kept", "bases", "seq", "len", "passed")]
     out = reads.withColumn("kept", kept).withColumn("bases", fl.flow_to_seq("kept"))
     n = F.least(F.size("kept"), F.lit(max_flows))
     return out.select(
-        "read_id", "ord", F.regexp_extract("bases", pattern, 1).alias("seq"), (F.ceil(n / 4) * 4).cast("int").alias("len"), F.slice("flows", 1, max_flows).alias("flows"),
+        *own, F.regexp_extract("bases", pattern, 1).alias("seq"), (F.ceil(n / 4) * 4).cast("int").alias("len"), F.slice("flows", 1, max_flows).alias("flows"),
         ((F.size("kept") >= min_flows) & F.col("bases").rlike(pattern)).alias("passed"),
     )
 

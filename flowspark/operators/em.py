@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -19,13 +19,14 @@ LEAST_COUNT, LEAST_TAU, LEAST_WEIGHT = 0.1, 1e-4, 0.1
 
 @dataclass
 class Denoised:
-    """cluster of each item, centroid (candidate number) of each cluster that has one, its weight, and -log-likelihood
-    at each step."""
+    """cluster of each item, centroid (candidate number) of each cluster that has one, its weight, -log-likelihood
+    at each step, and the last responsibilities (items x clusters)."""
 
     cluster: np.ndarray
     centroid: dict[int, int]
     weight: np.ndarray
     likelihood: list[float]
+    tau: np.ndarray
 
 
 def expectation(distance: np.ndarray, weight: np.ndarray, sigma: float) -> np.ndarray:
@@ -84,7 +85,7 @@ def denoise(start: np.ndarray, cost: np.ndarray, candidate: np.ndarray, sigma: f
     hard = np.zeros_like(tau)
     hard[np.arange(n), cluster] = 1.0
     center = centroids(hard, cost, candidate, w if item_weight is not None else np.ones(n))
-    return Denoised(cluster, {c: int(center[c]) for c in np.unique(cluster)}, hard.T @ w, likelihood)
+    return Denoised(cluster, {c: int(center[c]) for c in np.unique(cluster)}, hard.T @ w, likelihood, tau)
 
 
 # ---------------------------------------------------------------- flows
@@ -136,6 +137,67 @@ def _sequence(shape: np.ndarray, first: int = 8) -> str:
     return "".join("TACG"[p % 4] * int(s) for p, s in enumerate(shape) if p >= first)
 
 
+def _flow_start(group: pd.DataFrame, table: np.ndarray, unseen: float | None) -> tuple:
+    """Flows, lengths, patterns, each read's pattern, each pattern's first read, clusters to start from, costs."""
+    flows = [np.asarray(f, np.int64) for f in group["flows"]]
+    lengths = group["len"].to_numpy() // 4 * 4
+    shapes, of, firsts = patterns(flows)
+    start = np.unique(group["cluster"], return_inverse=True)[1] if "cluster" in group else None
+    return flows, lengths, shapes, of, firsts, start, pattern_costs(flows, lengths, shapes, table, unseen, lengths[firsts])
+
+
+def _clustered(reads: DataFrame, clusters: DataFrame, block: str) -> DataFrame:
+    joined = reads.select(block, "ord", "read_id", "len", "flows").join(clusters.select(block, F.col("member").alias("ord"), "cluster"), [block, "ord"])
+    return dealt(joined, block)
+
+
+def pattern_distances(reads: DataFrame, block: str, lookup: np.ndarray | None = None, unseen: float | None = None) -> DataFrame:
+    """block, ord, u, d: of each read (block, ord, len, flows) and each rounded pattern of its block (by its first read)
+    the mean -log chance of the read's signals."""
+    table = K.default_lookup() if lookup is None else lookup
+    kind = dict(reads.dtypes)[block]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ord").reset_index(drop=True)
+        cost = _flow_start(group, table, unseen)[-1]
+        n, u = cost.shape
+        return pd.DataFrame({block: group[block].iat[0], "ord": np.repeat(group["ord"].to_numpy(), u), "u": np.tile(np.arange(u), n), "d": cost.ravel()})
+
+    return dealt(reads.select(block, "ord", "len", "flows"), block).groupBy(block).applyInPandas(run, f"`{block}` {kind}, ord long, u int, d double")
+
+
+def pattern_qualities(reads: DataFrame, block: str, lookup: np.ndarray | None = None) -> DataFrame:
+    """block, u, quality: of each rounded pattern of a block the Phred values of its bases, from the reads that have it."""
+    table = K.default_lookup() if lookup is None else lookup
+    kind = dict(reads.dtypes)[block]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ord").reset_index(drop=True)
+        flows = [np.asarray(f, np.int64) for f in group["flows"]]
+        shapes, of, _ = patterns(flows)
+        return pd.DataFrame({block: group[block].iat[0], "u": np.arange(len(shapes)), "quality": [qualities(flows, np.flatnonzero(of == u), shapes[u], table) for u in range(len(shapes))]})
+
+    return dealt(reads.select(block, "ord", "flows"), block).groupBy(block).applyInPandas(run, f"`{block}` {kind}, u int, quality array<int>")
+
+
+def flow_responsibilities(reads: DataFrame, clusters: DataFrame, block: str, sigma: float = 60.0, lookup: np.ndarray | None = None, unseen: float | None = None, most_steps: int = MOST_STEPS) -> DataFrame:
+    """block, i, k, tau: the last responsibilities of flow_denoise, and of each block -log-likelihood by step in rows with
+    k null (i is the step, tau the value)."""
+    table = K.default_lookup() if lookup is None else lookup
+    kind = dict(reads.dtypes)[block]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ord").reset_index(drop=True)
+        *_, of, _firsts, start, cost = _flow_start(group, table, unseen)
+        found = denoise(start, cost, of, sigma, most_steps=most_steps)
+        i, k = np.nonzero(found.tau)
+        soft = pd.DataFrame({block: group[block].iat[0], "i": group["ord"].to_numpy()[i], "k": pd.array(k, "Int32"), "tau": found.tau[i, k]})
+        trace = pd.DataFrame({block: group[block].iat[0], "i": np.arange(len(found.likelihood)), "k": pd.array([None] * len(found.likelihood), "Int32"), "tau": found.likelihood})
+        return pd.concat([soft, trace])
+
+    return _clustered(reads, clusters, block).groupBy(block).applyInPandas(run, f"`{block}` {kind}, i long, k int, tau double")
+
+
 _FLOW_OUT = "cluster int, sequence string, weight long, representative string, members array<string>, member_ords array<long>, quality array<int>"
 
 
@@ -147,11 +209,7 @@ def flow_denoise(reads: DataFrame, clusters: DataFrame, block: str, sigma: float
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord").reset_index(drop=True)
-        flows = [np.asarray(f, np.int64) for f in group["flows"]]
-        lengths = group["len"].to_numpy() // 4 * 4
-        shapes, of, firsts = patterns(flows)
-        start = np.unique(group["cluster"], return_inverse=True)[1]
-        cost = pattern_costs(flows, lengths, shapes, table, unseen, lengths[firsts])
+        flows, lengths, shapes, of, firsts, start, cost = _flow_start(group, table, unseen)
         found = denoise(start, cost, of, sigma, most_steps=most_steps)
         rows = []
         for number, c in enumerate(found.centroid):
@@ -159,8 +217,7 @@ def flow_denoise(reads: DataFrame, clusters: DataFrame, block: str, sigma: float
             rows.append((group[block].iat[0], number, _sequence(shapes[u][: lengths[firsts[u]]], first), len(at), group["read_id"].iat[firsts[u]], group["read_id"].iloc[at].tolist(), group["ord"].iloc[at].tolist(), qualities(flows, at, shapes[u][: lengths[firsts[u]]], table)[4:]))
         return pd.DataFrame(rows, columns=[block, "cluster", "sequence", "weight", "representative", "members", "member_ords", "quality"])
 
-    joined = reads.select(block, "ord", "read_id", "len", "flows").join(clusters.select(block, F.col("member").alias("ord"), "cluster"), [block, "ord"])
-    return dealt(joined, block).groupBy(block).applyInPandas(run, f"`{block}` {kind}, {_FLOW_OUT}")
+    return _clustered(reads, clusters, block).groupBy(block).applyInPandas(run, f"`{block}` {kind}, {_FLOW_OUT}")
 
 
 # ---------------------------------------------------------------- sequences
@@ -203,12 +260,12 @@ def cluster_weights(tau: DataFrame) -> DataFrame:
 
 
 def expectation_step(distances: DataFrame, weights: DataFrame, sigma: float) -> DataFrame:
-    """i, k, tau from distances (i, k, d) and weights (k, w): one join on k and two combined sums by i."""
+    """i, k, tau from distances (i, k, d) and weights (k, w): one join on k and one window by i. An item's clusters are
+    those that it has a distance to, so a window holds no more than the clusters of its block."""
     live = distances.join(weights.where(F.col("w") > LEAST_WEIGHT), "k")
-    least = live.groupBy("i").agg(F.min("d").alias("_least"))
-    part = live.join(least, "i").withColumn("_p", F.col("w") * F.exp(-sigma * (F.col("d") - F.col("_least"))))
-    total = part.groupBy("i").agg(F.sum("_p").alias("_all"))
-    return part.join(total, "i").select("i", "k", (F.col("_p") / F.col("_all")).alias("tau")).where(F.col("tau") > LEAST_TAU)
+    item = Window.partitionBy("i")
+    part = live.withColumn("_p", F.col("w") * F.exp(-sigma * (F.col("d") - F.min("d").over(item))))
+    return part.select("i", "k", (F.col("_p") / F.sum("_p").over(item)).alias("tau")).where(F.col("tau") > LEAST_TAU)
 
 
 def negative_log_likelihood(distances: DataFrame, weights: DataFrame, sigma: float) -> DataFrame:

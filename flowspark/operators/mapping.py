@@ -68,14 +68,21 @@ def wfasta_table(records: DataFrame, header: str, seq: str) -> DataFrame:
 
 
 def dat_join(*tables: DataFrame) -> DataFrame:
-    """Tables of (ord, len, flows) one after another, numbered anew."""
+    """Tables of (ord, len, flows) one after another, numbered anew: each keeps its own numbers behind those of the
+    tables before. Numbers are places in a file, 0 ... n - 1; a table with others is numbered in their order first."""
     from functools import reduce
 
     from .ordinals import with_ordinal
 
-    parts = [t.withColumn("_table", F.lit(k)) for k, t in enumerate(tables)]
-    ordered = reduce(DataFrame.unionByName, parts).repartitionByRange("_table", "ord").sortWithinPartitions("_table", "ord")
-    return with_ordinal(ordered, "_new").select(F.col("_new").alias("ord"), "len", "flows")
+    start, parts = 0, []
+    for t in tables:
+        t = t.select("ord", "len", "flows")
+        n, last = t.agg(F.count(F.lit(1)), F.max("ord")).first()
+        if n and last + 1 != n:
+            t = with_ordinal(t.orderBy("ord"), "_new").select(F.col("_new").alias("ord"), "len", "flows")
+        parts.append(t.select((F.col("ord") + F.lit(start).cast("bigint")).alias("ord"), "len", "flows"))
+        start += n
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sample_n(records: DataFrame, n: int, seed: int = 1) -> DataFrame:

@@ -19,19 +19,22 @@ def _blocked(items: DataFrame, block: str | None) -> tuple[DataFrame, str]:
     return (items, block) if block else (items.withColumn("_block", F.lit(0)), "_block")
 
 
-def all_pairs(items: DataFrame, value: str, kernel: Callable[[list, list], np.ndarray], block: str | None = None, full: bool = False, tile: int = TILE) -> DataFrame:
-    """block, i, j, d of items (ord and the value) within their block: j < i, or all pairs with full.
+def all_pairs(items: DataFrame, value: str, kernel: Callable[[list, list], np.ndarray | dict], block: str | None = None, full: bool = False, tile: int = TILE, columns: str = "d double") -> DataFrame:
+    """block, i, j, d of items (ord and the value) within their block: j < i, or all pairs with full. A kernel may give
+    other columns, by name.
 
     The triangle is cut into tiles of ord ranges. Each item is repeated once for each tile of its row and column, which
     is the block's size over the tile's, and a task compares two ranges at a time, so a large block spreads over many
     tasks. The number of pairs is quadratic in a block by definition; blocks are what keeps it bounded."""
     items, by = _blocked(items, block)
-    tiles = items.groupBy(by).agg(F.max(F.floor(F.col("ord") / tile)).cast("int").alias("_last"), F.min(F.floor(F.col("ord") / tile)).cast("int").alias("_first"))
-    # the tiles that hold rows lie between a block's first and last; a broadcast is left to Spark's own size check
-    items = items.select(by, "ord", F.col(value).alias("_value"), F.floor(F.col("ord") / tile).cast("int").alias("_t")).join(tiles, by)
-    place = F.explode(F.transform(F.sequence("_first", "_last"), lambda k: F.struct(F.greatest("_t", k).alias("_row"), F.least("_t", k).alias("_col"))))
+    items = items.select(by, "ord", F.col(value).alias("_value"), F.floor(F.col("ord") / tile).cast("int").alias("_t"))
+    # the tiles of a block that hold rows, however sparse its ordinals; a broadcast is left to Spark's own size check
+    items = items.join(items.groupBy(by).agg(F.collect_set("_t").alias("_tiles")), by)
+    place = F.explode(F.transform("_tiles", lambda k: F.struct(F.greatest("_t", k).alias("_row"), F.least("_t", k).alias("_col"))))
     spread = items.withColumn("_tile", place).select(by, "_tile._row", "_tile._col", "_t", "ord", "_value")
 
+    names = [by, "i", "j", *(c.strip().split()[0] for c in columns.split(", "))]
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         row, col = int(group["_row"].iat[0]), int(group["_col"].iat[0])
         rows, cols = group[group["_t"] == row], group[group["_t"] == col]
@@ -42,11 +45,12 @@ def all_pairs(items: DataFrame, value: str, kernel: Callable[[list, list], np.nd
             x, y = np.nonzero((a[:, None] != b[None, :]) if full else (a[:, None] > b[None, :]))
             for lo in range(0, len(x), 2048):
                 p, q = x[lo : lo + 2048], y[lo : lo + 2048]
-                out.append(pd.DataFrame({by: group[by].iat[0], "i": a[p], "j": b[q], "d": kernel([va[k] for k in p], [vb[k] for k in q])}))
-        return pd.concat(out) if out else pd.DataFrame({by: pd.Series(dtype=group[by].dtype), "i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
+                found = kernel([va[k] for k in p], [vb[k] for k in q])
+                out.append(pd.DataFrame({by: group[by].iat[0], "i": a[p], "j": b[q], **(found if isinstance(found, dict) else {"d": found})}))
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
 
     kind = dict(spread.dtypes)[by]
-    out = dealt(spread, by, "_row", "_col").groupBy(by, "_row", "_col").applyInPandas(compare, f"`{by}` {kind}, i long, j long, d double")
+    out = dealt(spread, by, "_row", "_col").groupBy(by, "_row", "_col").applyInPandas(compare, f"`{by}` {kind}, i long, j long, {columns}")
     return out if block else out.drop("_block")
 
 
@@ -71,6 +75,17 @@ def sequence_distances(seqs: DataFrame, table: np.ndarray | None = None, block:
     return all_pairs(seqs, "seq", kernel, block, full=asymmetric)
 
 
+def differences(seqs: DataFrame, block: str | None = None, full: bool = False) -> DataFrame:
+    """Of each pair the number of differences and, at each base of the first sequence, how many there are up to it from
+    the left (d) and from the right (r)."""
+
+    def kernel(a: list, b: list) -> dict:
+        found = K.nw_diff(a, b)
+        return {k: [x[k] for x in found] for k in ("n_diff", "d", "r")}
+
+    return all_pairs(seqs, "seq", kernel, block, full, columns="n_diff int, d array<int>, r array<int>")
+
+
 def symmetrise(full: DataFrame) -> DataFrame:
     """i, j, d with j < i from all ordered pairs: the mean of both directions."""
     return full.groupBy(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).agg(F.avg("d").alias("d"))
