@@ -54,8 +54,9 @@ def build_sff(reads: list[dict], flow_chars: str, key: str = "TCAG") -> bytes:
     return b"".join(out)
 
 
-def scan_sff(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of all files under path; a file is one task's work."""
+def scan_sff(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Reads of all files under path, or of several paths; a file is one task's work. (file, ord) names a read: ord is
+    its place in its file."""
 
     def parse(batches):
         for batch in batches:
@@ -67,7 +68,29 @@ def scan_sff(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, _FIELDS)
 
 
+def sink_sff(reads: DataFrame, folder: str, by: str, flow_chars: str, key: str = "TCAG") -> DataFrame:
+    """Writes the reads (read_id, clip_left, clip_right, flows, flow_index, bases, quals, ord) of each by into
+    folder/<by>.sff, in order of ord, and gives by, path and n. A file is one task's work, as its header holds the number
+    of reads. folder is one that all executors share, as a URI; a name appears once its file is whole."""
+
+    def written(group: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        name = str(group[by].iat[0])
+        rows = [{k: (list(map(int, getattr(r, k))) if k in ("flows", "flow_index", "quals") else getattr(r, k)) for k in ("read_id", "clip_left", "clip_right", "flows", "flow_index", "bases", "quals")} for r in group.sort_values("ord").itertuples()]
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        path, work = f"{base}/{name}.sff", f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(work) as out:
+            out.write(build_sff(rows, flow_chars, key))
+        store.move(work, path)
+        return pd.DataFrame({by: [group[by].iat[0]], "path": [path], "n": [len(rows)]})
+
+    return reads.groupBy(by).applyInPandas(written, f"`{by}` {dict(reads.dtypes)[by]}, path string, n long")
+
+
 def sff_to_raw(reads: DataFrame) -> DataFrame:
-    """ord, read_id, clip, flows of SFF reads."""
+    """ord, read_id, clip, flows of SFF reads, and file where there is one: ord is the place in a file."""
     clip = F.aggregate(F.slice("flow_index", 1, F.col("clip_right")), F.lit(0), lambda a, x: a + x)
-    return reads.select("ord", "read_id", clip.alias("clip"), "flows")
+    return reads.select(*(["file"] if "file" in reads.columns else []), "ord", "read_id", clip.alias("clip"), "flows")

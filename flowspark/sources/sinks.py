@@ -1,20 +1,58 @@
-"""Writers of the text formats. Parquet is what stages hand on; these are for other tools. A file that must be one
-file, in order, with a header, is written by one task; formats without a header keep their partitions."""
+"""Writers of the text formats. Parquet is what stages hand on; these are for other tools. A folder is written whose
+parts, joined in order of their names, are the file: lines are dealt to tasks by ranges of their number, so no task has
+all of them. join_parts makes one file of them where another tool needs that."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.flows import flows_to_string
 
 
 def _ordered(lines: DataFrame, path: str, header: str | None = None) -> None:
-    """lines (_n, value) in order behind the header, as one file in a folder."""
+    """lines (_n, value) in order behind the header, in parts by ranges of _n."""
+    lines = lines.select(F.col("_n").cast("long").alias("_n"), "value")
     if header is not None:
-        head = lines.sparkSession.createDataFrame([(-1, header)], "_n long, value string")
-        lines = head.unionByName(lines.select(F.col("_n").cast("long"), "value"))
-    lines.coalesce(1).sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
+        lines = lines.sparkSession.createDataFrame([(-1, header)], "_n long, value string").unionByName(lines)
+    write_whole(lines.repartitionByRange("_n").sortWithinPartitions("_n").select("value"), path)
+
+
+def write_whole(df: DataFrame, path: str, kind: str = "text") -> None:
+    """Writes into a folder beside path, which takes its name once the job has succeeded; a job that fails leaves path as
+    it was and nothing else."""
+    spark = df.sparkSession
+    work = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = hadoop(path), hadoop(work)
+    store = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.format(kind).save(work)
+        store.delete(old, True)
+        if not store.rename(new, old):
+            raise OSError(f"cannot name {path}")
+    finally:
+        store.delete(new, True)
+
+
+def join_parts(spark: SparkSession, path: str, to: str) -> None:
+    """The parts of a folder as one file, copied by the driver a block at a time; it has its name once it is whole."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    folder, work = hadoop.fs.Path(path), hadoop.fs.Path(f"{to}.part-{uuid.uuid4().hex}")
+    store = folder.getFileSystem(conf)
+    names = sorted(str(f.getPath().getName()) for f in store.listStatus(folder) if str(f.getPath().getName()).startswith("part-"))
+    out = store.create(work)
+    try:
+        for name in names:
+            part = store.open(hadoop.fs.Path(folder, name))
+            hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
+    store.delete(hadoop.fs.Path(to), False)
+    store.rename(work, hadoop.fs.Path(to))
 
 
 def sink_raw(reads: DataFrame, path: str, barcode: str = "", name: str = "") -> None:
@@ -41,6 +79,23 @@ def sink_dist(distances: DataFrame, n: int, path: str, ids: list[str] | None = N
     _ordered(lines, path, "\n".join([str(n), *(ids or [])]))
 
 
+def sink_square(cells: DataFrame, n: int, path: str) -> None:
+    """All distances (i, j, d, with i = j too) as a square, a row a line."""
+    rows = cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "d"))).alias("_c"))
+    line = F.array_join(F.transform("_c.d", lambda d: F.format_string("%.8e", d.cast("double"))), " ")
+    _ordered(rows.select(F.col("i").cast("long").alias("_n"), line.alias("value")), path, str(n))
+
+
+def sink_lists(levels: DataFrame, block: str, path: str) -> None:
+    """The lines of clusters (folder list) and of their sizes (folder otu) of each block's cuts (block, level, cutoff,
+    cluster, members), a folder a block."""
+    from ..operators.cluster import list_lines
+
+    lines = list_lines(levels, block).repartitionByRange(block).sortWithinPartitions(block, "level")
+    for name in ("list", "otu"):
+        lines.select(block, F.col(name).alias("value")).write.mode("overwrite").partitionBy(block).text(f"{path}/{name}")
+
+
 def sink_levels(levels: DataFrame, path: str) -> None:
     """A list file of cuts (level, cutoff, cluster, members)."""
     one = levels.groupBy("level", "cutoff").agg(F.sort_array(F.collect_list(F.struct("cluster", "members"))).alias("_c"))
@@ -48,6 +103,18 @@ def sink_levels(levels: DataFrame, path: str) -> None:
     _ordered(one.select(F.col("level").alias("_n"), text.alias("value")), path)
 
 
+def sink_sizes(levels: DataFrame, path: str) -> None:
+    """The table of cluster sizes of cuts (level, cutoff, cluster, members): cutoff, clusters, sizes."""
+    one = levels.groupBy("level", "cutoff").agg(F.sort_array(F.collect_list(F.struct("cluster", F.size("members").alias("n")))).alias("_c"))
+    text = F.concat_ws(" ", F.format_string("%f", "cutoff"), F.size("_c").cast("string"), F.array_join(F.col("_c.n").cast("array<string>"), " "))
+    _ordered(one.select(F.col("level").alias("_n"), text.alias("value")), path)
+
+
+def sink_tree(trees: DataFrame, path: str) -> None:
+    """A Newick tree a line (tree), by order of block."""
+    write_whole(trees.orderBy(trees.columns[0]).select("tree"), path)
+
+
 def sink_mapping(mapping: DataFrame, path: str) -> None:
     _ordered(mapping.select(F.col("ord").alias("_n"), F.concat_ws(" ", "rep", F.array_join("members", ",")).alias("value")), path)
 
@@ -78,6 +145,17 @@ def sink_split(split: DataFrame, path: str) -> None:
     split.write.mode("overwrite").partitionBy("sample").parquet(path)
 
 
+def sink_split_raw(split: DataFrame, path: str) -> None:
+    """The reads of each sample (sample, ord, read_id, clip, flows, and file where reads are of several) as raw records
+    behind a line with their number, a folder a sample. Samples are dealt by ranges, so a large one is many parts."""
+    place = F.struct(*(c for c in ("file", "ord") if c in split.columns))
+    record = F.concat(F.lit(">"), "read_id", F.lit("\n"), F.concat_ws(" ", F.col("clip").cast("string"), flows_to_string("flows")))
+    rows = split.select("sample", F.lit(1).alias("_k"), place.alias("_n"), record.alias("value"))
+    heads = split.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).select("sample", F.lit(0).alias("_k"), F.lit(None).cast(rows.schema["_n"].dataType).alias("_n"), F.concat_ws(" ", F.col("n").cast("string"), F.lit("-"), "sample").alias("value"))
+    lines = heads.unionByName(rows).repartitionByRange("sample", "_k", "_n").sortWithinPartitions("sample", "_k", "_n")
+    lines.select("sample", "value").write.mode("overwrite").partitionBy("sample").text(path)
+
+
 def control_rows(counts: DataFrame, barcodes: DataFrame, output_format: str = "raw") -> DataFrame:
     """sample, control: a JSON description of each split."""
     joined = counts.join(barcodes.withColumnRenamed("name", "sample"), "sample")

@@ -1,5 +1,6 @@
-"""Readers of the text formats. Records are split by Spark's text source, so large files are read in parallel; the
-order in a file is kept as ord."""
+"""Readers of the text formats. Records are split by Spark's text source, so large files are read in parallel. A path
+may be a file, a folder or a pattern: files follow each other by name, and the order in them is kept as ord. A folder
+that a writer of this package made is one file in parts; files with headers of their own may stand side by side too."""
 
 from __future__ import annotations
 
@@ -9,17 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.flows import cast_hundredths
 from ..functions.sequences import accepted, read_weight
-from ..operators.ordinals import with_ordinal
+from ..operators.ordinals import scan_ordinals, with_ordinal
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return with_ordinal(spark.read.text(path), "_line").withColumnRenamed("value", "_v")
+    return with_ordinal(spark.read.text(path), "_line", scan=True).withColumnRenamed("value", "_v")
 
 
 def _records(spark: SparkSession, path: str, mark: str = ">") -> DataFrame:
-    """Text between marks, in order, without what stands before the first."""
-    whole = with_ordinal(spark.read.option("lineSep", mark).text(path), "_n")
-    return whole.where(F.col("_n") > 0).select((F.col("_n") - 1).alias("ord"), F.col("value").alias("_v"))
+    """Text between marks, in order, without what stands before the first of each file."""
+    whole = scan_ordinals(spark.read.option("lineSep", mark).text(path))
+    return whole.where(F.col("_line") > 0).select((F.col("_total") - F.col("_nth") - 1).alias("ord"), F.col("value").alias("_v"))
 
 
 def _tokens(column: str) -> F.Column:
@@ -41,7 +42,12 @@ def raw_header(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_dat(spark: SparkSession, path: str, ids: bool = True, exact: bool = True) -> DataFrame:
     """ord, read_id (the ordinal without ids), len, flows."""
-    rows = _lines(spark, path).where((F.col("_line") > 0) & (F.trim("_v") != "")).select((F.col("_line") - 1).alias("ord"), _tokens("_v").alias("t"))
+    lines = scan_ordinals(spark.read.text(path)).where(F.trim("value") != "")
+    # a file's first line of two whole numbers is its header; the parts of one file but the first have none
+    head = (F.col("_line") == 0) & F.col("value").rlike(r"^\s*\d+\s+\d+\s*$")
+    lines = lines.withColumn("_head", head)
+    heads = lines.groupBy("_nth").agg(F.max(F.col("_head").cast("int")).alias("_h")).select("_nth", F.sum("_h").over(Window.orderBy("_nth")).alias("_heads"))  # a row a file
+    rows = lines.where("NOT _head").join(F.broadcast(heads), "_nth").select((F.col("_total") - F.col("_heads")).alias("ord"), _tokens("value").alias("t"))
     skip = 1 if ids else 0
     values = F.transform(F.slice("t", skip + 2, F.greatest(F.size("t") - skip - 1, F.lit(0))), lambda x: x.try_cast("double"))
     name = F.get("t", F.lit(0)) if ids else F.col("ord").cast("string")
@@ -60,12 +66,13 @@ def scan_fasta(spark: SparkSession, path: str, alphabet: str | None = None) -> D
 def scan_sffinfo(spark: SparkSession, path: str) -> DataFrame:
     """ord, read_id, n_bases, clip_left, clip_right, flows, flow_indexes, bases, quals, clip (the flow of the last base
     kept) of a text dump. Reads whose number of flows is not the header's, or that lack a line, are left out."""
-    whole = with_ordinal(spark.read.option("lineSep", "\n>").text(path), "_n")
+    whole = scan_ordinals(spark.read.option("lineSep", "\n>").text(path)).withColumn("value", F.regexp_replace("value", "^>", ""))
+    whole = whole.withColumn("_header", F.col("value").rlike("^\\s*Common Header"))
     line = lambda name, kind: F.regexp_extract("value", f"(?m)^\\s*{name}:[ \\t]*(.*)$", 1).cast(kind)
     numbers = lambda name, kind: F.transform(F.filter(F.split(F.trim(line(name, "string")), r"\s+"), lambda x: x != ""), lambda x: x.try_cast(kind))
-    head = whole.where("_n = 0").select(line("# of Flows", "string").try_cast("int").alias("_flows"))
-    rows = whole.where("_n > 0").select(
-        (F.col("_n") - 1).alias("ord"), F.get(F.split("value", r"\s+"), F.lit(0)).alias("read_id"), line("# of Bases", "string").try_cast("int").alias("n_bases"), line("Clip Qual Left", "string").try_cast("int").alias("clip_left"),
+    head = whole.where("_total = 0").select(line("# of Flows", "string").try_cast("int").alias("_flows"))
+    rows = whole.where("NOT _header").select(
+        (F.col("_total") - 1).alias("ord"), F.get(F.split("value", r"\s+"), F.lit(0)).alias("read_id"), line("# of Bases", "string").try_cast("int").alias("n_bases"), line("Clip Qual Left", "string").try_cast("int").alias("clip_left"),
         line("Clip Qual Right", "string").try_cast("int").alias("clip_right"), cast_hundredths(numbers("Flowgram", "double")).alias("flows"), numbers("Flow Indexes", "int").alias("flow_indexes"), F.trim(line("Bases", "string")).alias("bases"), numbers("Quality Scores", "int").alias("quals"),
     )
     good = rows.join(F.broadcast(head), F.size("flows") == F.col("_flows")).where("clip_right IS NOT NULL AND size(flow_indexes) > 0").drop("_flows")
@@ -126,6 +133,13 @@ def scan_mapping(spark: SparkSession, path: str, stem: str | None = None) -> Dat
     return rows.select("ord", F.get("t", F.lit(0)).alias("rep"), F.concat_ws("_", F.lit(stem), F.col("ord").cast("string"), total.cast("string")).alias("name"), members.alias("members"))
 
 
+def scan_seqnoise_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """cluster_id, members (in their order) of lines of a name and a list: the first of equal names counts."""
+    rows = _lines(spark, path).where(F.trim("_v") != "").select("_line", _tokens("_v").alias("t"))
+    named = rows.select("_line", F.get("t", F.lit(0)).alias("cluster_id"), F.filter(F.split(F.coalesce(F.get("t", F.lit(1)), F.lit("")), ","), lambda x: x != "").alias("members"))
+    return named.groupBy("cluster_id").agg(F.max_by("members", "_line").alias("members"))
+
+
 def scan_noise_dir(spark: SparkSession, pattern: str) -> DataFrame:
     """cluster_id, members from one FASTA file a cluster: the first record names it."""
     return noise_clusters(spark.read.text(pattern, wholetext=True))
@@ -186,8 +200,8 @@ def _branch(text: str, at: int) -> tuple[int, float]:
 
 
 def scan_newick(spark: SparkSession, path: str) -> DataFrame:
-    """parent, child, branch; one tree is one value, parsed where it is read."""
-    rows = spark.read.text(path, wholetext=True).mapInPandas(_trees, "parent string, child string, branch double")
+    """parent, child, branch of all trees under path; a tree is one value, parsed where it is read."""
+    rows = spark.read.option("lineSep", ";").text(path).where(F.trim(F.regexp_replace("value", r"\s", "")) != "").mapInPandas(_trees, "parent string, child string, branch double")
     return rows
 
 
@@ -236,7 +250,3 @@ def scan_classes(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="otu string, lineage string")
-
-
-def number_rows(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)
