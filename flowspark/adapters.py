@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.ordinals import with_ordinal
-from .operators.stage import staged
-
 LETTERS, DNA = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
 #: Flows of the key in front of each read.
 KEY_FLOWS = [100, 0, 100, 0, 0, 100, 0, 100]
@@ -17,73 +14,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reads(spark: SparkSession, sf_dir: str, by_label: bool = False) -> DataFrame:
-    """ord, read_id, block, clip, len, flows (64 hundredths) from embeddings. Blocks are 50 ids, or with by_label the
-    rows of a label."""
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord, read_id, block (the rows of a label), clip, len, flows (64 hundredths) from embeddings."""
     flows = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000).cast("int"))
-    block = F.coalesce(F.col("label"), F.lit(-1)) if by_label else F.floor(F.col("vec_id") / 50)
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("ord"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("read_id"), F.concat(F.lit("b"), block.cast("string")).alias("block"),
+        F.col("vec_id").alias("ord"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("read_id"), F.concat(F.lit("b"), F.coalesce(F.col("label"), F.lit(-1)).cast("string")).alias("block"),
         (24 + F.col("vec_id") % 41).cast("int").alias("clip"), (24 + F.col("vec_id") % 41).cast("int").alias("len"), flows.alias("flows"),
     )
 
 
-READS = """reads AS (SELECT vec_id AS ord, 'v' || vec_id AS read_id, 'b' || (vec_id // 50) AS block, (24 + vec_id % 41)::INT AS clip, (24 + vec_id % 41)::INT AS len,
+READS = """reads AS (SELECT vec_id AS ord, 'v' || vec_id AS read_id, 'b' || COALESCE(label, -1) AS block, (24 + vec_id % 41)::INT AS clip, (24 + vec_id % 41)::INT AS len,
   list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 1000)::INT) AS flows FROM embeddings)"""
 
 
-#: The same by label.
-LABEL_READS = READS.replace("(vec_id // 50)", "COALESCE(label, -1)")
-
-
-def keyed_reads(spark: SparkSession, sf_dir: str, by_label: bool = False) -> DataFrame:
+def keyed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reads with the key's flows in front."""
-    return reads(spark, sf_dir, by_label).withColumn("flows", F.concat(F.array(*map(F.lit, KEY_FLOWS)), "flows"))
+    return reads(spark, sf_dir).withColumn("flows", F.concat(F.array(*map(F.lit, KEY_FLOWS)), "flows"))
 
 
 KEYED = READS + f""", keyed AS (SELECT * REPLACE (list_concat({KEY_FLOWS}, flows) AS flows) FROM reads)"""
 
 
-def _dna() -> F.Column:
-    return F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, DNA)
+def _dna(text: str) -> F.Column:
+    return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), LETTERS, DNA)
 
 
-def _sample() -> F.Column:
-    """The block of a document: its source and language."""
-    return F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))
+def _dna_sql(text: str) -> str:
+    return f"translate(upper(regexp_replace({text}, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{DNA}')"
 
 
-def seqs(spark: SparkSession, sf_dir: str, length: int | None = 60, by_sample: bool = False) -> DataFrame:
-    """ord, block, seq_id (<source>_<ord>_<weight>), weight, freq, seq from documents: the first length bases of each, or
-    all with None. Blocks are 40 ids, or with by_sample the documents of a source and language."""
-    dna = F.substring(_dna(), 1, length) if length else _dna()
-    block = _sample() if by_sample else F.concat(F.lit("s"), F.floor(F.col("doc_id") / 40).cast("string"))
+def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord, block (source and language), seq_id (<source>_<ord>_<weight>), weight, freq, seq (all bases of the text) from
+    documents."""
     weight = 1 + F.col("doc_id") % 5
+    block = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"), block.alias("block"), F.concat_ws("_", "source", F.col("doc_id").cast("string"), weight.cast("string")).alias("seq_id"),
-        weight.cast("double").alias("weight"), weight.cast("double").alias("freq"), dna.alias("seq"),
+        weight.cast("double").alias("weight"), weight.cast("double").alias("freq"), _dna("text").alias("seq"),
     )
 
 
-SEQS = f"""seqs AS (SELECT doc_id AS ord, 's' || (doc_id // 40) AS block, concat_ws('_', source, doc_id, 1 + doc_id % 5) AS seq_id, (1 + doc_id % 5)::DOUBLE AS weight, (1 + doc_id % 5)::DOUBLE AS freq,
-  substr(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{DNA}'), 1, 60) AS seq FROM documents)"""
+SEQS = f"""seqs AS (SELECT doc_id AS ord, COALESCE(source, '') || '/' || COALESCE(lang, '') AS block, concat_ws('_', source, doc_id, 1 + doc_id % 5) AS seq_id, (1 + doc_id % 5)::DOUBLE AS weight, (1 + doc_id % 5)::DOUBLE AS freq,
+  {_dna_sql("text")} AS seq FROM documents)"""
 
 
-#: The same by source and language, and with all bases.
-SAMPLE_SEQS = SEQS.replace("'s' || (doc_id // 40)", "COALESCE(source, '') || '/' || COALESCE(lang, '')")
-WHOLE_SEQS = SEQS.replace("substr(translate(", "translate(").replace(", 1, 60) AS seq", " AS seq")
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord, block (brand and type), seq_id (<brand>_<part>_<size>), weight, freq, seq (all bases of the name) from part:
+    short sequences with many copies, for what is quadratic in a block."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ord"), F.concat_ws("/", "p_brand", "p_type").alias("block"), F.concat_ws("_", "p_brand", F.col("p_partkey").cast("string"), F.col("p_size").cast("string")).alias("seq_id"),
+        F.col("p_size").cast("double").alias("weight"), F.col("p_size").cast("double").alias("freq"), _dna("p_name").alias("seq"),
+    )
 
 
-def parts(spark: SparkSession, sf_dir: str, length: int = 60) -> DataFrame:
-    """seqs of all bases of the documents, as reads of length bases (the last of a text has the rest; a text without
-    letters is one empty read). seq_id is <source>_<doc_id>_<read>_<weight>. Reads are numbered by block, document and
-    place, so a block's ordinals stand together. Blocks are sources and languages."""
-    weight = 1 + F.col("doc_id") % 5
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", _sample().alias("block"), F.coalesce(_dna(), F.lit("")).alias("_dna"))
-    last = F.greatest(F.ceil(F.length("_dna") / length) - 1, F.lit(0)).cast("int")
-    rows = rows.withColumn("_read", F.explode(F.sequence(F.lit(0), last))).withColumn("seq", F.col("_dna").substr(F.col("_read") * length + 1, F.lit(length))).drop("_dna")
-    rows = with_ordinal(staged(rows.orderBy("block", "doc_id", "_read", "seq", "source")))
-    return rows.select("ord", "block", F.concat_ws("_", "source", F.col("doc_id").cast("string"), F.col("_read").cast("string"), weight.cast("string")).alias("seq_id"), weight.cast("double").alias("weight"), weight.cast("double").alias("freq"), "seq")
+TAGS = f"""tags AS (SELECT p_partkey AS ord, concat_ws('/', p_brand, p_type) AS block, concat_ws('_', p_brand, p_partkey, p_size) AS seq_id, p_size::DOUBLE AS weight, p_size::DOUBLE AS freq, {_dna_sql("p_name")} AS seq FROM part)"""
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The queries over the driver's tables, and their SQL."""
+"""The queries over the test tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as ad
+from . import oracles
 from .functions import flows as fl
 from .functions import kernels as K
 from .functions import sequences as sq
 from .operators import chimera, clean, cluster, em, mapping, ordinals, otu, pairs, split, unique
-from .operators.stage import staged
+from .operators.stage import shared_folder, staged
 from .plans import pipelines
 from .sources import sff, sinks, text
 
@@ -31,10 +32,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/flowspark"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _text(array) -> F.Column:
@@ -176,27 +174,9 @@ def strip_primer(spark, d) -> DataFrame:
     return ad.seqs(spark, d).select("ord", sq.strip_primer("seq", "RY").alias("seq"))
 
 
-_SW = f"WITH {ad.WHOLE_SEQS} SELECT ord, "
-
-
-@query(_SW + "substr(regexp_extract(seq, 'CA(.*)', 1), 1, 15) AS seq FROM seqs")
-def parse_tag_whole(spark, d) -> DataFrame:
-    return ad.seqs(spark, d, None).select("ord", sq.parse_tag("seq", "GCA", 15).alias("seq"))
-
-
-@query(_SW + "regexp_replace(seq, '^[AG][CT]', '') AS seq FROM seqs")
-def strip_primer_whole(spark, d) -> DataFrame:
-    return ad.seqs(spark, d, None).select("ord", sq.strip_primer("seq", "RY").alias("seq"))
-
-
-@query("""SELECT p_partkey AS ord, array_to_string(list_transform(string_split(upper(substr(p_name, 1, 12)), ''), lambda c: CASE c WHEN 'R' THEN '[AG]' WHEN 'Y' THEN '[CT]' WHEN 'K' THEN '[GT]' WHEN 'M' THEN '[AC]'
+@query("""SELECT p_partkey AS ord, array_to_string(list_transform(string_split(upper(p_name), ''), lambda c: CASE c WHEN 'R' THEN '[AG]' WHEN 'Y' THEN '[CT]' WHEN 'K' THEN '[GT]' WHEN 'M' THEN '[AC]'
   WHEN 'S' THEN '[CG]' WHEN 'W' THEN '[AT]' WHEN 'B' THEN '[CGT]' WHEN 'D' THEN '[AGT]' WHEN 'H' THEN '[ACT]' WHEN 'V' THEN '[ACG]' WHEN 'N' THEN '[ACGT]' ELSE c END), '') AS pattern FROM part""")
 def iupac_pattern(spark, d) -> DataFrame:
-    return ad.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), sq.iupac_column(F.substring("p_name", 1, 12)).alias("pattern"))
-
-
-@query(SQL["iupac_pattern"].replace("substr(p_name, 1, 12)", "p_name"))
-def iupac_pattern_whole(spark, d) -> DataFrame:
     return ad.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), sq.iupac_column("p_name").alias("pattern"))
 
 
@@ -275,12 +255,12 @@ def top_k(spark, d) -> DataFrame:
     return split.split_counts(_split(spark, d), 3)
 
 
-_KEYED_SQL = f"WITH {ad.SEQS}, {_BASES}, tagged AS (SELECT ord, regexp_extract(substr(bases, 1, 12), '^TCAG(\\w*)CA', 1) AS tag FROM bases WHERE regexp_matches(substr(bases, 1, 12), '^TCAG(\\w*)CA'))"
+_KEYED_SQL = f"WITH {ad.SEQS}, {_BASES}, tagged AS (SELECT ord, regexp_extract(bases, '^TCAG(\\w*)CA', 1) AS tag FROM bases WHERE regexp_matches(bases, '^TCAG(\\w*)CA'))"
 
 
 def _by_key(spark, d):
     keys = spark.createDataFrame([("k1", ""), ("k2", "A"), ("k3", "AC"), ("k4", "GC")], "name string, tag string")
-    rows = ad.seqs(spark, d).select("ord", F.substring(F.concat(F.lit(fl.KEY), "seq"), 1, 12).alias("bases"))
+    rows = ad.seqs(spark, d).select("ord", F.concat(F.lit(fl.KEY), "seq").alias("bases"))
     return split.split_by_key(rows, keys, "CA")
 
 
@@ -294,25 +274,6 @@ def split_by_key_rejects(spark, d) -> DataFrame:
     return _by_key(spark, d)[1].select("ord", "tag")
 
 
-def _by_key_whole(spark, d):
-    keys = spark.createDataFrame([("k1", ""), ("k2", "A"), ("k3", "AC"), ("k4", "GC")], "name string, tag string")
-    return split.split_by_key(ad.seqs(spark, d, None).select("ord", F.concat(F.lit(fl.KEY), "seq").alias("bases")), keys, "CA")
-
-
-_whole_bases = lambda name: SQL[name].replace(ad.SEQS, ad.WHOLE_SEQS).replace("substr(bases, 1, 12)", "bases")
-
-
-@query(_whole_bases("split_by_key"))
-def split_by_key_whole(spark, d) -> DataFrame:
-    """By the last primer of all bases. split_by_key is held to its SQL's first 12."""
-    return _by_key_whole(spark, d)[0].select("ord", "tag", "sample")
-
-
-@query(_whole_bases("split_by_key_rejects"))
-def split_by_key_rejects_whole(spark, d) -> DataFrame:
-    return _by_key_whole(spark, d)[1].select("ord", "tag")
-
-
 # ---------------------------------------------------------------- pairs
 
 
@@ -322,28 +283,24 @@ def mean_flow_dist(spark, d) -> DataFrame:
     return pairs.mean_abs_distances(ad.reads(spark, d), "block")
 
 
-@query(SQL["mean_flow_dist"].replace(ad.READS, ad.LABEL_READS))
-def mean_flow_dist_whole(spark, d) -> DataFrame:
-    """By label. mean_flow_dist is held to its SQL's blocks of 50 ids."""
-    return pairs.mean_abs_distances(ad.reads(spark, d, True), "block")
-
-
 def _mismatches(a, b):
     import numpy as np
 
-    x, y = (np.array([list(s.ljust(60, ".").encode()) for s in t], np.uint8) for t in (a, b))
-    return ((x != y).sum(axis=1) / 60).round(9)
+    x, y = (np.array([list(s.ljust(20, ".").encode()) for s in t], np.uint8) for t in (a, b))
+    return ((x != y).sum(axis=1) / 20).round(9)
+
 
+_MISMATCHES = "SELECT a.block, a.ord AS i, b.ord AS j, round(1.0::DOUBLE * hamming(rpad(a.seq, 20, '.'), rpad(b.seq, 20, '.')) / 20, 9) AS d FROM tags a JOIN tags b ON a.block = b.block AND "
 
-@query(f"WITH {ad.SEQS} SELECT a.block, a.ord AS i, b.ord AS j, round(1.0::DOUBLE * hamming(rpad(a.seq, 60, '.'), rpad(b.seq, 60, '.')) / 60, 9) AS d FROM seqs a JOIN seqs b ON a.block = b.block AND b.ord < a.ord")
+
+@query(f"WITH {ad.TAGS} {_MISMATCHES} b.ord < a.ord")
 def all_pairs(spark, d) -> DataFrame:
-    return pairs.all_pairs(ad.seqs(spark, d), "seq", _mismatches, "block")
+    return pairs.all_pairs(ad.tags(spark, d), "seq", _mismatches, "block")
 
 
-@query()
-def all_pairs_whole(spark, d) -> DataFrame:
-    """Of all reads of the texts. all_pairs is held to its SQL's first 60 bases."""
-    return pairs.all_pairs(ad.parts(spark, d), "seq", _mismatches, "block")
+@query(f"WITH {ad.TAGS} {_MISMATCHES} b.ord <> a.ord")
+def all_pairs_full(spark, d) -> DataFrame:
+    return pairs.all_pairs(ad.tags(spark, d), "seq", _mismatches, "block", full=True)
 
 
 @query(f"WITH {ad.SEQS} SELECT a.block, a.ord AS i, b.ord AS j FROM seqs a JOIN seqs b ON a.block = b.block AND b.freq >= a.freq AND a.ord <> b.ord")
@@ -351,12 +308,6 @@ def parent_candidates(spark, d) -> DataFrame:
     return chimera.parent_candidates(ad.seqs(spark, d), "block")
 
 
-@query(SQL["parent_candidates"].replace(ad.SEQS, ad.SAMPLE_SEQS))
-def parent_candidates_whole(spark, d) -> DataFrame:
-    """By source and language. parent_candidates is held to its SQL's blocks of 40 ids."""
-    return chimera.parent_candidates(ad.seqs(spark, d, None, True), "block")
-
-
 @query("SELECT l_orderkey AS i, arg_min(l_linenumber, (l_quantity, l_linenumber)) AS j, min(l_quantity) AS n_diff FROM lineitem GROUP BY 1")
 def best_hit(spark, d) -> DataFrame:
     rows = ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("n_diff"))
@@ -376,83 +327,77 @@ def flow_dist(spark, d) -> DataFrame:
     return pairs.flow_distances(ad.reads(spark, d), None, "block").select("block", "i", "j", F.round("d", 6).alias("d"))
 
 
-@query(SQL["flow_dist"].replace(ad.READS, ad.LABEL_READS))
-def flow_dist_whole(spark, d) -> DataFrame:
-    return pairs.flow_distances(ad.reads(spark, d, True), None, "block").select("block", "i", "j", F.round("d", 6).alias("d"))
+_TAGS = f"WITH RECURSIVE {ad.TAGS}, "
+_COSTED = _TAGS + oracles.alignment("tags", K.SEQUENCE_GAP, K.HOMOPOLYMER_GAP, oracles.costs(K.default_costs()))
+_COSTED_ONE_SIDED = _TAGS + oracles.alignment("tags", K.SEQUENCE_GAP, K.HOMOPOLYMER_GAP, oracles.costs(K.default_costs()), free_left=False, ordered=True)
+_ALIGNED = _TAGS + oracles.alignment("tags", K.GAP)
 
 
-@query()
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select("block", "i", "j", F.round("d", 9).alias("d"))
+
+
+@query(f"{_ALIGNED}, {oracles.IDENTITY}")
 def nw_identity(spark, d) -> DataFrame:
-    return pairs.identity_distances(ad.parts(spark, d), "block")
+    return _rounded(pairs.identity_distances(ad.tags(spark, d), "block"))
 
 
-@query()
+@query(f"{_COSTED} {oracles.SCORE}")
 def nw_homopolymer(spark, d) -> DataFrame:
-    return pairs.sequence_distances(ad.parts(spark, d), None, "block")
+    return _rounded(pairs.sequence_distances(ad.tags(spark, d), None, "block"))
 
 
-@query()
+@query(f"{_COSTED_ONE_SIDED} {oracles.SCORE_ONE_SIDED}")
 def nw_homopolymer_asym(spark, d) -> DataFrame:
-    return pairs.sequence_distances(ad.parts(spark, d, 40), None, "block", asymmetric=True)
+    return _rounded(pairs.sequence_distances(ad.tags(spark, d), None, "block", asymmetric=True))
 
 
-@query()
+@query(f"{_ALIGNED}, {oracles.DIFFS}")
 def nw_diff(spark, d) -> DataFrame:
-    import numpy as np
+    return pairs.differences(ad.tags(spark, d), "block").select("block", "i", "j", "n_diff", _text("d").alias("d"), _text("r").alias("r"))
+
+
+@query(SQL["nw_diff"].replace("SELECT block, i, j, n_diff::INT AS n_diff, array_to_string(d, ',') AS d, array_to_string(r, ',') AS r FROM v", "SELECT block, i, j, k::INT AS base, d[k + 1]::INT AS d, r[k + 1]::INT AS r FROM v, unnest(range(0, len(d))) u(k)"))
+def cumulative_diffs(spark, d) -> DataFrame:
+    """The differences up to each base, from both ends."""
+    rows = pairs.differences(ad.tags(spark, d), "block")
+    return rows.select("block", "i", "j", F.posexplode(F.arrays_zip("d", "r")).alias("base", "c")).select("block", "i", "j", "base", "c.d", "c.r")
 
-    return pairs.all_pairs(ad.parts(spark, d), "seq", lambda a, b: np.array([float(x["n_diff"]) for x in K.nw_diff(a, b)]), "block")
 
+_SQUARE = "x AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ord, round(abs(embedding[1]::DOUBLE), 4) AS x FROM embeddings)"
 
-@query("SELECT greatest(l_partkey, l_suppkey) AS i, least(l_partkey, l_suppkey) AS j, round(avg(l_discount), 9) AS d FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
+
+@query(f"WITH {_SQUARE}, v AS (SELECT a.ord AS i, b.ord AS j, round(abs(2 * a.x - b.x), 4)::FLOAT AS v FROM x a JOIN x b ON a.ord <> b.ord) SELECT a.i, a.j, round(((a.v::DOUBLE + b.v::DOUBLE) / 2)::FLOAT::DOUBLE, 6) AS d FROM v a JOIN v b ON a.i = b.j AND a.j = b.i AND a.j < a.i")
 def scan_dist_full(spark, d) -> DataFrame:
-    rows = ad.table(spark, d, "lineitem").where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_discount").alias("d"))
-    return pairs.symmetrise(rows).select("i", "j", F.round("d", 9).alias("d"))
+    """A square file that is not symmetric, read as the mean of both directions."""
+    x = _numbered_values(spark, d)
+    cells = x.alias("a").crossJoin(x.alias("b")).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.when(F.col("a.ord") == F.col("b.ord"), 0.0).otherwise(F.round(F.abs(2 * F.col("a.x") - F.col("b.x")), 4)).alias("d"))
+    path = _folder(spark, "square")
+    sinks.sink_square(cells, x.count(), path)
+    return text.scan_dist(spark, path, full=True).select("i", "j", F.round(F.col("d").cast("double"), 6).alias("d"))
 
 
 # ---------------------------------------------------------------- distinct
 
 
-_UNIQUE = f"""WITH {ad.READS}, p AS (SELECT ord, len, array_to_string(list_transform(flows[1:4], lambda x: ((x + 50) // 100)::INT), ',') AS pattern FROM reads),
+_UNIQUE = f"""WITH {ad.READS}, p AS (SELECT ord, len, array_to_string(list_transform(flows, lambda x: ((x + 50) // 100)::INT), ',') AS pattern FROM reads),
 u AS (SELECT pattern, min(ord) AS first_ord, arg_min(len, ord) AS len_u, count(*) AS weight FROM p GROUP BY 1)"""
 
 
 @query(_UNIQUE + " SELECT row_number() OVER (ORDER BY first_ord) - 1 AS u_id, pattern, first_ord, len_u, weight FROM u")
 def calc_unique(spark, d) -> DataFrame:
-    rows = unique.calc_unique(ad.reads(spark, d).withColumn("flows", F.slice("flows", 1, 4)))
-    return rows.select(F.col("u_id").cast("long").alias("u_id"), _text("pattern").alias("pattern"), "first_ord", "len_u", "weight")
-
-
-_EXACT = f"""WITH {ad.SEQS}, s AS (SELECT seq, max(ord) AS ord, arg_max(seq_id, ord) AS seq_id FROM seqs GROUP BY seq),
-r AS (SELECT s.seq, s.ord, s.seq_id FROM s) SELECT a.ord, a.seq_id, r.ord AS rep_ord, r.seq_id AS rep_id FROM seqs a JOIN r USING (seq)
-WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.seq <> a.seq AND (starts_with(t.seq, a.seq) OR starts_with(a.seq, t.seq)))"""
-
-
-@query(SQL["calc_unique"].replace("flows[1:4]", "flows"))
-def calc_unique_whole(spark, d) -> DataFrame:
-    """By all flows. calc_unique is held to its SQL's first 4."""
     return unique.calc_unique(ad.reads(spark, d)).select(F.col("u_id").cast("long").alias("u_id"), _text("pattern").alias("pattern"), "first_ord", "len_u", "weight")
 
 
-@query()
+@query(f"WITH RECURSIVE {ad.SEQS}, {oracles.greedy('seqs')} SELECT ord, seq_id, rep_ord, rep_id FROM done")
 def fasta_unique(spark, d) -> DataFrame:
-    return unique.fasta_unique(ad.seqs(spark, d, None))
+    return unique.fasta_unique(ad.seqs(spark, d))
 
 
-@query(_EXACT)
+@query(f"WITH RECURSIVE {ad.SEQS}, {oracles.greedy('seqs')} SELECT rep_ord, rep_id, count(*) AS n, string_agg(ord, ',' ORDER BY ord) AS members FROM done GROUP BY ALL")
 def prefix_collapse(spark, d) -> DataFrame:
-    """Of the collapse, the sequences that neither extend others nor are extended."""
-    rows = ad.seqs(spark, d)
-    done = unique.fasta_unique(rows)
-    alone = done.join(rows.select("ord", "seq"), "ord").join(rows.select(F.col("ord").alias("rep_ord"), F.col("seq").alias("_rep")), "rep_ord")
-    texts = rows.groupBy("seq").agg(F.max("ord").alias("_o")).withColumn("_b", F.substring("seq", 1, 1))
-    near = texts.alias("a").join(texts.alias("b"), (F.col("a._b") == F.col("b._b")) & (F.col("a.seq") != F.col("b.seq")) & (F.col("a.seq").startswith(F.col("b.seq")) | F.col("b.seq").startswith(F.col("a.seq")))).select(F.col("a.seq").alias("seq")).distinct()
-    return alone.join(near, "seq", "left_anti").select("ord", "seq_id", "rep_ord", "rep_id")
-
-
-@query()
-def prefix_collapse_whole(spark, d) -> DataFrame:
-    """The whole collapse of whole texts; the greedy order has no SQL."""
-    return unique.fasta_unique(ad.seqs(spark, d, None)).select("ord", "seq_id", "rep_ord", "rep_id")
+    """What collapses into each text, as a map is written."""
+    return unique.unique_map(unique.fasta_unique(ad.seqs(spark, d))).select("rep_ord", "rep_id", "n", _text("members").alias("members"))
 
 
 # ---------------------------------------------------------------- mappings
@@ -493,25 +438,7 @@ def redup(spark, d) -> DataFrame:
     return mapping.redup(rows, _inner(spark, d).drop("ord"))
 
 
-_LEVELS = "SELECT o_custkey % 5 AS level, o_custkey AS cluster, o_orderkey AS member FROM orders"
-
-
 def _levels(spark, d) -> DataFrame:
-    return _outer(spark, d).select((F.col("ord") % 5).cast("int").alias("level"), F.col("ord").alias("cluster"), F.col("member_ords").alias("members"))
-
-
-@query("SELECT o_custkey AS otu, string_agg('r' || o_orderkey, ',' ORDER BY o_orderkey) AS reads FROM orders WHERE o_custkey % 5 = 2 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
-def list_to_reads(spark, d) -> DataFrame:
-    names = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("member"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("read"))
-    return mapping.list_to_reads(_levels(spark, d), names, 2).select("otu", _text("reads").alias("reads"))
-
-
-@query("SELECT o_custkey AS cluster, o_orderkey AS member FROM orders WHERE o_custkey % 5 = 3 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
-def scan_list(spark, d) -> DataFrame:
-    return mapping.scan_list(_levels(spark, d), 0.03)
-
-
-def _levels_whole(spark, d) -> DataFrame:
     """Five cuts of all customers: at level k, k + 1 neighbours are one cluster."""
     levels = spark.range(5).select(F.col("id").cast("int").alias("level"))
     rows = _outer(spark, d).select(F.col("ord"), "member_ords").crossJoin(F.broadcast(levels)).groupBy("level", F.expr("ord div (level + 1)").alias("cluster"))
@@ -519,15 +446,17 @@ def _levels_whole(spark, d) -> DataFrame:
 
 
 @query("SELECT o_custkey // 3 AS otu, string_agg('r' || o_orderkey, ',' ORDER BY o_orderkey) AS reads FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
-def list_to_reads_whole(spark, d) -> DataFrame:
-    """A level of cuts that each have all customers. list_to_reads is held to its SQL's fifth of them."""
+def list_to_reads(spark, d) -> DataFrame:
     names = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("member"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("read"))
-    return mapping.list_to_reads(_levels_whole(spark, d), names, 2).select("otu", _text("reads").alias("reads"))
+    return mapping.list_to_reads(_levels(spark, d), names, 2).select("otu", _text("reads").alias("reads"))
 
 
-@query("SELECT o_custkey // 4 AS cluster, o_orderkey AS member FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
-def scan_list_whole(spark, d) -> DataFrame:
-    return mapping.scan_list(_levels_whole(spark, d), 0.03)
+@query("SELECT (dense_rank() OVER (ORDER BY o_custkey // 4) - 1)::INT AS cluster, o_orderkey::VARCHAR AS member FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def scan_list(spark, d) -> DataFrame:
+    """A list file of five levels, of which the one with cutoff 0.03 is read."""
+    path = _folder(spark, "list")
+    sinks.sink_levels(_levels(spark, d).withColumn("cutoff", F.col("level") / 100), path)
+    return mapping.scan_list(text.scan_levels(spark, path), 0.03)
 
 
 # ---------------------------------------------------------------- aggregates, ranks, samples
@@ -596,7 +525,7 @@ def renumber(spark, d) -> DataFrame:
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS ord FROM customer")
 def ordinal_ids(spark, d) -> DataFrame:
     """Customers stand in the order of their keys in the file."""
-    return ordinals.with_ordinal(ad.table(spark, d, "customer")).select("c_custkey", "ord")
+    return ordinals.with_ordinal(ad.table(spark, d, "customer"), scan=True).select("c_custkey", "ord")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.09 OR l_tax > 0.05 THEN 0.0::DOUBLE ELSE round(1 / (1 + exp(-(-7.5 + 0.5 * l_quantity))), 9) END AS p FROM lineitem")
@@ -615,7 +544,7 @@ def good_class_filter(spark, d) -> DataFrame:
 
 @query("WITH n AS (SELECT count(*) AS n FROM customer), r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS ord FROM customer), s AS (SELECT (n - 7) // 4 AS size, (n - 7) % 4 AS rest FROM n) SELECT c_custkey, CASE WHEN ord - 7 < size + rest THEN 0 ELSE (ord - 7 - rest) // size END::INT AS chunk FROM r, s WHERE ord >= 7")
 def chunk(spark, d) -> DataFrame:
-    rows = ordinals.with_ordinal(ad.table(spark, d, "customer"))
+    rows = ordinals.with_ordinal(ad.table(spark, d, "customer"), scan=True)
     return mapping.chunk(rows, rows.count(), 4, 7).select("c_custkey", "chunk")
 
 
@@ -638,9 +567,10 @@ def dat_join(spark, d) -> DataFrame:
     return out.select((F.col("ord") % n).alias("ord"), F.col("ord").alias("new_ord"), "len", F.get("flows", F.lit(0)).alias("first"))
 
 
-@query("SELECT c_custkey FROM customer ORDER BY c_custkey")
-def sort_splits(spark, d) -> DataFrame:
-    return ad.table(spark, d, "customer").select("c_custkey").orderBy("c_custkey")
+@query("SELECT p_partkey AS ord, row_number() OVER (ORDER BY len(p_name), p_partkey) - 1 AS place FROM part")
+def len_cmp(spark, d) -> DataFrame:
+    rows = ad.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.length("p_name").alias("len"))
+    return ordinals.by_length(rows).select("ord", "place")
 
 
 # ---------------------------------------------------------------- formats: written, then read
@@ -667,29 +597,15 @@ def scan_fasta(spark, d) -> DataFrame:
     return text.scan_fasta(spark, path, "ACGT")
 
 
-@query(_SW + "seq_id, weight, seq FROM seqs")
-def scan_fasta_whole(spark, d) -> DataFrame:
-    """Of whole texts. scan_fasta is held to its SQL's first 60 bases."""
-    path = _folder(spark, "fasta")
-    sinks.sink_fasta(ad.seqs(spark, d, None), path, 25)
-    return text.scan_fasta(spark, path, "ACGT")
-
-
-@query("WITH a AS (SELECT vec_id AS i, round(abs(embedding[1]::DOUBLE), 4) AS x FROM embeddings WHERE vec_id < 60) SELECT a.i, b.i AS j, round(abs(a.x - b.x)::FLOAT::DOUBLE, 6) AS d FROM a JOIN a b ON b.i < a.i")
-def scan_dist(spark, d) -> DataFrame:
-    """A triangle of the first 60, as the format holds one number a pair."""
-    x = ad.table(spark, d, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("ord"), F.round(F.abs(F.get("embedding", F.lit(0)).cast("double")), 4).alias("x"))
-    rows = x.alias("a").join(x.alias("b"), F.col("b.ord") < F.col("a.ord")).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.abs(F.col("a.x") - F.col("b.x")).alias("d"))
-    path = _folder(spark, "dist")
-    sinks.sink_dist(rows, 60, path)
-    return text.scan_dist(spark, path).select("i", "j", F.round(F.col("d").cast("double"), 6).alias("d"))
+def _numbered_values(spark, d) -> DataFrame:
+    x = ad.table(spark, d, "embeddings").select("vec_id", F.round(F.abs(F.get("embedding", F.lit(0)).cast("double")), 4).alias("x"))
+    return staged(ordinals.with_ordinal(x.orderBy("vec_id")).select("ord", "x"))
 
 
 @query("WITH a AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, round(abs(embedding[1]::DOUBLE), 4) AS x FROM embeddings) SELECT a.i, b.i AS j, round(abs(a.x - b.x)::FLOAT::DOUBLE, 6) AS d FROM a JOIN a b ON b.i < a.i")
-def scan_dist_whole(spark, d) -> DataFrame:
-    """The triangle of all rows, by their ordinals in order of vec_id. scan_dist is held to its SQL's first 60."""
-    x = ad.table(spark, d, "embeddings").select("vec_id", F.round(F.abs(F.get("embedding", F.lit(0)).cast("double")), 4).alias("x"))
-    x = staged(ordinals.with_ordinal(staged(x.orderBy("vec_id"))))
+def scan_dist(spark, d) -> DataFrame:
+    """The triangle of all rows, by their ordinals in order of vec_id."""
+    x = _numbered_values(spark, d)
     rows = x.alias("a").join(x.alias("b"), F.col("b.ord") < F.col("a.ord")).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), F.abs(F.col("a.x") - F.col("b.x")).alias("d"))
     path = _folder(spark, "dist")
     sinks.sink_dist(rows, x.count(), path)
@@ -715,23 +631,14 @@ def scan_unique_map(spark, d) -> DataFrame:
 
 @query(_one("read_id, clip, array_to_string(flows, ',') AS flows"))
 def scan_sff(spark, d) -> DataFrame:
-    """Reads packed into SFF files of a block each, and unpacked."""
-    import pandas as pd
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [{"read_id": f"{r.ord} {r.read_id}", "clip_left": 0, "clip_right": int(r.clip), "flows": list(r.flows), "flow_index": [1] * int(r.clip), "bases": "A" * int(r.clip), "quals": [20] * int(r.clip)} for r in group.itertuples()]
-        return pd.DataFrame({"path": [group["block"].iat[0]], "content": [sff.build_sff(rows, "TACG" * 16)]})
-
-    def unpack(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                rows = sff.parse_sff(bytes(content))
-                yield pd.DataFrame({k: [r[k] for r in rows] for k in ("read_id", "clip_right", "flows", "flow_index")})
-
-    packed = ad.reads(spark, d).groupBy("block").applyInPandas(pack, "path string, content binary")
-    back = packed.mapInPandas(unpack, "read_id string, clip_right int, flows array<int>, flow_index array<int>")
-    place = F.split("read_id", " ")
-    return sff.sff_to_raw(back.withColumn("ord", F.get(place, F.lit(0)).cast("long")).withColumn("read_id", F.get(place, F.lit(1)))).select("ord", "read_id", "clip", _text("flows").alias("flows"))
+    """Reads in a binary file for each block, read back from all of them."""
+    path = _folder(spark, "sff")
+    ones = lambda n, v: F.array_repeat(F.lit(v), n)
+    rows = ad.reads(spark, d).withColumn("read_id", F.concat_ws(" ", F.col("ord").cast("string"), "read_id")).withColumns({"clip_left": F.lit(0), "clip_right": F.col("clip"), "flow_index": ones(F.col("clip"), 1), "quals": ones(F.col("clip"), 20), "bases": F.repeat(F.lit("A"), F.col("clip"))})
+    sff.sink_sff(rows, path if "://" in path else f"file://{path}", "block", "TACG" * 16).collect()  # a row a file
+    back = sff.sff_to_raw(sff.scan_sff(spark, f"{path}/*.sff"))
+    name = F.split("read_id", " ")
+    return back.select(F.get(name, F.lit(0)).cast("long").alias("ord"), F.get(name, F.lit(1)).alias("read_id"), "clip", _text("flows").alias("flows"))
 
 
 @query(_one("read_id, clip, array_to_string(flows, ',') AS flows"))
@@ -768,13 +675,67 @@ def scan_keyfile(spark, d) -> DataFrame:
     return text.scan_keyfile(spark, path)
 
 
-@query("SELECT 'o' || o_custkey AS cluster_id, string_agg('r' || o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY o_custkey")
+@query("SELECT 'n' || c_nationkey AS cluster_id, string_agg('c' || c_custkey, ',' ORDER BY c_custkey) AS members FROM customer GROUP BY c_nationkey")
 def scan_noise_dir(spark, d) -> DataFrame:
-    """Clusters as FASTA texts of their members, each read as a whole."""
+    """A FASTA file for each nation, its customers behind its own record."""
+    rows = ad.table(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_custkey")).alias("m"))
+    record = lambda name: F.concat(F.lit(">"), name, F.lit(" x\nACGT"))
+    body = F.concat(F.lit(">"), record(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))), F.lit("\n"), F.array_join(F.transform("m", lambda x: record(F.concat(F.lit("c"), x.cast("string")))), "\n"))
+    path = _folder(spark, "noise")
+    rows.select("c_nationkey", body.alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return text.scan_noise_dir(spark, f"{path}/*/*.txt").select("cluster_id", _text("members").alias("members"))
+
+
+@query("SELECT 'c' || o_custkey AS cluster_id, string_agg('o' || o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY o_custkey")
+def scan_seqnoise_mapping(spark, d) -> DataFrame:
     rows = ad.table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("m"))
-    record = lambda name: F.concat(F.lit(">"), name, F.lit(" x\nACGT\n"))
-    body = F.concat(F.lit(">"), record(F.concat(F.lit("o"), F.col("o_custkey").cast("string"))), F.array_join(F.transform("m", lambda x: record(F.concat(F.lit("r"), x.cast("string")))), ""))
-    return text.noise_clusters(rows.select(body.alias("value"))).select("cluster_id", _text("members").alias("members"))
+    line = F.concat_ws("\t", F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.array_join(F.transform("m", lambda x: F.concat(F.lit("o"), x.cast("string"))), ","))
+    path = _folder(spark, "names")
+    rows.select(line).write.text(path)
+    return text.scan_seqnoise_mapping(spark, path).select("cluster_id", _text("members").alias("members"))
+
+
+@query("WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, round(p_retailprice, 2) AS v, count(*) OVER () // 10 AS w FROM part) SELECT (k // w)::INT AS s, (k % w - 1)::INT AS bin, round(v, 4) AS nll FROM p WHERE k < 10 * w")
+def scan_lookup(spark, d) -> DataFrame:
+    """The prices of all parts as ten blocks of a table of signals; bin -1 is the prior."""
+    prices = ad.table(spark, d, "part").select(F.col("p_partkey").alias("_n"), F.format_string("%.4f", "p_retailprice").alias("value"))
+    path = _folder(spark, "lookup")
+    sinks._ordered(prices, path)
+    table, priors = text.scan_lookup(spark, path, prices.count() // 10 - 1)
+    rows = [(s, -1, float(priors[s])) for s in range(10)] + [(s, k, float(x)) for s in range(10) for k, x in enumerate(table[s])]
+    return spark.createDataFrame(rows, "s int, bin int, nll double")
+
+
+@query("SELECT substr('ACTG', (l_linenumber % 4 + 1)::INT, 1) AS a, substr('ACTG', (l_suppkey % 4 + 1)::INT, 1) AS b, round(avg(l_quantity), 6) AS cost FROM lineitem GROUP BY ALL")
+def scan_tran(spark, d) -> DataFrame:
+    """Mean quantities by two remainders as a table of costs."""
+    cells = ad.table(spark, d, "lineitem").groupBy((F.col("l_linenumber") % 4).alias("_n"), (F.col("l_suppkey") % 4).alias("b")).agg(F.avg("l_quantity").alias("c"))
+    lines = cells.groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("b", F.format_string("%.9f", "c").alias("t")))).alias("c")).select("_n", F.array_join("c.t", ",").alias("value"))
+    path = _folder(spark, "tran")
+    sinks._ordered(lines, path)
+    found = text.scan_tran(spark, path)
+    return spark.createDataFrame([(x, y, round(float(found[i, j]), 6)) for i, x in enumerate(K.BASES) for j, y in enumerate(K.BASES)], "a string, b string, cost double")
+
+
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_discount, l_tax, l_quantity, l_returnflag) - 1 AS ord, concat_ws('_', l_orderkey, l_linenumber) AS id, l_discount AS c_index, l_tax AS excess, l_quantity AS loon, CASE WHEN l_returnflag = 'A' THEN 'Trimera' ELSE 'Chimera' END AS class FROM lineitem")
+def scan_perseus(spark, d) -> DataFrame:
+    """Lines of orders as rows of a chimera check."""
+    rows = ad.table(spark, d, "lineitem")
+    name = F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    kind = F.when(F.col("l_returnflag") == "A", "Trimera").otherwise("Chimera")
+    line = F.concat_ws(" ", F.lit("0"), name, *[F.lit("7")] * 10, *(F.col(c).cast("string") for c in ("l_discount", "l_tax", "l_quantity")), F.lit("3 1 9"), kind)
+    path = _folder(spark, "chimeras")
+    order = F.struct("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity", "l_returnflag")
+    sinks._ordered(ordinals.with_ordinal(rows.select(order.alias("_o"), line.alias("value")).orderBy("_o"), "_n"), path)
+    return text.scan_chimeras(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ord, s_name AS id, round(s_acctbal, 2) AS p FROM supplier")
+def scan_class(spark, d) -> DataFrame:
+    line = F.concat_ws(" ", F.translate("s_name", " ", "_"), F.format_string("%.2f", "s_acctbal"))
+    path = _folder(spark, "classes")
+    sinks._ordered(ad.table(spark, d, "supplier").select(F.col("s_suppkey").alias("_n"), line.alias("value")), path)
+    return text.scan_classes(spark, path)
 
 
 @query("SELECT s_suppkey AS otu, 'k;' || s_name AS lineage FROM supplier")
@@ -831,89 +792,164 @@ def sink_control(spark, d) -> DataFrame:
 # ---------------------------------------------------------------- clustering and denoising: results without SQL
 
 
+_IDENTITY = oracles.IDENTITY.replace("SELECT block, i, j, round(", "SELECT block, i, j, (").replace(", 9) AS d FROM z", ") AS d FROM z")
+_DISTANCES = f"""WITH RECURSIVE {ad.TAGS}, numbered AS (SELECT * REPLACE (row_number() OVER (PARTITION BY block ORDER BY ord) - 1 AS ord) FROM tags), {oracles.alignment("numbered", K.GAP)},
+dist AS (WITH {_IDENTITY.strip()}), """
+_SCALED = "scaled AS (SELECT block, i, j, (d::FLOAT - min(d::FLOAT) OVER (PARTITION BY block)) / greatest(max(d::FLOAT) OVER (PARTITION BY block) - min(d::FLOAT) OVER (PARTITION BY block), 1e-30::FLOAT) AS d FROM dist), "
+_MERGES = "SELECT block, step, lft::INT AS \"left\", rgt::INT AS \"right\", dist FROM merge"
+_COMPLETE, _AVERAGE = (_DISTANCES + oracles.linkage("dist", method).strip() for method in ("complete", "average"))
+
+
+def _numbered(spark, d) -> DataFrame:
+    return staged(pipelines._numbered(ad.tags(spark, d), "block"))
+
+
 def _merges(spark, d, method: str = "complete") -> DataFrame:
-    rows = pipelines._numbered(ad.parts(spark, d, 40), "block")
-    return cluster.linkage(pairs.identity_distances(rows, "block"), "block", method)
+    return cluster.linkage(pairs.identity_distances(_numbered(spark, d), "block"), "block", method)
 
 
-@query()
+@query(f"{_COMPLETE} {_MERGES}")
 def linkage_complete(spark, d) -> DataFrame:
     return _merges(spark, d)
 
 
-@query()
+@query(f"{_AVERAGE} {_MERGES}")
 def linkage_average(spark, d) -> DataFrame:
     return _merges(spark, d, "average")
 
 
-@query()
+@query(f"{_DISTANCES} {oracles.linkage('dist', 'average', 'numbered').strip()} {_MERGES}")
 def linkage_average_weighted(spark, d) -> DataFrame:
-    rows = pipelines._numbered(ad.parts(spark, d, 40), "block")
+    rows = _numbered(spark, d)
     return cluster.linkage(pairs.identity_distances(rows, "block"), "block", "average", weights=rows)
 
 
-@query()
+@query(f"{_DISTANCES} {_SCALED} {oracles.linkage('scaled').strip()} {_MERGES}")
 def linkage_rescaled(spark, d) -> DataFrame:
-    rows = pipelines._numbered(ad.parts(spark, d, 40), "block")
-    return cluster.linkage(pairs.identity_distances(rows, "block"), "block", scale=True)
+    return cluster.linkage(pairs.identity_distances(_numbered(spark, d), "block"), "block", scale=True)
 
 
-@query()
-def cut_levels(spark, d) -> DataFrame:
+_LEVEL = "SELECT block, t.k AS level, t.k * 0.05::DOUBLE AS cutoff FROM (SELECT block, arg_max(dist::DOUBLE, step) AS h FROM merge GROUP BY 1), unnest(range(0, floor(h / 0.05::DOUBLE + 1e-7::DOUBLE)::BIGINT)) t(k)"
+_LEVELS = _COMPLETE + oracles.NODES + oracles.PARENTS + oracles.clusters_below(_LEVEL)
+
+
+def _cut(spark, d) -> DataFrame:
     return cluster.cut_levels(_merges(spark, d), "block", 0.05)
 
 
-@query()
+@query(_LEVELS + " SELECT block, level::INT AS level, round(cutoff, 6) AS cutoff, cluster::INT AS cluster, array_to_string(members, ',') AS members FROM found")
+def cut_levels(spark, d) -> DataFrame:
+    return _cut(spark, d).select("block", "level", F.round("cutoff", 6).alias("cutoff"), "cluster", _text("members").alias("members"))
+
+
+@query(_LEVELS + " SELECT block, printf('%.6f', cutoff) || ' ' || count(*) || ' ' || string_agg(array_to_string(members, ','), ' ' ORDER BY cluster) AS line FROM found GROUP BY block, level, cutoff")
 def sink_list(spark, d) -> DataFrame:
-    return cluster.list_lines(cluster.cut_levels(_merges(spark, d), "block", 0.05), "block")
+    path = _folder(spark, "lists")
+    sinks.sink_lists(_cut(spark, d), "block", path)
+    return spark.read.text(f"{path}/list").select("block", F.col("value").alias("line"))
 
 
-@query()
+@query(_LEVELS + " SELECT block, printf('%.6f', cutoff) || ' ' || count(*) || ' ' || string_agg(len(members), ' ' ORDER BY cluster) AS line FROM found GROUP BY block, level, cutoff")
+def sink_otu(spark, d) -> DataFrame:
+    path = _folder(spark, "lists")
+    sinks.sink_lists(_cut(spark, d), "block", path)
+    return spark.read.text(f"{path}/otu").select("block", F.col("value").alias("line"))
+
+
+_TREES = _COMPLETE + oracles.NODES
+
+
+@query(_TREES + " SELECT block, arg_max(tree, k) || ';' AS tree FROM node GROUP BY 1")
 def newick(spark, d) -> DataFrame:
     return cluster.newick(_merges(spark, d), "block")
 
 
-@query()
+@query(_TREES + " SELECT arg_max(tree, k) || ';' AS tree FROM node GROUP BY block")
+def sink_tree(spark, d) -> DataFrame:
+    path = _folder(spark, "trees")
+    sinks.sink_tree(cluster.newick(_merges(spark, d), "block"), path)
+    return spark.read.text(path).select(F.col("value").alias("tree"))
+
+
+@query(_TREES + oracles.PARENTS + """, root AS (SELECT block, arg_max(tree, k) AS tree FROM node GROUP BY 1),
+nth AS (SELECT n.block, -n.k - 1 AS name, height, row_number() OVER (PARTITION BY n.block ORDER BY instr(r.tree, n.tree) + len(n.tree)) AS r FROM node n JOIN root r USING (block))
+SELECT '-' || u.r AS parent, CASE WHEN p.name >= 0 THEN p.name::VARCHAR ELSE '-' || c.r END AS child, printf('%.3f', u.height - COALESCE(c.height, 0.0))::DOUBLE AS branch FROM parent p JOIN nth u ON u.block = p.block AND u.name = p.up LEFT JOIN nth c ON c.block = p.block AND c.name = p.name""")
 def scan_newick(spark, d) -> DataFrame:
     path = _folder(spark, "trees")
-    cluster.newick(_merges(spark, d), "block").select("tree").write.text(path)
+    sinks.sink_tree(cluster.newick(_merges(spark, d), "block"), path)
     return text.scan_newick(spark, path)
 
 
-@query()
+@query(_TREES + " SELECT block, k::INT AS step, len(leaves)::INT AS leaves FROM node")
 def leaf_counts(spark, d) -> DataFrame:
     return cluster.leaf_counts(_merges(spark, d), "block")
 
 
-@query()
+_SPLITS = _AVERAGE + oracles.NODES + oracles.PARENTS + oracles.even_splits(5, 2)
+_TOTALS = _SPLITS + ", totals AS (SELECT s.block, split, count(*) AS leaves, sum(n.weight)::BIGINT AS reads FROM split s JOIN numbered n ON n.block = s.block AND n.ord = s.member GROUP BY ALL)"
+
+
+def _splits(spark, d) -> DataFrame:
+    return cluster.split_even(_merges(spark, d, "average"), "block", 5, 2)
+
+
+def _totals(spark, d) -> DataFrame:
+    weights = _numbered(spark, d).select("block", F.col("ord").cast("long").alias("member"), F.col("weight").cast("long").alias("n"))
+    return cluster.split_totals(_splits(spark, d), weights, "block")
+
+
+@query(_SPLITS + " SELECT block, split, pos::INT AS pos, member FROM split")
 def split_cluster_even(spark, d) -> DataFrame:
-    return cluster.split_even(_merges(spark, d, "average"), "block", 12, 4)
+    return _splits(spark, d)
 
 
-@query()
+@query(_TOTALS + " SELECT * FROM totals")
 def split_read_total(spark, d) -> DataFrame:
-    weights = pipelines._numbered(ad.parts(spark, d, 40), "block").select("block", F.col("ord").cast("long").alias("member"), F.col("weight").cast("long").alias("n"))
-    return cluster.split_totals(cluster.split_even(_merges(spark, d, "average"), "block", 12, 4), weights, "block")
+    return _totals(spark, d)
+
+
+@query(_TOTALS + " SELECT block, split, row_number() OVER (ORDER BY leaves DESC, block, split) - 1 AS place FROM totals")
+def sort_splits(spark, d) -> DataFrame:
+    """The place of each split, the largest first."""
+    return ordinals.with_ordinal(_totals(spark, d), "place").select("block", "split", "place")
+
+
+_BINS = f"{ad.READS}, {_LOOKUP}, shape AS (SELECT block, list_transform(flows, lambda x: least((x + 50) // 100, 9)::INT) AS shape, min(ord) AS first, list(flows ORDER BY ord) AS all_flows FROM reads GROUP BY 1, 2), u AS (SELECT *, (row_number() OVER (PARTITION BY block ORDER BY first) - 1)::INT AS u FROM shape)"
+
+
+@query(f"WITH {_BINS}, c AS (SELECT r.block, r.ord, u.u, r.len // 4 * 4 AS n, unnest(range(1, r.len // 4 * 4 + 1)) AS k, r.flows, u.shape FROM reads r JOIN u USING (block)) SELECT c.block, ord, u, round(sum(look.l) / any_value(n), 6) AS d FROM c JOIN look ON look.s = c.shape[k] AND look.b = least(c.flows[k], 949) GROUP BY c.block, ord, u")
+def align_x(spark, d) -> DataFrame:
+    return em.pattern_distances(ad.reads(spark, d), "block").select("block", "ord", "u", F.round("d", 6).alias("d"))
+
+
+@query(f"""WITH {_BINS}, f AS (SELECT block, u, shape, unnest(range(1, 65)) AS k, unnest(all_flows) AS x FROM (SELECT block, u, shape, f AS all_flows FROM u, unnest(all_flows) t(f))),
+n AS (SELECT block, u, k, shape[k] AS n, s, sum(l) AS l FROM f JOIN look ON look.b = least(x, 999) WHERE shape[k] > 0 GROUP BY ALL),
+q AS (SELECT block, u, k, n, s, exp(min(l) OVER (PARTITION BY block, u, k) - l) AS e FROM n),
+c AS (SELECT block, u, k, n, s, sum(e) OVER (PARTITION BY block, u, k ORDER BY s) / sum(e) OVER (PARTITION BY block, u, k) AS wrong FROM q),
+b AS (SELECT block, u, k, s, CASE WHEN wrong > 0 THEN least(100, floor(-10 * log10(wrong)))::INT ELSE 100 END AS p FROM c WHERE s < n),
+a AS (SELECT block, u, string_agg(p, ',' ORDER BY k, s) AS quality FROM b GROUP BY 1, 2) SELECT u.block, u.u, COALESCE(quality, '') AS quality FROM u LEFT JOIN a USING (block, u)""")
+def phred_quality(spark, d) -> DataFrame:
+    return em.pattern_qualities(ad.reads(spark, d), "block").select("block", "u", _text("quality").alias("quality"))
 
 
 @query()
 def flow_denoise_pipeline(spark, d) -> DataFrame:
-    return pipelines.flow_denoise_plan(ad.keyed_reads(spark, d, True), "block", ".", 12, 72, cutoff=0.5)
+    return pipelines.flow_denoise_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, cutoff=0.5)
 
 
 @query()
 def sequence_denoise_pipeline(spark, d) -> DataFrame:
-    return pipelines.sequence_denoise_plan(ad.parts(spark, d, 40), "block")
+    return pipelines.sequence_denoise_plan(ad.tags(spark, d), "block")
 
 
 @query()
 def full_pipeline(spark, d) -> DataFrame:
-    return pipelines.full_plan(ad.keyed_reads(spark, d, True), "block", ".", 12, 72, most=10, least=3, cutoff=0.5)
+    return pipelines.full_plan(ad.keyed_reads(spark, d), "block", ".", 12, 72, most=10, least=3, cutoff=0.5)
 
 
 def _clusters(spark, d):
     """Keyed reads, numbered by block, and their clusters by flow distance."""
-    rows = pipelines._numbered(ad.keyed_reads(spark, d, True), "block")
+    rows = pipelines._numbered(ad.keyed_reads(spark, d), "block")
     merges = cluster.linkage(pairs.flow_distances(rows, None, "block"), "block")
     return rows, cluster.cut_at(merges, "block", 0.5)
 
@@ -931,34 +967,34 @@ def flow_denoise_unseen(spark, d) -> DataFrame:
 
 @query()
 def sequence_denoise(spark, d) -> DataFrame:
-    rows = pipelines._numbered(ad.parts(spark, d, 40), "block")
+    rows = pipelines._numbered(ad.tags(spark, d), "block")
     distances = pairs.sequence_distances(rows, None, "block", asymmetric=True)
     merges = cluster.linkage(distances.groupBy("block", F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).agg(F.avg("d").alias("d")), "block")
     return em.sequence_denoise(rows, distances, cluster.cut_at(merges, "block", 0.08), "block")
 
 
 @query()
-def phred_quality(spark, d) -> DataFrame:
-    rows = pipelines.flow_denoise_plan(ad.keyed_reads(spark, d, True), "block", ".", 12, 72, cutoff=0.5)
-    return rows.select("block", "cluster", F.size("quality").alias("bases"), F.array_min("quality").alias("least"))
+def responsibilities(spark, d) -> DataFrame:
+    """The last responsibilities, and of each block the likelihood by step."""
+    return em.flow_responsibilities(*_clusters(spark, d), "block")
 
 
 @query()
 def chimera_check(spark, d) -> DataFrame:
-    return chimera.chimera_check(ad.parts(spark, d, 40), "block")
+    return chimera.chimera_check(ad.tags(spark, d), "block")
 
 
 @query()
 def chimera_script(spark, d) -> DataFrame:
-    good, bad = pipelines.chimera_plan(ad.parts(spark, d, 40), "block")
+    good, bad = pipelines.chimera_plan(ad.tags(spark, d), "block")
     return good.select("ord", "p", F.lit(True).alias("good")).unionByName(bad.select("ord", "p", F.lit(False).alias("good")))
 
 
 @query()
 def otu_pipeline(spark, d) -> DataFrame:
-    return pipelines.otu_plan(ad.parts(spark, d, 40), "block")
+    return pipelines.otu_plan(ad.tags(spark, d), "block")
 
 
 #: Writers are held against their readers: what is written is read back.
-for _writer, _reader in {"sink_raw": "scan_raw", "sink_dat": "scan_dat", "sink_fasta": "scan_fasta", "sink_fasta_whole": "scan_fasta_whole", "sink_dist": "scan_dist", "sink_dist_whole": "scan_dist_whole", "sink_mapping": "scan_mapping", "sink_unique_map": "scan_unique_map"}.items():
+for _writer, _reader in {"sink_raw": "scan_raw", "sink_dat": "scan_dat", "sink_fasta": "scan_fasta", "sink_dist": "scan_dist", "sink_mapping": "scan_mapping", "sink_unique_map": "scan_unique_map"}.items():
     query(SQL[_reader], _writer)(QUERIES[_reader])
