@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from flowspark.llm import minhash, mixing, pieces, quality, substring
 from flowspark.llm._common import cut, drop_cut, table
 from flowspark.operators import ordinals
-from flowspark.operators.stage import staged
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text = ["_doc", "_bytes", "_hash"]
     row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("_bytes"), F.xxhash64("text").alias("_hash"), "text")
     # one number for each doc_id and text, in the order of doc_id: rows of one id and other texts are other documents
-    texts = staged(row.where("_doc IS NOT NULL").select(*text).distinct().orderBy(*text))
-    numbers = ordinals.with_ordinal(texts, "_number")
+    numbers = ordinals.with_ordinal(row.where("_doc IS NOT NULL").select(*text).distinct().orderBy(*text), "_number")
     # of rows with one doc_id and text, the one whose other columns have the smallest hash
     whole = F.to_json("_row") if "map<" in docs.schema.simpleString() else F.col("_row")
     first = Window.partitionBy("_number").orderBy(F.xxhash64(whole), whole)
