@@ -27,7 +27,7 @@ def all_pairs(items: DataFrame, value: str, kernel: Callable[[list, list], np.nd
     is the block's size over the tile's, and a task compares two ranges at a time, so a large block spreads over many
     tasks. The number of pairs is quadratic in a block by definition; blocks are what keeps it bounded."""
     items, by = _blocked(items, block)
-    items = items.select(by, "ord", F.col(value).alias("_value"), F.floor(F.col("ord") / tile).cast("int").alias("_t"))
+    items = items.select(by, "ord", F.col(value).alias("_value"), F.expr(f"ord div {tile}").alias("_t"))
     # the tiles of a block that hold rows, however sparse its ordinals; a broadcast is left to Spark's own size check
     items = items.join(items.groupBy(by).agg(F.collect_set("_t").alias("_tiles")), by)
     place = F.explode(F.transform("_tiles", lambda k: F.struct(F.greatest("_t", k).alias("_row"), F.least("_t", k).alias("_col"))))

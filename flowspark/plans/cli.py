@@ -57,7 +57,7 @@ def _split(spark, a):
         sinks.sink_split_raw(done, a.output)
     elif a.format == "sff":
         flow_chars = (done.select(F.max(F.size("flows"))).first()[0] or 0) // 4 * "TACG"
-        sff.sink_sff(done.withColumn("ord", F.struct("file", "ord")), a.output if "://" in a.output else f"file://{a.output}", "sample", flow_chars).collect()  # a row a sample
+        sff.sink_sff(done, a.output if "://" in a.output else f"file://{a.output}", "sample", flow_chars).collect()  # a row a sample
     else:
         sinks.sink_split(done, a.output)
     counts = staged(split.split_counts(done))

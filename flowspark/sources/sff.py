@@ -70,15 +70,17 @@ def scan_sff(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def sink_sff(reads: DataFrame, folder: str, by: str, flow_chars: str, key: str = "TCAG") -> DataFrame:
     """Writes the reads (read_id, clip_left, clip_right, flows, flow_index, bases, quals, ord) of each by into
-    folder/<by>.sff, in order of ord, and gives by, path and n. A file is one task's work, as its header holds the number
+    folder/<by>.sff, in order of file, where there is one, and ord, and gives by, path and n. A file is one task's work, as its header holds the number
     of reads. folder is one that all executors share, as a URI; a name appears once its file is whole."""
 
+    order = [c for c in ("file", "ord") if c in reads.columns]
+
     def written(group: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
         from pyspark import TaskContext
 
         name = str(group[by].iat[0])
-        rows = [{k: (list(map(int, getattr(r, k))) if k in ("flows", "flow_index", "quals") else getattr(r, k)) for k in ("read_id", "clip_left", "clip_right", "flows", "flow_index", "bases", "quals")} for r in group.sort_values("ord").itertuples()]
+        rows = [{k: (list(map(int, getattr(r, k))) if k in ("flows", "flow_index", "quals") else getattr(r, k)) for k in ("read_id", "clip_left", "clip_right", "flows", "flow_index", "bases", "quals")} for r in group.sort_values(order).itertuples()]
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         path, work = f"{base}/{name}.sff", f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"
