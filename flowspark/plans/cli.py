@@ -211,7 +211,8 @@ def _sample(spark, a):
 
 
 def _join(spark, a):
-    sinks.sink_dat(mapping.dat_join(*(text.scan_dat(spark, p) for p in a.inputs)), a.output)
+    joined = mapping.dat_join(*(text.scan_dat(spark, p) for p in a.inputs))
+    sinks.sink_dat(joined.withColumn("read_id", F.col("ord").cast("string")), a.output)
     _finish(spark, a, a.output)
 
 
