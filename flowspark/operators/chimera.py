@@ -142,7 +142,7 @@ def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None,
             own = one.iloc[0]
             refs = one[one["_id"] != own["seq_id"]].dropna(subset=["_seq"]).sort_values("_ord")
             refs = refs[refs["_freq"] >= own["freq"]]
-            rows.append({block: own[block], "i": own["ord"], "id": own["seq_id"], "class": "Null"})
+            rows.append({**dict.fromkeys(columns), block: own[block], "i": own["ord"], "id": own["seq_id"], "class": "Null"})
             if len(refs) >= 2 and len(own["seq"]) > 1:
                 todo.append((len(rows) - 1, own.to_dict(), refs))
         first = [own["seq"] for _, own, refs in todo for _ in range(len(refs))]
@@ -158,7 +158,7 @@ def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None,
             found = K.nw_homopolymer([e[0] for e in ends] * 2, [e[1] for e in ends] + [e[2] for e in ends], table, unknown=None)
             for (k, _, _), near, index in zip(todo, found[: len(ends)], found[len(ends) :], strict=True):
                 rows[k] |= {"d_best": near, "c_index": index, "excess": index - near}
-        return pd.DataFrame(rows, columns=columns)
+        return pd.DataFrame(rows, columns=columns, dtype=object)
 
     return dealt(pairs, block, "_group").groupBy(block, "_group").applyInPandas(lambda key, g: judge(g), f"`{block}` {kind}, {_OUT}")
 

@@ -52,6 +52,23 @@ v AS (SELECT block, i, j, list_sum(l) AS n_diff, list_filter(list_transform(l, l
 SELECT block, i, j, n_diff::INT AS n_diff, array_to_string(d, ',') AS d, array_to_string(r, ',') AS r FROM v"""
 
 
+#: From rows tags and al of all ordered pairs: best hit, best two and three parents of each sequence that has two
+#: candidates of at least its frequency. Of equal parents the most frequent, then the first.
+PARENTS_OF = (
+    DIFFS.replace("SELECT block, i, j, n_diff::INT AS n_diff, array_to_string(d, ',') AS d, array_to_string(r, ',') AS r FROM v", "").rstrip()
+    + """,
+cand AS (SELECT v.block, v.i, v.j, v.n_diff, v.d, v.r, b.freq, len(a.seq) AS n FROM v JOIN tags a ON a.ord = v.i JOIN tags b ON b.ord = v.j WHERE b.freq >= a.freq AND len(a.seq) > 1),
+ok AS (SELECT * FROM cand WHERE i IN (SELECT i FROM cand GROUP BY i HAVING count(*) > 1)),
+pos AS (SELECT block, i, j, freq, n, d, k, d[k + 1] AS dk, r[k + 1] AS rk FROM ok, unnest(range(0, n)) t(k)),
+best AS (SELECT block, i, k, any_value(n) AS n, min(dk) AS dk, arg_min(j, (dk, -freq, j)) AS dj, min(rk) AS rk, arg_min(j, (rk, -freq, j)) AS rj FROM pos GROUP BY block, i, k),
+two AS (SELECT a.block, a.i, min(a.dk + b.rk) AS best_chimera, arg_min(a.dj, (a.dk + b.rk, a.k)) AS p1, arg_min(b.rj, (a.dk + b.rk, a.k)) AS p2 FROM best a JOIN best b ON a.i = b.i AND b.k = a.n - 2 - a.k GROUP BY a.block, a.i),
+mid AS (SELECT i, k, x, any_value(n) AS n, min(d[x + 1] - dk) AS m FROM pos, unnest(range(k, n - 1)) t(x) WHERE k < n - 1 GROUP BY i, k, x),
+three AS (SELECT mid.i, min(m + a.dk + b.rk) AS t FROM mid JOIN best a ON a.i = mid.i AND a.k = mid.k JOIN best b ON b.i = mid.i AND b.k = mid.n - 2 - mid.x GROUP BY mid.i),
+hit AS (SELECT i, min(n_diff) AS best, arg_min(j, (n_diff, j)) AS ref, count(*) AS refs FROM ok GROUP BY i)
+SELECT two.block, two.i, best::INT AS best, ref, best_chimera::INT AS best_chimera, p1, p2, CASE WHEN best_chimera >= 3 AND refs >= 3 THEN t ELSE -1 END::INT AS best_trimera, CASE WHEN best_chimera >= 3 AND refs >= 3 AND best_chimera - t >= 3 THEN 'Trimera' ELSE 'Chimera' END AS class FROM two JOIN hit USING (i) JOIN three USING (i)"""
+)
+
+
 def costs(table) -> str:
     """x and y by a 4 x 4 table over ACTG, others as A."""
     base = lambda v: f"CASE {v} WHEN 'C' THEN 1 WHEN 'T' THEN 2 WHEN 'G' THEN 3 ELSE 0 END"

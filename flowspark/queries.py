@@ -979,6 +979,21 @@ def responsibilities(spark, d) -> DataFrame:
     return em.flow_responsibilities(*_clusters(spark, d), "block")
 
 
+@query(f"{_TAGS} {oracles.alignment('tags', K.GAP, ordered=True).strip()}, {oracles.PARENTS_OF}")
+def best_parents(spark, d) -> DataFrame:
+    """Best hit and the best two and three parents, of sequences that have two candidates; -1 where three are not tried."""
+    rows = chimera.chimera_check(ad.tags(spark, d), "block").where("class <> 'Null'")
+    return rows.select("block", "i", "best", "ref", "best_chimera", "p1", "p2", F.coalesce("best_trimera", F.lit(-1)).alias("best_trimera"), "class")
+
+
+@query("SELECT 's' || s_suppkey || '_' || (s_suppkey * 7919 % 101) AS sample, row_number() OVER (ORDER BY (s_suppkey::VARCHAR || (s_suppkey * 7919 % 101)::VARCHAR)::BIGINT, 's' || s_suppkey || '_' || (s_suppkey * 7919 % 101)) - 1 AS place FROM supplier")
+def sort_samples(spark, d) -> DataFrame:
+    """Columns of a table in order of the numbers in their names."""
+    key = F.col("s_suppkey").cast("string")
+    names = [r[0] for r in ad.table(spark, d, "supplier").select(F.concat_ws("_", F.concat(F.lit("s"), key), (F.col("s_suppkey") * 7919 % 101).cast("string"))).collect()]
+    return spark.createDataFrame([(s, k) for k, s in enumerate(otu.sample_order(names))], "sample string, place long")
+
+
 @query()
 def chimera_check(spark, d) -> DataFrame:
     return chimera.chimera_check(ad.tags(spark, d), "block")
