@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -105,62 +105,138 @@ def imbalance(query: str, first: str, second: str, with_balance: bool = False) -
 _OUT = "i long, id string, best int, ref long, ref_id string, best_chimera int, p1 long, p2 long, d_best double, c_index double, excess double, loon double, best_trimera int, split int, class string"
 
 
-#: Queries that a task aligns together.
-GROUP = 32
-
-
-def _judged(own: dict, refs: pd.DataFrame, als: list[dict], with_balance: bool) -> tuple[dict, str, str]:
-    """A query's row without distances, its best reference and the sequence that its parents make up."""
-    query, texts, freq, at = own["seq"], refs["_seq"].tolist(), refs["_freq"].to_numpy(float), refs["_ord"].tolist()
-    diffs = np.array([a["n_diff"] for a in als])
-    d, r, n = np.array([a["d"] for a in als]), np.array([a["r"] for a in als]), len(query)
-    hit, chi, tri, kind = int(diffs.argmin()), best_chimera(d, r, freq), None, "Chimera"
-    model = _joined([(als[chi["p1"]], 0, chi["split"] + 1), (als[chi["p2"]], chi["split"] + 1, n)])
-    if chi["best"] >= TRIMERA and len(refs) >= 3:
-        tri = best_trimera(d, r, freq)
-        if chi["best"] - tri["best"] >= TRIMERA:
-            kind = "Trimera"
-            model = _joined([(als[tri["t1"]], 0, tri["split1"] + 1), (als[tri["t2"]], tri["split1"] + 1, tri["split2"] + 1), (als[tri["t3"]], tri["split2"] + 1, n)])
-    loon, split = imbalance(query, _projected(als[chi["p1"]]), _projected(als[chi["p2"]]), with_balance)
-    row = {"best": int(diffs[hit]), "ref": at[hit], "ref_id": refs["_id"].iat[hit], "best_chimera": chi["best"], "p1": at[chi["p1"]], "p2": at[chi["p2"]], "loon": loon, "best_trimera": tri["best"] if tri else None, "split": split, "class": kind}
-    return row, texts[hit], model
+#: Queries of a task, and pairs that are aligned at a time: a task holds the references' texts once and, of a query,
+#: nothing but minima by position, however many references there are.
+GROUP, PAIRS = 32, 2048
+
+
+class _Query:
+    """One sequence, its candidates (places in the references, in their order) and what is known of them so far."""
+
+    def __init__(self, own: dict, at: np.ndarray):
+        n = len(own["seq"])
+        self.own, self.at, self.seq, self.n = own, at, own["seq"], n
+        self.hit = (1 << 30, -1)
+        # least differences up to each position, the frequency and the place of whose they are; from the left and right
+        self.sides = [[np.full(n, 1 << 30), np.full(n, -np.inf), np.full(n, -1)] for _ in range(2)]
+        self.three = None
+
+    def see(self, at: np.ndarray, freq: np.ndarray, als: list[dict]) -> None:
+        diffs = np.array([a["n_diff"] for a in als])
+        k = int(diffs.argmin())
+        self.hit = min(self.hit, (int(diffs[k]), int(at[k])))
+        for side, name in zip(self.sides, ("d", "r"), strict=True):
+            least, row = _best(np.array([a[name] for a in als]), freq)
+            better = (least < side[0]) | ((least == side[0]) & (freq[row] > side[1]))
+            for old, new in zip(side, (least, freq[row], at[row]), strict=True):
+                old[better] = new[better]
+
+    def two(self) -> dict:
+        """The split and the two parents with the least sum."""
+        (dk, _, pd_), (rk, _, pr) = self.sides
+        total = dk[: self.n - 1] + rk[self.n - 2 :: -1][: self.n - 1]
+        k = int(total.argmin())
+        return {"best": int(total[k]), "split": k, "p1": int(pd_[k]), "p2": int(pr[self.n - k - 2])}
+
+    def see_three(self, at: np.ndarray, freq: np.ndarray, als: list[dict]) -> None:
+        """The least sum with a middle parent among these, the first splits and the most frequent parent of equals."""
+        (dk, _, pd_), (rk, _, pr) = self.sides
+        d, n = np.array([a["d"] for a in als]), self.n
+        for k in range(n - 1):
+            middle, pm = _best(d[:, k : n - 1] - d[:, k : k + 1], freq)
+            total = middle + dk[k] + rk[n - 2 - np.arange(k, n - 1)]
+            x = int(total.argmin())
+            key = (int(total[x]), k, k + x, -float(freq[pm[x]]), int(at[pm[x]]))
+            if self.three is None or key < self.three:
+                self.three = key
+
+    def three_parents(self) -> dict:
+        best, k, x, _, middle = self.three
+        return {"best": best, "split1": k, "split2": x, "t1": int(self.sides[0][2][k]), "t2": middle, "t3": int(self.sides[1][2][self.n - x - 2])}
+
+
+def _aligned(todo: list[tuple[_Query, np.ndarray]], texts: list[str]):
+    """(query, places, alignments) of all pairs, many together: of several queries, or of a part of one's candidates."""
+    held, size = [], 0
+    for query, at in todo:
+        for lo in range(0, len(at), PAIRS):
+            held.append((query, at[lo : lo + PAIRS]))
+            size += len(held[-1][1])
+            if size >= PAIRS:
+                yield from _align(held, texts)
+                held, size = [], 0
+    yield from _align(held, texts)
+
+
+def _align(held: list[tuple[_Query, np.ndarray]], texts: list[str]):
+    als = K.nw_diff([q.seq for q, at in held for _ in at], [texts[k] for _, at in held for k in at]) if held else []
+    lo = 0
+    for query, at in held:
+        yield query, at, als[lo : lo + len(at)]
+        lo += len(at)
+
+
+def _judged(query: _Query, als: dict[int, dict], names: list, ords: list, with_balance: bool) -> tuple[dict, str]:
+    """A query's row without distances, and the sequence that its parents make up."""
+    two, n, kind = query.two(), query.n, "Chimera"
+    model = _joined([(als[two["p1"]], 0, two["split"] + 1), (als[two["p2"]], two["split"] + 1, n)])
+    tri = query.three_parents() if query.three else None
+    if tri and two["best"] - tri["best"] >= TRIMERA:
+        kind = "Trimera"
+        model = _joined([(als[tri["t1"]], 0, tri["split1"] + 1), (als[tri["t2"]], tri["split1"] + 1, tri["split2"] + 1), (als[tri["t3"]], tri["split2"] + 1, n)])
+    loon, split = imbalance(query.seq, _projected(als[two["p1"]]), _projected(als[two["p2"]]), with_balance)
+    best, hit = query.hit
+    return {"best": best, "ref": ords[hit], "ref_id": names[hit], "best_chimera": two["best"], "p1": ords[two["p1"]], "p2": ords[two["p2"]], "loon": loon, "best_trimera": tri["best"] if tri else None, "split": split, "class": kind}, model
 
 
 def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None, with_balance: bool = False, references: DataFrame | None = None) -> DataFrame:
     """A row for each sequence (block, ord, seq_id, freq, seq), with class Null for fewer than two candidates, Chimera
-    or Trimera. Some queries and their candidates are a task's work, so a block spreads over many tasks. References are
-    the sequences unless given."""
+    or Trimera. GROUP queries and the references of their block are a task's work, so a block spreads over many tasks,
+    and the references are sent once a group. References are the sequences unless given. A null seq counts
+    as empty."""
     refs = seqs if references is None else references
-    other = refs.select(block, F.col("ord").alias("_ord"), F.col("seq_id").alias("_id"), F.col("freq").alias("_freq"), F.col("seq").alias("_seq"))
-    pairs = seqs.join(other, block, "left").where("ord = _ord OR _freq >= freq").withColumn("_group", F.floor(F.col("ord") / GROUP))
+    text = lambda df: df.withColumn("seq", F.coalesce("seq", F.lit("")))
+    place = F.row_number().over(Window.partitionBy(block).orderBy(F.desc("freq"), "ord")) - 1
+    queries = text(seqs).select(block, "ord", "seq_id", "freq", "seq").withColumn("_group", F.floor(place / GROUP).cast("int"))
+    groups = queries.groupBy(block, "_group").agg(F.min("freq").alias("_least"))
+    other = text(refs).select(block, F.col("ord").alias("_ord"), F.col("seq_id").alias("_id"), F.col("freq").alias("_freq"), F.col("seq").alias("_seq"))
+    spread = other.join(groups, block).where("_freq >= _least").select(F.col(block).alias("_block"), F.col("_group").alias("_of"), "_ord", "_id", "_freq", "_seq")
     kind = dict(seqs.dtypes)[block]
     columns = [block, *(c.split()[0] for c in _OUT.split(", "))]
 
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        rows, todo = [], []
-        for _, one in group.groupby("ord", sort=True):
-            own = one.iloc[0]
-            refs = one[one["_id"] != own["seq_id"]].dropna(subset=["_seq"]).sort_values("_ord")
-            refs = refs[refs["_freq"] >= own["freq"]]
-            rows.append({**dict.fromkeys(columns), block: own[block], "i": own["ord"], "id": own["seq_id"], "class": "Null"})
-            if len(refs) >= 2 and len(own["seq"]) > 1:
-                todo.append((len(rows) - 1, own.to_dict(), refs))
-        first = [own["seq"] for _, own, refs in todo for _ in range(len(refs))]
-        second = [s for _, _, refs in todo for s in refs["_seq"]]
-        als = [a for lo in range(0, len(first), 2048) for a in K.nw_diff(first[lo : lo + 2048], second[lo : lo + 2048])]
-        at, ends = 0, []
-        for k, own, refs in todo:
-            row, near, model = _judged(own, refs, als[at : at + len(refs)], with_balance)
-            at += len(refs)
+    def judge(_key, own: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        refs = refs.sort_values("_ord")
+        names, ords, texts, freq = refs["_id"].tolist(), refs["_ord"].tolist(), refs["_seq"].tolist(), refs["_freq"].to_numpy(float)
+        rows, todo, known = [], [], np.array(names, object)
+        for one in own.sort_values("ord").to_dict("records"):
+            at = np.flatnonzero((known != one["seq_id"]) & (freq >= one["freq"]))
+            rows.append({**dict.fromkeys(columns), block: one[block], "i": one["ord"], "id": one["seq_id"], "class": "Null"})
+            if len(at) >= 2 and len(one["seq"]) > 1:
+                todo.append((len(rows) - 1, _Query(one, at)))
+        for query, at, als in _aligned([(q, q.at) for _, q in todo], texts):
+            query.see(at, freq[at], als)
+        hard = [q for _, q in todo if q.two()["best"] >= TRIMERA and len(q.at) >= 3]
+        for query, at, als in _aligned([(q, q.at) for q in hard], texts):
+            query.see_three(at, freq[at], als)
+        chosen = []
+        for _, q in todo:
+            tri = q.three_parents() if q.three else {}
+            chosen.append((q, np.unique([*(q.two()[k] for k in ("p1", "p2")), *(tri[k] for k in ("t1", "t2", "t3") if tri)])))
+        parents: dict[int, dict] = {}
+        for query, at, als in _aligned(chosen, texts):
+            parents.setdefault(id(query), {}).update(zip(at.tolist(), als, strict=True))
+        ends = []
+        for k, q in todo:
+            row, model = _judged(q, parents[id(q)], names, ords, with_balance)
             rows[k] |= row
-            ends.append((own["seq"], near, model))
+            ends.append((q.seq, texts[q.hit[1]], model))
         if ends:
             found = K.nw_homopolymer([e[0] for e in ends] * 2, [e[1] for e in ends] + [e[2] for e in ends], table, unknown=None)
-            for (k, _, _), near, index in zip(todo, found[: len(ends)], found[len(ends) :], strict=True):
+            for (k, _), near, index in zip(todo, found[: len(ends)], found[len(ends) :], strict=True):
                 rows[k] |= {"d_best": near, "c_index": index, "excess": index - near}
         return pd.DataFrame(rows, columns=columns, dtype=object)
 
-    return dealt(pairs, block, "_group").groupBy(block, "_group").applyInPandas(lambda key, g: judge(g), f"`{block}` {kind}, {_OUT}")
+    return dealt(queries, block, "_group").groupBy(block, "_group").cogroup(dealt(spread, "_block", "_of").groupBy("_block", "_of")).applyInPandas(judge, f"`{block}` {kind}, {_OUT}")
 
 
 def classify(rows: DataFrame, alpha: float = -7.5, beta: float = 0.5) -> DataFrame:
