@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import HOT_SHARE, Words, cut, grams, heavy_join, hot_keys, long_of, mix64, pieces_of, powers, shuffle_partitions, table
+from ._common import HOT_SHARE, Words, cut, drop_cut, grams, heavy_join, hot_keys, long_of, mix64, pieces_of, powers, shuffle_partitions, table
 
 WINDOW, GRAM, RUN = 35, 8, 28
 
@@ -419,15 +419,15 @@ def removed_words(n: int, starts: np.ndarray, masks: np.ndarray, window: int) ->
     return np.cumsum(step[:n]) > 0
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_repeats(docs: DataFrame, window: int = WINDOW, done: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, mark, spans (array of start, mask): the repeated windows of each document that has some. docs: doc_id,
-    mark, text."""
+    mark, text. done gets the tables that may be dropped once the result is written."""
     spark = docs.sparkSession
     anchors = cut(_anchors(docs, window), "anchors")
-    counts = cut(anchors.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1"), "anchor-counts")
-    total = counts.agg(F.sum("n").alias("_all"))  # one row
+    counted = cut(anchors.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1"), "anchor-counts")
+    total = counted.agg(F.sum("n").alias("_all"))  # one row
     hot = F.col("n") > F.least(F.lit(float(KEY_ROWS)), F.greatest(F.lit(64.0), F.col("_all") * HOT_SHARE))
-    counts = counts.crossJoin(F.broadcast(total)).select("anchor", "rows", hot.alias("hot"))
+    counts = counted.crossJoin(F.broadcast(total)).select("anchor", "rows", hot.alias("hot"))
     marked = heavy_join(anchors.select("doc_id", "mark", "anchor"), counts, "anchor", "rows", "inner")
     lists = marked.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("anchor", "hot"))).alias("a")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("a.anchor").alias("anchors"), F.col("a.hot").alias("hot"))
     rows = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("doc_id", "mark", "text", "anchors", "hot")
@@ -435,6 +435,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = _distinct_runs(rows, window)
     dealt = runs.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     masks = cut(_search(dealt, window), "masks")
+    if done is not None:
+        done += [anchors, counted, masks]
     # runs with over a thousandth of all repeats, so fewer than 1000, are known where the texts are read; no other run
     # has enough rows to be a hot key of the join
     named = masks.withColumn("run", F.struct("r1", "r2"))
@@ -448,7 +450,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     """_row (a row of docs, whole) and spans (null for none)."""
-    spans = cut(find_repeats(_named(docs), window), "spans").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "spans")
+    done: list[DataFrame] = []
+    spans = cut(find_repeats(_named(docs), window, done), "spans")
+    drop_cut(*done)
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "spans")
     rows = docs.select(F.struct("*").alias("_row"))
     here = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_mark"))
     return rows.join(spans, here, "left").select("_row", "spans")
