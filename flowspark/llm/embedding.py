@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, cut, heavy_join, shuffle_partitions, table
+from ._common import components, cut, drop_cut, heavy_join, shuffle_partitions, table
 
 BLOCKS, TILE = 4, 8192
 
@@ -213,11 +213,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id: str = "vec_id",
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim"), F.max("vec").alias("vec"))
     classes = cut(classes, "classes")
     links = cut(_links(_tiles(_slabs(classes, cosine)), cosine), "links")
-    found = components(links.where("rep <> star").select(F.col("rep").alias("a"), F.col("star").alias("b")))
+    found = cut(components(links.where("rep <> star").select(F.col("rep").alias("a"), F.col("star").alias("b"))), "components")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     told = classes.select("key", "n", "rep").join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
     told = told.select("key", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = heavy_join(rows.select("vec_id", "key"), cut(told, "told"), "key", "n", "left")
+    told = cut(told, "told")
+    drop_cut(classes, links, found)
+    out = heavy_join(rows.select("vec_id", "key"), told, "key", "n", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
