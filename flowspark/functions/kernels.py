@@ -150,6 +150,21 @@ def nw_homopolymer(first: list[str], second: list[str], table: np.ndarray | None
     return al.score / np.maximum(al.length - tail, 1)
 
 
+def diff_profiles(first: list[str], second: list[str]) -> dict[str, list | np.ndarray]:
+    """n_diff, d and r of nw_diff for many pairs at once, without texts and maps."""
+    al = align(first, second, None, GAP)
+    inside = np.arange(al.a.shape[1])[None, :] < al.length[:, None]
+    base = (al.a > 1) & inside
+    other = (base & (al.b > 1) & (al.a != al.b)) | ((al.a == 0) & inside)
+    left, right = other | (base & (al.b == 0)), other | (base & (al.b < 2))
+    total = left.sum(axis=1)
+    row, column = np.nonzero(base)  # from the right end on
+    r = np.cumsum(right, axis=1)[row, column]
+    d = total[row] - (np.cumsum(left, axis=1) - left)[row, column]
+    ends = np.cumsum(np.bincount(row, minlength=len(first)))[:-1] if len(first) else []
+    return {"n_diff": total, "d": [x[::-1] for x in np.split(d, ends)], "r": np.split(r, ends)}
+
+
 def nw_diff(first: list[str], second: list[str]) -> list[dict]:
     """Of each pair: n_diff, and at each base of the first sequence the differences up to it (d, from the left) and
     from it on (r, from the right), with the columns they lie in (map_d, map_r). Columns past the end of the second

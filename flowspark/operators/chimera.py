@@ -121,12 +121,11 @@ class _Query:
         self.sides = [[np.full(n, 1 << 30), np.full(n, -np.inf), np.full(n, -1)] for _ in range(2)]
         self.three = None
 
-    def see(self, at: np.ndarray, freq: np.ndarray, als: list[dict]) -> None:
-        diffs = np.array([a["n_diff"] for a in als])
-        k = int(diffs.argmin())
-        self.hit = min(self.hit, (int(diffs[k]), int(at[k])))
+    def see(self, at: np.ndarray, freq: np.ndarray, als: dict) -> None:
+        k = int(als["n_diff"].argmin())
+        self.hit = min(self.hit, (int(als["n_diff"][k]), int(at[k])))
         for side, name in zip(self.sides, ("d", "r"), strict=True):
-            least, row = _best(np.array([a[name] for a in als]), freq)
+            least, row = _best(np.array(als[name]), freq)
             better = (least < side[0]) | ((least == side[0]) & (freq[row] > side[1]))
             for old, new in zip(side, (least, freq[row], at[row]), strict=True):
                 old[better] = new[better]
@@ -138,10 +137,10 @@ class _Query:
         k = int(total.argmin())
         return {"best": int(total[k]), "split": k, "p1": int(pd_[k]), "p2": int(pr[self.n - k - 2])}
 
-    def see_three(self, at: np.ndarray, freq: np.ndarray, als: list[dict]) -> None:
+    def see_three(self, at: np.ndarray, freq: np.ndarray, als: dict) -> None:
         """The least sum with a middle parent among these, the first splits and the most frequent parent of equals."""
         (dk, _, pd_), (rk, _, pr) = self.sides
-        d, n = np.array([a["d"] for a in als]), self.n
+        d, n = np.array(als["d"]), self.n
         for k in range(n - 1):
             middle, pm = _best(d[:, k : n - 1] - d[:, k : k + 1], freq)
             total = middle + dk[k] + rk[n - 2 - np.arange(k, n - 1)]
@@ -155,24 +154,27 @@ class _Query:
         return {"best": best, "split1": k, "split2": x, "t1": int(self.sides[0][2][k]), "t2": middle, "t3": int(self.sides[1][2][self.n - x - 2])}
 
 
-def _aligned(todo: list[tuple[_Query, np.ndarray]], texts: list[str]):
-    """(query, places, alignments) of all pairs, many together: of several queries, or of a part of one's candidates."""
+def _aligned(todo: list[tuple[_Query, np.ndarray]], texts: list[str], whole: bool = False):
+    """(query, places, profiles) of all pairs, many together: of several queries, or of a part of one's candidates. With
+    whole, alignments instead of profiles."""
     held, size = [], 0
     for query, at in todo:
         for lo in range(0, len(at), PAIRS):
             held.append((query, at[lo : lo + PAIRS]))
             size += len(held[-1][1])
             if size >= PAIRS:
-                yield from _align(held, texts)
+                yield from _align(held, texts, whole)
                 held, size = [], 0
-    yield from _align(held, texts)
+    if held:
+        yield from _align(held, texts, whole)
 
 
-def _align(held: list[tuple[_Query, np.ndarray]], texts: list[str]):
-    als = K.nw_diff([q.seq for q, at in held for _ in at], [texts[k] for _, at in held for k in at]) if held else []
+def _align(held: list[tuple[_Query, np.ndarray]], texts: list[str], whole: bool):
+    als = (K.nw_diff if whole else K.diff_profiles)([q.seq for q, at in held for _ in at], [texts[k] for _, at in held for k in at])
     lo = 0
     for query, at in held:
-        yield query, at, als[lo : lo + len(at)]
+        some = slice(lo, lo + len(at))
+        yield query, at, als[some] if whole else {k: v[some] for k, v in als.items()}
         lo += len(at)
 
 
@@ -223,7 +225,7 @@ def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None,
             tri = q.three_parents() if q.three else {}
             chosen.append((q, np.unique([*(q.two()[k] for k in ("p1", "p2")), *(tri[k] for k in ("t1", "t2", "t3") if tri)])))
         parents: dict[int, dict] = {}
-        for query, at, als in _aligned(chosen, texts):
+        for query, at, als in _aligned(chosen, texts, True):
             parents.setdefault(id(query), {}).update(zip(at.tolist(), als, strict=True))
         ends = []
         for k, q in todo:

@@ -79,11 +79,7 @@ def differences(seqs: DataFrame, block: str | None = None, full: bool = False) -
     """Of each pair the number of differences and, at each base of the first sequence, how many there are up to it from
     the left (d) and from the right (r)."""
 
-    def kernel(a: list, b: list) -> dict:
-        found = K.nw_diff(a, b)
-        return {k: [x[k] for x in found] for k in ("n_diff", "d", "r")}
-
-    return all_pairs(seqs, "seq", kernel, block, full, columns="n_diff int, d array<int>, r array<int>")
+    return all_pairs(seqs, "seq", K.diff_profiles, block, full, columns="n_diff int, d array<int>, r array<int>")
 
 
 def symmetrise(full: DataFrame) -> DataFrame:

@@ -122,3 +122,13 @@ def test_flow_distance():
 def test_binomial_tail():
     want = sum(math.comb(6, i) * 0.3**i * 0.7 ** (6 - i) for i in range(2, 7))
     assert K.binomial_tail(6, 2, 0.3) == pytest.approx(-math.log(want)) and K.binomial_tail(4, 0, 0.5) == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGT", max_size=12), st.text("ACGT", max_size=12)), min_size=1, max_size=8))
+def test_profiles_are_those_of_the_alignments(pairs):
+    a, b = map(list, zip(*pairs, strict=True))
+    got, want = K.diff_profiles(a, b), K.nw_diff(a, b)
+    assert got["n_diff"].tolist() == [w["n_diff"] for w in want]
+    for name in ("d", "r"):
+        assert [x.tolist() for x in got[name]] == [w[name] for w in want]
