@@ -687,12 +687,12 @@ def scan_noise_dir(spark, d) -> DataFrame:
 
 
 @query("SELECT 'c' || o_custkey AS cluster_id, string_agg('o' || o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY o_custkey")
-def scan_seqnoise_mapping(spark, d) -> DataFrame:
+def scan_noise_mapping(spark, d) -> DataFrame:
     rows = ad.table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("m"))
     line = F.concat_ws("\t", F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.array_join(F.transform("m", lambda x: F.concat(F.lit("o"), x.cast("string"))), ","))
     path = _folder(spark, "names")
     rows.select(line).write.text(path)
-    return text.scan_seqnoise_mapping(spark, path).select("cluster_id", _text("members").alias("members"))
+    return text.scan_noise_mapping(spark, path).select("cluster_id", _text("members").alias("members"))
 
 
 @query("WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, round(p_retailprice, 2) AS v, count(*) OVER () // 10 AS w FROM part) SELECT (k // w)::INT AS s, (k % w - 1)::INT AS bin, round(v, 4) AS nll FROM p WHERE k < 10 * w")
@@ -718,7 +718,7 @@ def scan_tran(spark, d) -> DataFrame:
 
 
 @query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_discount, l_tax, l_quantity, l_returnflag) - 1 AS ord, concat_ws('_', l_orderkey, l_linenumber) AS id, l_discount AS c_index, l_tax AS excess, l_quantity AS loon, CASE WHEN l_returnflag = 'A' THEN 'Trimera' ELSE 'Chimera' END AS class FROM lineitem")
-def scan_perseus(spark, d) -> DataFrame:
+def scan_chimera_rows(spark, d) -> DataFrame:
     """Lines of orders as rows of a chimera check."""
     rows = ad.table(spark, d, "lineitem")
     name = F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))

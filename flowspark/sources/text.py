@@ -133,7 +133,7 @@ def scan_mapping(spark: SparkSession, path: str, stem: str | None = None) -> Dat
     return rows.select("ord", F.get("t", F.lit(0)).alias("rep"), F.concat_ws("_", F.lit(stem), F.col("ord").cast("string"), total.cast("string")).alias("name"), members.alias("members"))
 
 
-def scan_seqnoise_mapping(spark: SparkSession, path: str) -> DataFrame:
+def scan_noise_mapping(spark: SparkSession, path: str) -> DataFrame:
     """cluster_id, members (in their order) of lines of a name and a list: the first of equal names counts."""
     rows = _lines(spark, path).where(F.trim("_v") != "").select("_line", _tokens("_v").alias("t"))
     named = rows.select("_line", F.get("t", F.lit(0)).alias("cluster_id"), F.filter(F.split(F.coalesce(F.get("t", F.lit(1)), F.lit("")), ","), lambda x: x != "").alias("members"))
