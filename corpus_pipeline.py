@@ -32,14 +32,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = ["_doc", "_bytes", "_hash"]
-    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("_bytes"), F.xxhash64("text").alias("_hash"), "text")
+    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("_bytes"), F.xxhash64("text").alias("_hash"))
     # one number for each doc_id and text, in the order of doc_id: rows of one id and other texts are other documents
     numbers = ordinals.with_ordinal(row.where("_doc IS NOT NULL").select(*text).distinct().orderBy(*text), "_number")
-    # of rows with one doc_id and text, the one whose other columns have the smallest hash
+    # of rows with one doc_id and text, the one whose other columns have the smallest hash; the join keeps their places
     whole = F.to_json("_row") if "map<" in docs.schema.simpleString() else F.col("_row")
-    first = Window.partitionBy("_number").orderBy(F.xxhash64(whole), whole)
-    once = cut(row.join(numbers, text).select("_row", "text", "_number").withColumn("_n", F.row_number().over(first)).where("_n = 1"), "numbered")
-    kept = minhash.near_duplicates(once.select(F.col("_number").alias("doc_id"), "text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("_number"))
+    first = Window.partitionBy(*text).orderBy(F.xxhash64(whole), whole)
+    single = row.where("_doc IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    once = cut(single.join(numbers, text).select("_row", "_number"), "numbered")
+    kept = minhash.near_duplicates(once.select(F.col("_number").alias("doc_id"), "_row.text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("_number"))
     return once.join(kept, "_number", "left_semi").select("_row.*").union(row.where("_doc IS NULL").select("_row.*"))
 
 
