@@ -187,10 +187,23 @@ def heavy_join(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str =
     return by_broadcast.unionByName(by_shuffle)
 
 
+#: Parts that the links of one node are dealt in.
+SALTS = 64
+
+
 def _least(pairs: DataFrame) -> DataFrame:
-    """x, y with m, the smallest y of each x; an x may hold any share of the rows."""
-    least = pairs.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("_n"))
-    return heavy_join(pairs, least, "x", "_n", "inner").drop("_n")
+    """x, y with m, the smallest y of each x. An x may hold any share of the rows: its rows are dealt in SALTS parts, each
+    part has a least of its own, and what is joined back is a row a part."""
+    salted = pairs.withColumn("_s", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("x", "_s").agg(F.min("y").alias("m"))
+    least = parts.select("x", "_s").join(parts.groupBy("x").agg(F.min("m").alias("m")), "x")
+    return salted.join(least, ["x", "_s"]).select("x", "y", "m")
+
+
+def _print(links: DataFrame) -> tuple:
+    """Number of links, and two sums of their hashes: two sets of links with equal prints are equal."""
+    sums = (F.sum(F.xxhash64(F.lit(k), "v", "u").cast("decimal(38,0)")) for k in (1, 2))
+    return tuple(links.agg(F.count(F.lit(1)), *sums).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,10 +211,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps, which keep the number of edges and end after a number of
     rounds that grows with the logarithm of the longest path; they go on until nothing changes. Each round is cut
-    in the shared folder. The centre of a giant component meets its rows by a broadcast of fewer than 1000 rows.
-    Only the count of changes comes to the driver."""
+    in the shared folder. The links of a giant component's centre are dealt to many tasks. Only a count and two sums
+    come to the driver."""
     both = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
     now = cut(both, "links")
+    seen = None
     while True:
         # large star: each node's larger neighbours go to its smallest neighbour (itself included)
         near = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select("u", "v"))
@@ -210,12 +224,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = F.array(F.struct(F.col("y").alias("v"), F.col("m").alias("u")), F.struct(F.col("x").alias("v"), F.col("m").alias("u")))
         small = _least(large).select(F.explode(step).alias("e")).select("e.v", "e.u").where("u <> v").distinct()
         after = cut(small, "links")
-        moved = after.join(now, ["v", "u"], "left_anti").limit(1).count() + now.join(after, ["v", "u"], "left_anti").limit(1).count()
         drop_cut(now)
-        if not moved:
+        now, before, seen = after, seen, _print(after)
+        if seen == before:
             break
-        now = after
-    return after.select(F.col("v").alias("node"), F.col("u").alias("component")).union(after.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
 def long_of(x: np.ndarray) -> np.ndarray:
