@@ -37,7 +37,7 @@ REGISTERS = 1 << BUCKET_BITS
 BANDS = REGISTERS // ROWS
 #: Standard deviations below the expected number of equal registers at which a pair is ruled out (a parameter of
 #: near_duplicates, where None rules out none), and rows of a tile.
-SLACK, TILE = 4.5, 1024
+SLACK, TILE = 4.5, 512
 #: The second sketch, for buckets of several components: number of registers, and how often two that differ look alike.
 FINE_BITS, FINE_CHANCE = 9, 0.0104
 
