@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import table
+from ._common import pieces_of, table
 
 LIMIT = 2048
 #: Words a worker keeps counts of at a time; beyond it the table starts anew (the counts stay the same).
@@ -54,14 +54,21 @@ class PrefixCounter:
             self.made.setdefault(a + b, (a, b, i))
         #: Whether each token has one way to be merged, later than its parts: then stable() need not encode.
         self.single = len(self.made) == len(self.ranks) and all(i > self.made.get(x, ("", "", -1))[2] for a, b, i in self.made.values() for x in (a, b))
-        self.closes = {t.removesuffix(self.mark): t for t in self.vocab if t.endswith(self.mark) and t != self.mark}
-        self.longest = max(len(t.removesuffix(self.mark)) for t in self.vocab)
+        #: Tokens of words that go on and that end there (without the mark); of each, which tokens before it are stable.
+        self.opens: dict[str, dict[str, bool]] = {t: {} for t in self.vocab if not t.endswith(self.mark)}
+        self.closes: dict[str, dict[str, bool]] = {t.removesuffix(self.mark): {} for t in self.vocab if t.endswith(self.mark) and t != self.mark}
+        #: The longest token, open or closed, that ends with these two letters: none longer needs a look.
+        self.longest: dict[str, int] = {}
+        for t in {*self.opens, *self.closes}:
+            if len(t) > self.longest.get(t[-2:], 1):
+                self.longest[t[-2:]] = len(t)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split, regex.V1)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
         self.gap, self.run = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1), regex.compile(r"[\S\x1c-\x1f]+", regex.V1)
         self.name = _byte_names()
-        self.kept, self.counts, self.pairs, self.known = kept, {}, {}, {}
+        self.kept, self.counts, self.pairs, self.known = kept, {}, 0, {}
+        self.held: tuple[str, list[int], list[str], list[int]] = ("", [0], [""], [])
 
     def bpe(self, symbols: list[str]) -> list[str]:
         symbols = list(symbols)
@@ -78,13 +85,15 @@ class PrefixCounter:
             return [*token[:-1], token[-1] + self.mark]
         return list(token)
 
-    def stable(self, a: str, b: str) -> bool:
-        """Whether a then b is what their joint text encodes to (a may be empty: b alone)."""
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._no_merge_across(a, b) if self.single and a else self.bpe(self._symbols(a) + self._symbols(b)) == ([a, b] if a else [b])
-        return known
+    def stable(self, known: dict[str, bool], a: str, b: str) -> bool:
+        """Whether a then b is what their joint text encodes to (a may be empty: b alone); kept in known."""
+        self.pairs += 1
+        if self.pairs > 1_000_000:
+            for kept in (*self.opens.values(), *self.closes.values()):
+                kept.clear()
+            self.pairs = 0
+        known[a] = found = self._no_merge_across(a, b) if self.single and a else self.bpe(self._symbols(a) + self._symbols(b)) == ([a, b] if a else [b])
+        return found
 
     def _no_merge_across(self, a: str, b: str) -> bool:
         """Goes back through the merges that made a and b, latest first. At each moment the parts that touch where
@@ -106,22 +115,27 @@ class PrefixCounter:
 
     def table(self, word: str) -> tuple[list[int], list[int]]:
         """Token counts of each non-empty prefix of a word given in byte names: open, closed."""
-        n, vocab, closes, longest, pairs, stable = len(word), self.vocab, self.closes, self.longest, self.pairs, self.stable
-        counts, last, closed = [0], [""], []
-        for i in range(1, n + 1):
+        opens, closes, longest, stable, mark = self.opens.get, self.closes.get, self.longest.get, self.stable, self.mark
+        # what was kept at the prefixes that the word before had too is the same here
+        before, counts, last, closed = self.held
+        same, most = 0, min(len(before), len(word))
+        while same < most and before[same] == word[same]:
+            same += 1
+        counts, last, closed = counts[: same + 1], last[: same + 1], closed[:same]
+        for i in range(same + 1, len(word) + 1):
             goes = ends = 0
-            for j in range(i - longest if i > longest else 0, i):
-                t = word[j:i]
-                if not goes and t in vocab:
-                    known = pairs.get((last[j], t))
-                    if known or (known is None and stable(last[j], t)):
+            far = longest(word[i - 2 : i], 1) if i > 1 else 1
+            for j in range(i - far if i > far else 0, i):
+                t, before = word[j:i], last[j]
+                if not goes and (known := opens(t)) is not None:
+                    good = known.get(before)
+                    if good or (good is None and stable(known, before, t)):
                         goes, token = counts[j] + 1, t
                         if ends:
                             break
-                if not ends and t in closes:
-                    full = closes[t]
-                    known = pairs.get((last[j], full))
-                    if known or (known is None and stable(last[j], full)):
+                if not ends and (known := closes(t)) is not None:
+                    good = known.get(before)
+                    if good or (good is None and stable(known, before, t + mark)):
                         ends = counts[j] + 1
                         if goes:
                             break
@@ -130,6 +144,7 @@ class PrefixCounter:
             counts.append(goes)
             last.append(token)
             closed.append(ends)
+        self.held = word, counts, last, closed
         return counts[1:], closed
 
     def names(self, word: str) -> str:
@@ -151,8 +166,11 @@ class PrefixCounter:
             if len(known) + len(new) > self.kept:
                 known.clear()
                 new = set(runs)
-            for r in new:
-                known[r] = sum([self.word(w)[-1] for w in self.words.findall(r)])
+            split = {r: self.words.findall(r) for r in new}
+            for w in sorted({w for words in split.values() for w in words if w not in self.known}):
+                self.word(w)  # in order, so that words with one beginning follow each other
+            for r, words in split.items():
+                known[r] = sum([self.word(w)[-1] for w in words])
             return [known[r] for r in runs]
 
     def word(self, word: str) -> "bytes | list[int]":
@@ -182,10 +200,23 @@ class PrefixCounter:
 
     def runs(self, text: str) -> list[int]:
         """Token counts of a text's white-space-free runs and special strings, in order."""
-        out: list[int] = []
-        for part, special in self.parts(text):
-            out += [1] if special else self.look_up(part.split() if _PLAIN.search(part) is None else [x for x in self.gap.split(part) if x])
-        return out
+        return self.all_runs([text])[0]
+
+    def all_runs(self, texts: list[str]) -> list[list[int]]:
+        """The same of several texts, whose new words are counted together."""
+        flat, ends, special = [], [], []
+        for text in texts:
+            for part, whole in self.parts(text):
+                if whole:
+                    special.append(len(flat))
+                    flat.append("")  # one token, as no run is empty
+                else:
+                    flat += part.split() if _PLAIN.search(part) is None else [x for x in self.gap.split(part) if x]
+            ends.append(len(flat))
+        counts = self.look_up(flat)
+        for k in special:
+            counts[k] = 1
+        return [counts[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
     def count(self, text: str) -> int:
         return sum(self.runs(text))
@@ -270,11 +301,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def counted(batches):
         c = counter(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole, 1)):
             size, n, runs, chars = [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                counts = c.runs(text)
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for text, counts in zip(texts, c.all_runs(texts), strict=True):
                 size.append(len(text.encode()))
                 n.append(sum(counts))
                 fits = (len(counts), None) if n[-1] <= limit else c.fitting(text, counts, limit)
