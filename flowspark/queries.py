@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -702,8 +704,8 @@ def scan_lookup(spark, d) -> DataFrame:
     path = _folder(spark, "lookup")
     sinks._ordered(prices, path)
     table, priors = text.scan_lookup(spark, path, prices.count() // 10 - 1)
-    rows = [(s, -1, float(priors[s])) for s in range(10)] + [(s, k, float(x)) for s in range(10) for k, x in enumerate(table[s])]
-    return spark.createDataFrame(rows, "s int, bin int, nll double")
+    s, bins = np.divmod(np.arange(table.size + 10), table.shape[1] + 1)
+    return spark.createDataFrame(pa.table({"s": s.astype(np.int32), "bin": (bins - 1).astype(np.int32), "nll": np.column_stack([priors, table]).ravel()}))
 
 
 @query("SELECT substr('ACTG', (l_linenumber % 4 + 1)::INT, 1) AS a, substr('ACTG', (l_suppkey % 4 + 1)::INT, 1) AS b, round(avg(l_quantity), 6) AS cost FROM lineitem GROUP BY ALL")

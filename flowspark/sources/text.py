@@ -223,16 +223,21 @@ def scan_keyfile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.trim(F.get(t, F.lit(0))).alias("name"), F.trim(F.get(t, F.lit(1))).alias("tag"))
 
 
+def _first(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first n lines that are not empty, in their order in the file, which Spark's own order of splits is not."""
+    return _lines(spark, path).where(F.trim("_v") != "").orderBy("_line").limit(n)
+
+
 def scan_lookup(spark: SparkSession, path: str, bins: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """(table of 10 x bins, 10 priors): blocks of a prior and its bins, a value a line. Its size is fixed."""
-    values = np.array([float(r["value"]) for r in spark.read.text(path).where(F.trim("value") != "").limit(10 * (bins + 1)).collect()])
+    values = _first(spark, path, 10 * (bins + 1)).select(F.trim("_v").cast("double").alias("x")).toPandas()["x"].to_numpy()
     blocks = values.reshape(10, bins + 1)
     return blocks[:, 1:], blocks[:, 0]
 
 
 def scan_tran(spark: SparkSession, path: str) -> np.ndarray:
     """4 x 4 costs over ACTG."""
-    return np.array([[float(x) for x in r["value"].split(",")[:4]] for r in spark.read.text(path).where(F.trim("value") != "").limit(4).collect()])
+    return np.array([[float(x) for x in r["value"].split(",")[:4]] for r in _first(spark, path, 4).select(F.col("_v").alias("value")).collect()])
 
 
 def scan_chimeras(spark: SparkSession, path: str) -> DataFrame:

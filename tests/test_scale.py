@@ -211,3 +211,15 @@ def test_no_private_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         stage.shared_folder(Session())
+
+
+def test_a_table_in_parts_is_read_in_their_order(spark, tmp_path):
+    """Spark packs large files first: the second part here would come before the first."""
+    values = [f"{k}.5" for k in range(110)]
+    for name, part in (("part-0", values[:20]), ("part-1", [*values[20:], ""])):
+        (tmp_path / name).write_text("\n".join(part) + "\n")
+    table, priors = text.scan_lookup(spark, str(tmp_path), 10)
+    assert priors.tolist() == [11 * k + 0.5 for k in range(10)] and table[9].tolist() == [100.5 + k for k in range(10)]
+    for name, part in (("part-0", ["1,2,3,4"]), ("part-1", ["5,6,7,8", "9,10,11,12", "13,14,15,16"])):
+        (tmp_path / name).write_text("\n".join(part) + "\n")
+    assert text.scan_tran(spark, str(tmp_path)).ravel().tolist() == list(range(1, 17))
