@@ -2,84 +2,165 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from .stage import dealt
 
 TILE = 256
+#: Rows with one value that stand together in an item of a tile, pairs that a kernel takes at a time, and pairs of items
+#: that are handed on at a time.
+COPIES, KERNEL, BATCH = 64, 2048, 8192
 
 
 def _blocked(items: DataFrame, block: str | None) -> tuple[DataFrame, str]:
     return (items, block) if block else (items.withColumn("_block", F.lit(0)), "_block")
 
 
-def all_pairs(items: DataFrame, value: str, kernel: Callable[[list, list], np.ndarray | dict], block: str | None = None, full: bool = False, tile: int = TILE, columns: str = "d double") -> DataFrame:
+def _distinct(items: DataFrame, value: str, by: str) -> DataFrame:
+    """block, _number, _value, _members: the values of a block, numbered from 0 by their first rows, and the ordinals of
+    the rows that have each."""
+    values = items.groupBy(by, F.col(value).alias("_value")).agg(F.sort_array(F.collect_list(F.col("ord").cast("long"))).alias("_members"))
+    place = Window.partitionBy(by).orderBy(F.get("_members", F.lit(0)), "_value")
+    return values.withColumn("_number", F.row_number().over(place) - 1)
+
+
+def _compared(values: DataFrame, kernel: Callable, by: str, full: bool, tile: int, columns: str, members: bool) -> DataFrame:
+    """Of each two values of which rows are compared the kernel's columns; with members block, _i, _j (ordinals of rows,
+    some pairs of which may not be asked for), else block, p, q (numbers of values)."""
+    fields = [c.strip().split() for c in columns.split(", ")]
+    ends = (("_first", F.element_at("_members", 1)), ("_last", F.element_at("_members", -1)))
+    if members:
+        pieces = F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"(size(_members) - 1) div {COPIES}")), lambda k: F.slice("_members", k * COPIES + 1, COPIES)))
+        items = values.withColumn("_members", pieces)
+        items = items.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy("_number", F.element_at("_members", 1))) - 1)
+    else:
+        items = values.withColumn("_place", F.col("_number"))
+    items = items.withColumns({**dict(ends), "_t": F.expr(f"_place div {tile}")}).drop("_place", *([] if members else ["_members"]))
+    sizes = items.groupBy(by).agg(F.max("_t").alias("_tiles"))
+    place = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "_tiles"), lambda k: F.struct(F.greatest("_t", k).alias("_row"), F.least("_t", k).alias("_col"))))
+    spread = items.join(sizes, by).withColumn("_tile", place).drop("_tiles").select("*", "_tile._row", "_tile._col").drop("_tile")
+
+    types = {"double": pa.float64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+    names = [by, *(("_i", "_j") if members else ("p", "q")), *(f[0] for f in fields)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).combine_chunks()
+        of = {name: group[name].chunk(0) for name in (by, "_value")} | ({"_members": group["_members"].chunk(0).cast(pa.list_(pa.int64()))} if members else {})
+        t, number = group["_t"].to_numpy(), group["_number"].to_numpy().astype(np.int64)
+        first, last = group["_first"].to_numpy(), group["_last"].to_numpy()
+        row, col = group["_row"][0].as_py(), group["_col"][0].as_py()
+        rows, cols = np.flatnonzero(t == row), np.flatnonzero(t == col)
+        known = dict(zip(number.tolist(), of["_value"].to_pylist(), strict=True))
+        most = int(number.max()) + 1
+        for a, b in [(rows, cols)] + ([(cols, rows)] if row != col else []):
+            if full:  # all but a row with itself
+                asked = (first[a][:, None] != last[b][None, :]) | (first[b][None, :] != last[a][:, None])
+            else:
+                asked = last[a][:, None] > first[b][None, :]
+            x, y = np.nonzero(asked)
+            x, y = a[x], b[y]
+            pair, which = np.unique(number[x] * most + number[y], return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            at = np.searchsorted(which[order], np.arange(0, len(pair) + KERNEL, KERNEL))
+            for k, lo in enumerate(range(0, len(pair), KERNEL)):
+                some = pair[lo : lo + KERNEL]
+                found = kernel([known[n] for n in (some // most).tolist()], [known[n] for n in (some % most).tolist()])
+                found = found if isinstance(found, dict) else {"d": found}
+                arrays = [pa.array(found[n], types[kind]) for n, kind in fields]
+                mine = order[at[k] : at[k + 1]]
+                for start in range(0, len(mine), BATCH):
+                    part = mine[start : start + BATCH]
+                    ends = [of["_members"].take(pa.array(z[part])) if members else pa.array(number[z[part]].astype(np.int32)) for z in (x, y)]
+                    take = pa.array(which[part] - lo)
+                    yield pa.RecordBatch.from_arrays([of[by].take(pa.array(x[part])), *ends, *(v.take(take) for v in arrays)], names=names)
+
+    kind = dict(spread.dtypes)[by]
+    ends = "_i array<long>, _j array<long>" if members else "p int, q int"
+    return dealt(spread, by, "_row", "_col").groupBy(by, "_row", "_col").applyInArrow(compare, f"`{by}` {kind}, {ends}, {columns}")
+
+
+def all_pairs(items: DataFrame, value: str, kernel: Callable[[list, list], np.ndarray | dict], block: str | None = None, full: bool = False, tile: int = TILE, columns: str = "d double", then: dict[str, Column] | None = None) -> DataFrame:
     """block, i, j, d of items (ord and the value) within their block: j < i, or all pairs with full. A kernel may give
-    other columns, by name.
+    other columns, by name (double, int or array<int>); then are columns made of those, instead of them.
 
-    The triangle is cut into tiles of ord ranges. Each item is repeated once for each tile of its row and column, which
-    is the block's size over the tile's, and a task compares two ranges at a time, so a large block spreads over many
-    tasks. The number of pairs is quadratic in a block by definition; blocks are what keeps it bounded."""
+    What a pair gets depends on its two values only, so a kernel sees each two values of a block once, and then rows are
+    put in their places. The values are numbered and cut into tiles, however sparse the ordinals are. Each is repeated
+    once for each tile of its row and column, which is the number of a block's values over the tile's, and a task compares
+    two ranges at a time, so a large block spreads over many tasks. The number of pairs is quadratic in a block by
+    definition; blocks are what keeps it bounded."""
     items, by = _blocked(items, block)
-    items = items.select(by, "ord", F.col(value).alias("_value"), F.expr(f"ord div {tile}").alias("_t"))
-    # the tiles of a block that hold rows, however sparse its ordinals; a broadcast is left to Spark's own size check
-    items = items.join(items.groupBy(by).agg(F.collect_set("_t").alias("_tiles")), by)
-    place = F.explode(F.transform("_tiles", lambda k: F.struct(F.greatest("_t", k).alias("_row"), F.least("_t", k).alias("_col"))))
-    spread = items.withColumn("_tile", place).select(by, "_tile._row", "_tile._col", "_t", "ord", "_value")
-
-    names = [by, "i", "j", *(c.strip().split()[0] for c in columns.split(", "))]
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        row, col = int(group["_row"].iat[0]), int(group["_col"].iat[0])
-        rows, cols = group[group["_t"] == row], group[group["_t"] == col]
-        oi, oj = rows["ord"].to_numpy(), cols["ord"].to_numpy()
-        vi, vj = rows["_value"].tolist(), cols["_value"].tolist()
-        out = []
-        for a, b, va, vb in [(oi, oj, vi, vj)] + ([(oj, oi, vj, vi)] if full and row != col else []):
-            x, y = np.nonzero((a[:, None] != b[None, :]) if full else (a[:, None] > b[None, :]))
-            for lo in range(0, len(x), 2048):
-                p, q = x[lo : lo + 2048], y[lo : lo + 2048]
-                found = kernel([va[k] for k in p], [vb[k] for k in q])
-                out.append(pd.DataFrame({by: group[by].iat[0], "i": a[p], "j": b[q], **(found if isinstance(found, dict) else {"d": found})}))
-        return pd.concat(out) if out else pd.DataFrame(columns=names)
+    out = _compared(_distinct(items, value, by), kernel, by, full, tile, columns, True)
+    names = [c.strip().split()[0] for c in columns.split(", ")]
+    if then:
+        out = out.select(by, "_i", "_j", *(c.alias(n) for n, c in then.items()))
+        names = list(then)
+    out = out.withColumn("i", F.explode("_i")).drop("_i").withColumn("j", F.explode("_j")).drop("_j").where("i <> j" if full else "j < i")
+    return out.select(*([by] if block else []), "i", "j", *names)
 
-    kind = dict(spread.dtypes)[by]
-    out = dealt(spread, by, "_row", "_col").groupBy(by, "_row", "_col").applyInPandas(compare, f"`{by}` {kind}, i long, j long, {columns}")
-    return out if block else out.drop("_block")
+
+@dataclass
+class ByValue:
+    """Distances of a block's rows by their values: rows (block, ord, number, and what else they have), and pairs (block,
+    p, q, d) of the numbers of the two values, for a row with p and one with q before it, or any two rows with full."""
+
+    rows: DataFrame
+    pairs: DataFrame
+    full: bool = False
+
+
+def by_value(items: DataFrame, value: str, kernel: Callable, block: str, full: bool = False, tile: int = TILE) -> ByValue:
+    """all_pairs with d, without its rows: for what holds a block's matrix anyhow."""
+    values = _distinct(items, value, block)
+    rows = values.select(block, F.explode("_members").alias("ord"), F.col("_number").alias("number"))
+    return ByValue(rows, _compared(values, kernel, block, full, tile, "d double", False), full)
 
 
 def _flows(first: list, second: list) -> np.ndarray:
     return K.flow_dist([np.asarray(x, np.int64) for x in first], [np.asarray(x, np.int64) for x in second])
 
 
+def _counted(reads: DataFrame) -> DataFrame:
+    return reads.withColumn("_flows", F.expr("slice(flows, 1, cast(floor(len / 4) * 4 as int))"))
+
+
+def _flow_kernel(lookup: np.ndarray | None) -> Callable:
+    return _flows if lookup is None else (lambda a, b: K.flow_dist([np.asarray(x, np.int64) for x in a], [np.asarray(x, np.int64) for x in b], lookup))
+
+
 def flow_distances(reads: DataFrame, lookup: np.ndarray | None = None, block: str | None = None) -> DataFrame:
     """Flow distance of reads (ord, len, flows); flows up to len rounded down to a multiple of four count."""
-    part = reads.withColumn("_flows", F.expr("slice(flows, 1, cast(floor(len / 4) * 4 as int))"))
-    kernel = _flows if lookup is None else (lambda a, b: K.flow_dist([np.asarray(x, np.int64) for x in a], [np.asarray(x, np.int64) for x in b], lookup))
-    return all_pairs(part, "_flows", kernel, block)
+    return all_pairs(_counted(reads), "_flows", _flow_kernel(lookup), block)
 
 
-def identity_distances(seqs: DataFrame, block: str | None = None) -> DataFrame:
-    return all_pairs(seqs, "seq", K.nw_identity, block)
+def flows_by_value(reads: DataFrame, lookup: np.ndarray | None, block: str) -> ByValue:
+    return by_value(_counted(reads), "_flows", _flow_kernel(lookup), block)
 
 
-def sequence_distances(seqs: DataFrame, table: np.ndarray | None = None, block: str | None = None, asymmetric: bool = False) -> DataFrame:
+def identity_distances(seqs: DataFrame, block: str | None = None, then: dict[str, Column] | None = None) -> DataFrame:
+    return all_pairs(seqs, "seq", K.nw_identity, block, then=then)
+
+
+def sequence_distances(seqs: DataFrame, table: np.ndarray | None = None, block: str | None = None, asymmetric: bool = False, then: dict[str, Column] | None = None) -> DataFrame:
     """Homopolymer-aware distance; the asymmetric form gives all ordered pairs."""
-    kernel = lambda a, b: K.nw_homopolymer(a, b, table, both_ends=not asymmetric, unknown=None if asymmetric else 0.0)
-    return all_pairs(seqs, "seq", kernel, block, full=asymmetric)
+    return all_pairs(seqs, "seq", homopolymer(table, asymmetric), block, full=asymmetric, then=then)
+
+
+def homopolymer(table: np.ndarray | None = None, asymmetric: bool = False) -> Callable:
+    return lambda a, b: K.nw_homopolymer(a, b, table, both_ends=not asymmetric, unknown=None if asymmetric else 0.0)
 
 
-def differences(seqs: DataFrame, block: str | None = None, full: bool = False) -> DataFrame:
+def differences(seqs: DataFrame, block: str | None = None, full: bool = False, then: dict[str, Column] | None = None) -> DataFrame:
     """Of each pair the number of differences and, at each base of the first sequence, how many there are up to it from
     the left (d) and from the right (r)."""
 
-    return all_pairs(seqs, "seq", K.diff_profiles, block, full, columns="n_diff int, d array<int>, r array<int>")
+    return all_pairs(seqs, "seq", K.diff_profiles, block, full, columns="n_diff int, d array<int>, r array<int>", then=then)
 
 
 def symmetrise(full: DataFrame) -> DataFrame:

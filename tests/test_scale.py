@@ -223,3 +223,15 @@ def test_a_table_in_parts_is_read_in_their_order(spark, tmp_path):
     for name, part in (("part-0", ["1,2,3,4"]), ("part-1", ["5,6,7,8", "9,10,11,12", "13,14,15,16"])):
         (tmp_path / name).write_text("\n".join(part) + "\n")
     assert text.scan_tran(spark, str(tmp_path)).ravel().tolist() == list(range(1, 17))
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_copies_are_compared_once(spark, full):
+    """However many rows have two values, and however far apart they stand, a kernel sees the two once; d says how many
+    pairs of a block it was given at a time."""
+    items = spark.range(300).select((F.col("id") * 10).alias("ord"), (F.col("id") % 2).alias("block"), (F.col("id") % 6).cast("string").alias("v"))
+    got = pairs.all_pairs(items, "v", lambda a, b: {"d": np.full(len(a), len(a)), "n": np.array([int(x) * 10 + int(y) for x, y in zip(a, b, strict=True)])}, "block", full=full, columns="d double, n int")
+    rows = got.collect()
+    want = {(b, i * 10, j * 10, i % 6 * 10 + j % 6) for b in range(2) for i in range(b, 300, 2) for j in range(b, 300, 2) if (i != j if full else j < i)}
+    assert len(rows) == len(want) and {(r["block"], r["i"], r["j"], r["n"]) for r in rows} == want
+    assert max(r["d"] for r in rows) <= 9
