@@ -188,18 +188,20 @@ def _text(codes: np.ndarray) -> str:
 # ---------------------------------------------------------------- linkage
 
 
-def linkage(distances: np.ndarray, method: str = "complete", weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linkage(distances: np.ndarray, method: str = "complete", weights: np.ndarray | None = None, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Merges (left, right; the k-th merge is -k-1) and their distances, from a symmetric matrix. The first smallest
     distance row by row below the diagonal merges; the result takes the smaller slot, the last slot fills the other.
-    Arithmetic is in single precision. method: complete or average (by weights, else by number)."""
+    Arithmetic is in single precision. method: complete or average (by weights, else by number). With own the matrix, in
+    single precision, is worked in and lost."""
     n = len(distances)
-    d = np.array(distances, np.float32)
+    d = distances if own else np.array(distances, np.float32)
     name, size = np.arange(n), np.ones(n, np.float32) if weights is None else np.asarray(weights, np.float32).copy()
     merges, heights = np.zeros((max(n - 1, 0), 2), np.int64), np.zeros(max(n - 1, 0), np.float32)
-    below = np.tril(np.ones((n, n), bool), -1)
-    low = np.where(below, d, np.float32(np.inf))
-    nearest = low.argmin(axis=1)
-    least = low[np.arange(n), nearest] if n else np.zeros(0, np.float32)
+    # of each row the first least distance below the diagonal, and its place
+    nearest, least = np.zeros(n, np.int64), np.full(n, np.inf, np.float32)
+    for i in range(1, n):
+        nearest[i] = d[i, :i].argmin()
+        least[i] = d[i, nearest[i]]
     for k in range(n - 1):
         m = n - k
         high = int(least[1:m].argmin()) + 1
@@ -210,21 +212,36 @@ def linkage(distances: np.ndarray, method: str = "complete", weights: np.ndarray
         else:
             row = (d[high, :m] * size[high] + d[into, :m] * size[into]) / (size[high] + size[into])
             size[into] += size[high]
-        d[into, :m], d[:m, into] = row, row
+        _place(d, into, row)
         name[into] = -k - 1
         end = m - 1
-        d[high, :end], d[:end, high] = d[end, :end], d[:end, end]
-        d[high, high] = 0
         name[high], size[high] = name[end], size[end]
+        if high < end:
+            _place(d, high, d[end, :end].copy())
+            d[high, high] = 0
         # rows whose part below the diagonal has changed: the two slots, and those that see them
-        for i in range(min(into, high), end):
-            if i in (into, high) or nearest[i] in (into, high, end) or (i > into and d[i, into] <= least[i]) or (i > high and d[i, high] <= least[i]):
-                if i:
-                    nearest[i] = d[i, :i].argmin()
-                    least[i] = d[i, nearest[i]]
+        redo = [i for i in (into, high) if 0 < i < end]
+        for slot in (into, high):
+            lo = slot + 1
+            if lo >= end:
+                continue
+            new, near, low = d[slot, lo:end], nearest[lo:end], least[lo:end]
+            mine = near == slot
+            redo += (np.flatnonzero(mine & (new > low)) + lo).tolist()
+            closer = (new < low) | ((new == low) & (near > slot))
+            near[closer], low[closer] = slot, new[closer]
+        for i in redo:
+            nearest[i] = d[i, :i].argmin()
+            least[i] = d[i, nearest[i]]
     return merges, heights
 
 
+def _place(d: np.ndarray, slot: int, row: np.ndarray) -> None:
+    """row as the slot's row and column, where they are not that already."""
+    changed = np.flatnonzero(d[slot, : len(row)] != row)
+    d[slot, changed] = d[changed, slot] = row[changed]
+
+
 def cut(merges: np.ndarray, heights: np.ndarray, n: int, below: float) -> list[list[int]]:
     """Members of each cluster after the merges of less than below, by slot; who is taken up comes behind."""
     members: list[list[int] | None] = [[i] for i in range(n)]

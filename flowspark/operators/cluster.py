@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .pairs import ByValue
 from .stage import dealt
 
 _MERGES = "step int, `left` int, `right` int, dist float"
@@ -22,25 +23,53 @@ def _matrix(pairs: pd.DataFrame, n: int, scale: bool = False) -> np.ndarray:
     return d
 
 
-def linkage(distances: DataFrame, block: str, method: str = "complete", scale: bool = False, weights: DataFrame | None = None) -> DataFrame:
-    """block, step, left, right, dist from distances (block, i, j, d with j < i, ordinals from 0). method: complete or
-    average, by number or by weights (block, ord, weight). scale brings distances to 0 ... 1. One block is one task's
-    matrix: n * n / 2 distances, which is why samples are split into blocks first (split_even)."""
-    kind = dict(distances.dtypes)[block]
-    names = [block, "step", "left", "right", "dist"]
+def by_number(pairs: pd.DataFrame, number: np.ndarray, mirrored: bool = True) -> np.ndarray:
+    """The matrix of rows from the distances of their values (p, q, d); mirrored for those of a row and one before it."""
+    n, m = len(number), int(number.max()) + 1
+    d = np.zeros((m, m), np.float32)
+    d[pairs["p"].to_numpy(), pairs["q"].to_numpy()] = pairs["d"].to_numpy(np.float32)
+    if m < n or (number != np.arange(n)).any():
+        d = d[number][:, number]
+    for i in range(n):
+        d[i, i] = 0
+        if mirrored:
+            d[:i, i] = d[i, :i]
+    return d
+
+
+def linkage(distances: DataFrame | ByValue, block: str, method: str = "complete", scale: bool = False, weights: DataFrame | None = None) -> DataFrame:
+    """block, step, left, right, dist from distances (block, i, j, d with j < i, ordinals from 0), or by values. method:
+    complete or average, by number or by weights (block, ord, weight). scale brings distances to 0 ... 1. One block is one
+    task's matrix: n * n distances, which is why samples are split into blocks first (split_even). By values what is sent
+    there is no more than the distances of its distinct values."""
+    names, weighted = [block, "step", "left", "right", "dist"], weights is not None
 
-    def rows(group: pd.DataFrame, sizes: np.ndarray | None) -> pd.DataFrame:
-        n = int(group["i"].max()) + 1
-        merges, heights = K.linkage(_matrix(group, n, scale), method, sizes)
-        return pd.DataFrame({block: group[block].iat[0], "step": np.arange(n - 1), "left": merges[:, 0], "right": merges[:, 1], "dist": heights})
+    def rows(of, d: np.ndarray, sizes: np.ndarray | None) -> pd.DataFrame:
+        merges, heights = K.linkage(d, method, sizes, own=True)
+        return pd.DataFrame({block: of, "step": np.arange(len(d) - 1), "left": merges[:, 0], "right": merges[:, 1], "dist": heights})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        return rows(group, None)
+        return rows(group[block].iat[0], _matrix(group, int(group["i"].max()) + 1, scale), None)
 
     def merge_weighted(group: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
-        return rows(group, sizes.sort_values("ord")["weight"].to_numpy()) if len(group) else pd.DataFrame(columns=names)
-
-    schema = f"`{block}` {kind}, {_MERGES}"
+        return rows(group[block].iat[0], _matrix(group, int(group["i"].max()) + 1, scale), sizes.sort_values("ord")["weight"].to_numpy()) if len(group) else pd.DataFrame(columns=names)
+
+    def merge_numbered(items: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if len(items) < 2:
+            return pd.DataFrame(columns=names)
+        items = items.sort_values("ord")
+        if scale:
+            v = pairs["d"].to_numpy(np.float32)
+            pairs = pairs.assign(d=(v - v.min()) / max(v.max() - v.min(), np.float32(1e-30)))
+        return rows(items[block].iat[0], by_number(pairs, items["number"].to_numpy()), items["weight"].to_numpy() if weighted else None)
+
+    if isinstance(distances, ByValue):
+        if distances.full:
+            raise ValueError("a linkage takes one distance a pair")
+        kind, items = dict(distances.rows.dtypes)[block], distances.rows.select(block, "ord", "number")
+        items = items if weights is None else items.join(weights.select(block, "ord", "weight"), [block, "ord"])
+        return dealt(items, block).groupBy(block).cogroup(dealt(distances.pairs, block).groupBy(block)).applyInPandas(merge_numbered, f"`{block}` {kind}, {_MERGES}")
+    schema = f"`{block}` {dict(distances.dtypes)[block]}, {_MERGES}"
     grouped = dealt(distances, block).groupBy(block)
     if weights is None:
         return grouped.applyInPandas(merge, schema)
@@ -103,17 +132,28 @@ def even_splits(merges: np.ndarray, most: int, least: int) -> list[tuple[str, li
     """Subtrees of at most `most` leaves, largest first, named C000, C001 ...; those of fewer than `least` together
     make the last one, with a plus behind its name."""
     n = len(merges) + 1
-    leaves: list[list[int]] = []
-    under = lambda x: [x] if x >= 0 else leaves[-x - 1]
-    for left, right in merges.tolist():
-        leaves.append(under(left) + under(right))
+    sizes: list[int] = []
+    steps = merges.tolist()
+    for pair in steps:
+        sizes.append(sum(1 if x >= 0 else sizes[-x - 1] for x in pair))
+
+    def under(node: int) -> list[int]:
+        open_, leaves = [node], []
+        while open_:
+            x = open_.pop()
+            if x >= 0:
+                leaves.append(x)
+            else:
+                open_ += steps[-x - 1][::-1]
+        return leaves
+
     todo, found = [-len(merges) if len(merges) else 0], []
     while todo:
         node = todo.pop()
-        if node >= 0 or len(leaves[-node - 1]) <= most:
+        if node >= 0 or sizes[-node - 1] <= most:
             found.append(under(node))
         else:
-            left, right = merges[-node - 1].tolist()
+            left, right = steps[-node - 1]
             todo += [right, left]
     found.sort(key=lambda m: (-len(m), min(m)))
     large = [m for m in found if len(m) >= least]

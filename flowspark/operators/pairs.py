@@ -168,6 +168,10 @@ def symmetrise(full: DataFrame) -> DataFrame:
     return full.groupBy(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).agg(F.avg("d").alias("d"))
 
 
+def identities_by_value(seqs: DataFrame, block: str) -> ByValue:
+    return by_value(seqs, "seq", K.nw_identity, block)
+
+
 def mean_abs_distances(items: DataFrame, block: str) -> DataFrame:
     """Mean absolute difference of arrays over their common length, in built-ins, as an equi-join within blocks."""
     a = items.select(block, F.col("ord").alias("i"), F.col("flows").alias("_a"))

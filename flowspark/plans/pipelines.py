@@ -49,7 +49,7 @@ def split_plan(seqs: DataFrame, block: str, most: int = 5000, least: int = 1000)
     rows = staged(with_ordinal(rows.orderBy(block, "_own")))
     collapsed = staged(unique.fasta_unique(rows, block))
     reps = staged(_numbered(rows.join(collapsed.where("ord = rep_ord").select("ord"), "ord", "left_semi"), block))
-    merges = cluster.linkage(pairs.identity_distances(reps, block), block, "average")
+    merges = cluster.linkage(pairs.identities_by_value(reps, block), block, "average")
     parts = cluster.split_even(merges, block, most, least)
     lone = reps.groupBy(block).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(block, F.lit("C000").alias("split"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("member"))
     named = parts.unionByName(lone).join(reps.select(block, F.col("ord").alias("member"), F.col("_source").alias("rep_ord")), [block, "member"])
@@ -84,6 +84,6 @@ def chimera_plan(seqs: DataFrame, block: str, primer: str | None = None, alpha:
 def otu_plan(seqs: DataFrame, block: str, cutoff: float = 0.03) -> DataFrame:
     """block, cluster, member: units by average linkage of identity distances."""
     rows = staged(_numbered(seqs, block))
-    merges = cluster.linkage(pairs.identity_distances(rows, block), block, "average")
+    merges = cluster.linkage(pairs.identities_by_value(rows, block), block, "average")
     found = _lone(rows, cluster.cut_at(merges, block, cutoff), block)
     return found.join(rows.select(block, F.col("ord").alias("member"), "seq_id", "_source"), [block, "member"]).select(block, "cluster", "pos", F.col("_source").alias("member"), "seq_id")

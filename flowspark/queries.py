@@ -807,7 +807,7 @@ def _numbered(spark, d) -> DataFrame:
 
 
 def _merges(spark, d, method: str = "complete") -> DataFrame:
-    return cluster.linkage(pairs.identity_distances(_numbered(spark, d), "block"), "block", method)
+    return cluster.linkage(pairs.identities_by_value(_numbered(spark, d), "block"), "block", method)
 
 
 @query(f"{_COMPLETE} {_MERGES}")
@@ -823,12 +823,12 @@ def linkage_average(spark, d) -> DataFrame:
 @query(f"{_DISTANCES} {oracles.linkage('dist', 'average', 'numbered').strip()} {_MERGES}")
 def linkage_average_weighted(spark, d) -> DataFrame:
     rows = _numbered(spark, d)
-    return cluster.linkage(pairs.identity_distances(rows, "block"), "block", "average", weights=rows)
+    return cluster.linkage(pairs.identities_by_value(rows, "block"), "block", "average", weights=rows)
 
 
 @query(f"{_DISTANCES} {_SCALED} {oracles.linkage('scaled').strip()} {_MERGES}")
 def linkage_rescaled(spark, d) -> DataFrame:
-    return cluster.linkage(pairs.identity_distances(_numbered(spark, d), "block"), "block", scale=True)
+    return cluster.linkage(pairs.identities_by_value(_numbered(spark, d), "block"), "block", scale=True)
 
 
 _LEVEL = "SELECT block, t.k AS level, t.k * 0.05::DOUBLE AS cutoff FROM (SELECT block, arg_max(dist::DOUBLE, step) AS h FROM merge GROUP BY 1), unnest(range(0, floor(h / 0.05::DOUBLE + 1e-7::DOUBLE)::BIGINT)) t(k)"

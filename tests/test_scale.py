@@ -235,3 +235,14 @@ def test_copies_are_compared_once(spark, full):
     want = {(b, i * 10, j * 10, i % 6 * 10 + j % 6) for b in range(2) for i in range(b, 300, 2) for j in range(b, 300, 2) if (i != j if full else j < i)}
     assert len(rows) == len(want) and {(r["block"], r["i"], r["j"], r["n"]) for r in rows} == want
     assert max(r["d"] for r in rows) <= 9
+
+
+@pytest.mark.parametrize("method,scale,weighted", [("complete", True, False), ("average", False, True)])
+def test_linkage_by_values_is_that_of_all_rows(spark, method, scale, weighted):
+    """What is sent to a block's task grows with its distinct values, not with the square of its rows."""
+    items = spark.range(60).select("id", (F.col("id") % 2).alias("block"), F.expr("id div 2").alias("ord"), (F.col("id") * 7 % 11).cast("string").alias("v"), (1.0 + F.col("id") % 3).alias("weight"))
+    kernel = lambda a, b: np.array([abs(int(x) - int(y)) + int(x) / 100 for x, y in zip(a, b, strict=True)])
+    found, weights = pairs.by_value(items, "v", kernel, "block"), items if weighted else None
+    assert found.pairs.count() <= 2 * 11 * 11
+    one, other = (cluster.linkage(x, "block", method, scale, weights).orderBy("block", "step").collect() for x in (found, pairs.all_pairs(items, "v", kernel, "block")))
+    assert one == other and len(one) == 58
