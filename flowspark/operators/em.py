@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .stage import dealt
 #: When to stop, and what counts as gone.
 DELTA, MOST_STEPS, FLOW_STEPS, SEQUENCE_STEPS = 1e-6, 1000, 10, 20
 LEAST_COUNT, LEAST_TAU, LEAST_WEIGHT = 0.1, 1e-4, 0.1
+#: Costs of reads and patterns that are handed on at a time.
+CELLS = 1 << 16
 
 
 @dataclass
@@ -157,13 +161,20 @@ def pattern_distances(reads: DataFrame, block: str, lookup: np.ndarray | None =
     table = K.default_lookup() if lookup is None else lookup
     kind = dict(reads.dtypes)[block]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord").reset_index(drop=True)
-        cost = _flow_start(group, table, unseen)[-1]
-        n, u = cost.shape
-        return pd.DataFrame({block: group[block].iat[0], "ord": np.repeat(group["ord"].to_numpy(), u), "u": np.tile(np.arange(u), n), "d": cost.ravel()})
-
-    return dealt(reads.select(block, "ord", "len", "flows"), block).groupBy(block).applyInPandas(run, f"`{block}` {kind}, ord long, u int, d double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        name, group = whole[block].chunk(0), whole.select(["ord", "len", "flows"]).to_pandas().sort_values("ord").reset_index(drop=True)
+        flows = [np.asarray(f, np.int64) for f in group["flows"]]
+        lengths, ords = group["len"].to_numpy() // 4 * 4, group["ord"].to_numpy().astype(np.int64)
+        shapes, _, firsts = patterns(flows)
+        n, u = len(flows), len(shapes)
+        step = max(1, CELLS // u)
+        for lo in range(0, n, step):  # some reads at a time: all costs of a block are its reads by its patterns
+            cost = pattern_costs(flows[lo : lo + step], lengths[lo : lo + step], shapes, table, unseen, lengths[firsts])
+            m = len(cost)
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(np.zeros(m * u, np.int64))), pa.array(np.repeat(ords[lo : lo + step], u)), pa.array(np.tile(np.arange(u, dtype=np.int32), m)), pa.array(cost.ravel())], names=[block, "ord", "u", "d"])
+
+    return dealt(reads.select(block, "ord", "len", "flows"), block).groupBy(block).applyInArrow(run, f"`{block}` {kind}, ord long, u int, d double")
 
 
 def pattern_qualities(reads: DataFrame, block: str, lookup: np.ndarray | None = None) -> DataFrame:

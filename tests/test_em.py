@@ -127,3 +127,17 @@ def test_rows_without_candidates_are_null(spark):
     rows = [("a", 0, "only", 3.0, "ACGTACGT"), ("b", 1, "x", 2.0, "ACGT"), ("b", 2, "y", 2.0, "ACGA"), ("b", 3, "z", 1.0, None)]
     got = {r["i"]: r["class"] for r in chimera.chimera_check(spark.createDataFrame(rows[:3], "block string, ord long, seq_id string, freq double, seq string"), "block").collect()}
     assert got == {0: "Null", 1: "Null", 2: "Null"}
+
+
+def test_pattern_distances_are_handed_on_in_parts(spark, monkeypatch):
+    """No more than CELLS costs at a time, whatever the number of reads and patterns of a block."""
+    monkeypatch.setattr(em, "CELLS", 7)
+    rng = random.Random(3)
+    rows = [(f"b{k % 2}" if k % 3 else None, k, 8, [rng.randrange(300) for _ in range(8)]) for k in range(40)]
+    got = em.pattern_distances(spark.createDataFrame(rows, "block string, ord long, len int, flows array<int>"), "block").collect()
+    for block in ("b0", "b1", None):
+        mine = [r for r in rows if r[0] == block]
+        flows = [np.array(r[3]) for r in mine]
+        shapes, _, firsts = em.patterns(flows)
+        cost = em.pattern_costs(flows, np.array([8] * len(mine)), shapes, K.default_lookup())
+        assert {(r["ord"], r["u"]): r["d"] for r in got if r["block"] == block} == {(mine[i][1], u): cost[i, u] for i in range(len(mine)) for u in range(len(shapes))}
