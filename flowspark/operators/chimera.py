@@ -105,25 +105,25 @@ def imbalance(query: str, first: str, second: str, with_balance: bool = False) -
 _OUT = "i long, id string, best int, ref long, ref_id string, best_chimera int, p1 long, p2 long, d_best double, c_index double, excess double, loon double, best_trimera int, split int, class string"
 
 
-#: Queries of a task, and pairs that are aligned at a time: a task holds the references' texts once and, of a query,
-#: nothing but minima by position, however many references there are.
-GROUP, PAIRS = 32, 2048
+#: Texts of a task's queries, queries of a task, and pairs that are aligned at a time: a task holds the references' texts
+#: once and, of a query, nothing but minima by position, however many references there are.
+GROUP, ROWS, PAIRS = 32, 2048, 2048
 
 
 class _Query:
-    """One sequence, its candidates (places in the references, in their order) and what is known of them so far."""
+    """One sequence, its candidates (places in the references, in their order) and what is known of them so far. Of
+    candidates with one text only the most frequent, first one (at) can be a parent; first is the first one's place."""
 
-    def __init__(self, own: dict, at: np.ndarray):
+    def __init__(self, own: dict, at: np.ndarray, first: dict[int, int], candidates: int):
         n = len(own["seq"])
-        self.own, self.at, self.seq, self.n = own, at, own["seq"], n
+        self.own, self.at, self.first, self.candidates, self.seq, self.n = own, at, first, candidates, own["seq"], n
         self.hit = (1 << 30, -1)
         # least differences up to each position, the frequency and the place of whose they are; from the left and right
         self.sides = [[np.full(n, 1 << 30), np.full(n, -np.inf), np.full(n, -1)] for _ in range(2)]
         self.three = None
 
     def see(self, at: np.ndarray, freq: np.ndarray, als: dict) -> None:
-        k = int(als["n_diff"].argmin())
-        self.hit = min(self.hit, (int(als["n_diff"][k]), int(at[k])))
+        self.hit = min(self.hit, *((int(n), self.first[k]) for n, k in zip(als["n_diff"], at.tolist(), strict=True)))
         for side, name in zip(self.sides, ("d", "r"), strict=True):
             least, row = _best(np.array(als[name]), freq)
             better = (least < side[0]) | ((least == side[0]) & (freq[row] > side[1]))
@@ -170,12 +170,11 @@ def _aligned(todo: list[tuple[_Query, np.ndarray]], texts: list[str], whole: boo
 
 
 def _align(held: list[tuple[_Query, np.ndarray]], texts: list[str], whole: bool):
-    als = (K.nw_diff if whole else K.diff_profiles)([q.seq for q, at in held for _ in at], [texts[k] for _, at in held for k in at])
-    lo = 0
-    for query, at in held:
-        some = slice(lo, lo + len(at))
-        yield query, at, als[some] if whole else {k: v[some] for k, v in als.items()}
-        lo += len(at)
+    places: dict[tuple[str, str], int] = {}  # each two texts once
+    of = [[places.setdefault((q.seq, texts[k]), len(places)) for k in at.tolist()] for q, at in held]
+    als = (K.nw_diff if whole else K.diff_profiles)([a for a, _ in places], [b for _, b in places])
+    for (query, at), some in zip(held, of, strict=True):
+        yield query, at, [als[k] for k in some] if whole else {n: v[some] if isinstance(v, np.ndarray) else [v[k] for k in some] for n, v in als.items()}
 
 
 def _judged(query: _Query, als: dict[int, dict], names: list, ords: list, with_balance: bool) -> tuple[dict, str]:
@@ -193,13 +192,16 @@ def _judged(query: _Query, als: dict[int, dict], names: list, ords: list, with_b
 
 def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None, with_balance: bool = False, references: DataFrame | None = None) -> DataFrame:
     """A row for each sequence (block, ord, seq_id, freq, seq), with class Null for fewer than two candidates, Chimera
-    or Trimera. GROUP queries and the references of their block are a task's work, so a block spreads over many tasks,
+    or Trimera. The queries of GROUP texts, ROWS at most, and the references of their block are a task's work, so a block spreads over many tasks,
     and the references are sent once a group. References are the sequences unless given. A null seq counts
     as empty."""
     refs = seqs if references is None else references
     text = lambda df: df.withColumn("seq", F.coalesce("seq", F.lit("")))
-    place = F.row_number().over(Window.partitionBy(block).orderBy(F.desc("freq"), "ord")) - 1
-    queries = text(seqs).select(block, "ord", "seq_id", "freq", "seq").withColumn("_group", F.floor(place / GROUP).cast("int"))
+    named = text(seqs).select(block, "ord", "seq_id", "freq", "seq").withColumn("_top", F.max("freq").over(Window.partitionBy(block, "seq")))
+    # GROUP texts to a group, the most frequent first, and ROWS of their rows
+    named = named.withColumn("_texts", F.floor((F.dense_rank().over(Window.partitionBy(block).orderBy(F.desc("_top"), "seq")) - 1) / GROUP).cast("long"))
+    place = F.row_number().over(Window.partitionBy(block, "_texts").orderBy(F.desc("freq"), "ord")) - 1
+    queries = named.withColumn("_group", F.struct("_texts", F.floor(place / ROWS).cast("long").alias("_rows"))).drop("_top", "_texts")
     groups = queries.groupBy(block, "_group").agg(F.min("freq").alias("_least"))
     other = text(refs).select(block, F.col("ord").alias("_ord"), F.col("seq_id").alias("_id"), F.col("freq").alias("_freq"), F.col("seq").alias("_seq"))
     spread = other.join(groups, block).where("_freq >= _least").select(F.col(block).alias("_block"), F.col("_group").alias("_of"), "_ord", "_id", "_freq", "_seq")
@@ -210,14 +212,22 @@ def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None,
         refs = refs.sort_values("_ord")
         names, ords, texts, freq = refs["_id"].tolist(), refs["_ord"].tolist(), refs["_seq"].tolist(), refs["_freq"].to_numpy(float)
         rows, todo, known = [], [], np.array(names, object)
+        number = np.unique(np.array(texts, object), return_inverse=True)[1] if texts else np.zeros(0, int)
+        by_freq = np.lexsort((-freq, number))
         for one in own.sort_values("ord").to_dict("records"):
             at = np.flatnonzero((known != one["seq_id"]) & (freq >= one["freq"]))
             rows.append({**dict.fromkeys(columns), block: one[block], "i": one["ord"], "id": one["seq_id"], "class": "Null"})
             if len(at) >= 2 and len(one["seq"]) > 1:
-                todo.append((len(rows) - 1, _Query(one, at)))
+                # of each text the first candidate, and the first of the most frequent ones
+                ok = np.zeros(len(known), bool)
+                ok[at] = True
+                order = by_freq[ok[by_freq]]
+                best = order[np.r_[True, number[order[1:]] != number[order[:-1]]]]
+                firsts = at[np.unique(number[at], return_index=True)[1]]
+                todo.append((len(rows) - 1, _Query(one, np.sort(best), dict(zip(best.tolist(), firsts.tolist(), strict=True)), len(at))))
         for query, at, als in _aligned([(q, q.at) for _, q in todo], texts):
             query.see(at, freq[at], als)
-        hard = [q for _, q in todo if q.two()["best"] >= TRIMERA and len(q.at) >= 3]
+        hard = [q for _, q in todo if q.two()["best"] >= TRIMERA and q.candidates >= 3]
         for query, at, als in _aligned([(q, q.at) for q in hard], texts):
             query.see_three(at, freq[at], als)
         chosen = []
@@ -233,7 +243,9 @@ def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None,
             rows[k] |= row
             ends.append((q.seq, texts[q.hit[1]], model))
         if ends:
-            found = K.nw_homopolymer([e[0] for e in ends] * 2, [e[1] for e in ends] + [e[2] for e in ends], table, unknown=None)
+            both = {pair: k for k, pair in enumerate(dict.fromkeys([(e[0], e[k]) for k in (1, 2) for e in ends]))}
+            near = [K.nw_homopolymer([a for a, _ in list(both)[lo : lo + PAIRS]], [b for _, b in list(both)[lo : lo + PAIRS]], table, unknown=None) for lo in range(0, len(both), PAIRS)]
+            found = np.concatenate(near)[[both[e[0], e[k]] for k in (1, 2) for e in ends]]
             for (k, _), near, index in zip(todo, found[: len(ends)], found[len(ends) :], strict=True):
                 rows[k] |= {"d_best": near, "c_index": index, "excess": index - near}
         return pd.DataFrame(rows, columns=columns, dtype=object)

@@ -141,3 +141,14 @@ def test_pattern_distances_are_handed_on_in_parts(spark, monkeypatch):
         shapes, _, firsts = em.patterns(flows)
         cost = em.pattern_costs(flows, np.array([8] * len(mine)), shapes, K.default_lookup())
         assert {(r["ord"], r["u"]): r["d"] for r in got if r["block"] == block} == {(mine[i][1], u): cost[i, u] for i in range(len(mine)) for u in range(len(shapes))}
+
+
+def test_two_texts_are_aligned_once(monkeypatch):
+    from types import SimpleNamespace
+
+    seen, whole = [], K.diff_profiles
+    monkeypatch.setattr(K, "diff_profiles", lambda a, b: seen.append(len(a)) or whole(a, b))
+    held = [(SimpleNamespace(seq="ACGT"), np.array([0, 1, 2])), (SimpleNamespace(seq="ACGT"), np.array([1, 2]))]
+    got = [(at.tolist(), als["n_diff"].tolist(), [x.tolist() for x in als["d"]]) for _, at, als in chimera._align(held, ["ACGT", "ACCT", "ACCT"], False)]
+    assert got == [([0, 1, 2], [0, 1, 1], [[0, 0, 0, 0], [0, 0, 1, 1], [0, 0, 1, 1]]), ([1, 2], [1, 1], [[0, 0, 1, 1], [0, 0, 1, 1]])]
+    assert seen == [2]
