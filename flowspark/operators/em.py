@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .cluster import by_number
+from .pairs import ByValue
 from .stage import dealt
 
 #: When to stop, and what counts as gone.
@@ -234,22 +236,30 @@ def flow_denoise(reads: DataFrame, clusters: DataFrame, block: str, sigma: float
 # ---------------------------------------------------------------- sequences
 
 
-def sequence_denoise(seqs: DataFrame, distances: DataFrame, clusters: DataFrame, block: str, sigma: float = 30.0, most_steps: int = MOST_STEPS) -> DataFrame:
+def sequence_denoise(seqs: DataFrame, distances: DataFrame | ByValue, clusters: DataFrame, block: str, sigma: float = 30.0, most_steps: int = MOST_STEPS) -> DataFrame:
     """Denoised sequences of each block. seqs: block, ord (from 0), seq_id, weight, seq; distances: block, i, j, d (one
-    or both directions). A row a cluster: sequence of the medoid, weight, representative, members."""
+    or both directions), or by values. A row a cluster: sequence of the medoid, weight, representative, members."""
     kind = dict(seqs.dtypes)[block]
 
+    numbered, full = isinstance(distances, ByValue), getattr(distances, "full", False)
+    names = [block, "cluster", "sequence", "weight", "representative", "members", "member_ords"]
+
     def run(_key, group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        names = [block, "cluster", "sequence", "weight", "representative", "members", "member_ords"]
         if group.empty:
             return pd.DataFrame(columns=names)
         group = group.sort_values("ord").reset_index(drop=True)
         n = len(group)
+        if numbered:
+            return found_in(group, by_number(pairs, group["number"].to_numpy(), not full))
         d = np.zeros((n, n), np.float32)
         i, j, v = pairs["i"].to_numpy(), pairs["j"].to_numpy(), pairs["d"].to_numpy(np.float32)
         d[i, j] = v
         if len(v) <= n * (n - 1) // 2:
             d[j, i] = v
+        return found_in(group, d)
+
+    def found_in(group: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        n = len(group)
         start = np.unique(group["cluster"], return_inverse=True)[1]
         found = denoise(start, d.astype(np.float64), np.arange(n), sigma, group["weight"].to_numpy(float), SEQUENCE_STEPS, most_steps)
         rows = []
@@ -258,7 +268,10 @@ def sequence_denoise(seqs: DataFrame, distances: DataFrame, clusters: DataFrame,
             rows.append((group[block].iat[0], number, group["seq"].iat[m], int(group["weight"].iloc[at].astype(int).sum()), group["seq_id"].iat[m], group["seq_id"].iloc[at].tolist(), group["ord"].iloc[at].tolist()))
         return pd.DataFrame(rows, columns=names)
 
-    joined = seqs.select(block, "ord", "seq_id", "weight", "seq").join(clusters.select(block, F.col("member").alias("ord"), "cluster"), [block, "ord"])
+    if numbered:
+        seqs = seqs.join(distances.rows.select(block, "ord", "number"), [block, "ord"])
+        distances = distances.pairs
+    joined = seqs.select(block, "ord", "seq_id", "weight", "seq", *(["number"] if numbered else [])).join(clusters.select(block, F.col("member").alias("ord"), "cluster"), [block, "ord"])
     return dealt(joined, block).groupBy(block).cogroup(dealt(distances, block).groupBy(block)).applyInPandas(run, f"`{block}` {kind}, cluster int, sequence string, weight long, representative string, members array<string>, member_ords array<long>")
 
 

@@ -168,6 +168,16 @@ def symmetrise(full: DataFrame) -> DataFrame:
     return full.groupBy(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).agg(F.avg("d").alias("d"))
 
 
+def sequences_by_value(seqs: DataFrame, table: np.ndarray | None, block: str, asymmetric: bool = False) -> ByValue:
+    return by_value(seqs, "seq", homopolymer(table, asymmetric), block, asymmetric)
+
+
+def mean_of_both(found: ByValue, block: str) -> ByValue:
+    """One distance a pair: the mean of both directions."""
+    one = found.pairs.groupBy(block, F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q")).agg(F.avg("d").alias("d"))
+    return ByValue(found.rows, one.unionByName(one.where("p <> q").select(block, F.col("q").alias("p"), F.col("p").alias("q"), "d")))
+
+
 def identities_by_value(seqs: DataFrame, block: str) -> ByValue:
     return by_value(seqs, "seq", K.nw_identity, block)
 

@@ -36,7 +36,8 @@ def sequence_denoise_plan(seqs: DataFrame, block: str, sigma: float = 30.0, cuto
     """Compare, cluster and denoise weighted sequences (block, ord, seq_id, weight, seq), cut to length first."""
     rows = _numbered(seqs.withColumn("seq", F.substring("seq", 1, length)) if length else seqs, block)
     rows = staged(rows)
-    distances = staged(pairs.sequence_distances(rows, table, block))
+    distances = pairs.sequences_by_value(rows, table, block)
+    distances = pairs.ByValue(distances.rows, staged(distances.pairs))
     clusters = _lone(rows, cluster.cut_at(cluster.linkage(distances, block), block, cutoff), block)
     return em.sequence_denoise(rows, distances, clusters, block, sigma)
 

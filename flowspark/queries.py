@@ -970,8 +970,8 @@ def flow_denoise_unseen(spark, d) -> DataFrame:
 @query()
 def sequence_denoise(spark, d) -> DataFrame:
     rows = pipelines._numbered(ad.tags(spark, d), "block")
-    distances = pairs.sequence_distances(rows, None, "block", asymmetric=True)
-    merges = cluster.linkage(distances.groupBy("block", F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).agg(F.avg("d").alias("d")), "block")
+    distances = pairs.sequences_by_value(rows, None, "block", asymmetric=True)
+    merges = cluster.linkage(pairs.mean_of_both(distances, "block"), "block")
     return em.sequence_denoise(rows, distances, cluster.cut_at(merges, "block", 0.08), "block")
 
 

@@ -152,3 +152,14 @@ def test_two_texts_are_aligned_once(monkeypatch):
     got = [(at.tolist(), als["n_diff"].tolist(), [x.tolist() for x in als["d"]]) for _, at, als in chimera._align(held, ["ACGT", "ACCT", "ACCT"], False)]
     assert got == [([0, 1, 2], [0, 1, 1], [[0, 0, 0, 0], [0, 0, 1, 1], [0, 0, 1, 1]]), ([1, 2], [1, 1], [[0, 0, 1, 1], [0, 0, 1, 1]])]
     assert seen == [2]
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_denoising_by_values_is_that_of_all_rows(spark, full):
+    from flowspark.operators import cluster, pairs
+
+    seqs = spark.range(40).selectExpr("id % 2 as block", "id div 2 as ord", "concat('s', id) as seq_id", "1.0D + id % 4 as weight", "repeat(substr('ACGT', cast(1 + id % 3 as int), 1), 6) as seq")
+    found, rows = pairs.sequences_by_value(seqs, None, "block", full), pairs.sequence_distances(seqs, None, "block", full)
+    merges = cluster.linkage(pairs.mean_of_both(found, "block") if full else found, "block")
+    got, want = (em.sequence_denoise(seqs, x, cluster.cut_at(merges, "block", 0.08), "block").orderBy("block", "cluster").collect() for x in (found, rows))
+    assert got == want and sum(len(r["members"]) for r in got) == 40
