@@ -188,17 +188,19 @@ def _text(codes: np.ndarray) -> str:
 # ---------------------------------------------------------------- linkage
 
 
-def linkage(distances: np.ndarray, method: str = "complete", weights: np.ndarray | None = None, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def linkage(distances: np.ndarray, method: str = "complete", weights: np.ndarray | None = None, own: bool = False, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merges (left, right; the k-th merge is -k-1) and their distances, from a symmetric matrix. The first smallest
     distance row by row below the diagonal merges; the result takes the smaller slot, the last slot fills the other.
     Arithmetic is in single precision. method: complete or average (by weights, else by number). With own the matrix, in
-    single precision, is worked in and lost."""
+    single precision, is worked in and lost. With levels (complete only) it holds places in these ascending distances."""
     n = len(distances)
-    d = distances if own else np.array(distances, np.float32)
+    d = distances if own else np.array(distances, np.float32 if levels is None else distances.dtype)
     name, size = np.arange(n), np.ones(n, np.float32) if weights is None else np.asarray(weights, np.float32).copy()
     merges, heights = np.zeros((max(n - 1, 0), 2), np.int64), np.zeros(max(n - 1, 0), np.float32)
-    # of each row the first least distance below the diagonal, and its place
-    nearest, least = np.zeros(n, np.int64), np.full(n, np.inf, np.float32)
+    at = np.arange(n)  # of each slot its row and column in the matrix, which is not moved
+    # of each slot the first least distance below the diagonal, and its place
+    nearest = np.zeros(n, np.int64)
+    least = np.full(n, np.inf, np.float32) if levels is None else np.full(n, len(levels), np.int64)
     for i in range(1, n):
         nearest[i] = d[i, :i].argmin()
         least[i] = d[i, nearest[i]]
@@ -206,42 +208,36 @@ def linkage(distances: np.ndarray, method: str = "complete", weights: np.ndarray
         m = n - k
         high = int(least[1:m].argmin()) + 1
         into = int(nearest[high])
-        heights[k], merges[k] = least[high], (name[high], name[into])
+        heights[k], merges[k] = least[high] if levels is None else levels[least[high]], (name[high], name[into])
+        old, gone = at[into], at[high]
         if method == "complete":
-            row = np.maximum(d[high, :m], d[into, :m])
+            row = np.maximum(d[gone], d[old])
         else:
-            row = (d[high, :m] * size[high] + d[into, :m] * size[into]) / (size[high] + size[into])
+            row = (d[gone] * size[high] + d[old] * size[into]) / (size[high] + size[into])
             size[into] += size[high]
-        _place(d, into, row)
+        changed = np.flatnonzero(d[old] != row)
+        d[old, changed] = d[changed, old] = row[changed]
         name[into] = -k - 1
         end = m - 1
-        name[high], size[high] = name[end], size[end]
-        if high < end:
-            _place(d, high, d[end, :end].copy())
-            d[high, high] = 0
-        # rows whose part below the diagonal has changed: the two slots, and those that see them
+        name[high], size[high], at[high] = name[end], size[end], at[end]
+        # slots whose part below the diagonal has changed: the two, and those that see them
         redo = [i for i in (into, high) if 0 < i < end]
         for slot in (into, high):
             lo = slot + 1
             if lo >= end:
                 continue
-            new, near, low = d[slot, lo:end], nearest[lo:end], least[lo:end]
+            new, near, low = d[at[slot]][at[lo:end]], nearest[lo:end], least[lo:end]
             mine = near == slot
             redo += (np.flatnonzero(mine & (new > low)) + lo).tolist()
             closer = (new < low) | ((new == low) & (near > slot))
             near[closer], low[closer] = slot, new[closer]
         for i in redo:
-            nearest[i] = d[i, :i].argmin()
-            least[i] = d[i, nearest[i]]
+            below = d[at[i]][at[:i]]
+            nearest[i] = below.argmin()
+            least[i] = below[nearest[i]]
     return merges, heights
 
 
-def _place(d: np.ndarray, slot: int, row: np.ndarray) -> None:
-    """row as the slot's row and column, where they are not that already."""
-    changed = np.flatnonzero(d[slot, : len(row)] != row)
-    d[slot, changed] = d[changed, slot] = row[changed]
-
-
 def cut(merges: np.ndarray, heights: np.ndarray, n: int, below: float) -> list[list[int]]:
     """Members of each cluster after the merges of less than below, by slot; who is taken up comes behind."""
     members: list[list[int] | None] = [[i] for i in range(n)]
@@ -258,9 +254,20 @@ def cut(merges: np.ndarray, heights: np.ndarray, n: int, below: float) -> list[l
 
 
 def cut_levels(merges: np.ndarray, heights: np.ndarray, n: int, resolution: float = 0.01) -> list[tuple[int, list[list[int]]]]:
-    """Level k, with clusters of merges below k * resolution, for all levels under the last merge."""
+    """Level k, with clusters of merges below k * resolution (as cut gives them), for all levels under the last merge."""
     levels = math.floor(float(heights[-1]) / resolution + 1e-7) if len(heights) else 0
-    return [(k, cut(merges, heights, n, k * resolution)) for k in range(levels)]
+    members: list[list[int] | None] = [[i] for i in range(n)]
+    slot: list[int] = []
+    pairs, tall, out = merges.tolist(), heights.tolist(), []
+    for k in range(levels):
+        while len(slot) < len(pairs) and tall[len(slot)] < k * resolution:  # on from where the level before has stopped
+            left, right = (x if x >= 0 else slot[-x - 1] for x in pairs[len(slot)])
+            keep, gone = min(left, right), max(left, right)
+            slot.append(keep)
+            members[keep] += members[gone]
+            members[gone] = None
+        out.append((k, [m.copy() for m in members if m is not None]))
+    return out
 
 
 def newick(merges: np.ndarray, heights: np.ndarray, names: list[str]) -> str:

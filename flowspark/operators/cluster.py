@@ -23,13 +23,15 @@ def _matrix(pairs: pd.DataFrame, n: int, scale: bool = False) -> np.ndarray:
     return d
 
 
-def by_number(pairs: pd.DataFrame, number: np.ndarray, mirrored: bool = True) -> np.ndarray:
-    """The matrix of rows from the distances of their values (p, q, d); mirrored for those of a row and one before it."""
+def by_number(pairs: pd.DataFrame, number: np.ndarray, mirrored: bool = True, levels: np.ndarray | None = None) -> np.ndarray:
+    """The matrix of rows from the distances of their values (p, q, d); mirrored for those of a row and one before it.
+    With levels, ascending from 0 on, its cells are places in them, in as few bytes as hold these."""
     n, m = len(number), int(number.max()) + 1
-    d = np.zeros((m, m), np.float32)
-    d[pairs["p"].to_numpy(), pairs["q"].to_numpy()] = pairs["d"].to_numpy(np.float32)
+    v = pairs["d"].to_numpy(np.float32)
+    d = np.zeros((m, m), np.float32 if levels is None else np.min_scalar_type(len(levels)))
+    d[pairs["p"].to_numpy(), pairs["q"].to_numpy()] = v if levels is None else np.searchsorted(levels, v)
     if m < n or (number != np.arange(n)).any():
-        d = d[number][:, number]
+        d = d[number].take(number, axis=1)
     for i in range(n):
         d[i, i] = 0
         if mirrored:
@@ -44,8 +46,8 @@ def linkage(distances: DataFrame | ByValue, block: str, method: str = "complete"
     there is no more than the distances of its distinct values."""
     names, weighted = [block, "step", "left", "right", "dist"], weights is not None
 
-    def rows(of, d: np.ndarray, sizes: np.ndarray | None) -> pd.DataFrame:
-        merges, heights = K.linkage(d, method, sizes, own=True)
+    def rows(of, d: np.ndarray, sizes: np.ndarray | None, levels: np.ndarray | None = None) -> pd.DataFrame:
+        merges, heights = K.linkage(d, method, sizes, own=True, levels=levels)
         return pd.DataFrame({block: of, "step": np.arange(len(d) - 1), "left": merges[:, 0], "right": merges[:, 1], "dist": heights})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -61,7 +63,11 @@ def linkage(distances: DataFrame | ByValue, block: str, method: str = "complete"
         if scale:
             v = pairs["d"].to_numpy(np.float32)
             pairs = pairs.assign(d=(v - v.min()) / max(v.max() - v.min(), np.float32(1e-30)))
-        return rows(items[block].iat[0], by_number(pairs, items["number"].to_numpy()), items["weight"].to_numpy() if weighted else None)
+        # complete linkage takes the distances as they are, which few values mostly have: a byte or two hold a place in them
+        levels = np.unique(np.append(pairs["d"].to_numpy(np.float32), np.float32(0))) if method == "complete" else None
+        if levels is not None and (len(levels) > 1 << 15 or levels[0] < 0 or np.isnan(levels[-1])):
+            levels = None
+        return rows(items[block].iat[0], by_number(pairs, items["number"].to_numpy(), levels=levels), items["weight"].to_numpy() if weighted else None, levels)
 
     if isinstance(distances, ByValue):
         if distances.full:
@@ -86,7 +92,7 @@ def cut_at(merges: DataFrame, block: str, below: float) -> DataFrame:
         rows = [(group[block].iat[0], c, p, m) for c, members in enumerate(clusters) for p, m in enumerate(members)]
         return pd.DataFrame(rows, columns=[block, "cluster", "pos", "member"])
 
-    return merges.groupBy(block).applyInPandas(cut, f"`{block}` {kind}, cluster int, pos int, member long")
+    return dealt(merges, block).groupBy(block).applyInPandas(cut, f"`{block}` {kind}, cluster int, pos int, member long")
 
 
 def cut_levels(merges: DataFrame, block: str, resolution: float = 0.01) -> DataFrame:
@@ -100,7 +106,7 @@ def cut_levels(merges: DataFrame, block: str, resolution: float = 0.01) -> DataF
         rows = [(group[block].iat[0], k, k * resolution, c, m) for k, clusters in found for c, m in enumerate(clusters)]
         return pd.DataFrame(rows, columns=[block, "level", "cutoff", "cluster", "members"])
 
-    return merges.groupBy(block).applyInPandas(levels, f"`{block}` {kind}, level int, cutoff double, cluster int, members array<long>")
+    return dealt(merges, block).groupBy(block).applyInPandas(levels, f"`{block}` {kind}, level int, cutoff double, cluster int, members array<long>")
 
 
 def newick(merges: DataFrame, block: str) -> DataFrame:
@@ -111,7 +117,7 @@ def newick(merges: DataFrame, block: str) -> DataFrame:
         group = group.sort_values("step")
         return pd.DataFrame({block: [group[block].iat[0]], "tree": [K.newick(group[["left", "right"]].to_numpy(), group["dist"].to_numpy(), [str(k) for k in range(len(group) + 1)])]})
 
-    return merges.groupBy(block).applyInPandas(tree, f"`{block}` {kind}, tree string")
+    return dealt(merges, block).groupBy(block).applyInPandas(tree, f"`{block}` {kind}, tree string")
 
 
 def leaf_counts(merges: DataFrame, block: str) -> DataFrame:
@@ -125,7 +131,7 @@ def leaf_counts(merges: DataFrame, block: str) -> DataFrame:
             n.append(sum(1 if x >= 0 else n[-x - 1] for x in (left, right)))
         return pd.DataFrame({block: group[block].iat[0], "step": group["step"], "leaves": n})
 
-    return merges.groupBy(block).applyInPandas(count, f"`{block}` {kind}, step int, leaves int")
+    return dealt(merges, block).groupBy(block).applyInPandas(count, f"`{block}` {kind}, step int, leaves int")
 
 
 def even_splits(merges: np.ndarray, most: int, least: int) -> list[tuple[str, list[int]]]:
@@ -172,7 +178,7 @@ def split_even(merges: DataFrame, block: str, most: int = 5000, least: int = 100
         rows = [(group[block].iat[0], name, p, m) for name, members in even_splits(group[["left", "right"]].to_numpy(), most, least) for p, m in enumerate(members)]
         return pd.DataFrame(rows, columns=[block, "split", "pos", "member"])
 
-    return merges.groupBy(block).applyInPandas(split, f"`{block}` {kind}, split string, pos int, member long")
+    return dealt(merges, block).groupBy(block).applyInPandas(split, f"`{block}` {kind}, split string, pos int, member long")
 
 
 def split_totals(splits: DataFrame, weights: DataFrame, block: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.functions import kernels
 from flowspark.operators import cluster, mapping, ordinals, pairs, split, stage, unique
 from flowspark.plans import pipelines
 from flowspark.sources import sff, sinks, text
@@ -246,3 +248,44 @@ def test_linkage_by_values_is_that_of_all_rows(spark, method, scale, weighted):
     assert found.pairs.count() <= 2 * 11 * 11
     one, other = (cluster.linkage(x, "block", method, scale, weights).orderBy("block", "step").collect() for x in (found, pairs.all_pairs(items, "v", kernel, "block")))
     assert one == other and len(one) == 58
+
+
+def plain_linkage(d):
+    """The first least distance row by row below the diagonal, slots moved as the kernel says."""
+    d, name, out = d.copy(), list(range(len(d))), []
+    for k in range(len(d) - 1):
+        m = len(d) - k
+        least, high, into = min((d[i, j], i, j) for i in range(m) for j in range(i))
+        out.append((name[high], name[into], float(least)))
+        row = np.maximum(d[high], d[into])
+        d[into], d[:, into] = row, row
+        name[into], name[high] = -k - 1, name[m - 1]
+        d[high], d[:, high] = d[m - 1].copy(), d[:, m - 1].copy()
+    return out
+
+
+def test_a_block_of_copies_is_linked_in_a_byte_a_cell():
+    """Distances by values that are not the same in both directions, with zeros between other values."""
+    r = np.random.default_rng(7)
+    for _ in range(20):
+        m, n = int(r.integers(2, 6)), int(r.integers(8, 40))
+        number = np.concatenate([np.arange(m), r.integers(0, m, n - m)])
+        table = r.integers(0, 5, (m, m)).astype(np.float32) / np.float32(7)
+        np.fill_diagonal(table, 0)
+        p, q = np.divmod(np.arange(m * m), m)
+        found = pd.DataFrame({"p": p, "q": q, "d": table.ravel()})
+        levels = np.unique(table)
+        codes = cluster.by_number(found, number, levels=levels)
+        assert codes.dtype == np.uint8
+        merges, heights = kernels.linkage(codes, own=True, levels=levels)
+        want = plain_linkage(cluster.by_number(found, number))
+        assert [(*x, float(h)) for x, h in zip(merges.tolist(), heights, strict=True)] == want
+        levels = kernels.cut_levels(merges, heights, n, 0.1)
+        assert levels == [(k, kernels.cut(merges, heights, n, k * 0.1)) for k in range(len(levels))]
+
+
+def test_cuts_of_many_blocks_are_many_tasks(spark, many_partitions):
+    """Few bytes of merges are much work: their blocks must not be put into one task by their size."""
+    merges = spark.range(64).select(F.col("id").alias("block"), F.lit(0).alias("step"), F.lit(1).alias("left"), F.lit(0).alias("right"), F.lit(0.25).cast("float").alias("dist"))
+    for found in (cluster.cut_levels(merges, "block", 0.1), cluster.cut_at(merges, "block", 0.3), cluster.split_even(merges, "block", 1, 1)):
+        assert found.select(F.spark_partition_id().alias("t")).distinct().count() > 8
