@@ -111,12 +111,13 @@ GROUP, ROWS, PAIRS = 32, 2048, 2048
 
 
 class _Query:
-    """One sequence, its candidates (places in the references, in their order) and what is known of them so far. Of
-    candidates with one text only the most frequent, first one (at) can be a parent; first is the first one's place."""
+    """One sequence (of all rows with its text, frequency and candidates), its candidates (places in the references, in
+    their order) and what is known of them so far. Of candidates with one text only the most frequent, first one (at) can
+    be a parent; first is the first one's place."""
 
-    def __init__(self, own: dict, at: np.ndarray, first: dict[int, int], candidates: int):
-        n = len(own["seq"])
-        self.own, self.at, self.first, self.candidates, self.seq, self.n = own, at, first, candidates, own["seq"], n
+    def __init__(self, seq: str, at: np.ndarray, first: dict[int, int], candidates: int):
+        n = len(seq)
+        self.at, self.first, self.candidates, self.seq, self.n = at, first, candidates, seq, n
         self.hit = (1 << 30, -1)
         # least differences up to each position, the frequency and the place of whose they are; from the left and right
         self.sides = [[np.full(n, 1 << 30), np.full(n, -np.inf), np.full(n, -1)] for _ in range(2)]
@@ -154,6 +155,51 @@ class _Query:
         return {"best": best, "split1": k, "split2": x, "t1": int(self.sides[0][2][k]), "t2": middle, "t3": int(self.sides[1][2][self.n - x - 2])}
 
 
+def _queries(own: list, least_of: list[float], seqs: list[str], names: list, freq: np.ndarray, number: np.ndarray) -> tuple[list[_Query], list[int]]:
+    """The queries of rows (names, frequencies, texts) against references (names, frequencies, numbers of texts), and of
+    each row its query, counted from 1, or 0 for fewer than two candidates. Rows with one text and frequency have one,
+    but for those that themselves are what a text is known by among the candidates."""
+    by_freq = np.lexsort((-freq, number))
+    named: dict = {}
+    for k, name in enumerate(names):
+        named.setdefault(name, []).append(k)
+
+    def options(ok: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+        """Of each text the first of the most frequent candidates, and for these the first candidate with the text."""
+        order, at = by_freq[ok[by_freq]], np.flatnonzero(ok)
+        best = order[np.append(True, number[order[1:]] != number[order[:-1]])] if len(order) else order
+        firsts = at[np.unique(number[at], return_index=True)[1]]
+        return np.sort(best), dict(zip(best.tolist(), firsts.tolist(), strict=True))
+
+    queries, which = [], []
+    at_least: dict = {}  # of each frequency
+    of: dict = {}  # of each row's name, frequency and text
+    known: dict = {}  # of each text, frequency, name that matters, and number of candidates (3 for more)
+    for row in zip(own, least_of, seqs, strict=True):
+        if row not in of:
+            name, least, seq = row
+            if least not in at_least:
+                ok = freq >= least
+                best, first = options(ok)
+                at_least[least] = int(ok.sum()), best, first, {*first, *first.values()}
+            total, best, first, places = at_least[least]
+            mine = [k for k in named.get(name, ()) if freq[k] >= least]
+            candidates, matters = total - len(mine), not places.isdisjoint(mine)
+            key = (seq, least, name if matters else None, matters, min(candidates, 3))
+            if candidates < 2 or len(seq) < 2:
+                known[key] = 0
+            elif key not in known:
+                if matters:
+                    ok = freq >= least
+                    ok[mine] = False
+                    best, first = options(ok)
+                queries.append(_Query(seq, best, first, candidates))
+                known[key] = len(queries)
+            of[row] = known[key]
+        which.append(of[row])
+    return queries, which
+
+
 def _aligned(todo: list[tuple[_Query, np.ndarray]], texts: list[str], whole: bool = False):
     """(query, places, profiles) of all pairs, many together: of several queries, or of a part of one's candidates. With
     whole, alignments instead of profiles."""
@@ -209,22 +255,12 @@ def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None,
     columns = [block, *(c.split()[0] for c in _OUT.split(", "))]
 
     def judge(_key, own: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        refs = refs.sort_values("_ord")
+        refs, own = refs.sort_values("_ord"), own.sort_values("ord")
         names, ords, texts, freq = refs["_id"].tolist(), refs["_ord"].tolist(), refs["_seq"].tolist(), refs["_freq"].to_numpy(float)
-        rows, todo, known = [], [], np.array(names, object)
         number = np.unique(np.array(texts, object), return_inverse=True)[1] if texts else np.zeros(0, int)
-        by_freq = np.lexsort((-freq, number))
-        for one in own.sort_values("ord").to_dict("records"):
-            at = np.flatnonzero((known != one["seq_id"]) & (freq >= one["freq"]))
-            rows.append({**dict.fromkeys(columns), block: one[block], "i": one["ord"], "id": one["seq_id"], "class": "Null"})
-            if len(at) >= 2 and len(one["seq"]) > 1:
-                # of each text the first candidate, and the first of the most frequent ones
-                ok = np.zeros(len(known), bool)
-                ok[at] = True
-                order = by_freq[ok[by_freq]]
-                best = order[np.r_[True, number[order[1:]] != number[order[:-1]]]]
-                firsts = at[np.unique(number[at], return_index=True)[1]]
-                todo.append((len(rows) - 1, _Query(one, np.sort(best), dict(zip(best.tolist(), firsts.tolist(), strict=True)), len(at))))
+        queries, which = _queries(own["seq_id"].tolist(), own["freq"].tolist(), own["seq"].tolist(), names, freq, number)
+        rows, todo = [{**dict.fromkeys(columns), "class": "Null"}], list(enumerate(queries, 1))
+        rows += [dict.fromkeys(columns) for _ in todo]
         for query, at, als in _aligned([(q, q.at) for _, q in todo], texts):
             query.see(at, freq[at], als)
         hard = [q for _, q in todo if q.two()["best"] >= TRIMERA and q.candidates >= 3]
@@ -248,7 +284,8 @@ def chimera_check(seqs: DataFrame, block: str, table: np.ndarray | None = None,
             found = np.concatenate(near)[[both[e[0], e[k]] for k in (1, 2) for e in ends]]
             for (k, _), near, index in zip(todo, found[: len(ends)], found[len(ends) :], strict=True):
                 rows[k] |= {"d_best": near, "c_index": index, "excess": index - near}
-        return pd.DataFrame(rows, columns=columns, dtype=object)
+        out = pd.DataFrame(rows, columns=columns, dtype=object).take(which)
+        return out.assign(**{block: own[block].to_numpy(), "i": own["ord"].to_numpy(), "id": own["seq_id"].to_numpy()})
 
     return dealt(queries, block, "_group").groupBy(block, "_group").cogroup(dealt(spread, "_block", "_of").groupBy("_block", "_of")).applyInPandas(judge, f"`{block}` {kind}, {_OUT}")
 

@@ -78,7 +78,8 @@ def chimera_plan(seqs: DataFrame, block: str, primer: str | None = None, alpha:
     from ..functions.sequences import strip_primer
 
     rows = seqs.withColumn("seq", strip_primer("seq", primer)) if primer else seqs
-    judged = chimera.classify(chimera.chimera_check(rows, block), alpha, beta).withColumnRenamed("i", "ord")
+    # both sides read it
+    judged = staged(chimera.classify(chimera.chimera_check(rows, block), alpha, beta).select(F.col("i").alias("ord"), "p"))
     return chimera.good_class_filter(seqs, judged, "ord", below)
 
 

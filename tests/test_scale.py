@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions import kernels
-from flowspark.operators import cluster, mapping, ordinals, pairs, split, stage, unique
+from flowspark.operators import chimera, cluster, mapping, ordinals, pairs, split, stage, unique
 from flowspark.plans import pipelines
 from flowspark.sources import sff, sinks, text
 
@@ -289,3 +289,25 @@ def test_cuts_of_many_blocks_are_many_tasks(spark, many_partitions):
     merges = spark.range(64).select(F.col("id").alias("block"), F.lit(0).alias("step"), F.lit(1).alias("left"), F.lit(0).alias("right"), F.lit(0.25).cast("float").alias("dist"))
     for found in (cluster.cut_levels(merges, "block", 0.1), cluster.cut_at(merges, "block", 0.3), cluster.split_even(merges, "block", 1, 1)):
         assert found.select(F.spark_partition_id().alias("t")).distinct().count() > 8
+
+
+def test_rows_of_one_text_and_frequency_have_one_query():
+    """Each row's query is that of its own candidates; names may stand for several rows, or for none of the references."""
+    r = random.Random(5)
+    for case in range(30):
+        n = 60
+        texts, freq = [r.choice(["AC", "ACG", "TTG", "G"]) for _ in range(n)], [float(r.randint(1, 3)) for _ in range(n)]
+        names = [f"q{r.randrange(n) if case % 2 else k}" for k in range(n)]
+        number = np.unique(texts, return_inverse=True)[1]
+        queries, which = chimera._queries([*names, "new"], [*freq, 2.0], [*texts, "ACG"], names, np.array(freq), number)
+        for name, least, seq, k in zip([*names, "new"], [*freq, 2.0], [*texts, "ACG"], which, strict=True):
+            at = [j for j in range(n) if names[j] != name and freq[j] >= least]
+            if len(at) < 2 or len(seq) < 2:
+                assert k == 0
+                continue
+            want = {max((j for j in at if texts[j] == t), key=lambda j: (freq[j], -j)): min(j for j in at if texts[j] == t) for t in {texts[j] for j in at}}
+            got = queries[k - 1]
+            assert (got.seq, got.at.tolist(), got.first, min(got.candidates, 3)) == (seq, sorted(want), want, min(len(at), 3))
+    n = 3000
+    queries, which = chimera._queries([f"q{k}" for k in range(n)], [1.0 + k % 2 for k in range(n)], ["ACG" if k % 3 else "ATT" for k in range(n)], [f"q{k}" for k in range(n)], np.array([1.0 + k % 2 for k in range(n)]), np.minimum(np.arange(n) % 3, 1))
+    assert len(which) == n and min(which) == 1 and len(queries) <= 12
