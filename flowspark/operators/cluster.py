@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .pairs import ByValue
+from .pairs import ByTile, ByValue
 from .stage import dealt
 
 _MERGES = "step int, `left` int, `right` int, dist float"
@@ -39,7 +39,23 @@ def by_number(pairs: pd.DataFrame, number: np.ndarray, mirrored: bool = True, le
     return d
 
 
-def linkage(distances: DataFrame | ByValue, block: str, method: str = "complete", scale: bool = False, weights: DataFrame | None = None) -> DataFrame:
+def of_tiles(tiles: pd.DataFrame, number: np.ndarray, tile: int) -> np.ndarray:
+    """The matrix of rows from the tiles (row, col, d) of their values' matrix."""
+    m = int(number.max()) + 1
+    d = np.zeros((m, m), np.float32)
+    for row, col, cells in tiles[["row", "col", "d"]].itertuples(index=False):
+        a, b = (slice(k * tile, min(m, (k + 1) * tile)) for k in (row, col))
+        piece = np.frombuffer(cells, np.float32).reshape(a.stop - a.start, b.stop - b.start)
+        if row == col:
+            piece = np.tril(piece) + np.tril(piece, -1).T
+        d[a, b], d[b, a] = piece, piece.T
+    if m < len(number) or (number != np.arange(m)).any():
+        d = d[number].take(number, axis=1)
+    np.fill_diagonal(d, 0)
+    return d
+
+
+def linkage(distances: DataFrame | ByValue | ByTile, block: str, method: str = "complete", scale: bool = False, weights: DataFrame | None = None) -> DataFrame:
     """block, step, left, right, dist from distances (block, i, j, d with j < i, ordinals from 0), or by values. method:
     complete or average, by number or by weights (block, ord, weight). scale brings distances to 0 ... 1. One block is one
     task's matrix: n * n distances, which is why samples are split into blocks first (split_even). By values what is sent
@@ -69,6 +85,17 @@ def linkage(distances: DataFrame | ByValue, block: str, method: str = "complete"
             levels = None
         return rows(items[block].iat[0], by_number(pairs, items["number"].to_numpy(), levels=levels), items["weight"].to_numpy() if weighted else None, levels)
 
+    if isinstance(distances, ByTile):
+        if weighted or scale:
+            raise ValueError("tiles are linked as they are, without weights")
+        tile, kind = distances.tile, dict(distances.rows.dtypes)[block]
+
+        def merge_tiles(items: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
+            if len(items) < 2:
+                return pd.DataFrame(columns=names)
+            return rows(items[block].iat[0], of_tiles(tiles, items.sort_values("ord")["number"].to_numpy(), tile), None)
+
+        return dealt(distances.rows, block).groupBy(block).cogroup(dealt(distances.tiles, block).groupBy(block)).applyInPandas(merge_tiles, f"`{block}` {kind}, {_MERGES}")
     if isinstance(distances, ByValue):
         if distances.full:
             raise ValueError("a linkage takes one distance a pair")

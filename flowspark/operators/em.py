@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,16 +23,93 @@ LEAST_COUNT, LEAST_TAU, LEAST_WEIGHT = 0.1, 1e-4, 0.1
 CELLS = 1 << 16
 
 
+#: Cells whose chance is below exp(-REACH) of an item's best one are too small for its sum in double precision, unless
+#: that is below FAINT; then the item is reckoned with all of them.
+REACH, FAINT = 69.0, 1e-9
+
+
+@dataclass
+class Costs:
+    """Costs of items (rows) and candidate centroids, of which only the cells that count are held: their items, candidates
+    and chances exp(-sigma * (cost - least of the item)). exact gives any piece by items and candidates."""
+
+    item: np.ndarray
+    candidate: np.ndarray
+    chance: np.ndarray
+    least: np.ndarray
+    sigma: float
+    exact: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    #: All costs of items that were reckoned whole once: they often are in the next step, too.
+    rows: dict[int, np.ndarray] = field(default_factory=dict)
+
+    @staticmethod
+    def near(pieces: Iterable[np.ndarray], sigma: float, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Costs:
+        """From pieces of some items each, in their order."""
+        cells, least, at = [], [], 0
+        for piece in pieces:
+            low = piece.min(axis=1)
+            gap = sigma * (piece - low[:, None])
+            i, u = np.nonzero(gap <= REACH)
+            cells.append((i + at, u, np.exp(-gap[i, u])))
+            least.append(low)
+            at += len(piece)
+        return Costs(*(np.concatenate(x) for x in zip(*cells, strict=True)), np.concatenate(least), sigma, exact)
+
+    @staticmethod
+    def of(cost: np.ndarray, sigma: float) -> Costs:
+        step = max(1, CELLS // max(cost.shape[1], 1))
+        return Costs.near((cost[lo : lo + step] for lo in range(0, len(cost), step)), sigma, lambda i, u: cost[np.ix_(i, u)])
+
+    def shares(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By the weights of candidates: of the cells that count and have one their items, candidates and parts of the
+        item's sum, and of each item the log of its sum of weight * exp(-sigma * cost), and which were reckoned whole."""
+        n = len(self.least)
+        part = self.chance * weight[self.candidate]
+        total = np.bincount(self.item, part, n)
+        faint = np.flatnonzero(total < FAINT)
+        live = (part > 0) & (total >= FAINT)[self.item]
+        item, candidate = self.item[live], self.candidate[live]
+        part = part[live] / total[item]
+        with np.errstate(divide="ignore"):
+            logs = np.log(total) - self.sigma * self.least
+        if len(faint):
+            used = np.flatnonzero(weight > 0)
+            step = max(1, CELLS // max(len(used), 1))
+            more = [(item, candidate, part)]
+            for lo in range(0, len(faint), step):
+                some = faint[lo : lo + step]
+                new = np.array([i for i in some.tolist() if i not in self.rows], np.int64)
+                if len(new):
+                    self.rows.update(zip(new.tolist(), self.exact(new, np.arange(len(weight))), strict=True))
+                d = np.array([self.rows[i][used] for i in some.tolist()])
+                low = d.min(axis=1)
+                p = weight[used] * np.exp(-self.sigma * (d - low[:, None]))
+                s = p.sum(axis=1)
+                logs[some] = np.log(s) - self.sigma * low
+                i, u = np.nonzero(p)
+                more.append((some[i], used[u], p[i, u] / s[i]))
+            item, candidate, part = (np.concatenate(x) for x in zip(*more, strict=True))
+        return item, candidate, part, logs, faint
+
+
 @dataclass
 class Denoised:
     """cluster of each item, centroid (candidate number) of each cluster that has one, its weight, -log-likelihood
-    at each step, and the last responsibilities (items x clusters)."""
+    at each step, and the last responsibilities: items, clusters and shares, by item."""
 
     cluster: np.ndarray
     centroid: dict[int, int]
     weight: np.ndarray
     likelihood: list[float]
-    tau: np.ndarray
+    soft: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    @property
+    def tau(self) -> np.ndarray:
+        """The responsibilities as items x clusters."""
+        item, cluster, share = self.soft
+        out = np.zeros((len(self.cluster), len(self.weight)))
+        out[item, cluster] = share
+        return out
 
 
 def expectation(distance: np.ndarray, weight: np.ndarray, sigma: float) -> np.ndarray:
@@ -46,52 +123,77 @@ def expectation(distance: np.ndarray, weight: np.ndarray, sigma: float) -> np.nd
     return tau
 
 
-def centroids(tau: np.ndarray, cost: np.ndarray, candidate: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """For each cluster the candidate with the least weighted cost among its members' candidates, the first of equals;
-    -1 where little is left of it. cost: items x candidates; candidate: of each item."""
-    out = np.full(tau.shape[1], -1)
-    for k in np.flatnonzero(tau.sum(axis=0) > LEAST_COUNT):
-        members = np.flatnonzero(tau[:, k] > 0)
-        if len(members):
+def centroids(soft: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, costs: Costs, candidate: np.ndarray, weight: np.ndarray, known: dict) -> np.ndarray:
+    """For each of k clusters the candidate with the least weighted cost among its members' candidates, the first of
+    equals; -1 where little is left of it. soft: items, clusters and shares; candidate: of each item. known keeps the
+    costs of a cluster's members and options for the next step."""
+    item, cluster, share = soft
+    out = np.full(k, -1)
+    order = np.lexsort((item, cluster))
+    item, cluster, share = item[order], cluster[order], share[order]
+    ends = np.searchsorted(cluster, np.arange(k + 1))
+    for c in np.flatnonzero(np.bincount(cluster, share, k) > LEAST_COUNT).tolist():
+        at = slice(ends[c], ends[c + 1])
+        members = item[at]
+        first = candidate[members[0]]
+        if len(members) == 1 or (candidate[members] == first).all():
+            out[c] = first
+            continue
+        if c not in known or not np.array_equal(known[c][0], members):
             options = pd.unique(candidate[members])
-            score = (tau[members, k] * weight[members]) @ cost[np.ix_(members, options)]
-            out[k] = options[score.argmin()]
+            known[c] = members, options, costs.exact(members, options)
+        _, options, cost = known[c]
+        out[c] = options[((share[at] * weight[members]) @ cost).argmin()]
     return out
 
 
-def denoise(start: np.ndarray, cost: np.ndarray, candidate: np.ndarray, sigma: float, item_weight: np.ndarray | None = None, least_steps: int = FLOW_STEPS, most_steps: int = MOST_STEPS) -> Denoised:
-    """EM from clusters start (a number for each item) over cost (items x candidate centroids)."""
+def denoise(start: np.ndarray, cost: np.ndarray | Costs, candidate: np.ndarray, sigma: float, item_weight: np.ndarray | None = None, least_steps: int = FLOW_STEPS, most_steps: int = MOST_STEPS) -> Denoised:
+    """EM from clusters start (a number for each item) over cost (items x candidate centroids). A step takes the cells
+    that count, not all items by all clusters."""
+    costs = cost if isinstance(cost, Costs) else Costs.of(cost, sigma)
     n, k = len(start), int(start.max()) + 1
     w = np.ones(n) if item_weight is None else item_weight.astype(float)
-    tau = np.zeros((n, k))
-    tau[np.arange(n), start] = 1.0
+    most = max(int(candidate.max()), int(costs.candidate.max())) + 1
+    soft, known = (np.arange(n), np.asarray(start), np.ones(n)), {}
     before, likelihood, step = np.zeros(k), [], 0
+
+    def expect(center: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        live = np.flatnonzero((center >= 0) & (weight > LEAST_WEIGHT))
+        of, amount = np.full(most, -1), np.zeros(most)
+        of[center[live]], amount[center[live]] = live, weight[live]
+        item, at, part, *_ = costs.shares(amount)
+        large = part > LEAST_TAU
+        return item[large], of[at[large]], part[large]
+
     while True:
-        center = centroids(tau, cost, candidate, w if item_weight is not None else np.ones(n))
-        weight = tau.T @ w
+        center = centroids(soft, k, costs, candidate, w, known)
+        item, cluster, share = soft
+        weight = np.bincount(cluster, share * w[item], k)
         delta = np.abs(weight - before).max()
-        distance = np.full((n, k), np.inf)
         has = center >= 0
-        distance[:, has] = cost[:, center[has]]
         live = has & (weight > LEAST_WEIGHT)
-        likelihood.append(float(-(w * np.log(np.maximum(np.exp(-sigma * distance[:, live]) @ weight[live], 1e-300))).sum() - w.sum() * np.log(sigma)))
-        for i in range(k):
-            if weight[i] >= LEAST_WEIGHT and has[i]:
-                same = np.flatnonzero((center[i + 1 :] == center[i]) & (weight[i + 1 :] >= LEAST_WEIGHT)) + i + 1
-                weight[i] += weight[same].sum()
-                weight[same], center[same], has[same] = 0.0, -1, False
-        distance[:, ~has] = np.inf
+        logs = costs.shares(np.bincount(center[live], weight[live], most))[3]
+        likelihood.append(float(-(w * np.maximum(logs, np.log(1e-300))).sum() - w.sum() * np.log(sigma)))
+        alike = np.flatnonzero(has & (weight >= LEAST_WEIGHT))
+        which, count = np.unique(center[alike], return_counts=True)
+        for u in which[count > 1]:
+            one, *same = alike[center[alike] == u]
+            weight[one] += weight[same].sum()
+            weight[same], center[same], has[same] = 0.0, -1, False
+            alike = np.flatnonzero(has & (weight >= LEAST_WEIGHT))
         before = weight
         if step >= least_steps and (delta <= DELTA or step >= most_steps):
             break
         step += 1
-        tau = expectation(distance, np.where(has, weight, 0.0), sigma)
-    tau = expectation(distance, np.where(has, weight, 0.0), sigma)
-    cluster = tau.argmax(axis=1)
-    hard = np.zeros_like(tau)
-    hard[np.arange(n), cluster] = 1.0
-    center = centroids(hard, cost, candidate, w if item_weight is not None else np.ones(n))
-    return Denoised(cluster, {c: int(center[c]) for c in np.unique(cluster)}, hard.T @ w, likelihood, tau)
+        soft = expect(center, weight)
+    item, cluster, share = soft = expect(center, weight)
+    order = np.lexsort((cluster, -share, item))
+    item, cluster = item[order], cluster[order]
+    first = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+    best = np.zeros(n, np.int64)  # of the largest share, the first cluster of equals
+    best[item[first]] = cluster[first]
+    center = centroids((np.arange(n), best, np.ones(n)), k, costs, candidate, w, known)
+    return Denoised(best, {c: int(center[c]) for c in np.unique(best)}, np.bincount(best, w, k), likelihood, soft)
 
 
 # ---------------------------------------------------------------- flows
@@ -115,12 +217,15 @@ def pattern_costs(flows: list[np.ndarray], lengths: np.ndarray, shapes: np.ndarr
     """Mean -log chance of each read's signals from each pattern. With unseen, flows behind a pattern's own length
     (seen) cost that each."""
     out = np.zeros((len(flows), len(shapes)))
+    cells: dict[int, tuple] = {}  # by length: of each pattern and flow its place in a read's costs, and what is unseen
     for i, (f, n) in enumerate(zip(flows, lengths.tolist(), strict=True)):
         n = min(n, len(f))
-        signal = np.clip(np.asarray(f[:n]), 0, 949)
-        costs = lookup[shapes[:, :n], signal[None, :]]
-        if unseen is not None and seen is not None:
-            costs = np.where(np.arange(n)[None, :] < seen[:, None], costs, unseen)
+        if n not in cells:
+            cells[n] = shapes[:, :n] * n + np.arange(n), None if unseen is None or seen is None else np.arange(n)[None, :] >= seen[:, None]
+        place, behind = cells[n]
+        costs = lookup[:, np.clip(np.asarray(f[:n]), 0, 949)].ravel().take(place)
+        if behind is not None:
+            costs[behind] = unseen
         out[i] = costs.sum(axis=1) / max(n, 1)
     return out
 
@@ -143,13 +248,20 @@ def _sequence(shape: np.ndarray, first: int = 8) -> str:
     return "".join("TACG"[p % 4] * int(s) for p, s in enumerate(shape) if p >= first)
 
 
-def _flow_start(group: pd.DataFrame, table: np.ndarray, unseen: float | None) -> tuple:
+def _flow_start(group: pd.DataFrame, table: np.ndarray, unseen: float | None, sigma: float) -> tuple:
     """Flows, lengths, patterns, each read's pattern, each pattern's first read, clusters to start from, costs."""
     flows = [np.asarray(f, np.int64) for f in group["flows"]]
     lengths = group["len"].to_numpy() // 4 * 4
     shapes, of, firsts = patterns(flows)
     start = np.unique(group["cluster"], return_inverse=True)[1] if "cluster" in group else None
-    return flows, lengths, shapes, of, firsts, start, pattern_costs(flows, lengths, shapes, table, unseen, lengths[firsts])
+    step = max(64, CELLS // len(shapes))
+
+    def exact(reads: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return pattern_costs([flows[i] for i in reads], lengths[reads], shapes[at], table, unseen, lengths[firsts[at]])
+
+    every = np.arange(len(shapes))
+    costs = Costs.near((exact(np.arange(lo, min(lo + step, len(flows))), every) for lo in range(0, len(flows), step)), sigma, exact)
+    return flows, lengths, shapes, of, firsts, start, costs
 
 
 def _clustered(reads: DataFrame, clusters: DataFrame, block: str) -> DataFrame:
@@ -201,10 +313,10 @@ def flow_responsibilities(reads: DataFrame, clusters: DataFrame, block: str, sig
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord").reset_index(drop=True)
-        *_, of, _firsts, start, cost = _flow_start(group, table, unseen)
+        *_, of, _firsts, start, cost = _flow_start(group, table, unseen, sigma)
         found = denoise(start, cost, of, sigma, most_steps=most_steps)
-        i, k = np.nonzero(found.tau)
-        soft = pd.DataFrame({block: group[block].iat[0], "i": group["ord"].to_numpy()[i], "k": pd.array(k, "Int32"), "tau": found.tau[i, k]})
+        i, k, share = found.soft
+        soft = pd.DataFrame({block: group[block].iat[0], "i": group["ord"].to_numpy()[i], "k": pd.array(k, "Int32"), "tau": share})
         trace = pd.DataFrame({block: group[block].iat[0], "i": np.arange(len(found.likelihood)), "k": pd.array([None] * len(found.likelihood), "Int32"), "tau": found.likelihood})
         return pd.concat([soft, trace])
 
@@ -222,7 +334,7 @@ def flow_denoise(reads: DataFrame, clusters: DataFrame, block: str, sigma: float
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord").reset_index(drop=True)
-        flows, lengths, shapes, of, firsts, start, cost = _flow_start(group, table, unseen)
+        flows, lengths, shapes, of, firsts, start, cost = _flow_start(group, table, unseen, sigma)
         found = denoise(start, cost, of, sigma, most_steps=most_steps)
         rows = []
         for number, c in enumerate(found.centroid):

@@ -31,6 +31,14 @@ def _distinct(items: DataFrame, value: str, by: str) -> DataFrame:
     return values.withColumn("_number", F.row_number().over(place) - 1)
 
 
+def _spread(items: DataFrame, by: str, tile: int) -> DataFrame:
+    """items (_place within a block) once for each tile (_row, _col) of their row and column (_t)."""
+    items = items.withColumn("_t", F.expr(f"_place div {tile}")).drop("_place")
+    sizes = items.groupBy(by).agg(F.max("_t").alias("_tiles"))
+    place = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "_tiles"), lambda k: F.struct(F.greatest("_t", k).alias("_row"), F.least("_t", k).alias("_col"))))
+    return items.join(sizes, by).withColumn("_tile", place).drop("_tiles").select("*", "_tile._row", "_tile._col").drop("_tile")
+
+
 def _compared(values: DataFrame, kernel: Callable, by: str, full: bool, tile: int, columns: str, members: bool) -> DataFrame:
     """Of each two values of which rows are compared the kernel's columns; with members block, _i, _j (ordinals of rows,
     some pairs of which may not be asked for), else block, p, q (numbers of values)."""
@@ -42,10 +50,7 @@ def _compared(values: DataFrame, kernel: Callable, by: str, full: bool, tile: in
         items = items.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy("_number", F.element_at("_members", 1))) - 1)
     else:
         items = values.withColumn("_place", F.col("_number"))
-    items = items.withColumns({**dict(ends), "_t": F.expr(f"_place div {tile}")}).drop("_place", *([] if members else ["_members"]))
-    sizes = items.groupBy(by).agg(F.max("_t").alias("_tiles"))
-    place = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "_tiles"), lambda k: F.struct(F.greatest("_t", k).alias("_row"), F.least("_t", k).alias("_col"))))
-    spread = items.join(sizes, by).withColumn("_tile", place).drop("_tiles").select("*", "_tile._row", "_tile._col").drop("_tile")
+    spread = _spread(items.withColumns(dict(ends)).drop(*([] if members else ["_members"])), by, tile)
 
     types = {"double": pa.float64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
     names = [by, *(("_i", "_j") if members else ("p", "q")), *(f[0] for f in fields)]
@@ -122,6 +127,34 @@ def by_value(items: DataFrame, value: str, kernel: Callable, block: str, full: b
     return ByValue(rows, _compared(values, kernel, block, full, tile, "d double", False), full)
 
 
+@dataclass
+class ByTile:
+    """Distances of a block's rows by their values: rows as in ByValue, and tiles (block, row, col, d) of the values'
+    matrix, of which what is below its diagonal counts, each the bytes of a piece of it in single precision."""
+
+    rows: DataFrame
+    tiles: DataFrame
+    tile: int = TILE
+
+
+def by_tile(items: DataFrame, value: str, kernel: Callable[[list, list], np.ndarray], block: str, tile: int = TILE) -> ByTile:
+    """by_value for a kernel that gives the matrix of two lists of values and means the same in both directions: four bytes
+    a distance are sent to the block's task instead of a row."""
+    values = _distinct(items, value, block)
+    rows = values.select(block, F.explode("_members").alias("ord"), F.col("_number").alias("number"))
+    spread = _spread(values.withColumn("_place", F.col("_number")).drop("_members"), block, tile)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).sort_by("_number")
+        row, col, t = group["_row"][0].as_py(), group["_col"][0].as_py(), group["_t"].to_numpy()
+        a, b = (group["_value"].take(pa.array(np.flatnonzero(t == k))).to_pylist() for k in (row, col))
+        cells = np.ascontiguousarray(kernel(a, b), np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([group[block].slice(0, 1).combine_chunks(), pa.array([row], pa.int32()), pa.array([col], pa.int32()), pa.array([cells], pa.binary())], names=[block, "row", "col", "d"])
+
+    found = dealt(spread, block, "_row", "_col").groupBy(block, "_row", "_col").applyInArrow(compare, f"`{block}` {dict(spread.dtypes)[block]}, row int, col int, d binary")
+    return ByTile(rows, found, tile)
+
+
 def _flows(first: list, second: list) -> np.ndarray:
     return K.flow_dist([np.asarray(x, np.int64) for x in first], [np.asarray(x, np.int64) for x in second])
 
@@ -139,8 +172,8 @@ def flow_distances(reads: DataFrame, lookup: np.ndarray | None = None, block: st
     return all_pairs(_counted(reads), "_flows", _flow_kernel(lookup), block)
 
 
-def flows_by_value(reads: DataFrame, lookup: np.ndarray | None, block: str) -> ByValue:
-    return by_value(_counted(reads), "_flows", _flow_kernel(lookup), block)
+def flows_by_tile(reads: DataFrame, lookup: np.ndarray | None, block: str) -> ByTile:
+    return by_tile(_counted(reads), "_flows", lambda a, b: K.flow_dist_table(a, b, lookup), block)
 
 
 def identity_distances(seqs: DataFrame, block: str | None = None, then: dict[str, Column] | None = None) -> DataFrame:

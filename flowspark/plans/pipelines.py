@@ -27,7 +27,7 @@ def flow_denoise_plan(reads: DataFrame, block: str, primer: str = ".", min_flows
     """Clean, compare, cluster and denoise the reads (block, ord, read_id, clip, flows)."""
     cleaned = clean.clean_reads(reads, primer, min_flows, max_flows, max_empty).where("passed").drop("passed", "seq")
     rows = staged(_numbered(cleaned, block))
-    distances = pairs.flow_distances(rows, lookup, block)
+    distances = pairs.flows_by_tile(rows, lookup, block)
     clusters = _lone(rows, cluster.cut_at(cluster.linkage(distances, block), block, cutoff), block)
     return em.flow_denoise(rows, clusters, block, sigma, lookup)
 

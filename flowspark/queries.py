@@ -952,7 +952,7 @@ def full_pipeline(spark, d) -> DataFrame:
 def _clusters(spark, d):
     """Keyed reads, numbered by block, and their clusters by flow distance."""
     rows = pipelines._numbered(ad.keyed_reads(spark, d), "block")
-    merges = cluster.linkage(pairs.flow_distances(rows, None, "block"), "block")
+    merges = cluster.linkage(pairs.flows_by_tile(rows, None, "block"), "block")
     return rows, cluster.cut_at(merges, "block", 0.5)
 
 

@@ -163,3 +163,52 @@ def test_denoising_by_values_is_that_of_all_rows(spark, full):
     merges = cluster.linkage(pairs.mean_of_both(found, "block") if full else found, "block")
     got, want = (em.sequence_denoise(seqs, x, cluster.cut_at(merges, "block", 0.08), "block").orderBy("block", "cluster").collect() for x in (found, rows))
     assert got == want and sum(len(r["members"]) for r in got) == 40
+
+
+def test_a_step_takes_the_cells_that_count():
+    """Items far from all clusters but their own, and some far from every cluster that is left (reckoned whole), against
+    all cells."""
+    r = np.random.default_rng(3)
+    for case in range(20):
+        n = 40
+        cost = r.random((n, n)) * 9 + 3
+        groups = np.arange(n) // 4
+        near = groups[:, None] == groups[None, :]
+        cost[near] = (r.random((n, n)) * (0.05 if case % 2 else 0.4))[near]
+        costs = em.Costs.of(cost, 60.0)
+        assert len(costs.item) <= 4 * n
+        weight = np.where(r.random(n) < 0.3, r.random(n) * 5, 0.0)
+        weight[0], weight[4:8] = 1.0, 0.0
+        item, candidate, part, logs, faint = costs.shares(weight)
+        got = np.zeros((n, n))
+        got[item, candidate] = part
+        live = np.flatnonzero(weight)
+        d = cost[:, live]
+        low = d.min(axis=1, keepdims=True)
+        want = np.zeros((n, n))
+        want[:, live] = weight[live] * np.exp(-60.0 * (d - low))
+        total = want.sum(axis=1)
+        assert len(faint) and np.allclose(got, want / total[:, None], atol=1e-12) and np.allclose(logs, np.log(total) - 60.0 * low[:, 0])
+
+
+def test_flow_distances_of_a_tile_are_those_of_pairs():
+    r = np.random.default_rng(4)
+    a, b = ([r.integers(0, 1200, r.integers(0, 75)) for _ in range(m)] for m in (45, 37))
+    want = K.flow_dist([x for x in a for _ in b], [y for _ in a for y in b]).reshape(45, 37)
+    assert (K.flow_dist_table(a, b) == want).all() and K.flow_dist_table([], b).shape == (0, 37)
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_linkage_by_tiles_is_that_of_all_rows(spark, copies):
+    """Some tiles a block, sent as pieces of the matrix."""
+    from pyspark.sql import functions as F
+
+    from flowspark.operators import cluster, pairs
+
+    items = spark.range(60).select((F.col("id") % 2).alias("block"), F.expr("id div 2").alias("ord"), F.expr(f"cast(id div {2 * copies} * 7 % 31 as string)").alias("v"))
+    table = lambda a, b: np.array([[abs(int(x) - int(y)) * 1.25 for y in b] for x in a])
+    tiles = pairs.by_tile(items, "v", table, "block", 8)
+    assert tiles.tiles.count() == (20 if copies == 1 else 6)
+    rows = pairs.all_pairs(items, "v", lambda a, b: np.array([table([x], [y])[0, 0] for x, y in zip(a, b, strict=True)]), "block")
+    one, other = (cluster.linkage(x, "block").orderBy("block", "step").collect() for x in (tiles, rows))
+    assert one == other and len(one) == 58
