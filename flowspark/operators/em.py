@@ -19,8 +19,8 @@ from .stage import dealt
 #: When to stop, and what counts as gone.
 DELTA, MOST_STEPS, FLOW_STEPS, SEQUENCE_STEPS = 1e-6, 1000, 10, 20
 LEAST_COUNT, LEAST_TAU, LEAST_WEIGHT = 0.1, 1e-4, 0.1
-#: Costs of reads and patterns that are handed on at a time.
-CELLS = 1 << 16
+#: Costs of reads and patterns that are handed on at a time, and cells of a matrix that are reckoned roughly at a time.
+CELLS, PRODUCT = 1 << 16, 1 << 22
 
 
 #: Cells whose chance is below exp(-REACH) of an item's best one are too small for its sum in double precision, unless
@@ -230,6 +230,46 @@ def pattern_costs(flows: list[np.ndarray], lengths: np.ndarray, shapes: np.ndarr
     return out
 
 
+def near_costs(flows: list[np.ndarray], lengths: np.ndarray, shapes: np.ndarray, lookup: np.ndarray, sigma: float, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], unseen: float | None = None, seen: np.ndarray | None = None) -> Costs:
+    """Costs.near of all reads and patterns, to the last bit. All of them are reckoned in single precision, as products of
+    matrices, with a bound of the error; exactly, only those cells that may count by it."""
+    n_of, n_shapes = np.minimum(lengths, [len(f) for f in flows]), len(shapes)
+    states = np.unique(shapes)
+    most = max(float(np.abs(lookup).max()), abs(unseen or 0.0))
+    if not (np.isfinite(most) and sigma > 0):
+        step, every = max(1, CELLS // n_shapes), np.arange(n_shapes)
+        return Costs.near((exact(np.arange(lo, min(lo + step, len(flows))), every) for lo in range(0, len(flows), step)), sigma, exact)
+    item, candidate, chance, least = [], [], [], np.zeros(len(flows))
+    for n in np.unique(n_of).tolist():
+        slack = (n + 4) * 2.0**-23 * most
+        reads = np.flatnonzero(n_of == n)
+        rows, cols = max(1, PRODUCT // n_shapes), max(64, PRODUCT // max(len(states) * n, 1))
+        for lo in range(0, len(reads), rows):
+            some = reads[lo : lo + rows]
+            signals = np.clip(np.array([flows[i][:n] for i in some.tolist()], np.int64).reshape(len(some), n), 0, 949)
+            signals = np.concatenate([lookup[s].astype(np.float32)[signals] for s in states], axis=1)
+            rough = np.empty((len(some), n_shapes), np.float32)
+            for at in range(0, n_shapes, cols):
+                of = shapes[at : at + cols, :n].T
+                behind = np.zeros(of.shape, bool) if unseen is None or seen is None else np.arange(n)[:, None] >= seen[at : at + cols]
+                is_state = np.concatenate([(of == s) & ~behind for s in states]).astype(np.float32)
+                rough[:, at : at + cols] = signals @ is_state + np.float32(unseen or 0.0) * behind.sum(axis=0).astype(np.float32)
+            rough /= max(n, 1)
+            may = rough <= (rough.min(axis=1) + (REACH / sigma + 4 * slack))[:, None]
+            for k, i in enumerate(some.tolist()):
+                u = np.flatnonzero(may[k])
+                cost = exact(np.array([i]), u)[0]
+                least[i] = cost.min()
+                gap = sigma * (cost - least[i])
+                near = gap <= REACH
+                item.append(np.full(int(near.sum()), i))
+                candidate.append(u[near])
+                chance.append(np.exp(-gap[near]))
+    item, candidate, chance = (np.concatenate(x) for x in (item, candidate, chance))
+    order = np.lexsort((candidate, item))
+    return Costs(item[order], candidate[order], chance[order], least, sigma, exact)
+
+
 def qualities(flows: list[np.ndarray], members: np.ndarray, shape: np.ndarray, lookup: np.ndarray) -> list[int]:
     """Phred value of each base of a centroid: the chance that the run is shorter than called."""
     out = []
@@ -254,13 +294,11 @@ def _flow_start(group: pd.DataFrame, table: np.ndarray, unseen: float | None, si
     lengths = group["len"].to_numpy() // 4 * 4
     shapes, of, firsts = patterns(flows)
     start = np.unique(group["cluster"], return_inverse=True)[1] if "cluster" in group else None
-    step = max(64, CELLS // len(shapes))
 
     def exact(reads: np.ndarray, at: np.ndarray) -> np.ndarray:
         return pattern_costs([flows[i] for i in reads], lengths[reads], shapes[at], table, unseen, lengths[firsts[at]])
 
-    every = np.arange(len(shapes))
-    costs = Costs.near((exact(np.arange(lo, min(lo + step, len(flows))), every) for lo in range(0, len(flows), step)), sigma, exact)
+    costs = near_costs(flows, lengths, shapes, table, sigma, exact, unseen, lengths[firsts])
     return flows, lengths, shapes, of, firsts, start, costs
 
 

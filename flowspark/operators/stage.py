@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions that dealt() makes where shuffles have fewer.
+PARTS = 96
+
 
 def staged(df: DataFrame) -> DataFrame:
     """df computed once, into the shared checkpoint folder."""
@@ -27,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """df by keys in as many partitions as shuffles have. Where the work on a row is large against its bytes, Spark must
-    not put small partitions together, as it would by their size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """df by keys in as many partitions as shuffles have, or, where these are few, up to eight times as many: a few large
+    groups then seldom fall into one task. Where the work on a row is large against its bytes, Spark must not put small
+    partitions together, as it would by their size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, min(8 * n, PARTS)), *keys)

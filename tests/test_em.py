@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from flowspark.functions import kernels as K
-from flowspark.operators import chimera, em
+from flowspark.operators import chimera, em, stage
 
 
 def plain_em(start, cost, candidate, sigma, weights, least, most=1000):
@@ -212,3 +212,28 @@ def test_linkage_by_tiles_is_that_of_all_rows(spark, copies):
     rows = pairs.all_pairs(items, "v", lambda a, b: np.array([table([x], [y])[0, 0] for x, y in zip(a, b, strict=True)]), "block")
     one, other = (cluster.linkage(x, "block").orderBy("block", "step").collect() for x in (tiles, rows))
     assert one == other and len(one) == 58
+
+
+@pytest.mark.parametrize("unseen", [None, 10.0])
+def test_only_cells_that_may_count_are_reckoned_exactly(unseen):
+    numbers = np.random.default_rng(3)
+    flows = [np.clip(np.abs(numbers.normal(0, 150, 64)), 0, 2000).astype(int) for _ in range(300)]
+    lengths = numbers.integers(0, 17, 300) * 4
+    shapes, _, firsts = em.patterns(flows)
+    seen, table, cells = lengths[firsts], K.default_lookup(), []
+
+    def exact(reads, at):
+        cells.append(len(reads) * len(at))
+        return em.pattern_costs([flows[i] for i in reads], lengths[reads], shapes[at], table, unseen, seen[at])
+
+    want = em.Costs.near([exact(np.arange(300), np.arange(len(shapes)))], 60.0, exact)
+    cells.clear()
+    got = em.near_costs(flows, lengths, shapes, table, 60.0, exact, unseen, seen)
+    for name in ("item", "candidate", "chance", "least"):
+        assert np.array_equal(getattr(want, name), getattr(got, name)), name
+    assert sum(cells) < 0.5 * 300 * len(shapes)
+
+
+def test_few_large_groups_are_dealt_to_many_tasks(spark):
+    rows = stage.dealt(spark.range(10), "id")
+    assert rows.rdd.getNumPartitions() == min(96, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
