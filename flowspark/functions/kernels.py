@@ -323,20 +323,26 @@ def flow_dist_table(rows: list, cols: list, lookup: np.ndarray | None = None) ->
             signals[: n[k], at] = flows[k]
         sides.append((n[order], order, np.clip(signals, 0, 999)))
     out, (lb, by_b, b) = np.zeros((len(rows), len(cols))), sides[1]
+    over = lambda n: (len(n) - np.searchsorted(np.sort(n), np.arange(int(n.max(initial=0))), "right")).tolist()
+    ys, vs = over(lb), over(lb // 8 * 8)
+    places, values = np.empty(32 * len(cols), np.int64), np.empty(32 * len(cols))
     for lo in range(0, len(rows), 32):  # as much as a core's cache holds
-        la, by_a, a = sides[0][0][lo : lo + 32], sides[0][1][lo : lo + 32], sides[0][2][:, lo : lo + 32]
+        la, by_a, a = sides[0][0][lo : lo + 32], sides[0][1][lo : lo + 32], sides[0][2][:, lo : lo + 32] * width
+        xs, us = over(la), over(la // 8 * 8)
         sums, rest = np.zeros((8, len(la), len(lb))), []
-        for k in range(min(int(la.max(initial=0)), int(lb.max(initial=0)))):
-            x, y = int((la > k).sum()), int((lb > k).sum())
-            u, v = int((la // 8 * 8 > k).sum()), int((lb // 8 * 8 > k).sum())
-            cells = flat.take((a[k, :x] * width)[:, None] + b[k, :y][None, :])
+        for k, (x, y) in enumerate(zip(xs, ys)):  # how many have a flow k, and as one of eight
+            u, v = us[k] if k < len(us) else 0, vs[k] if k < len(vs) else 0
+            place, cells = places[: x * y].reshape(x, y), values[: x * y].reshape(x, y)
+            np.add(a[k, :x, None], b[k, :y], out=place)
+            flat.take(place, out=cells, mode="clip")  # all are inside; the mode spares a copy
             sums[k % 8, :u, :v] += cells[:u, :v]
-            if (u, v) != (x, y):
-                cells[:u, :v] = 0.0
-                rest.append(cells)
+            if u < x:
+                rest.append((slice(u, x), slice(0, y), cells[u:].copy()))
+            if v < y and u:
+                rest.append((slice(0, u), slice(v, y), cells[:u, v:].copy()))
         total = ((sums[0] + sums[1]) + (sums[2] + sums[3])) + ((sums[4] + sums[5]) + (sums[6] + sums[7]))
-        for cells in rest:
-            total[: cells.shape[0], : cells.shape[1]] += cells
+        for at, to, cells in rest:
+            total[at, to] += cells
         out[by_a[:, None], by_b[None, :]] = total / np.maximum(np.minimum(la[:, None], lb[None, :]), 1)
     return out
 
