@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,8 @@ from ..functions import kernels as K
 from .stage import dealt
 
 TILE = 256
+#: Pairs of texts whose results a worker keeps for the other blocks that have them, and how long both may be together.
+KEPT, SHORT = 1 << 16, 256
 #: Rows with one value that stand together in an item of a tile, pairs that a kernel takes at a time, and pairs of items
 #: that are handed on at a time.
 COPIES, KERNEL, BATCH = 64, 2048, 8192
@@ -32,11 +35,38 @@ def _distinct(items: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def _spread(items: DataFrame, by: str, tile: int) -> DataFrame:
-    """items (_place within a block) once for each tile (_row, _col) of their row and column (_t)."""
-    items = items.withColumn("_t", F.expr(f"_place div {tile}")).drop("_place")
-    sizes = items.groupBy(by).agg(F.max("_t").alias("_tiles"))
+    """items (_place within a block) once for each tile (_row, _col) of their row and column (_t). A block's rows lie
+    together where they were numbered, so its size takes no join."""
+    items = items.withColumn("_t", F.expr(f"_place div {tile}")).drop("_place").withColumn("_tiles", F.max("_t").over(Window.partitionBy(by)))
     place = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "_tiles"), lambda k: F.struct(F.greatest("_t", k).alias("_row"), F.least("_t", k).alias("_col"))))
-    return items.join(sizes, by).withColumn("_tile", place).drop("_tiles").select("*", "_tile._row", "_tile._col").drop("_tile")
+    return items.withColumn("_tile", place).drop("_tiles").select("*", "_tile._row", "_tile._col").drop("_tile")
+
+
+#: Results of pairs of texts in this worker, of one query only: its name, and of each pair the columns.
+_results: tuple[str, dict] = ("", {})
+
+
+def _once(kernel: Callable, names: list[str], query: str, first: list, second: list) -> list:
+    """The kernel's columns of each pair. Blocks often have the same short texts, and a pair of them gets the same in all:
+    a worker keeps up to KEPT results and hands the rest to the kernel."""
+    global _results
+    known = _results[1] if _results[0] == query else {}
+    _results = (query, known)
+    pairs = list(zip(first, second, strict=True))
+    new = [p for p in dict.fromkeys(pairs) if p not in known]
+    found: dict = {}
+    if new:
+        columns = kernel([a for a, _ in new], [b for _, b in new])
+        columns = columns if isinstance(columns, dict) else {names[0]: columns}
+        if len(new) == len(pairs):
+            rows = [columns[n] for n in names]
+        found = dict(zip(new, zip(*(columns[n] for n in names), strict=True), strict=True))
+        for p in new[: KEPT - len(known)]:
+            if len(p[0] or "") + len(p[1] or "") <= SHORT:
+                known[p] = found[p]
+        if len(new) == len(pairs):
+            return rows
+    return [list(c) for c in zip(*(found[p] if p in found else known[p] for p in pairs), strict=True)]
 
 
 def _compared(values: DataFrame, kernel: Callable, by: str, full: bool, tile: int, columns: str, members: bool) -> DataFrame:
@@ -52,6 +82,7 @@ def _compared(values: DataFrame, kernel: Callable, by: str, full: bool, tile: in
         items = values.withColumn("_place", F.col("_number"))
     spread = _spread(items.withColumns(dict(ends)).drop(*([] if members else ["_members"])), by, tile)
 
+    texts, query = dict(values.dtypes)["_value"] == "string", uuid.uuid4().hex
     types = {"double": pa.float64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
     names = [by, *(("_i", "_j") if members else ("p", "q")), *(f[0] for f in fields)]
 
@@ -76,9 +107,13 @@ def _compared(values: DataFrame, kernel: Callable, by: str, full: bool, tile: in
             at = np.searchsorted(which[order], np.arange(0, len(pair) + KERNEL, KERNEL))
             for k, lo in enumerate(range(0, len(pair), KERNEL)):
                 some = pair[lo : lo + KERNEL]
-                found = kernel([known[n] for n in (some // most).tolist()], [known[n] for n in (some % most).tolist()])
-                found = found if isinstance(found, dict) else {"d": found}
-                arrays = [pa.array(found[n], types[kind]) for n, kind in fields]
+                ends = [known[n] for n in (some // most).tolist()], [known[n] for n in (some % most).tolist()]
+                if texts:
+                    found = _once(kernel, [n for n, _ in fields], query, *ends)
+                else:
+                    found = kernel(*ends)
+                    found = [found[n] for n, _ in fields] if isinstance(found, dict) else [found]
+                arrays = [pa.array(c, kind) for c, kind in zip(found, (types[kind] for _, kind in fields), strict=True)]
                 mine = order[at[k] : at[k + 1]]
                 for start in range(0, len(mine), BATCH):
                     part = mine[start : start + BATCH]

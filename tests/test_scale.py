@@ -311,3 +311,17 @@ def test_rows_of_one_text_and_frequency_have_one_query():
     n = 3000
     queries, which = chimera._queries([f"q{k}" for k in range(n)], [1.0 + k % 2 for k in range(n)], ["ACG" if k % 3 else "ATT" for k in range(n)], [f"q{k}" for k in range(n)], np.array([1.0 + k % 2 for k in range(n)]), np.minimum(np.arange(n) % 3, 1))
     assert len(which) == n and min(which) == 1 and len(queries) <= 12
+
+
+def test_pairs_of_texts_are_compared_once_for_many_blocks(spark):
+    """Blocks with the same texts share what a worker found, and a block's size takes no join; t says in which call of the
+    kernel a result was made."""
+    import uuid
+
+    items = spark.range(1200).select("id", (F.col("id") % 300).alias("block"), F.col("id").alias("ord"), F.expr("cast(id div 300 as string)").alias("v"))
+    kernel = lambda a, b: {"t": np.full(len(a), uuid.uuid4().int % (1 << 40)), "n": np.array([int(x) * 10 + int(y) for x, y in zip(a, b, strict=True)])}
+    got = pairs.all_pairs(items, "v", kernel, "block", columns="t double, n int")
+    rows = got.collect()
+    assert {(r["block"], r["i"], r["j"], r["n"]) for r in rows} == {(b, b + 300 * x, b + 300 * y, 10 * x + y) for b in range(300) for x in range(4) for y in range(x)}
+    assert len({r["t"] for r in rows}) < 100
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
