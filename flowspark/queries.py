@@ -774,13 +774,13 @@ def sink_clusters(spark, d) -> DataFrame:
     rows = ad.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cluster")).agg(F.sort_array(F.collect_list(F.col("o_orderkey").cast("string"))).alias("members"))
     seq = F.expr("repeat('ACGT', cast(1 + cluster % 30 as int))")
     rows = rows.select("cluster", F.size("members").cast("long").alias("weight"), seq.alias("sequence"), F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("representative"), "members", F.array_repeat(F.lit(20), F.length(seq)).alias("quality"))
-    sinks.sink_clusters(rows, "k", path)
+    sinks.sink_clusters(staged(rows), "k", path)
     place = F.split("seq_id", "_")
     seqs = text.scan_fasta(spark, f"{path}/k_cd.fa", "ACGT").select(F.get(place, F.lit(1)).cast("long").alias("cluster"), F.get(place, F.lit(2)).cast("long").alias("_weight"), F.length("seq").alias("_length"))
     lines = text.scan_mapping(spark, f"{path}/k.mapping").select(F.substring("rep", 2, 20).cast("long").alias("cluster"), F.sort_array("members").alias("_mapped"))
     words = text._tokens("_v")
     quality = text._records(spark, f"{path}/k_cd.qual").select(F.get(F.split(F.get(words, F.lit(0)), "_"), F.lit(1)).cast("long").alias("cluster"), (F.size(words) - 1).alias("_quals"))
-    folder = spark.read.text(f"{path}/k").groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.sort_array(F.collect_list("value")).alias("_members"), F.count(F.lit(1)).alias("_n"))
+    folder = text.scan_members(spark, f"{path}/k").select(F.col("cluster").cast("long").alias("cluster"), F.sort_array("members").alias("_members"), F.size("members").cast("long").alias("_n"))
     same = (F.col("_weight") == F.col("_n")) & (F.col("_mapped") == F.col("_members")) & (F.col("_quals") == F.col("_length"))
     return folder.join(seqs, "cluster", "full").join(lines, "cluster", "full").join(quality, "cluster", "full").select("cluster", F.when(same, F.col("_n")).alias("members"))
 

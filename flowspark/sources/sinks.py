@@ -4,13 +4,19 @@ all of them. join_parts makes one file of them where another tool needs that."""
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.flows import flows_to_string
 
+#: Numbers of clusters whose files share a folder.
+FOLDER = 4096
+
 
 def _ordered(lines: DataFrame, path: str, header: str | None = None) -> None:
     """lines (_n, value) in order behind the header, in parts by ranges of _n."""
@@ -23,13 +29,16 @@ def _ordered(lines: DataFrame, path: str, header: str | None = None) -> None:
 def write_whole(df: DataFrame, path: str, kind: str = "text") -> None:
     """Writes into a folder beside path, which takes its name once the job has succeeded; a job that fails leaves path as
     it was and nothing else."""
-    spark = df.sparkSession
+    _named_when_done(df.sparkSession, path, df.write.format(kind).save)
+
+
+def _named_when_done(spark: SparkSession, path: str, save: Callable[[str], None]) -> None:
     work = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     old, new = hadoop(path), hadoop(work)
     store = new.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        df.write.format(kind).save(work)
+        save(work)
         store.delete(old, True)
         if not store.rename(new, old):
             raise OSError(f"cannot name {path}")
@@ -37,6 +46,13 @@ def write_whole(df: DataFrame, path: str, kind: str = "text") -> None:
         store.delete(new, True)
 
 
+def disk_path(spark: SparkSession, path: str) -> str | None:
+    """path as the operating system knows it, or None for one that is not on a disk."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return at.getPath() if at.getScheme() == "file" else None
+
+
 def join_parts(spark: SparkSession, path: str, to: str) -> None:
     """The parts of a folder as one file, copied by the driver a block at a time; it has its name once it is whole."""
     hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
@@ -133,13 +149,41 @@ def cluster_fasta(clusters: DataFrame, stub: str) -> DataFrame:
 
 
 def sink_clusters(clusters: DataFrame, stub: str, path: str) -> None:
-    """Sequences, mapping, and the members of each cluster in a folder of its own."""
+    """Sequences, mapping, and the members of each cluster in a file of its own."""
     sink_fasta(cluster_fasta(clusters, stub), f"{path}/{stub}_cd.fa", 80)
     sink_mapping(clusters.select(F.col("cluster").alias("ord"), F.col("representative").alias("rep"), "members"), f"{path}/{stub}.mapping")
     if "quality" in clusters.columns:
         text = F.concat(F.lit(f">{stub}_"), F.col("cluster").cast("string"), F.lit("\n"), F.array_join(F.col("quality").cast("array<string>"), " "))
         _ordered(clusters.select(F.col("cluster").alias("_n"), text.alias("value")), f"{path}/{stub}_cd.qual")
-    clusters.select("cluster", F.explode("members").alias("value")).write.mode("overwrite").partitionBy("cluster").text(f"{path}/{stub}")
+    _named_when_done(clusters.sparkSession, f"{path}/{stub}", lambda work: _sink_members(clusters.select("cluster", "members"), work))
+
+
+def _sink_members(clusters: DataFrame, path: str) -> None:
+    """A file i_<k> with the members of each cluster (a number) that has some, in folders of FOLDER numbers, each filled by
+    one task. Hadoop's client runs a command for the permissions of each file of a disk, which takes milliseconds, so the
+    tasks make the files themselves; elsewhere each cluster has a folder cluster=<k>."""
+    where = disk_path(clusters.sparkSession, path)
+    if where is None:
+        clusters.select("cluster", F.explode("members").alias("value")).write.partitionBy("cluster").text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
+        for batch in batches:
+            for folder, cluster, members in zip(*(batch[n].to_pylist() for n in ("_folder", "cluster", "members")), strict=True):
+                if folder not in made:
+                    os.makedirs(f"{where}/{folder}", exist_ok=True)
+                    made.add(folder)
+                # not emptied first: another attempt of the task may have written it
+                with os.fdopen(os.open(f"{where}/{folder}/i_{cluster}", os.O_WRONLY | os.O_CREAT, 0o666), "wb") as f:
+                    f.write("".join(f"{m or ''}\n" for m in members).encode())
+                    f.truncate()
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    os.makedirs(where)
+    whole = clusters.where(F.size("members") > 0).withColumn("_folder", F.expr(f"cluster div {FOLDER}"))
+    whole = whole.repartition("_folder").groupBy("_folder", "cluster").agg(F.flatten(F.collect_list("members")).alias("members"))
+    whole.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 def sink_split(split: DataFrame, path: str) -> None:

@@ -4,13 +4,19 @@ that a writer of this package made is one file in parts; files with headers of t
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.flows import cast_hundredths
 from ..functions.sequences import accepted, read_weight
 from ..operators.ordinals import scan_ordinals, with_ordinal
+from ..operators.stage import dealt
+from .sinks import disk_path
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -133,6 +139,30 @@ def scan_mapping(spark: SparkSession, path: str, stem: str | None = None) -> Dat
     return rows.select("ord", F.get("t", F.lit(0)).alias("rep"), F.concat_ws("_", F.lit(stem), F.col("ord").cast("string"), total.cast("string")).alias("name"), members.alias("members"))
 
 
+def scan_members(spark: SparkSession, path: str) -> DataFrame:
+    """cluster (its number as text), members of each cluster's file. On a disk the folders are dealt to tasks, which list
+    and read them: Spark's own listing holds every file in the driver."""
+    where = disk_path(spark, path)
+    if where is None:
+        return spark.read.text(path).groupBy(F.col("cluster").cast("string").alias("cluster")).agg(F.collect_list("value").alias("members"))
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(os.listdir(where), pa.string())], names=["folder"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch["folder"].to_pylist():
+                names, found = [n for n in os.listdir(f"{where}/{folder}") if n.startswith("i_")], []
+                for name in names:
+                    with open(f"{where}/{folder}/{name}", "rb") as f:
+                        found.append(f.read().decode().removesuffix("\n").split("\n"))
+                yield pa.RecordBatch.from_arrays([pa.array([n[2:] for n in names], pa.string()), pa.array(found, pa.list_(pa.string()))], names=["cluster", "members"])
+
+    names = spark.range(0, 1, 1, 1).mapInArrow(folders, "folder string")
+    return dealt(names, "folder").mapInArrow(read, "cluster string, members array<string>")
+
+
 def scan_noise_mapping(spark: SparkSession, path: str) -> DataFrame:
     """cluster_id, members (in their order) of lines of a name and a list: the first of equal names counts."""
     rows = _lines(spark, path).where(F.trim("_v") != "").select("_line", _tokens("_v").alias("t"))
