@@ -30,3 +30,21 @@ def test_clusters_off_the_disk_are_the_same(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(text, "disk_path", lambda *_: None)
     sinks._sink_members(rows, where + "2")
     assert one == text.scan_members(spark, where + "2").orderBy("cluster").collect()
+
+
+def test_lines_of_a_triangle_are_made_once(spark, tmp_path, monkeypatch):
+    """A triangle's length is known, so its lines are not made a first time to find ranges; parts follow each other."""
+    monkeypatch.setattr(sinks, "LINES", 7)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        made.add(1)
+        return float(x)
+
+    rows = spark.range(100, numPartitions=3).select((F.floor((1 + F.sqrt(1 + 8 * F.col("id"))) / 2)).alias("i"), "id").select("i", (F.col("id") - F.expr("i * (i - 1) div 2")).alias("j"), "id").where("i < 12")
+    sinks.sink_dist(rows.select("i", "j", seen("id").alias("d")), 12, f"file://{tmp_path}/d")
+    assert made.value == 66
+    lines = [line for name in sorted(os.listdir(tmp_path / "d")) if name.startswith("part-") for line in (tmp_path / "d" / name).read_text().split()]
+    assert lines[0] == "12" and [float(x) for x in lines[1:]] == list(range(66))
+    assert {(r["i"], r["j"]) for r in text.scan_dist(spark, f"{tmp_path}/d").collect()} == {(i, j) for i in range(12) for j in range(i)}
