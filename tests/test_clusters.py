@@ -1,10 +1,12 @@
 """The files of clusters."""
 
+import gzip
 import os
 import time
 
 from pyspark.sql import functions as F
 
+from flowspark.operators import pairs
 from flowspark.sources import sinks, text
 
 
@@ -48,3 +50,17 @@ def test_lines_of_a_triangle_are_made_once(spark, tmp_path, monkeypatch):
     lines = [line for name in sorted(os.listdir(tmp_path / "d")) if name.startswith("part-") for line in (tmp_path / "d" / name).read_text().split()]
     assert lines[0] == "12" and [float(x) for x in lines[1:]] == list(range(66))
     assert {(r["i"], r["j"]) for r in text.scan_dist(spark, f"{tmp_path}/d").collect()} == {(i, j) for i in range(12) for j in range(i)}
+
+
+def test_a_placed_triangle_is_written_without_a_shuffle(spark, tmp_path):
+    """Pairs are made in the file's order, so its lines are not sent to other tasks; packed parts follow each other."""
+    values = spark.createDataFrame([(k, float((7 * k) % 11)) for k in range(12)], "ord long, x double")
+    rows = pairs.triangle(values, 12, 7)
+    assert rows.rdd.getNumPartitions() >= 10 and "Exchange hash" not in (plan := rows._jdf.queryExecution().toString()) and "Exchange range" not in plan
+    assert [(r["i"], r["j"], r["a"], r["b"]) for r in rows.collect()] == [(i, j, float(7 * i % 11), float(7 * j % 11)) for i in range(12) for j in range(i)]
+    sinks.sink_dist(rows.select("i", "j", (F.col("a") * 100 + F.col("b")).alias("d")), 12, f"file://{tmp_path}/d", placed=True, compression="gzip")
+    names = [name for name in sorted(os.listdir(tmp_path / "d")) if name.startswith("part-")]
+    lines = [line for name in names for line in gzip.decompress((tmp_path / "d" / name).read_bytes()).decode().split()]
+    want = {(i, j): 7 * i % 11 * 100 + 7 * j % 11 for i in range(12) for j in range(i)}
+    assert lines[0] == "12" and [float(x) for x in lines[1:]] == list(want.values())
+    assert {(r["i"], r["j"]): r["d"] for r in text.scan_dist(spark, f"{tmp_path}/d").collect()} == want
