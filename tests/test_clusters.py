@@ -64,3 +64,16 @@ def test_a_placed_triangle_is_written_without_a_shuffle(spark, tmp_path):
     want = {(i, j): 7 * i % 11 * 100 + 7 * j % 11 for i in range(12) for j in range(i)}
     assert lines[0] == "12" and [float(x) for x in lines[1:]] == list(want.values())
     assert {(r["i"], r["j"]): r["d"] for r in text.scan_dist(spark, f"{tmp_path}/d").collect()} == want
+
+
+def test_the_head_of_a_distance_file_is_read_by_itself(spark, tmp_path, monkeypatch):
+    """Its first line is found without numbering all lines; words behind a value, and empty files, are no harm."""
+    folder = tmp_path / "a b[1]"
+    folder.mkdir()
+    for name, lines in (("part-0", ""), ("part-1", "3 x\n0.125\n"), ("part-2", " 0.25\tb\n0.5\r\n")):
+        (folder / name).write_bytes(lines.encode())
+    got = text.scan_dist(spark, f"{tmp_path}/a b*").collect()
+    assert {(r["i"], r["j"]): r["d"] for r in got} == {(1, 0): 0.125, (2, 0): 0.25, (2, 1): 0.5}
+    whole = spark.range(1).select(F.raise_error(F.lit("all lines were read")).cast("bigint").alias("_line"), F.lit("1").alias("_v"))
+    monkeypatch.setattr(text, "_lines", lambda *_: whole)
+    assert text.scan_dist(spark, f"{tmp_path}/a b*").columns == ["i", "j", "d"]
