@@ -4,6 +4,7 @@ import gzip
 import os
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowspark.operators import pairs
@@ -77,3 +78,30 @@ def test_the_head_of_a_distance_file_is_read_by_itself(spark, tmp_path, monkeypa
     whole = spark.range(1).select(F.raise_error(F.lit("all lines were read")).cast("bigint").alias("_line"), F.lit("1").alias("_v"))
     monkeypatch.setattr(text, "_lines", lambda *_: whole)
     assert text.scan_dist(spark, f"{tmp_path}/a b*").columns == ["i", "j", "d"]
+
+
+def test_a_square_meets_its_mirror_image_by_tiles(spark, tmp_path, monkeypatch):
+    """No cell is a row of a shuffle: 1300 x 1300 cells are sent in some thousand pieces. Ragged lines keep what they have."""
+    n = 1300
+    values = spark.createDataFrame([(k, float((7 * k) % 11)) for k in range(n)], "ord long, x double")
+    rows = pairs.square(values, n, 100_000).select("i", F.transform("b", lambda b, j: F.when(j == F.col("i"), 0.0).otherwise(F.col("a") * 100 + b)).alias("d"))
+    sinks.sink_rows(rows, n, f"file://{tmp_path}/s", placed=True, compression="gzip")
+    got = text.scan_dist(spark, f"{tmp_path}/s", full=True)
+    table = got.toPandas()
+    i, j = table["i"].to_numpy(), table["j"].to_numpy()
+    assert len(table) == n * (n - 1) // 2 and len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(table) and (j < i).all()
+    assert (table["d"] == ((7 * i % 11) * 101 + (7 * j % 11) * 101) / 2).all()
+    assert "posexplode" not in got._jdf.queryExecution().toString()
+
+    cells = spark.createDataFrame([(i, j, float(10 * i + j)) for i in range(4) for j in range(4)], "i int, j int, d double")
+    sinks.sink_square(cells, 4, f"file://{tmp_path}/c")
+    assert {(r["i"], r["j"]): r["d"] for r in text.scan_dist(spark, f"{tmp_path}/c", full=True).collect()} == {(i, j): 5.5 * (i + j) for i in range(4) for j in range(i)}
+    (tmp_path / "ragged").write_text("3\n0 +2 4\n\t6  NaN 8 1e1\n2\n")
+    got = {(r["i"], r["j"]): str(r["d"]) for r in text.scan_dist(spark, f"{tmp_path}/ragged", full=True).collect()}
+    assert got == {(1, 0): "4.0", (2, 0): "3.0", (2, 1): "4.0", (3, 1): "5.0"}
+
+
+def test_values_of_a_row_are_written_as_format_string_has_them(spark):
+    values = [0.0, -0.0, 1.0, 1.0, 0.1234, 123456.789, 1e-300, -2.5e12, float("inf"), float("-inf"), float("nan"), None]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "d double").select(F.format_string("%.8e", "d")).collect()]
+    assert sinks._row_line(pa.array(values, pa.float64())).split(" ") == want
